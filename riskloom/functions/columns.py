@@ -109,8 +109,7 @@ def last_token(c) -> Column:
 
 def to_number(c, default=0.0) -> Column:
     """Parse as double; unparsable or NULL gives ``default`` (H4)."""
-    parsed = F.try_cast(col(c), "double") if hasattr(F, "try_cast") else F.expr(
-        f"try_cast({c} AS DOUBLE)")
+    parsed = col(c).try_cast("double")
     return F.coalesce(parsed, F.lit(default)) if default is not None else parsed
 
 
