@@ -194,12 +194,15 @@ def mean_arterial_pressure(sbp="sbp", dbp="dbp") -> Column:
 
 
 def egfr(sc="sc", age="age") -> Column:
-    """Simplified CKD-EPI with the fixed sex factor, clipped."""
+    """Simplified CKD-EPI with the fixed sex factor, clipped.
+
+    ``least``/``greatest`` skip NULLs, so a missing creatinine is guarded
+    explicitly: the result is NULL, as NaN propagates in the reference."""
     r = col(sc) / EGFR_KAPPA
     g = (F.lit(float(EGFR_K)) * F.pow(F.least(r, F.lit(1.0)), F.lit(EGFR_ALPHA))
          * F.pow(F.greatest(r, F.lit(1.0)), F.lit(EGFR_BETA))
          * F.pow(F.lit(EGFR_AGE), col(age)))
-    return clip(g * EGFR_SEX, *EGFR_CLIP)
+    return F.when(col(sc).isNotNull() & col(age).isNotNull(), clip(g * EGFR_SEX, *EGFR_CLIP))
 
 
 def egfr_sql(sc="sc", age="age") -> str:
@@ -207,7 +210,8 @@ def egfr_sql(sc="sc", age="age") -> str:
     g = (f"(CAST({float(EGFR_K)!r} AS DOUBLE) * pow(least({r}, 1.0), {EGFR_ALPHA!r})"
          f" * pow(greatest({r}, 1.0), {EGFR_BETA!r}) * pow({EGFR_AGE!r}, {age}))")
     g = f"({g} * {EGFR_SEX!r})"
-    return f"CASE WHEN {g} IS NOT NULL THEN least(greatest({g}, {EGFR_CLIP[0]}), {EGFR_CLIP[1]}) END"
+    return (f"CASE WHEN {sc} IS NOT NULL AND {age} IS NOT NULL "
+            f"THEN least(greatest({g}, {EGFR_CLIP[0]}), {EGFR_CLIP[1]}) END")
 
 
 def sofa_columns(rename=None) -> list[Column]:
