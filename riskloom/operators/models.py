@@ -134,14 +134,20 @@ def adaboost(train: DataFrame, test: DataFrame, features: Sequence[str], label:
                 break
         else:
             alpha = rate * math.log((1 - err) / err)
+        prev_tr = tr
         tr = scored.select(*[c for c in tr.columns if c != "_w"],
                            (F.col("_w") * F.exp(F.lit(alpha) * F.col("_miss"))).alias("_w"))
         te = (stump.transform(te).withColumn(
             "ada_score", F.col("ada_score") + F.lit(alpha) * (2 * F.col("prediction") - 1))
             .drop("prediction", "rawPrediction", "probability"))
         if (m + 1) % checkpoint_every == 0:
+            # Reliable checkpoint: bounded lineage, survives executor loss.
             tr = cut_lineage(tr)
             te = cut_lineage(te)
+        else:
+            # Keep this round's weights for the next fit (several passes).
+            tr = tr.persist()
+        prev_tr.unpersist()
     return te.withColumn("ada_pred", F.when(F.col("ada_score") > 0, 1).otherwise(0)).drop(FEATURES)
 
 

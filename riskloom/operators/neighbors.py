@@ -215,76 +215,162 @@ def knn_impute(df: DataFrame, key: str, cols: list[str], k: int = 5, block: int
     column; distance = sqrt(n_cols / n_common * sum over coordinates present
     in both of the squared difference); the fill is the mean of the column
     over the ``k`` nearest donors (ties: smaller key).  A row sharing no
-    coordinate with any donor gets the column mean.  Receivers and donors
-    are cut into blocks of at most ``block`` rows and evaluated with numpy
-    in ``cogroup`` tasks, so memory per task is bounded.
+    coordinate with any donor gets the column mean.
+
+    Receivers (rows with a missing value) and donors (rows with any value)
+    are cut into blocks of at most ``block`` rows; each block is one
+    ``cogroup`` task that computes the distance matrix once with numpy and
+    selects, per target column, the block's k best donors.  Memory per task
+    is bounded whatever the table size; the per-receiver merge is a window
+    partitioned by (receiver, column).
     """
     ncol = len(cols)
+    # Plain double columns (not an array): Arrow hands them to numpy as
+    # float64 with NaN for NULL, with no per-row Python work.
+    vcols = [f"_c{i}" for i in range(ncol)]
+    bcols = [f"_b{i}" for i in range(ncol)]
     base = df.select(F.col(key).cast("long").alias("_k"),
-                     F.array(*[F.col(c).cast("double") for c in cols]).alias("_v"))
-    means = df.agg(*[F.avg(c).alias(c) for c in cols]).first().asDict()
-    results = None
-    for ci, c in enumerate(cols):
-        recv = base.where(F.col("_v")[ci].isNull())
-        donors = base.where(F.col("_v")[ci].isNotNull())
-        n_r = recv.count()
-        if n_r == 0:
-            continue
-        n_d = donors.count()
-        rq = max(1, math.ceil(n_r / block))
-        dq = max(1, math.ceil(max(n_d, 1) / block))
-        Rb = recv.select("_k", "_v", F.pmod(F.xxhash64("_k"), F.lit(rq)).cast("int").alias("qchunk"),
-                         F.explode(F.sequence(F.lit(0), F.lit(dq - 1))).alias("dchunk"))
-        Db = donors.select("_k", "_v", F.pmod(F.xxhash64("_k", F.lit(1)), F.lit(dq)).cast("int").alias("dchunk"),
-                           F.explode(F.sequence(F.lit(0), F.lit(rq - 1))).alias("qchunk"))
-        block_fn = _impute_block(ci, ncol, k)
-        cand = (Rb.groupBy("qchunk", "dchunk").cogroup(Db.groupBy("qchunk", "dchunk"))
-                .applyInPandas(block_fn, "rk long, dk long, dist double, val double"))
-        w = Window.partitionBy("rk").orderBy("dist", "dk")
-        top = cand.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
-        fill = top.groupBy("rk").agg(F.avg("val").alias("fill"))
-        filled = recv.select(F.col("_k").alias("rk")).join(fill, "rk", "left").select(
-            "rk", F.lit(c).alias("column_name"), F.coalesce(F.col("fill"), F.lit(means[c])).alias("fill"))
-        results = filled if results is None else results.unionByName(filled)
-    if results is None:
+                     *[F.col(c).cast("double").alias(v) for c, v in zip(cols, vcols)])
+    any_missing = None
+    any_present = None
+    for v in vcols:
+        miss, pres = F.col(v).isNull(), F.col(v).isNotNull()
+        any_missing = miss if any_missing is None else any_missing | miss
+        any_present = pres if any_present is None else any_present | pres
+    recv = base.where(any_missing)
+    donors = base.where(any_present)
+    stats = df.agg(*[F.avg(c).alias(c) for c in cols], F.count_if(any_missing_col(cols)).alias("_nr"),
+                   F.count_if(any_present_col(cols)).alias("_nd")).first().asDict()
+    n_r, n_d = stats["_nr"], stats["_nd"]
+    if n_r == 0:
         return df
-    wide = results.groupBy("rk").pivot("column_name", list(cols)).agg(F.first("fill"))
-    wide = wide.select(F.col("rk").alias("_rk"), *[F.col(c).alias(f"_fill_{i}") for i, c in enumerate(cols)])
-    out = df.join(wide, F.col(key).cast("long") == F.col("_rk"), "left")
-    return out.select(*[F.coalesce(F.col(c).cast("double"), F.col(f"_fill_{cols.index(c)}")).alias(c)
-                        if c in cols else F.col(c) for c in df.columns])
-
-
-def _impute_block(target: int, ncol: int, k: int):
-    """Block kernel of ``knn_impute`` for one target column."""
+    rq = max(1, math.ceil(n_r / block))
+    dq = max(1, math.ceil(max(n_d, 1) / block))
+    qchunk = F.pmod(F.xxhash64("_k"), F.lit(rq)).cast("int")
+    dchunk = F.pmod(F.xxhash64("_k", F.lit(1)), F.lit(dq)).cast("int")
+    # Pass 1: each receiver against one donor chunk gives, per column, the
+    # k-th distance among real donors - an upper bound of the final k-th.
+    # (fresh aliases keep the bound table's lineage distinct from ``recv``,
+    # which it is joined back to)
+    R1 = recv.select(F.col("_k").alias("_k"), *[F.col(v).alias(v) for v in vcols], qchunk.alias("qchunk"),
+                     *[F.lit(None).cast("double").alias(b) for b in bcols])
+    D1 = donors.where(dchunk == 0).select(F.col("_k").alias("_k"), *[F.col(v).alias(v) for v in vcols],
+                                          F.explode(F.sequence(F.lit(0), F.lit(rq - 1))).alias("qchunk"))
+    bounds = (R1.groupBy("qchunk").cogroup(D1.groupBy("qchunk"))
+              .applyInPandas(_impute_block(ncol, k, bounds_only=True),
+                             "rk long, " + ", ".join(f"{b} double" for b in bcols)))
+    # Pass 2: all blocks; a block emits only donors within the bound.
+    r, b = recv.alias("r"), bounds.alias("b")
+    Rb = (r.join(b, F.col("r._k") == F.col("b.rk"), "left")
+          .select(F.col("r._k").alias("_k"), *[F.col(f"r.{v}").alias(v) for v in vcols],
+                  *[F.col(f"b.{x}").alias(x) for x in bcols])
+          .select("_k", *vcols, *bcols, qchunk.alias("qchunk"),
+                  F.explode(F.sequence(F.lit(0), F.lit(dq - 1))).alias("dchunk")))
+    Db = donors.select("_k", *vcols, dchunk.alias("dchunk"),
+                       F.explode(F.sequence(F.lit(0), F.lit(rq - 1))).alias("qchunk"))
+    cand = (Rb.groupBy("qchunk", "dchunk").cogroup(Db.groupBy("qchunk", "dchunk"))
+            .applyInPandas(_impute_block(ncol, k), "rk long, ci int, dk long, dist double, val double"))
+    w = Window.partitionBy("rk", "ci").orderBy("dist", "dk")
+    top = cand.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
+    fills = top.groupBy("rk").agg(*[F.avg(F.when(F.col("ci") == i, F.col("val"))).alias(f"_fill_{i}")
+                                    for i in range(ncol)])
+    out = df.join(fills, F.col(key).cast("long") == F.col("rk"), "left")
+    return out.select(*[
+        F.coalesce(F.col(c).cast("double"), F.col(f"_fill_{cols.index(c)}"), F.lit(stats[c])).alias(c)
+        if c in cols else F.col(c) for c in df.columns])
+
+
+def any_missing_col(cols):
+    out = None
+    for c in cols:
+        e = F.col(c).isNull()
+        out = e if out is None else out | e
+    return out
+
+
+def any_present_col(cols):
+    out = None
+    for c in cols:
+        e = F.col(c).isNotNull()
+        out = e if out is None else out | e
+    return out
+
+
+def _impute_block(ncol: int, k: int, bounds_only: bool = False):
+    """Block kernel of ``knn_impute``: one distance matrix, then the k best
+    donors of every receiver for each column the receiver lacks (or, with
+    ``bounds_only``, each receiver's k-th distance per column)."""
 
     def block_fn(qpdf: pd.DataFrame, dpdf: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"rk": [], "dk": [], "dist": [], "val": []})
-        if len(qpdf) == 0 or len(dpdf) == 0:
+        if bounds_only:
+            empty = pd.DataFrame({"rk": np.array([], np.int64), **{f"_b{i}": [] for i in range(ncol)}})
+        else:
+            empty = pd.DataFrame({"rk": np.array([], np.int64), "ci": np.array([], np.int32),
+                                  "dk": np.array([], np.int64), "dist": [], "val": []})
+        vcols = [f"_c{i}" for i in range(ncol)]
+        bcols = [f"_b{i}" for i in range(ncol)]
+        if len(qpdf) == 0:
+            return empty
+        if len(dpdf) == 0:
+            if bounds_only:
+                return pd.DataFrame({"rk": qpdf["_k"].to_numpy(np.int64),
+                                     **{b: np.full(len(qpdf), np.inf) for b in bcols}})
             return empty
-        qv = np.asarray([[np.nan if x is None else x for x in v] for v in qpdf["_v"]], dtype=np.float64)
-        dv = np.asarray([[np.nan if x is None else x for x in v] for v in dpdf["_v"]], dtype=np.float64)
+        qv = qpdf[vcols].to_numpy(np.float64, na_value=np.nan)
+        dv = dpdf[vcols].to_numpy(np.float64, na_value=np.nan)
         qm, dm = ~np.isnan(qv), ~np.isnan(dv)
         q0, d0 = np.nan_to_num(qv), np.nan_to_num(dv)
         both = qm.astype(np.float64) @ dm.T.astype(np.float64)
         sq = (q0 * q0) @ dm.T + qm @ (d0 * d0).T - 2.0 * (q0 @ d0.T)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            dist = np.where(both > 0, np.sqrt(np.maximum(sq, 0) * ncol / both), np.nan)
-        dist = np.round(dist, ROUND)
+        np.maximum(sq, 0, out=sq)
+        sq *= ncol
+        # Squared missing-aware distance; no common coordinate -> +inf.
+        d2 = np.full(sq.shape, np.inf)
+        np.divide(sq, both, out=d2, where=both > 0)
         qk_, dk_ = qpdf["_k"].to_numpy(np.int64), dpdf["_k"].to_numpy(np.int64)
-        vals = dv[:, target]
-        rows = []
-        for i in range(len(qk_)):
-            ok = np.nonzero(~np.isnan(dist[i]))[0]
-            if len(ok) == 0:
+        if bounds_only:
+            out = np.full((len(qk_), ncol), np.inf)
+        else:
+            prior = qpdf[bcols].to_numpy(np.float64, na_value=np.inf)
+            prior = np.where(np.isnan(prior), np.inf, prior)
+        parts = []
+        done = {}
+        for ci in range(ncol):
+            rmask, dmask = ~qm[:, ci], dm[:, ci]
+            if not rmask.any() or not dmask.any():
                 continue
-            order = ok[np.lexsort((dk_[ok], dist[i][ok]))][:k]
-            for j in order:
-                rows.append((qk_[i], dk_[j], dist[i][j], vals[j]))
-        if not rows:
-            return empty
-        a = np.asarray(rows, dtype=object)
-        return pd.DataFrame({"rk": a[:, 0].astype(np.int64), "dk": a[:, 1].astype(np.int64),
-                             "dist": a[:, 2].astype(np.float64), "val": a[:, 3].astype(np.float64)})
+            sig = (rmask.tobytes(), dmask.tobytes())
+            if sig in done and bounds_only:
+                out[:, ci] = out[:, done[sig]]
+                continue
+            rows = np.nonzero(rmask)[0]
+            donors = np.nonzero(dmask)[0]
+            if sig in done:
+                qi, di, dd = done[sig][1]
+            else:
+                full = len(rows) == len(qk_) and len(donors) == len(dk_)
+                d = d2 if full else d2[np.ix_(rows, donors)]
+                kk = min(k, d.shape[1])
+                kth2 = np.partition(d, kk - 1, axis=1)[:, kk - 1]
+                if bounds_only:
+                    out[rows, ci] = np.sqrt(kth2) if d.shape[1] >= k else np.inf
+                    done[sig] = ci
+                    continue
+                kth = np.minimum(np.sqrt(kth2), prior[rows, ci])
+                # Keep everything within 1e-6 of the k-th distance: a donor
+                # farther than that ranks strictly after the k best once
+                # distances are rounded to 6 decimals, so the merge is exact.
+                thr2 = np.where(np.isfinite(kth), (kth + 1e-6) ** 2, -1.0)
+                qi, di = np.nonzero(d <= thr2[:, None])
+                dd = np.round(np.sqrt(d[qi, di]), ROUND)
+                done[sig] = (ci, (qi, di, dd))
+            if len(qi) == 0:
+                continue
+            parts.append(pd.DataFrame({"rk": qk_[rows[qi]], "ci": np.full(len(qi), ci, np.int32),
+                                       "dk": dk_[donors[di]], "dist": dd,
+                                       "val": dv[donors[di], ci]}))
+        if bounds_only:
+            return pd.DataFrame({"rk": qk_, **{b: out[:, i] for i, b in enumerate(bcols)}})
+        return pd.concat(parts, ignore_index=True) if parts else empty
 
     return block_fn
