@@ -153,19 +153,26 @@ def adaboost(train: DataFrame, test: DataFrame, features: Sequence[str], label:
 
 # -- kernel approximations --------------------------------------------------------
 
+def rbf_gamma(df: DataFrame, cols: Sequence[str]) -> float:
+    """sklearn's "scale" gamma: 1 / (n_features * variance of all input values)."""
+    p = len(cols)
+    row = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
+                 *[F.avg(F.col(c) * F.col(c)).alias(f"s{i}") for i, c in enumerate(cols)]).first()
+    mean = sum(row[f"m{i}"] for i in range(p)) / p
+    var = sum(row[f"s{i}"] for i in range(p)) / p - mean * mean
+    return 1.0 / (p * var) if var > 0 else 1.0
+
+
 def fourier_features(df: DataFrame, cols: Sequence[str], n_components: int = 50, gamma: float = None,
                      seed: int = 42, prefix: str = "rff_") -> tuple[DataFrame, list[str]]:
     """Random Fourier features of the RBF kernel exp(-gamma |x-z|^2)
     (Rahimi & Recht, 2007) as plain column expressions: the random matrix is
-    small (components x inputs) and lives in the plan as literals."""
+    small (components x inputs) and lives in the plan as literals.  Fit
+    ``gamma`` on the training frame (``rbf_gamma``) and pass the same value
+    when transforming other frames."""
     p = len(cols)
     if gamma is None:
-        # sklearn's "scale": 1 / (n_features * variance of all input values)
-        row = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
-                     *[F.avg(F.col(c) * F.col(c)).alias(f"s{i}") for i, c in enumerate(cols)]).first()
-        mean = sum(row[f"m{i}"] for i in range(p)) / p
-        var = sum(row[f"s{i}"] for i in range(p)) / p - mean * mean
-        gamma = 1.0 / (p * var) if var > 0 else 1.0
+        gamma = rbf_gamma(df, cols)
     rng = np.random.default_rng(seed)
     w = rng.normal(0.0, math.sqrt(2 * gamma), size=(n_components, p))
     b = rng.uniform(0, 2 * math.pi, size=n_components)

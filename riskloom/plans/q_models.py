@@ -20,7 +20,9 @@ FEATS = ["age", "hr", "rr", "sbp", "dbp", "gcs", "pf", "plt", "bu", "glucose", "
 
 def split(spark, sf_dir):
     v = vx(spark, sf_dir).select("id", "y", "p", *FEATS)
-    s = SA.strat_split(v, "id", "y", frac=0.2)
+    # The split feeds several passes (statistics, iterative fits): persist it
+    # once instead of recomputing the ranking for every pass.
+    s = SA.strat_split(v, "id", "y", frac=0.2).persist()
     return s.where(F.col("_split") == "train").drop("_split"), s.where(F.col("_split") == "test").drop("_split")
 
 
@@ -86,8 +88,9 @@ def q_adaboost_fit(spark, sf_dir):
 @register("rff_svm_fit", None, "N8")
 def q_rff_svm_fit(spark, sf_dir):
     tr, te = scaled_split(spark, sf_dir)
-    tr, names = MD.fourier_features(tr, FEATS, n_components=30)
-    te, _ = MD.fourier_features(te, FEATS, n_components=30, gamma=None)
+    gamma = MD.rbf_gamma(tr, FEATS)
+    tr, names = MD.fourier_features(tr, FEATS, n_components=30, gamma=gamma)
+    te, _ = MD.fourier_features(te, FEATS, n_components=30, gamma=gamma)
     _, pred = MD.fit_predict("logreg", tr, te, names, "y", C=1.0, iters=50)
     return _out(pred)
 
