@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.binning import cut_index
+from .quantiles import exact_quantiles
 
 
 def width_edges(lo: float, hi: float, n: int) -> list[float]:
@@ -37,7 +38,7 @@ def quantile_probs(n: int) -> list[float]:
 def quantile_edges(df: DataFrame, col: str, n: int) -> list[float]:
     """Exact quantile edges (linear interpolation); duplicate edges are an
     error, as in ``pd.qcut``."""
-    qs = df.agg(F.percentile(col, quantile_probs(n)).alias("q")).first()["q"]
+    qs = exact_quantiles(df, col, quantile_probs(n))
     if len(set(qs)) != len(qs):
         raise ValueError(f"bin edges must be unique: {qs}")
     return [float(q) for q in qs]

@@ -1,8 +1,9 @@
 """Imputation (inventory K1-K6, E1, E2, C2, D3, D4).
 
-Global statistics (median, mode) are computed in one aggregate over the fit
-frame and carried into the projection as literals: one small driver round
-trip of a single row, no join.  Group statistics are a partial aggregate per
+Global statistics are carried into the projection as literals: modes and
+means come from one aggregate over the fit frame, medians from the exact
+distributed selection of ``quantiles.py`` (no column gathered into one
+task).  Group statistics are a partial aggregate per
 group (the exact median keeps a value->count map per group, merged across
 tasks) joined back on the key; AQE broadcasts the group table when its
 materialised size is under the broadcast threshold and shuffles otherwise.
@@ -17,6 +18,8 @@ from typing import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
+
 
 def fill_const(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
     """Constant fill per column (K1); absent columns are ignored."""
@@ -26,13 +29,14 @@ def fill_const(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
 
 def global_stats(df: DataFrame, medians: Sequence[str] = (), modes: Sequence[str] = (),
                  means: Sequence[str] = ()) -> dict:
-    """Exact medians, modes (lowest value on ties) and means in one pass."""
-    aggs = ([F.median(c).alias(f"median__{c}") for c in medians]
-            + [F.mode(c, deterministic=True).alias(f"mode__{c}") for c in modes]
+    """Exact medians (distributed selection, see ``quantiles.py``), modes
+    (lowest value on ties) and means (one aggregate pass)."""
+    aggs = ([F.mode(c, deterministic=True).alias(f"mode__{c}") for c in modes]
             + [F.avg(c).alias(f"mean__{c}") for c in means])
-    if not aggs:
-        return {}
-    return df.agg(*aggs).first().asDict()
+    out = df.agg(*aggs).first().asDict() if aggs else {}
+    for c in medians:
+        out[f"median__{c}"] = exact_quantiles(df, c, [0.5])[0]
+    return out
 
 
 def fill_median(df: DataFrame, cols: Sequence[str], fit: DataFrame | None = None) -> DataFrame:

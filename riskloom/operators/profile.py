@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .quantiles import exact_quantiles
+
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
            T.DoubleType, T.DecimalType)
 
@@ -78,9 +80,15 @@ def describe(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> Data
     aggs = []
     for c in cols:
         x = F.col(c)
+        if by:
+            # per group: the percentile aggregate (value -> count map per group)
+            q = F.percentile(x, [0.25, 0.5, 0.75])
+        else:
+            # whole column: exact distributed selection, brought back as literals
+            q = F.array(*[F.lit(v).cast("double") for v in exact_quantiles(df, c, [0.25, 0.5, 0.75])])
         aggs += [F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"),
                  F.stddev_samp(x).alias(f"{c}__std"), F.min(x).cast("double").alias(f"{c}__min"),
-                 F.percentile(x, [0.25, 0.5, 0.75]).alias(f"{c}__q"),
+                 F.first(q).alias(f"{c}__q") if not by else q.alias(f"{c}__q"),
                  F.max(x).cast("double").alias(f"{c}__max")]
     wide = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
     rows = F.explode(F.array(*[F.struct(
@@ -117,5 +125,6 @@ def top_k(df: DataFrame, by: str, k: int, tie: str, ascending: bool = False) ->
 def output_summary(df: DataFrame, col: str) -> DataFrame:
     """min, max, mean, exact median of one column."""
     x = F.col(col)
+    med = exact_quantiles(df, col, [0.5])[0]
     return df.agg(F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"),
-                  F.median(x).alias("median"))
+                  F.lit(med).cast("double").alias("median"))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import boxcox1p
+from .quantiles import exact_quantiles
 
 
 def fit_standard(df: DataFrame, cols: Sequence[str]) -> dict:
@@ -39,8 +40,9 @@ def standard_scale(df: DataFrame, cols: Sequence[str], fit: DataFrame | None = N
 
 
 def fit_robust(df: DataFrame, cols: Sequence[str]) -> dict:
-    row = df.agg(*[F.percentile(c, [0.25, 0.5, 0.75]).alias(c) for c in cols]).first()
-    return {c: tuple(row[c]) if row[c] is not None else (None, None, None) for c in cols}
+    """Exact quartiles per column by distributed selection (no column is
+    gathered into one task)."""
+    return {c: tuple(exact_quantiles(df, c, [0.25, 0.5, 0.75])) for c in cols}
 
 
 def apply_robust(df: DataFrame, params: dict, suffix: str = "") -> DataFrame:

@@ -239,3 +239,15 @@ def test_shape_null_profile_value_counts(spark):
     prof = {r.column_name: (r.missing, r.missing_pct) for r in P.null_profile(df).collect()}
     assert prof == {"b": (1, 33.33), "c": (1, 33.33)}
     assert {r.c: r.n for r in P.value_counts(df, "c").collect()} == {"x": 2}
+
+
+def test_exact_quantiles_match_percentile_with_ties(spark):
+    from riskloom.operators.quantiles import exact_quantiles
+    rnd = random.Random(9)
+    vals = [rnd.expovariate(1.0) for _ in range(3000)] + [5.0] * 1000 + [None] * 5
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    probs = [0, 0.1, 0.25, 0.5, 0.6000000000000001, 0.75, 0.999, 1.0]
+    ref = df.agg(F.percentile("x", probs)).first()[0]
+    for kw in ({}, {"max_collect": 20, "buckets": 8}):
+        assert exact_quantiles(df, "x", probs, **kw) == list(ref)
+    assert exact_quantiles(df.where("x IS NULL"), "x", [0.5]) == [None]
