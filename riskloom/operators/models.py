@@ -110,6 +110,20 @@ def importances(model, names: Sequence[str]) -> list[tuple[str, float]]:
     return [(n, float(v)) for n, v in zip(names, imp)]
 
 
+def cross_validate(df: DataFrame, fold_col: str, k: int, fit_score, parallelism: int = 4) -> list:
+    """k-fold scores (N15): ``fit_score(train, held_out) -> float`` runs for
+    every fold; folds are fitted concurrently from driver threads, each fit
+    being a set of distributed jobs (the scheme of ``CrossValidator``'s
+    ``parallelism``).  Returns [(fold, score)] in fold order."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    def one(f):
+        return f, fit_score(df.where(F.col(fold_col) != f), df.where(F.col(fold_col) == f))
+
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, k))) as ex:
+        return sorted(ex.map(one, range(k)))
+
+
 # -- AdaBoost (SAMME) ---------------------------------------------------------
 
 def adaboost(train: DataFrame, test: DataFrame, features: Sequence[str], label: str,
@@ -180,10 +194,9 @@ def fourier_features(df: DataFrame, cols: Sequence[str], n_components: int = 50,
     names = []
     exprs = {}
     for i in range(n_components):
-        lin = F.lit(float(b[i]))
-        for j, c in enumerate(cols):
-            lin = lin + F.lit(float(w[i, j])) * F.col(c)
-        exprs[f"{prefix}{i}"] = F.lit(scale) * F.cos(lin)
+        # One SQL expression per component: a single plan-building call.
+        lin = " + ".join([repr(float(b[i]))] + [f"{float(w[i, j])!r} * `{c}`" for j, c in enumerate(cols)])
+        exprs[f"{prefix}{i}"] = F.expr(f"{scale!r} * cos({lin})")
         names.append(f"{prefix}{i}")
     return df.withColumns(exprs), names
 

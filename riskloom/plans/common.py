@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scores import egfr, egfr_sql, mean_arterial_pressure
+from ..functions.scores import egfr_sql
 from ..sources import load, vitals_from_orders, vitals_sql
 
 SQL_VITALS = ("vitals AS (" + vitals_sql() + "),\n"
@@ -20,7 +20,7 @@ def with_vitals(body: str) -> str:
 def vx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vitals plus mean arterial pressure and eGFR (used by many scores)."""
     v = vitals_from_orders(load(spark, sf_dir, "orders"))
-    return v.withColumns({"map": mean_arterial_pressure(), "egfr": egfr()})
+    return v.selectExpr("*", "CAST(sbp + 2 * dbp AS DOUBLE) / 3 AS map", egfr_sql() + " AS egfr")
 
 
 def r6(c) -> Column:

@@ -134,14 +134,13 @@ def q_importance_topk(spark, sf_dir):
 @register("cv_score", None, "N15 D17 D21 L2")
 def q_cv_score(spark, sf_dir):
     tr, _ = scaled_split(spark, sf_dir)
-    folded = SA.strat_kfold(tr, "id", "y", k=5).cache()
-    rows = []
-    for f in range(5):
-        fit_on, held = folded.where(F.col("fold") != f), folded.where(F.col("fold") == f)
+    folded = SA.strat_kfold(tr, "id", "y", k=5).persist()
+
+    def fit_score(fit_on, held):
         _, pred = MD.fit_predict("logreg", fit_on, held, FEATS, "y", C=1.0, iters=30)
-        auc = M.roc_auc(MD.positive_probability(pred), "y", "prob").first()["roc_auc"]
-        rows.append((f, float(auc)))
-    folded.unpersist()
+        return float(M.roc_auc(MD.positive_probability(pred), "y", "prob").first()["roc_auc"])
+
+    rows = MD.cross_validate(folded, "fold", 5, fit_score)
     return spark.createDataFrame(rows, "fold int, roc_auc double")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions import scores as S
 from ..functions.binning import cut
 from ..functions.scores import egfr, mean_arterial_pressure
-from ..sources.vitals import vitals_columns
+from ..sources.vitals import vitals_from_orders
 
 # Alert bands of the early-warning table.
 ALERT_EDGES = [0, 0.1, 0.3, 0.5, 0.7, 0.9, 1.0]
@@ -24,7 +24,7 @@ ALERT_LABELS = ["Green", "Yellow-Low", "Yellow-High", "Orange", "Red", "Critical
 def score_frame(orders: DataFrame) -> DataFrame:
     """Vitals, SIRS / qSOFA / SOFA and the alert band, as one projection
     (works on batch and streaming frames alike)."""
-    v = orders.select(*vitals_columns())
+    v = vitals_from_orders(orders)
     v = v.withColumns({"map": mean_arterial_pressure(), "egfr": egfr()})
     out = v.select("id", "p", "y",
                    S.additive_score(S.SIRS).alias("sirs_score"),
