@@ -18,7 +18,7 @@ from typing import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .quantiles import exact_quantiles
+from .quantiles import exact_quantiles_multi
 
 
 def fill_const(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
@@ -34,8 +34,9 @@ def global_stats(df: DataFrame, medians: Sequence[str] = (), modes: Sequence[str
     aggs = ([F.mode(c, deterministic=True).alias(f"mode__{c}") for c in modes]
             + [F.avg(c).alias(f"mean__{c}") for c in means])
     out = df.agg(*aggs).first().asDict() if aggs else {}
-    for c in medians:
-        out[f"median__{c}"] = exact_quantiles(df, c, [0.5])[0]
+    if medians:
+        for c, (m,) in exact_quantiles_multi(df, list(medians), [0.5]).items():
+            out[f"median__{c}"] = m
     return out
 
 

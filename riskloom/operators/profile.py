@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .quantiles import exact_quantiles
+from .quantiles import exact_quantiles, exact_quantiles_multi
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
            T.DoubleType, T.DecimalType)
@@ -78,6 +78,7 @@ def describe(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> Data
     optionally per group.  Unlike ``DataFrame.summary`` the quartiles are
     exact (``percentile``, linear interpolation)."""
     aggs = []
+    qs = {} if by else exact_quantiles_multi(df, cols, [0.25, 0.5, 0.75])
     for c in cols:
         x = F.col(c)
         if by:
@@ -85,7 +86,7 @@ def describe(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> Data
             q = F.percentile(x, [0.25, 0.5, 0.75])
         else:
             # whole column: exact distributed selection, brought back as literals
-            q = F.array(*[F.lit(v).cast("double") for v in exact_quantiles(df, c, [0.25, 0.5, 0.75])])
+            q = F.array(*[F.lit(v).cast("double") for v in qs[c]])
         aggs += [F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"),
                  F.stddev_samp(x).alias(f"{c}__std"), F.min(x).cast("double").alias(f"{c}__min"),
                  F.first(q).alias(f"{c}__q") if not by else q.alias(f"{c}__q"),

@@ -1,17 +1,20 @@
-"""Exact quantiles of a column without gathering the column anywhere.
+"""Exact quantiles of columns without gathering a column anywhere.
 
 ``percentile``/``median`` keep a value -> count map that is finally merged in
 one task: fine for a measured column with few distinct values, not for a
 continuous column with billions of them.  Here the order statistics needed
-by the requested probabilities are found by distributed selection:
+by the requested probabilities are found by distributed selection, for all
+requested columns at once:
 
-1. one aggregate gives n, min and max;
+1. one aggregate gives n, min, max and a ``percentile_approx`` bracket around
+   every wanted rank; one exact count pass verifies each bracket (a bracket
+   that misses its rank falls back to the whole range);
 2. each round histograms the values inside the current interval of every
-   wanted rank into ``buckets`` equal-width bins (one partial aggregate; the
-   result has at most ranks x buckets rows), and the interval shrinks to the
-   bin holding the rank (its actual min / max);
-3. once an interval holds at most ``max_collect`` values (or a single
-   distinct value) those values are fetched and the rank read off.
+   wanted (column, rank) into ``buckets`` equal-width bins (one partial
+   aggregate; at most intervals x buckets result rows), and each interval
+   shrinks to the bin holding its rank (the bin's actual min / max);
+3. once an interval holds at most ``max_collect`` values (or one distinct
+   value) its values are fetched and the rank read off.
 
 The bin of a value is monotone in the value, so intervals stay contiguous
 and the result is exact.  Interpolation follows ``percentile``: position
@@ -27,6 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+_ACCURACY = 10000
+
+
 def _interpolate(position: float, lo_v: float, hi_v: float) -> float:
     lower, higher = math.floor(position), math.ceil(position)
     if higher == lower or lo_v == hi_v:
@@ -34,78 +40,164 @@ def _interpolate(position: float, lo_v: float, hi_v: float) -> float:
     return (higher - position) * lo_v + (position - lower) * hi_v
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], buckets: int = 2048,
-                    max_collect: int = 100_000, max_rounds: int = 16) -> list:
+def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], **kw) -> list:
     """Exact ``percentile(col, p)`` for each p (NULLs skipped; NULL if no value)."""
-    d = df.select(F.col(col).cast("double").alias("_x")).where(F.col("_x").isNotNull())
-    head = d.agg(F.count(F.lit(1)).alias("n"), F.min("_x").alias("lo"), F.max("_x").alias("hi")).first()
-    n = head["n"]
-    if not n:
-        return [None] * len(probs)
-    positions = [p * (n - 1) for p in probs]
-    ranks = sorted({r for pos in positions for r in (math.floor(pos), math.ceil(pos))})
-    found: dict[int, float] = {}
-    # state: (lo, hi, below) = interval holding the rank and the number of
-    # values strictly below lo.
-    state = {r: (float(head["lo"]), float(head["hi"]), 0) for r in ranks}
+    return exact_quantiles_multi(df, [col], probs, **kw)[col]
+
+
+def exact_quantiles_multi(df: DataFrame, cols: Sequence[str], probs: Sequence[float], buckets: int = 2048,
+                          max_collect: int = 100_000, max_rounds: int = 16,
+                          map_limit: int = 50_000) -> dict:
+    """``{col: [percentile(col, p) for p in probs]}`` for several columns.
+
+    A first pass estimates each column's number of distinct values (HLL,
+    bounded memory).  Columns with at most ``map_limit`` of them use the
+    ``percentile`` aggregate, whose value -> count map is then bounded by
+    that number; the others use the distributed selection (every round one
+    job for all of them)."""
+    cols = list(cols)
+    probs = list(probs)
+    ndv = df.agg(*[F.approx_count_distinct(F.col(c), 0.05).alias(f"d{i}") for i, c in enumerate(cols)]).first()
+    low = [c for i, c in enumerate(cols) if ndv[f"d{i}"] <= map_limit]
+    high = [c for c in cols if c not in low]
+    out = {}
+    if low:
+        row = df.agg(*[F.percentile(F.col(c).cast("double"), probs).alias(f"p{i}") for i, c in enumerate(low)]).first()
+        for i, c in enumerate(low):
+            v = row[f"p{i}"]
+            out[c] = [None] * len(probs) if v is None else [float(x) for x in v]
+    if high:
+        out.update(_select_quantiles(df, high, probs, buckets, max_collect, max_rounds))
+    return out
+
+
+def _select_quantiles(df: DataFrame, cols: list, probs: list, buckets: int, max_collect: int,
+                      max_rounds: int) -> dict:
+    d = df.select(*[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(cols)])
+    # Seed brackets: percentile_approx (a bounded sketch per task) at p -/+ a
+    # margin; they are verified by exact counts below, never trusted.
+    margin = 4.0 / _ACCURACY
+    bracket_probs = sorted({min(1.0, max(0.0, p + s)) for p in probs for s in (-margin, margin)})
+    head = d.agg(*[F.count(f"_x{i}").alias(f"n{i}") for i in range(len(cols))],
+                 *[F.min(f"_x{i}").alias(f"lo{i}") for i in range(len(cols))],
+                 *[F.max(f"_x{i}").alias(f"hi{i}") for i in range(len(cols))],
+                 *[F.percentile_approx(f"_x{i}", bracket_probs, _ACCURACY).alias(f"q{i}")
+                   for i in range(len(cols))]).first()
+    positions, found, state = {}, {}, {}
+    seeds = {}
+    for i in range(len(cols)):
+        n = head[f"n{i}"]
+        if not n:
+            continue
+        positions[i] = [p * (n - 1) for p in probs]
+        approx = dict(zip(bracket_probs, head[f"q{i}"]))
+        for p, pos in zip(probs, positions[i]):
+            lo_b = approx[min(1.0, max(0.0, p - margin))]
+            hi_b = approx[min(1.0, max(0.0, p + margin))]
+            for r in (math.floor(pos), math.ceil(pos)):
+                seeds[(i, r)] = (float(lo_b), float(hi_b))
+                state[(i, r)] = (float(head[f"lo{i}"]), float(head[f"hi{i}"]), 0)
+    known = {}
+    if seeds:
+        uniq = sorted({(k[0], *v) for k, v in seeds.items()})
+        row = d.agg(*[F.count_if(F.col(f"_x{i}") < lo).alias(f"b{j}") for j, (i, lo, hi) in enumerate(uniq)],
+                    *[F.count_if(F.col(f"_x{i}").between(lo, hi)).alias(f"c{j}")
+                      for j, (i, lo, hi) in enumerate(uniq)]).first()
+        for key, (lo, hi) in seeds.items():
+            j = uniq.index((key[0], lo, hi))
+            below, cnt = row[f"b{j}"], row[f"c{j}"]
+            if below <= key[1] < below + cnt:  # the bracket holds the rank
+                state[key] = (lo, hi, below)
+                known[(key[0], lo, hi, below)] = cnt
     for _ in range(max_rounds):
-        for r, (lo, hi, _b) in list(state.items()):
+        for key, (lo, hi, _b) in list(state.items()):
             if lo == hi:
-                found[r] = lo
-                del state[r]
+                found[key] = lo
+                del state[key]
         if not state:
             break
-        intervals = sorted(set(state.values()))
-        # Values of each interval, and whether it is small enough to fetch.
-        counts = _interval_counts(d, intervals)
+        intervals = sorted({(key[0], *iv) for key, iv in state.items()})
+        missing = [iv for iv in intervals if iv not in known]
+        counts = dict(known)
+        if missing:
+            counts.update(_interval_counts(d, missing))
+        known = {}
         small = [iv for iv in intervals if counts[iv] <= max_collect]
         if small:
-            cond = None
-            for lo, hi, _b in small:
-                c = F.col("_x").between(lo, hi)
-                cond = c if cond is None else cond | c
-            vals = sorted(r[0] for r in d.where(cond).collect())
-            for r, iv in list(state.items()):
-                if iv in small:
-                    lo, hi, below = iv
-                    inside = [v for v in vals if lo <= v <= hi]
-                    found[r] = inside[r - below]
-                    del state[r]
+            _resolve_small(d, small, state, found)
         if not state:
             break
         state = _narrow(d, state, buckets)
     if state:
-        raise RuntimeError(f"exact quantiles of {col} did not converge in {max_rounds} rounds")
-    return [_interpolate(pos, found[math.floor(pos)], found[math.ceil(pos)]) for pos in positions]
+        raise RuntimeError(f"exact quantiles did not converge in {max_rounds} rounds")
+    out = {}
+    for i, c in enumerate(cols):
+        if i not in positions:
+            out[c] = [None] * len(probs)
+        else:
+            out[c] = [_interpolate(pos, found[(i, math.floor(pos))], found[(i, math.ceil(pos))])
+                      for pos in positions[i]]
+    return out
+
+
+def _in(iv):
+    i, lo, hi, _b = iv
+    return F.col(f"_x{i}").between(lo, hi)
+
+
+def _any_in(intervals):
+    """Rows inside at least one interval (a codegen predicate applied before
+    the explode, so rows outside every interval cost one comparison chain)."""
+    cond = None
+    for iv in intervals:
+        c = _in(iv)
+        cond = c if cond is None else cond | c
+    return cond
 
 
 def _interval_counts(d: DataFrame, intervals) -> dict:
-    row = d.agg(*[F.count_if(F.col("_x").between(lo, hi)).alias(f"c{i}")
-                  for i, (lo, hi, _b) in enumerate(intervals)]).first()
-    return {iv: row[f"c{i}"] for i, iv in enumerate(intervals)}
+    row = d.agg(*[F.count_if(_in(iv)).alias(f"c{j}") for j, iv in enumerate(intervals)]).first()
+    return {iv: row[f"c{j}"] for j, iv in enumerate(intervals)}
+
+
+def _resolve_small(d: DataFrame, small, state: dict, found: dict) -> None:
+    """Fetch the values of small intervals (bounded by max_collect each)."""
+    tags = [F.when(_in(iv), F.struct(F.lit(j).alias("iv"), F.col(f"_x{iv[0]}").alias("v")))
+            for j, iv in enumerate(small)]
+    rows = (d.where(_any_in(small)).select(F.explode(F.array(*tags)).alias("t"))
+            .where(F.col("t").isNotNull()).select("t.iv", "t.v").collect())
+    vals = {}
+    for r in rows:
+        vals.setdefault(r["iv"], []).append(r["v"])
+    for key, (lo, hi, below) in list(state.items()):
+        iv = (key[0], lo, hi, below)
+        if iv in small:
+            found[key] = sorted(vals[small.index(iv)])[key[1] - below]
+            del state[key]
 
 
 def _narrow(d: DataFrame, state: dict, buckets: int) -> dict:
-    intervals = sorted(set(state.values()))
+    intervals = sorted({(key[0], *iv) for key, iv in state.items()})
     tags = []
-    for i, (lo, hi, _b) in enumerate(intervals):
+    for j, (i, lo, hi, _b) in enumerate(intervals):
+        x = F.col(f"_x{i}")
         width = (hi - lo) / buckets
-        b = F.least(F.floor((F.col("_x") - F.lit(lo)) / F.lit(width)), F.lit(buckets - 1)).cast("int")
-        tags.append(F.when(F.col("_x").between(lo, hi), F.struct(F.lit(i).alias("iv"), b.alias("b"))))
-    hist = (d.select("_x", F.explode(F.filter(F.array(*tags), lambda s: s.isNotNull())).alias("t"))
+        b = F.least(F.floor((x - F.lit(lo)) / F.lit(width)), F.lit(buckets - 1)).cast("int")
+        tags.append(F.when(x.between(lo, hi), F.struct(F.lit(j).alias("iv"), b.alias("b"), x.alias("v"))))
+    # explode + filter (not a lambda filter, which runs outside codegen)
+    hist = (d.where(_any_in(intervals)).select(F.explode(F.array(*tags)).alias("t"))
+            .where(F.col("t").isNotNull())
             .groupBy(F.col("t.iv").alias("iv"), F.col("t.b").alias("b"))
-            .agg(F.count(F.lit(1)).alias("n"), F.min("_x").alias("mn"), F.max("_x").alias("mx")))
-    rows = hist.collect()  # at most len(intervals) * buckets rows
+            .agg(F.count(F.lit(1)).alias("n"), F.min("t.v").alias("mn"), F.max("t.v").alias("mx")))
     per = {}
-    for r in rows:
+    for r in hist.collect():  # at most len(intervals) * buckets rows
         per.setdefault(r["iv"], []).append((r["b"], r["n"], r["mn"], r["mx"]))
     new = {}
-    for rank, iv in state.items():
-        lo, hi, below = iv
+    for key, (lo, hi, below) in state.items():
         acc = below
-        for b, cnt, mn, mx in sorted(per[intervals.index(iv)]):
-            if rank < acc + cnt:
-                new[rank] = (float(mn), float(mx), acc)
+        for _bk, cnt, mn, mx in sorted(per[intervals.index((key[0], lo, hi, below))]):
+            if key[1] < acc + cnt:
+                new[key] = (float(mn), float(mx), acc)
                 break
             acc += cnt
     return new

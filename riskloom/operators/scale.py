@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import boxcox1p
-from .quantiles import exact_quantiles
+from .quantiles import exact_quantiles_multi
 
 
 def fit_standard(df: DataFrame, cols: Sequence[str]) -> dict:
@@ -42,7 +42,8 @@ def standard_scale(df: DataFrame, cols: Sequence[str], fit: DataFrame | None = N
 def fit_robust(df: DataFrame, cols: Sequence[str]) -> dict:
     """Exact quartiles per column by distributed selection (no column is
     gathered into one task)."""
-    return {c: tuple(exact_quantiles(df, c, [0.25, 0.5, 0.75])) for c in cols}
+    qs = exact_quantiles_multi(df, cols, [0.25, 0.5, 0.75])
+    return {c: tuple(qs[c]) for c in cols}
 
 
 def apply_robust(df: DataFrame, params: dict, suffix: str = "") -> DataFrame:

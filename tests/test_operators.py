@@ -248,6 +248,6 @@ def test_exact_quantiles_match_percentile_with_ties(spark):
     df = spark.createDataFrame([(v,) for v in vals], "x double")
     probs = [0, 0.1, 0.25, 0.5, 0.6000000000000001, 0.75, 0.999, 1.0]
     ref = df.agg(F.percentile("x", probs)).first()[0]
-    for kw in ({}, {"max_collect": 20, "buckets": 8}):
+    for kw in ({}, {"map_limit": 0}, {"map_limit": 0, "max_collect": 20, "buckets": 8}):
         assert exact_quantiles(df, "x", probs, **kw) == list(ref)
     assert exact_quantiles(df.where("x IS NULL"), "x", [0.5]) == [None]
