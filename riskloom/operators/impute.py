@@ -3,9 +3,9 @@
 Global statistics are carried into the projection as literals: modes and
 means come from one aggregate over the fit frame, medians from the exact
 distributed selection of ``quantiles.py`` (no column gathered into one
-task).  Group statistics are a partial aggregate per
-group (the exact median keeps a value->count map per group, merged across
-tasks) joined back on the key; AQE broadcasts the group table when its
+task).  Group medians come from the group-wise
+selection of ``quantiles.py`` (hot groups are spread over many tasks) and are
+joined back on the key; AQE broadcasts the group table when its
 materialised size is under the broadcast threshold and shuffles otherwise.
 A NULL key never receives a group value: pandas drops NULL groups, and an
 equi-join on NULL never matches.
@@ -18,7 +18,7 @@ from typing import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .quantiles import exact_quantiles_multi
+from .quantiles import exact_quantiles_multi, group_quantile
 
 
 def fill_const(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
@@ -62,13 +62,10 @@ def fill_mode(df: DataFrame, cols: Sequence[str], fit: DataFrame | None = None,
 
 
 def group_median(df: DataFrame, col: str, keys: Sequence[str], name: str | None = None) -> DataFrame:
-    """Exact median per group, NULL keys dropped (D3)."""
-    cond = None
-    for k in keys:
-        c = F.col(k).isNotNull()
-        cond = c if cond is None else cond & c
-    return (df.where(cond).groupBy(*keys)
-            .agg(F.median(col).alias(name or f"median_{col}")))
+    """Exact median per group, NULL keys dropped (D3).  Large (hot) groups
+    are split over many tasks by ``quantiles.group_quantile``; no group's
+    values are gathered into one task."""
+    return group_quantile(df, col, keys, 0.5, name or f"median_{col}")
 
 
 def fill_group_median(df: DataFrame, col: str, keys: Sequence[str],

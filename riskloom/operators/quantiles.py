@@ -201,3 +201,88 @@ def _narrow(d: DataFrame, state: dict, buckets: int) -> dict:
                 break
             acc += cnt
     return new
+
+
+def group_quantile(df: DataFrame, col: str, keys: Sequence[str], p: float = 0.5, name: str | None = None,
+                   small: int = 20_000, buckets: int = 1024, max_rounds: int = 12) -> DataFrame:
+    """Exact ``percentile(col, p)`` per group (NULL keys and values dropped).
+
+    Groups with at most ``small`` values are resolved by a window partitioned
+    by the group (at most ``small`` rows per task).  Larger groups - a hot
+    key holding a third of the table included - are narrowed round by round:
+    the values inside each group's current interval are histogrammed per
+    (group, bucket), which spreads the group over ``buckets`` partial
+    aggregates, and the interval shrinks to the bucket holding the rank.
+    State lives in a small table (two rows per large group) joined to the
+    data, never in the driver."""
+    from pyspark.sql import Window
+
+    keys = list(keys)
+    name = name or f"q_{col}"
+    cond = F.col(col).isNotNull()
+    for k in keys:
+        cond = cond & F.col(k).isNotNull()
+    data = df.where(cond).select(*keys, F.col(col).cast("double").alias("_x"))
+    st = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"),
+                                 F.max("_x").alias("_hi"))
+    pos = F.lit(float(p)) * (F.col("_n") - 1)
+    st = st.withColumn("_pos", pos)
+    ranks = st.select(*keys, "_n", "_pos", "_lo", "_hi",
+                      F.explode(F.array(F.floor(pos).cast("long"), F.ceil(pos).cast("long"))).alias("_r"))
+    ranks = ranks.dropDuplicates([*keys, "_r"])
+
+    # Small groups: rank directly inside the group (bounded window).
+    small_r = ranks.where(F.col("_n") <= small)
+    sd = data.join(small_r.select(*keys).distinct(), keys, "left_semi")
+    w = Window.partitionBy(*keys).orderBy("_x")
+    ordered = sd.withColumn("_rn", F.row_number().over(w) - 1)
+    resolved = (ordered.join(small_r.select(*keys, "_r"), keys)
+                .where(F.col("_rn") == F.col("_r")).select(*keys, "_r", F.col("_x").alias("_v")))
+
+    # Large groups: distributed narrowing.  The state (two rows per large
+    # group) and each round's resolved values are small; both are cut from
+    # the lineage with a reliable checkpoint every round.
+    from ..session import cut_lineage
+
+    state = cut_lineage(ranks.where(F.col("_n") > small)
+                        .select(*keys, "_r", "_lo", "_hi", F.lit(0).cast("long").alias("_below"),
+                                F.col("_n").alias("_cnt")))
+    for _ in range(max_rounds):
+        if state.limit(1).count() == 0:
+            break
+        done = state.where((F.col("_lo") == F.col("_hi")) | (F.col("_cnt") <= small))
+        point = done.where(F.col("_lo") == F.col("_hi")).select(*keys, "_r", F.col("_lo").alias("_v"))
+        few = done.where(F.col("_lo") != F.col("_hi"))
+        fd = (data.join(few.select(*keys, "_r", "_lo", "_hi", "_below"), keys)
+              .where(F.col("_x").between(F.col("_lo"), F.col("_hi"))))
+        wf = Window.partitionBy(*keys, "_r").orderBy("_x")
+        picked = (fd.withColumn("_rn", F.row_number().over(wf) - 1 + F.col("_below"))
+                  .where(F.col("_rn") == F.col("_r")).select(*keys, "_r", F.col("_x").alias("_v")))
+        resolved = resolved.unionByName(cut_lineage(point.unionByName(picked)))
+        live = state.join(done.select(*keys, "_r"), [*keys, "_r"], "left_anti")
+        width = (F.col("_hi") - F.col("_lo")) / buckets
+        hd = (data.join(live.select(*keys, "_r", "_lo", "_hi", "_below"), keys)
+              .where(F.col("_x").between(F.col("_lo"), F.col("_hi")))
+              .withColumn("_b", F.least(F.floor((F.col("_x") - F.col("_lo")) / width),
+                                        F.lit(buckets - 1)).cast("int")))
+        hist = hd.groupBy(*keys, "_r", "_below", "_b").agg(
+            F.count(F.lit(1)).alias("_c"), F.min("_x").alias("_mn"), F.max("_x").alias("_mx"))
+        wb = Window.partitionBy(*keys, "_r").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        cum = hist.withColumn("_before", F.coalesce(F.sum("_c").over(wb), F.lit(0)) + F.col("_below"))
+        state = cut_lineage(
+            cum.where((F.col("_before") <= F.col("_r")) & (F.col("_r") < F.col("_before") + F.col("_c")))
+            .select(*keys, "_r", F.col("_mn").alias("_lo"), F.col("_mx").alias("_hi"),
+                    F.col("_before").alias("_below"), F.col("_c").alias("_cnt")))
+    else:
+        if state.limit(1).count() > 0:
+            raise RuntimeError("group quantiles did not converge")
+    vals = resolved.groupBy(*keys).agg(F.min("_v").alias("_v0"), F.max("_v").alias("_v1"),
+                                       F.count(F.lit(1)).alias("_k"))
+    # _v0 is the value at floor(pos), _v1 at ceil(pos) (ranks are ordered).
+    out = st.join(vals, keys).select(
+        *keys,
+        F.when(F.floor("_pos") == F.ceil("_pos"), F.col("_v0"))
+        .when(F.col("_v0") == F.col("_v1"), F.col("_v0"))
+        .otherwise((F.ceil("_pos") - F.col("_pos")) * F.col("_v0")
+                   + (F.col("_pos") - F.floor("_pos")) * F.col("_v1")).alias(name))
+    return out

@@ -251,3 +251,20 @@ def test_exact_quantiles_match_percentile_with_ties(spark):
     for kw in ({}, {"map_limit": 0}, {"map_limit": 0, "max_collect": 20, "buckets": 8}):
         assert exact_quantiles(df, "x", probs, **kw) == list(ref)
     assert exact_quantiles(df.where("x IS NULL"), "x", [0.5]) == [None]
+
+
+def test_group_quantile_hot_group_matches_median(spark):
+    from riskloom.operators.quantiles import group_quantile
+    rnd = random.Random(1)
+    rows = []
+    for i in range(6000):
+        g = "hot" if i % 3 == 0 else f"g{rnd.randint(0, 20)}"
+        v = None if i % 17 == 0 else (5.0 if i % 7 == 0 else rnd.expovariate(1.0))
+        rows.append((g, None if i % 101 == 0 else i % 2, v))
+    df = spark.createDataFrame(rows, "g string, h int, v double")
+    ref = {(r.g, r.h): r.m for r in df.where("g IS NOT NULL AND h IS NOT NULL")
+           .groupBy("g", "h").agg(F.median("v").alias("m")).collect()}
+    for small in (20000, 40):
+        got = {(r.g, r.h): r.q for r in group_quantile(df, "v", ["g", "h"], 0.5, "q", small=small,
+                                                       buckets=8).collect()}
+        assert got == ref
