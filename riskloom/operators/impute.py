@@ -27,13 +27,25 @@ def fill_const(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
     return df.fillna(present) if present else df
 
 
+def global_mode(df: DataFrame, col: str):
+    """Most frequent non-null value, the lowest on ties.
+
+    A count per value (partial aggregation, spread over the cluster) and a
+    top-1 pick; unlike the ``mode`` aggregate, no task holds every distinct
+    value."""
+    row = (df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
+           .orderBy(F.col("_n").desc(), F.col(col).asc()).limit(1).collect())
+    return row[0][col] if row else None
+
+
 def global_stats(df: DataFrame, medians: Sequence[str] = (), modes: Sequence[str] = (),
                  means: Sequence[str] = ()) -> dict:
     """Exact medians (distributed selection, see ``quantiles.py``), modes
     (lowest value on ties) and means (one aggregate pass)."""
-    aggs = ([F.mode(c, deterministic=True).alias(f"mode__{c}") for c in modes]
-            + [F.avg(c).alias(f"mean__{c}") for c in means])
+    aggs = [F.avg(c).alias(f"mean__{c}") for c in means]
     out = df.agg(*aggs).first().asDict() if aggs else {}
+    for c in modes:
+        out[f"mode__{c}"] = global_mode(df, c)
     if medians:
         for c, (m,) in exact_quantiles_multi(df, list(medians), [0.5]).items():
             out[f"median__{c}"] = m

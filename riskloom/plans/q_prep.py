@@ -43,9 +43,12 @@ SELECT round(median(c_acctbal), 6) AS median_acctbal, round(avg(c_acctbal), 6) A
 FROM cz""", "D4")
 def q_mode_median(spark, sf_dir):
     d = cz(spark, sf_dir)
-    return d.agg(r6(F.median("c_acctbal")).alias("median_acctbal"), r6(F.avg("c_acctbal")).alias("mean_acctbal"),
-                 F.mode("segment", deterministic=True).alias("mode_segment"),
-                 F.mode("c_nationkey", deterministic=True).alias("mode_nation"))
+    st = I.global_stats(d, medians=["c_acctbal"], modes=["segment", "c_nationkey"], means=["c_acctbal"])
+    return d.agg(F.count(F.lit(1)).alias("_n")).select(
+        F.round(F.lit(st["median__c_acctbal"]).cast("double"), 6).alias("median_acctbal"),
+        F.round(F.lit(st["mean__c_acctbal"]).cast("double"), 6).alias("mean_acctbal"),
+        F.lit(st["mode__segment"]).cast("string").alias("mode_segment"),
+        F.lit(st["mode__c_nationkey"]).cast("int").alias("mode_nation"))
 
 
 @register("group_median_impute", f"""WITH {CZ_SQL},
