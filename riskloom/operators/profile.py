@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .quantiles import exact_quantiles, exact_quantiles_multi
+from .quantiles import exact_quantiles, exact_quantiles_multi, group_quantiles
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
            T.DoubleType, T.DecimalType)
@@ -76,22 +76,25 @@ def null_profile(df: DataFrame, only_missing: bool = True) -> DataFrame:
 def describe(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """count, mean, sample std, min, exact quartiles, max per column (D7),
     optionally per group.  Unlike ``DataFrame.summary`` the quartiles are
-    exact (``percentile``, linear interpolation)."""
+    exact (linear interpolation), computed without gathering a column or a
+    large group into one task (``quantiles.py``)."""
     aggs = []
+    by = list(by)
     qs = {} if by else exact_quantiles_multi(df, cols, [0.25, 0.5, 0.75])
     for c in cols:
         x = F.col(c)
-        if by:
-            # per group: the percentile aggregate (value -> count map per group)
-            q = F.percentile(x, [0.25, 0.5, 0.75])
-        else:
-            # whole column: exact distributed selection, brought back as literals
-            q = F.array(*[F.lit(v).cast("double") for v in qs[c]])
+        q = F.array(*[F.lit(v).cast("double") for v in qs[c]]) if not by else F.lit(None)
         aggs += [F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"),
                  F.stddev_samp(x).alias(f"{c}__std"), F.min(x).cast("double").alias(f"{c}__min"),
-                 F.first(q).alias(f"{c}__q") if not by else q.alias(f"{c}__q"),
-                 F.max(x).cast("double").alias(f"{c}__max")]
+                 F.first(q).alias(f"{c}__q"), F.max(x).cast("double").alias(f"{c}__max")]
     wide = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
+    if by:
+        # Per-group quartiles: size-checked percentile map, or the group-wise
+        # selection when a group is large (see quantiles.group_quantiles).
+        for c in cols:
+            gq = group_quantiles(df, c, by, [0.25, 0.5, 0.75])
+            wide = (wide.drop(f"{c}__q").join(gq, by, "left")
+                    .withColumn(f"{c}__q", F.array("q0", "q1", "q2")).drop("q0", "q1", "q2"))
     rows = F.explode(F.array(*[F.struct(
         F.lit(c).alias("column_name"), F.col(f"{c}__count").alias("count"),
         F.col(f"{c}__mean").alias("mean"), F.col(f"{c}__std").alias("std"),

@@ -204,7 +204,7 @@ def _narrow(d: DataFrame, state: dict, buckets: int) -> dict:
 
 
 def group_quantile(df: DataFrame, col: str, keys: Sequence[str], p: float = 0.5, name: str | None = None,
-                   small: int = 20_000, buckets: int = 1024, max_rounds: int = 12) -> DataFrame:
+                   small: int = 1_000_000, buckets: int = 1024, max_rounds: int = 12) -> DataFrame:
     """Exact ``percentile(col, p)`` per group (NULL keys and values dropped).
 
     Groups with at most ``small`` values are resolved by a window partitioned
@@ -286,3 +286,24 @@ def group_quantile(df: DataFrame, col: str, keys: Sequence[str], p: float = 0.5,
         .otherwise((F.ceil("_pos") - F.col("_pos")) * F.col("_v0")
                    + (F.col("_pos") - F.floor("_pos")) * F.col("_v1")).alias(name))
     return out
+
+
+def group_quantiles(df: DataFrame, col: str, keys: Sequence[str], probs: Sequence[float],
+                    small: int = 1_000_000) -> DataFrame:
+    """``(keys..., q0, q1, ...)``: exact ``percentile(col, p)`` per group for
+    each p.  When no group holds more than ``small`` values the
+    ``percentile`` aggregate is used (its per-group map is then bounded);
+    otherwise each p goes through ``group_quantile``."""
+    keys = list(keys)
+    cond = F.col(col).isNotNull()
+    for k in keys:
+        cond = cond & F.col(k).isNotNull()
+    largest = df.where(cond).groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if largest <= small:
+        agg = df.where(cond).groupBy(*keys).agg(F.percentile(F.col(col).cast("double"), list(probs)).alias("_q"))
+        return agg.select(*keys, *[F.col("_q")[i].alias(f"q{i}") for i in range(len(probs))])
+    out = None
+    for i, p in enumerate(probs):
+        q = group_quantile(df, col, keys, p, f"q{i}", small=small)
+        out = q if out is None else out.join(q, keys)
+    return out
