@@ -6,7 +6,8 @@ bucket's totals are aggregated (a table of buckets x groups, small), turned
 into per-bucket offsets by a window over that small table, joined back, and
 the final running value is ``offset + running value within the bucket``.
 The window that remains is partitioned by bucket, so the work spreads over
-as many tasks as there are buckets.
+as many tasks as there are buckets.  Without grouping columns the bucket
+totals (one row per bucket) are brought back and inlined as literal offsets.
 
 Buckets come either from the caller (a column already monotone in the order,
 e.g. the leading bits of a uniform hash) or from approximate quantiles of the
@@ -69,11 +70,30 @@ def running_sums(df: DataFrame, order_cols: Sequence, sum_cols: Sequence[str],
         ordered = [c.asc() for c in order_cols]
     parts = list(partition_cols)
     totals = df.groupBy(*parts, _B).agg(*[F.sum(c).alias(f"_rl_t_{c}") for c in sum_cols])
-    w_off = (Window.partitionBy(*parts).orderBy(bcol.asc())
-             .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = totals.select(*parts, _B, *[
-        F.coalesce(F.sum(f"_rl_t_{c}").over(w_off), F.lit(0)).alias(f"_rl_o_{c}") for c in sum_cols])
-    joined = df.join(offsets, [*parts, _B], "left")
+    if not parts:
+        # One row per bucket: bring the totals back (bounded by the bucket
+        # count) and inline the offsets as a literal map.
+        rows = sorted(totals.collect(), key=lambda r: (-r[_B] if descending else r[_B]))
+        acc = {c: 0 for c in sum_cols}
+        offs = {c: {} for c in sum_cols}
+        for r in rows:
+            for c in sum_cols:
+                offs[c][r[_B]] = acc[c]
+                acc[c] += r[f"_rl_t_{c}"] or 0
+        def offset_expr(m: dict) -> Column:
+            if not m:
+                return F.lit(0)
+            # One SQL map literal: a single plan-building call.
+            pairs = ", ".join(f"{int(b)}, {v!r}" for b, v in m.items())
+            return F.expr(f"coalesce(map({pairs})[{_B}], 0)")
+
+        joined = df.withColumns({f"_rl_o_{c}": offset_expr(offs[c]) for c in sum_cols})
+    else:
+        w_off = (Window.partitionBy(*parts).orderBy(bcol.asc())
+                 .rowsBetween(Window.unboundedPreceding, -1))
+        offsets = totals.select(*parts, _B, *[
+            F.coalesce(F.sum(f"_rl_t_{c}").over(w_off), F.lit(0)).alias(f"_rl_o_{c}") for c in sum_cols])
+        joined = df.join(offsets, [*parts, _B], "left")
     w_in = (Window.partitionBy(*parts, _B).orderBy(*ordered)
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     out = joined.select(*[F.col(c) for c in df.columns if c != _B], *[
