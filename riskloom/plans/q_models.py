@@ -148,3 +148,10 @@ def q_cv_score(spark, sf_dir):
 def q_gen_cohort(spark, sf_dir):
     keys = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("patient_id"))
     return cohort(keys, "patient_id", "sepsis", SEPSIS_PREVALENCE, SEPSIS)
+
+
+@register("sepsis_flow", None, "A3 A6 D6 N1 N2 N4 P3 L1 L6 J4 M8 M9 M16 M17")
+def q_sepsis_flow(spark, sf_dir):
+    from .flows import sepsis_flow
+    strata, _ = sepsis_flow(spark, sf_dir)
+    return strata

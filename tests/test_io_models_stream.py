@@ -72,3 +72,13 @@ def test_stream_scoring_matches_batch(spark):
     q.stop()
     n = spark.sql("SELECT count(*) FROM scored_stream").first()[0]
     assert n == spark.read.parquet(f"{SMALL}/orders.parquet").count()
+
+
+def test_sepsis_flow_end_to_end(spark):
+    from riskloom.plans.flows import sepsis_flow
+    strata, report = sepsis_flow(spark, SMALL, trees=5)
+    rows = strata.collect()
+    assert len(rows) == 6 and sum(r.patients for r in rows) > 0
+    rep = {(r.section, r.name): r.value for r in report.collect()}
+    assert 0.8 < rep[("metric", "roc_auc")] <= 1.0
+    assert len([k for k in rep if k[0] == "top_predictor"]) == 10

@@ -37,7 +37,7 @@ def test_every_query_has_an_oracle_or_is_a_model():
     rows_only = set(QUERIES) - set(SQL)
     allowed = {"rf_fit", "gbt_fit", "logreg_fit", "linreg_fit", "extra_trees_fit", "adaboost_fit",
                "rff_svm_fit", "poly_ridge_fit", "mlp_fit", "rf_balanced_fit", "importance_topk",
-               "cv_score", "gen_cohort"}
+               "cv_score", "gen_cohort", "sepsis_flow"}
     assert rows_only <= allowed
 
 
