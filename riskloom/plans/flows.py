@@ -54,19 +54,21 @@ def sepsis_flow(spark: SparkSession, sf_dir: str, trees: int = 20) -> tuple[Data
     tr, te = SC.apply_standard(train, params, "_z"), SC.apply_standard(test, params, "_z")
     zf = [f + "_z" for f in FEATURES]
     scored = te.select("id", "y", "sirs_score", "lactate", *zf)
+    models = {}
     for name, col, kw in (("rf", "p_rf", {"trees": trees, "depth": 8, "weight": "weight"}),
                           ("gbt", "p_gbt", {"rounds": 10, "depth": 3}),
                           ("logreg", "p_lr", {"C": 1.0, "weight": "weight"})):
         weight = kw.pop("weight", None)
-        _, pred = MD.fit_predict(name, tr, scored, zf, "y", weight=weight, **kw)
+        models[name], pred = MD.fit_predict(name, tr, scored, zf, "y", weight=weight, **kw)
         scored = MD.positive_probability(pred, col).drop("features", "rawPrediction", "probability",
                                                          "prediction")
-    scored = scored.withColumn("prob", EN.weighted_vote(BLEND)).withColumn("pred", EN.vote_label(F.col("prob")))
+    # Several metrics read the scored hold-out: score it once.
+    scored = (scored.withColumn("prob", EN.weighted_vote(BLEND))
+              .withColumn("pred", EN.vote_label(F.col("prob"))).persist())
     strata = risk_strata(scored, "prob", "y", *BANDS, extra_means=["sirs_score", "lactate"])
     clin = M.clinical_metrics(scored, "y", "pred")
     auc = M.roc_auc(scored, "y", "prob")
     ap = M.avg_precision(scored, "y", "prob")
-    imp_model, _ = MD.fit_predict("rf", tr, te.limit(0), zf, "y", trees=trees, depth=8)
-    imp = spark.createDataFrame([tuple(v for _, v in MD.importances(imp_model, FEATURES))], FEATURES)
+    imp = spark.createDataFrame([tuple(v for _, v in MD.importances(models["rf"], FEATURES))], FEATURES)
     report = metrics_report(auc, ap, clin, imp, k=10)
     return strata, report
