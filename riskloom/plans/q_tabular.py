@@ -206,7 +206,7 @@ SELECT c_custkey,
   coalesce(TRY_CAST(c_mktsegment AS DOUBLE), 0.0) AS bad_number,
   string_split_regex(trim(c_mktsegment || ' ' || c_name), '\\s+')[-1] AS last_token,
   coalesce(substring(c_mktsegment, 1, 1), 'U') AS first_char,
-  coalesce(len(string_split_regex(trim(c_mktsegment || ' x ' || c_name), '\\s+')), 0) AS n_tokens,
+  CAST(coalesce(len(string_split_regex(trim(c_mktsegment || ' x ' || c_name), '\\s+')), 0) AS INTEGER) AS n_tokens,
   CAST(length(c_name) AS INTEGER) AS name_len,
   contains(c_mktsegment, 'MACH') AS has_mach
 FROM customer""", "H2 H3 H4 H5 H6 H7 H8")
