@@ -39,6 +39,7 @@ from pyspark.sql import types as T
 
 MAX_PIVOT_VALUES = 4_000_000
 ROUND = 6
+LAST_STATS: dict = {}
 
 
 def _sqdist_exact(qv: np.ndarray, xv: np.ndarray) -> np.ndarray:
@@ -155,6 +156,9 @@ def knn(query: DataFrame, data: DataFrame, k: int, q_key: str = "key", q_vec: st
     Qc = (Q.mapInPandas(candidate_cells, "qk long, qv array<double>, cells array<int>")
           .select("qk", "qv", F.explode("cells").alias("cell")).persist())
     qcount = {r["cell"]: r["n"] for r in Qc.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # Pruning statistics of the last call (candidate query-cell pairs vs all).
+    LAST_STATS.clear()
+    LAST_STATS.update(pivots=n_piv, candidate_pairs=int(sum(qcount.values())), data_rows=int(n_d))
     q_chunks = np.ones(n_piv, dtype=np.int64)
     for c, n in qcount.items():
         q_chunks[c] = max(1, math.ceil(n / block))

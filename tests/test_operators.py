@@ -268,3 +268,19 @@ def test_group_quantile_hot_group_matches_median(spark):
         got = {(r.g, r.h): r.q for r in group_quantile(df, "v", ["g", "h"], 0.5, "q", small=small,
                                                        buckets=8).collect()}
         assert got == ref
+
+
+def test_knn_prunes_cells_on_clustered_data(spark):
+    rng = np.random.default_rng(0)
+    centers = rng.normal(0, 10, size=(12, 6))
+    pts = np.vstack([c + rng.normal(0, 0.3, size=(150, 6)) for c in centers])
+    df = spark.createDataFrame([(i, pts[i].tolist()) for i in range(len(pts))], "key long, vec array<double>")
+    res = NB.knn(df, df, 4, exclude_self=True, block=128)
+    got = {(r.q_key, r.rank): r.nb_key for r in res.collect()}
+    st = dict(NB.LAST_STATS)
+    assert st["candidate_pairs"] < 0.35 * len(pts) * st["pivots"]
+    d2 = ((pts[:, None, :] - pts[None, :, :]) ** 2).sum(-1).round(6)
+    np.fill_diagonal(d2, np.inf)
+    for i in range(0, len(pts), 37):
+        order = sorted(range(len(pts)), key=lambda j: (d2[i, j], j))[:4]
+        assert [got[(i, r + 1)] for r in range(4)] == order
