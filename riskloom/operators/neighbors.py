@@ -35,7 +35,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 MAX_PIVOT_VALUES = 4_000_000
 ROUND = 6
