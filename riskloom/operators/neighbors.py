@@ -47,7 +47,10 @@ def _sqdist_exact(qv: np.ndarray, xv: np.ndarray) -> np.ndarray:
 
 
 def _matrix(series) -> np.ndarray:
-    return np.asarray([np.asarray(v, dtype=np.float64) for v in series], dtype=np.float64)
+    """Stack a column of equal-length vectors (Arrow gives numpy arrays)."""
+    if len(series) == 0:
+        return np.zeros((0, 0))
+    return np.stack(list(series)).astype(np.float64, copy=False)
 
 
 def _pivot_distances(v: np.ndarray, piv: np.ndarray) -> np.ndarray:

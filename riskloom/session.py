@@ -24,6 +24,27 @@ DEFAULT_CONF = {
 }
 
 
+def scale_conf(input_bytes: float, executors: int = 1000, cores_per_executor: int = 4,
+               target_partition_bytes: int = 256 * 1024 * 1024) -> dict:
+    """Partitioning settings sized from the input volume.
+
+    Shuffle stages start with enough partitions for ~``target_partition_bytes``
+    each (AQE then coalesces small ones and splits skewed join partitions);
+    scans read ~128 MB splits.  For 100 TB this gives about 400k initial
+    shuffle partitions, a few hundred waves of tasks over 4,000 cores, and
+    partitions that fit comfortably in executor memory (spilling otherwise).
+    """
+    slots = executors * cores_per_executor
+    parts = max(slots * 2, int(input_bytes // target_partition_bytes) + 1)
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes // 2),
+        "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    }
+
+
 def get_spark(master: str = "local[8]", app: str = "riskloom",
               shuffle_partitions: int = 8, extra: dict | None = None) -> SparkSession:
     """Build (or reuse) a session with the library defaults.
