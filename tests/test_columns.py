@@ -79,3 +79,28 @@ def test_dict_map_and_replace(spark):
     assert [x.m for x in r] == [4, 5, 0, 0]
     assert [x.r for x in r] == ["Good", "Ex", "??", None]
     assert df.select(C.sentinel_null(F.lit(0), 0).alias("n")).first().n is None
+
+
+def test_cut_matches_pandas_property(spark):
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    @settings(max_examples=15, deadline=None)
+    @given(st.lists(st.integers(-50, 50), min_size=2, max_size=6, unique=True),
+           st.lists(st.integers(-60, 60), min_size=1, max_size=25))
+    def check(edges, values):
+        edges = sorted(float(e) for e in edges)
+        vals = [float(v) for v in values] + edges  # values on every edge
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i int, x double")
+        got = [r.b for r in df.select("i", cut_index("x", edges).alias("b")).orderBy("i").collect()]
+        ref = pd.cut(pd.Series(vals), edges, labels=False)
+        assert got == [None if pd.isna(v) else int(v) for v in ref]
+
+    check()
+
+
+def test_scale_conf_sizes_partitions():
+    from riskloom.session import scale_conf
+    c = scale_conf(100e12)
+    assert int(c["spark.sql.shuffle.partitions"]) > 300_000
+    assert int(scale_conf(1e9, executors=2, cores_per_executor=4)["spark.sql.shuffle.partitions"]) >= 8
