@@ -28,14 +28,22 @@ from ..session import default_parallelism
 _B = "_rl_bucket"
 
 
+MAX_QUANTILE_BUCKETS = 1 << 16
+MAX_HASH_BUCKETS = 1 << 20
+
+
 def default_buckets(df: DataFrame) -> int:
-    return max(16, 4 * default_parallelism(df.sparkSession))
+    """About four buckets per shuffle partition, capped so that the quantile
+    request and the per-bucket totals table stay small."""
+    return min(MAX_QUANTILE_BUCKETS, max(16, 4 * default_parallelism(df.sparkSession)))
 
 
 def quantile_buckets(df: DataFrame, col: str, n_buckets: int | None = None,
-                     accuracy: int = 10000) -> DataFrame:
-    """Add an order-preserving bucket column from approximate quantiles."""
-    n = n_buckets or default_buckets(df)
+                     accuracy: int | None = None) -> DataFrame:
+    """Add an order-preserving bucket column from approximate quantiles (the
+    sketch's accuracy grows with the bucket count so buckets stay balanced)."""
+    n = min(n_buckets or default_buckets(df), MAX_QUANTILE_BUCKETS)
+    accuracy = accuracy or max(10000, 4 * n)
     probs = [i / n for i in range(1, n)]
     qs = df.agg(F.percentile_approx(F.col(col).cast("double"), probs, accuracy)).first()[0] or []
     splits = sorted({float(q) for q in qs if q is not None})

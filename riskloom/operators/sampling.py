@@ -17,13 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import default_parallelism
-from .ordering import hash_bucket, hash_order, ordered_index
+from .ordering import MAX_HASH_BUCKETS, hash_bucket, hash_order, ordered_index
 
 MAX_CLASSES = 10000
 
 
 def _buckets(df: DataFrame) -> int:
-    return max(64, 8 * default_parallelism(df.sparkSession))
+    return min(MAX_HASH_BUCKETS, max(64, 8 * default_parallelism(df.sparkSession)))
 
 
 def hashed_rank(df: DataFrame, key: str, seed: int = 42, by: Sequence[str] = (),
