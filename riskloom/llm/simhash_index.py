@@ -28,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch, components, fold_labels, prepare, ranges
 
@@ -288,7 +289,7 @@ def keep_representatives(df: DataFrame, id_col: str = "doc_id", text_col: str =
             yield b.append_column("_fp", pa.array(fps))
 
     near = df.join(odd.select(F.col("id").alias("_id")).distinct(), df[id_col].cast("long").eqNullSafe(F.col("_id")), "left_semi")
-    schema = near.schema.add("_fp", "long")
+    schema = T.StructType([*near.schema.fields, T.StructField("_fp", T.LongType())])
     withfp = near.mapInArrow(refp, schema)
     one = (withfp.join(odd, F.col("_fp").eqNullSafe(odd.fp) & withfp[id_col].cast("long").eqNullSafe(odd.id), "left_semi")
            .groupBy(id_col, "_fp").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in [text_col] + [c for c in names if c != text_col]])).alias("r"))
