@@ -3,20 +3,9 @@ import sys
 
 import pytest
 
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-for p in (ROOT, os.path.dirname(os.path.abspath(__file__))):
-    if p not in sys.path:
-        sys.path.insert(0, p)
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from riskloom.session import get_spark  # noqa: E402
-
-SMALL = "/root/testdata/sf0.001"
-
-
-@pytest.fixture(scope="session")
-def spark():
-    s = get_spark(master="local[4]", shuffle_partitions=4, extra={"spark.driver.memory": "4g"})
-    yield s
+from brute import SMALL  # noqa: E402
 
 
 @pytest.fixture(scope="session")
