@@ -3,8 +3,8 @@
 Level lists are data-dependent.  ``one_hot`` needs them at plan time (each
 level becomes a column), so they are collected once, after a size check,
 sorted, and emitted as a static projection.  ``label_encode`` does not need
-them on the driver: codes are exact ranks computed over the distinct levels
-with the bucketed ordering of ``ordering.py`` and joined back.
+them on the driver: codes are exact ranks over the distinct levels, in range
+buckets of the level itself (``ordering.py``), and joined back (``lookup.py``).
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import dict_map
+from .lookup import attach
 from .ordering import ordered_index
 
 MAX_ONE_HOT_LEVELS = 1000
@@ -46,21 +47,13 @@ def one_hot(df: DataFrame, cols: Sequence[str], levels: Mapping[str, list] | Non
     return df.select(*keep, *new)
 
 
-def _byte_prefix(col: str):
-    # Leading 6 bytes as a number: monotone in Spark's (binary) string order.
-    b = F.substring(F.col(col).cast("binary"), 1, 6)
-    padded = F.rpad(F.hex(b), 12, "0")
-    return F.conv(padded, 16, 10).cast("double")
-
-
 def label_codes(df: DataFrame, col: str, null_label: str | None = "nan") -> DataFrame:
     """Table (level, code): code is the 0-based rank of the level among the
     sorted distinct levels (binary string order)."""
     x = F.coalesce(F.col(col).cast("string"), F.lit(null_label)) if null_label is not None \
         else F.col(col).cast("string")
     lv = df.select(x.alias("_level")).where(F.col("_level").isNotNull()).distinct()
-    lv = lv.withColumn("_lead", _byte_prefix("_level"))
-    ranked = ordered_index(lv, ["_lead", "_level"], name="_code")
+    ranked = ordered_index(lv, ["_level"], name="_code")
     return ranked.select("_level", (F.col("_code") - 1).cast("int").alias("_code"))
 
 
@@ -78,7 +71,7 @@ def label_encode(df: DataFrame, cols: Sequence[str], fit: DataFrame | None = Non
         codes = label_codes(fit, c, null_label)
         key = F.coalesce(F.col(c).cast("string"), F.lit(null_label)) if null_label is not None \
             else F.col(c).cast("string")
-        out = out.withColumn("_level", key).join(codes, "_level", "left").drop("_level")
+        out = attach(out.withColumn("_level", key), codes, ["_level"]).drop("_level")
         out = out.withColumn(c + suffix, F.col("_code")).drop("_code")
     return out
 
@@ -93,8 +86,7 @@ def ordinal_encode(df: DataFrame, scales: Mapping[str, Mapping[str, int]], defau
 def freq_encode(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     """Attach the number of rows sharing the value (C1); NULL value gives NULL.
 
-    A partial aggregate per value, then a join back (broadcast by AQE when
-    the value table is small)."""
+    A partial aggregate per value, then a measured join back (``lookup.py``)."""
     counts = (df.where(F.col(col).isNotNull()).groupBy(col)
               .agg(F.count(F.lit(1)).alias(out or f"{col}_count")))
-    return df.join(counts, col, "left")
+    return attach(df, counts, [col])

@@ -1,123 +1,89 @@
 """Exact ordered positions and running sums without a single-partition window.
 
 ``row_number().over(Window.orderBy(k))`` (no partition) moves every row into
-one task.  Instead rows are split into order-preserving range buckets, each
-bucket's totals are aggregated (a table of buckets x groups, small), turned
-into per-bucket offsets by a window over that small table, joined back, and
-the final running value is ``offset + running value within the bucket``.
-The window that remains is partitioned by bucket, so the work spreads over
-as many tasks as there are buckets.  Without grouping columns the bucket
-totals (one row per bucket) are brought back and inlined as literal offsets.
+one task.  Instead rows are split into order-preserving buckets, each bucket's
+totals are aggregated (a table of buckets x groups), turned into per-bucket
+offsets by a window over that small table, joined back on the bucket, and the
+final running value is ``offset + running value within the bucket``.  The
+window that remains is partitioned by bucket, so the work spreads over as many
+tasks as there are buckets.
 
 Buckets come either from the caller (a column already monotone in the order,
-e.g. the leading bits of a uniform hash) or from approximate quantiles of the
-leading order column; the approximation only affects balance, never the
-result.
+e.g. the leading bits of a uniform hash) or from a range partitioning on the
+real order columns, whatever their types; NULL sorts first ascending and last
+descending, as in ``row_number()``.
 """
 
 from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import default_parallelism
+from ..session import cut_lineage, default_parallelism
 
 _B = "_rl_bucket"
 
 
-MAX_QUANTILE_BUCKETS = 1 << 16
-MAX_HASH_BUCKETS = 1 << 20
-
-
-def default_buckets(df: DataFrame) -> int:
-    """About four buckets per shuffle partition, capped so that the quantile
-    request and the per-bucket totals table stay small."""
-    return min(MAX_QUANTILE_BUCKETS, max(16, 4 * default_parallelism(df.sparkSession)))
-
-
-def quantile_buckets(df: DataFrame, col: str, n_buckets: int | None = None,
-                     accuracy: int | None = None) -> DataFrame:
-    """Add an order-preserving bucket column from approximate quantiles (the
-    sketch's accuracy grows with the bucket count so buckets stay balanced)."""
-    n = min(n_buckets or default_buckets(df), MAX_QUANTILE_BUCKETS)
-    accuracy = accuracy or max(10000, 4 * n)
-    probs = [i / n for i in range(1, n)]
-    qs = df.agg(F.percentile_approx(F.col(col).cast("double"), probs, accuracy)).first()[0] or []
-    splits = sorted({float(q) for q in qs if q is not None})
-    splits = [float("-inf")] + splits + [float("inf")]
-    b = Bucketizer(splits=splits, inputCol="_rl_key", outputCol=_B, handleInvalid="keep")
-    keyed = df.withColumn("_rl_key", F.col(col).cast("double"))
-    return b.transform(keyed).drop("_rl_key").withColumn(_B, F.col(_B).cast("int"))
+def range_buckets(df: DataFrame, order: Sequence[Column], n_buckets: int | None = None) -> DataFrame:
+    """Add the number of the range partition that each row falls into.  The
+    rows are written to the checkpoint folder: the bounds come from a sample,
+    and every reader of the buckets has to see the same ones."""
+    n = n_buckets or max(1, default_parallelism(df.sparkSession))
+    return cut_lineage(df.repartitionByRange(n, *order).withColumn(_B, F.spark_partition_id()))
 
 
 def running_sums(df: DataFrame, order_cols: Sequence, sum_cols: Sequence[str],
                  partition_cols: Sequence[str] = (), bucket: Column | None = None,
                  n_buckets: int | None = None, prefix: str = "cum_",
-                 descending: bool = False) -> DataFrame:
+                 descending: bool = False, totals_prefix: str | None = None) -> DataFrame:
     """Inclusive running sums of ``sum_cols`` in ``order_cols`` order within
-    ``partition_cols``.  ``order_cols`` must make the order total (add a key
-    as tie-breaker) for the result to be deterministic.  With ``descending``
-    every order column is descending (bucket must then be built ascending on
-    the same leading column; it is reversed here).
-    """
+    ``partition_cols`` (NULL is a group of its own).  ``order_cols`` must make
+    the order total (add a key as tie-breaker) for the result to be
+    deterministic.  With ``descending`` every order column is descending (a
+    caller's bucket is then built ascending on the leading column; it is
+    reversed here).  ``totals_prefix`` also adds the whole group's sums."""
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    lead = order_cols[0]
-    if bucket is None:
-        lead_name = "_rl_lead"
-        df = quantile_buckets(df.withColumn(lead_name, lead), lead_name, n_buckets).drop(lead_name)
-    else:
-        df = df.withColumn(_B, bucket)
-    bcol = F.col(_B)
-    if descending:
-        bcol = -bcol
-        ordered = [c.desc() for c in order_cols]
-    else:
-        ordered = [c.asc() for c in order_cols]
+    ordered = [c.desc() if descending else c.asc() for c in order_cols]
     parts = list(partition_cols)
-    totals = df.groupBy(*parts, _B).agg(*[F.sum(c).alias(f"_rl_t_{c}") for c in sum_cols])
-    if not parts:
-        # One row per bucket: bring the totals back (bounded by the bucket
-        # count) and inline the offsets as a literal map.
-        rows = sorted(totals.collect(), key=lambda r: (-r[_B] if descending else r[_B]))
-        acc = {c: 0 for c in sum_cols}
-        offs = {c: {} for c in sum_cols}
-        for r in rows:
-            for c in sum_cols:
-                offs[c][r[_B]] = acc[c]
-                acc[c] += r[f"_rl_t_{c}"] or 0
-        def offset_expr(m: dict) -> Column:
-            if not m:
-                return F.lit(0)
-            # One SQL map literal: a single plan-building call.
-            pairs = ", ".join(f"{int(b)}, {v!r}" for b, v in m.items())
-            return F.expr(f"coalesce(map({pairs})[{_B}], 0)")
-
-        joined = df.withColumns({f"_rl_o_{c}": offset_expr(offs[c]) for c in sum_cols})
+    if bucket is None:
+        d = range_buckets(df, [*[F.col(p) for p in parts], *ordered], n_buckets)
+        bcol = F.col(_B)
     else:
-        w_off = (Window.partitionBy(*parts).orderBy(bcol.asc())
-                 .rowsBetween(Window.unboundedPreceding, -1))
-        offsets = totals.select(*parts, _B, *[
-            F.coalesce(F.sum(f"_rl_t_{c}").over(w_off), F.lit(0)).alias(f"_rl_o_{c}") for c in sum_cols])
-        joined = df.join(offsets, [*parts, _B], "left")
-    w_in = (Window.partitionBy(*parts, _B).orderBy(*ordered)
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = joined.select(*[F.col(c) for c in df.columns if c != _B], *[
-        (F.col(f"_rl_o_{c}") + F.sum(c).over(w_in)).alias(prefix + c) for c in sum_cols])
-    return out
+        d = df.withColumn(_B, bucket)
+        bcol = -F.col(_B) if descending else F.col(_B)
+    totals = d.groupBy(*parts, _B).agg(*[F.sum(c).alias(f"_rl_t_{c}") for c in sum_cols])
+    # One row per bucket (and group): the window over them is small.
+    w_off = Window.partitionBy(*parts).orderBy(bcol.asc()).rowsBetween(Window.unboundedPreceding, -1)
+    extra = [F.sum(f"_rl_t_{c}").over(Window.partitionBy(*parts)).alias(f"_rl_a_{c}") for c in sum_cols] if totals_prefix else []
+    offsets = totals.select(
+        *[F.col(p).alias(f"_rl_p{i}") for i, p in enumerate(parts)], F.col(_B).alias("_rl_ob"), *extra,
+        *[F.coalesce(F.sum(f"_rl_t_{c}").over(w_off), F.lit(0)).alias(f"_rl_o_{c}") for c in sum_cols])
+    on = F.col(_B) == F.col("_rl_ob")
+    for i, p in enumerate(parts):
+        on = on & F.col(p).eqNullSafe(F.col(f"_rl_p{i}"))
+    # Without groups there is one offset row for each bucket, that is, for each
+    # shuffle partition: a bound that does not follow the data.
+    joined = d.join(offsets if parts else F.broadcast(offsets), on, "inner")
+    w_in = Window.partitionBy(*parts, _B).orderBy(*ordered).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return joined.select(
+        *[F.col(c) for c in df.columns],
+        *[(F.col(f"_rl_o_{c}") + F.sum(c).over(w_in)).alias(prefix + c) for c in sum_cols],
+        *([F.col(f"_rl_a_{c}").alias(totals_prefix + c) for c in sum_cols] if totals_prefix else []))
 
 
 def ordered_index(df: DataFrame, order_cols: Sequence, partition_cols: Sequence[str] = (),
                   bucket: Column | None = None, name: str = "rn",
-                  n_buckets: int | None = None) -> DataFrame:
+                  n_buckets: int | None = None, size: str | None = None) -> DataFrame:
     """1-based position of each row in ``order_cols`` order within
-    ``partition_cols`` (the value ``row_number()`` would give)."""
+    ``partition_cols`` (the value ``row_number()`` would give) and, with
+    ``size``, the number of rows of its group under that name."""
     one = "_rl_one"
     out = running_sums(df.withColumn(one, F.lit(1).cast("long")), order_cols, [one],
-                       partition_cols, bucket, n_buckets, prefix="_rl_cum")
-    return out.withColumnRenamed("_rl_cum" + one, name).drop(one)
+                       partition_cols, bucket, n_buckets, prefix="_rl_cum", totals_prefix="_rl_all" if size else None)
+    out = out.withColumnRenamed("_rl_cum" + one, name).drop(one)
+    return out.withColumnRenamed("_rl_all" + one, size) if size else out
 
 
 def hash_order(key_cols: Sequence[str], seed: int = 42) -> Column:
