@@ -5,8 +5,8 @@ means come from one aggregate over the fit frame, medians from the exact
 distributed selection of ``quantiles.py`` (no column gathered into one
 task).  Group medians come from the group-wise
 selection of ``quantiles.py`` (hot groups are spread over many tasks) and are
-joined back on the key; AQE broadcasts the group table when its
-materialised size is under the broadcast threshold and shuffles otherwise.
+joined back by ``lookup.py``: broadcast after a check of the table's size,
+salted beyond it.
 A NULL key never receives a group value: pandas drops NULL groups, and an
 equi-join on NULL never matches.
 """
@@ -18,6 +18,7 @@ from typing import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lookup import attach
 from .quantiles import exact_quantiles_multi, group_quantile
 
 
@@ -91,7 +92,7 @@ def fill_group_median(df: DataFrame, col: str, keys: Sequence[str],
     fills = []
     for i, ks in enumerate([list(keys), *[list(f) for f in fallbacks]]):
         m = group_median(fit, col, ks, name=f"_gm{i}")
-        res = res.join(m, on=ks, how="left")
+        res = attach(res, m, ks)
         fills.append(F.col(f"_gm{i}"))
     if global_fallback:
         g = global_stats(fit, medians=[col])[f"median__{col}"]

@@ -43,7 +43,7 @@ def prevalence(df: DataFrame, label: str) -> DataFrame:
     pos = F.count_if(F.col(label) == 1)
     neg = F.count_if(F.col(label) == 0)
     return df.agg(n.alias("n"), pos.alias("positives"), neg.alias("negatives"),
-                  (F.lit(100.0) * pos / n).alias("positive_pct"),
+                  F.try_divide(F.lit(100.0) * pos, n).alias("positive_pct"),
                   F.floor(F.try_divide(neg, pos)).alias("imbalance_ratio"))
 
 
@@ -68,7 +68,7 @@ def null_profile(df: DataFrame, only_missing: bool = True) -> DataFrame:
                  F.col(f"nn__{c}").alias("non_null")) for c in df.columns])).alias("s"))
     out = stacked.select("s.column_name", "s.dtype", "s.non_null",
                          (F.col("_n") - F.col("s.non_null")).alias("missing"),
-                         F.round(F.lit(100.0) * (F.col("_n") - F.col("s.non_null")) / F.col("_n"), 2)
+                         F.round(F.try_divide(F.lit(100.0) * (F.col("_n") - F.col("s.non_null")), F.col("_n")), 2)
                          .alias("missing_pct"))
     return out.where(F.col("missing") > 0) if only_missing else out
 
@@ -89,12 +89,11 @@ def describe(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> Data
                  F.first(q).alias(f"{c}__q"), F.max(x).cast("double").alias(f"{c}__max")]
     wide = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
     if by:
-        # Per-group quartiles: size-checked percentile map, or the group-wise
-        # selection when a group is large (see quantiles.group_quantiles).
-        for c in cols:
-            gq = group_quantiles(df, c, by, [0.25, 0.5, 0.75])
-            wide = (wide.drop(f"{c}__q").join(gq, by, "left")
-                    .withColumn(f"{c}__q", F.array("q0", "q1", "q2")).drop("q0", "q1", "q2"))
+        # Quartiles of all columns from one pass, one row per group and column.
+        gq = group_quantiles(df, cols, by, [0.25, 0.5, 0.75])
+        gq = gq.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("column", "q"))).alias("_qs"))
+        wide = wide.drop(*[f"{c}__q" for c in cols]).join(gq, by, "left")
+        wide = wide.withColumns({f"{c}__q": F.col("_qs")[c] for c in cols}).drop("_qs")
     rows = F.explode(F.array(*[F.struct(
         F.lit(c).alias("column_name"), F.col(f"{c}__count").alias("count"),
         F.col(f"{c}__mean").alias("mean"), F.col(f"{c}__std").alias("std"),

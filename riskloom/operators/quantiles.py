@@ -1,24 +1,18 @@
-"""Exact quantiles of columns without gathering a column anywhere.
+"""Exact quantiles of columns and groups without gathering either anywhere.
 
-``percentile``/``median`` keep a value -> count map that is finally merged in
-one task: fine for a measured column with few distinct values, not for a
-continuous column with billions of them.  Here the order statistics needed
-by the requested probabilities are found by distributed selection, for all
-requested columns at once:
+``percentile`` and ``median`` keep a value -> count map that is finally merged
+in one task.  Here values are counted (partial aggregation: a repeated value
+costs one row per task), put in order by range buckets with running sums
+(``ordering.py``), and the values at the wanted ranks are picked.  Every size
+and every group goes this one way.
 
-1. one aggregate gives n, min, max and a ``percentile_approx`` bracket around
-   every wanted rank; one exact count pass verifies each bracket (a bracket
-   that misses its rank falls back to the whole range);
-2. each round histograms the values inside the current interval of every
-   wanted (column, rank) into ``buckets`` equal-width bins (one partial
-   aggregate; at most intervals x buckets result rows), and each interval
-   shrinks to the bin holding its rank (the bin's actual min / max);
-3. once an interval holds at most ``max_collect`` values (or one distinct
-   value) its values are fetched and the rank read off.
+For whole columns only the values around the wanted ranks are put in order: a
+bounded sketch per task gives a bracket for each probability, one exact count
+pass verifies it, and a bracket that misses its ranks is widened until it
+holds them (at most to the whole range).
 
-The bin of a value is monotone in the value, so intervals stay contiguous
-and the result is exact.  Interpolation follows ``percentile``: position
-``p * (n - 1)``, linear between the floor and ceiling order statistics.
+Interpolation follows ``percentile``: position ``p * (n - 1)``, linear between
+the floor and ceiling order statistics.
 """
 
 from __future__ import annotations
@@ -29,6 +23,8 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+from .ordering import running_sums
 
 _ACCURACY = 10000
 
@@ -45,265 +41,102 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], **kw) -> li
     return exact_quantiles_multi(df, [col], probs, **kw)[col]
 
 
-def exact_quantiles_multi(df: DataFrame, cols: Sequence[str], probs: Sequence[float], buckets: int = 2048,
-                          max_collect: int = 100_000, max_rounds: int = 16,
-                          map_limit: int = 50_000) -> dict:
-    """``{col: [percentile(col, p) for p in probs]}`` for several columns.
-
-    A first pass estimates each column's number of distinct values (HLL,
-    bounded memory).  Columns with at most ``map_limit`` of them use the
-    ``percentile`` aggregate, whose value -> count map is then bounded by
-    that number; the others use the distributed selection (every round one
-    job for all of them)."""
-    cols = list(cols)
-    probs = list(probs)
-    ndv = df.agg(*[F.approx_count_distinct(F.col(c), 0.05).alias(f"d{i}") for i, c in enumerate(cols)]).first()
-    low = [c for i, c in enumerate(cols) if ndv[f"d{i}"] <= map_limit]
-    high = [c for c in cols if c not in low]
-    out = {}
-    if low:
-        row = df.agg(*[F.percentile(F.col(c).cast("double"), probs).alias(f"p{i}") for i, c in enumerate(low)]).first()
-        for i, c in enumerate(low):
-            v = row[f"p{i}"]
-            out[c] = [None] * len(probs) if v is None else [float(x) for x in v]
-    if high:
-        out.update(_select_quantiles(df, high, probs, buckets, max_collect, max_rounds))
-    return out
-
-
-def _select_quantiles(df: DataFrame, cols: list, probs: list, buckets: int, max_collect: int,
-                      max_rounds: int) -> dict:
+def exact_quantiles_multi(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
+                          margin: float = 4.0 / _ACCURACY) -> dict:
+    """``{col: [percentile(col, p) for p in probs]}`` for several columns."""
+    cols, probs = list(cols), list(probs)
     d = df.select(*[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(cols)])
-    # Seed brackets: percentile_approx (a bounded sketch per task) at p -/+ a
-    # margin; they are verified by exact counts below, never trusted.
-    margin = 4.0 / _ACCURACY
-    bracket_probs = sorted({min(1.0, max(0.0, p + s)) for p in probs for s in (-margin, margin)})
-    head = d.agg(*[F.count(f"_x{i}").alias(f"n{i}") for i in range(len(cols))],
-                 *[F.min(f"_x{i}").alias(f"lo{i}") for i in range(len(cols))],
-                 *[F.max(f"_x{i}").alias(f"hi{i}") for i in range(len(cols))],
-                 *[F.percentile_approx(f"_x{i}", bracket_probs, _ACCURACY).alias(f"q{i}")
-                   for i in range(len(cols))]).first()
-    positions, found, state = {}, {}, {}
-    seeds = {}
-    for i in range(len(cols)):
-        n = head[f"n{i}"]
-        if not n:
-            continue
-        positions[i] = [p * (n - 1) for p in probs]
-        approx = dict(zip(bracket_probs, head[f"q{i}"]))
-        for p, pos in zip(probs, positions[i]):
-            lo_b = approx[min(1.0, max(0.0, p - margin))]
-            hi_b = approx[min(1.0, max(0.0, p + margin))]
-            for r in (math.floor(pos), math.ceil(pos)):
-                seeds[(i, r)] = (float(lo_b), float(hi_b))
-                state[(i, r)] = (float(head[f"lo{i}"]), float(head[f"hi{i}"]), 0)
-    known = {}
-    if seeds:
-        uniq = sorted({(k[0], *v) for k, v in seeds.items()})
-        row = d.agg(*[F.count_if(F.col(f"_x{i}") < lo).alias(f"b{j}") for j, (i, lo, hi) in enumerate(uniq)],
-                    *[F.count_if(F.col(f"_x{i}").between(lo, hi)).alias(f"c{j}")
-                      for j, (i, lo, hi) in enumerate(uniq)]).first()
-        for key, (lo, hi) in seeds.items():
-            j = uniq.index((key[0], lo, hi))
-            below, cnt = row[f"b{j}"], row[f"c{j}"]
-            if below <= key[1] < below + cnt:  # the bracket holds the rank
-                state[key] = (lo, hi, below)
-                known[(key[0], lo, hi, below)] = cnt
-    for _ in range(max_rounds):
-        for key, (lo, hi, _b) in list(state.items()):
-            if lo == hi:
-                found[key] = lo
-                del state[key]
-        if not state:
+    n: dict[int, int] = {}
+    brackets: dict[tuple, tuple] = {}  # (column, probability) -> (lowest, highest, values below)
+    wanted = [(i, p) for i in range(len(cols)) for p in probs]
+    while wanted:
+        at = sorted({min(1.0, max(0.0, p + s)) for _, p in wanted for s in (-margin, margin)})
+        todo = sorted({i for i, _ in wanted})
+        head = d.agg(*[F.count(f"_x{i}").alias(f"n{i}") for i in todo],
+                     *[F.percentile_approx(f"_x{i}", at, _ACCURACY).alias(f"q{i}") for i in todo]).first()
+        n.update({i: head[f"n{i}"] for i in todo})
+        wanted = [(i, p) for i, p in wanted if n[i]]
+        if not wanted:
             break
-        intervals = sorted({(key[0], *iv) for key, iv in state.items()})
-        missing = [iv for iv in intervals if iv not in known]
-        counts = dict(known)
-        if missing:
-            counts.update(_interval_counts(d, missing))
-        known = {}
-        small = [iv for iv in intervals if counts[iv] <= max_collect]
-        if small:
-            _resolve_small(d, small, state, found)
-        if not state:
-            break
-        state = _narrow(d, state, buckets)
-    if state:
-        raise RuntimeError(f"exact quantiles did not converge in {max_rounds} rounds")
+        guess = {}
+        for i, p in wanted:
+            approx = dict(zip(at, head[f"q{i}"]))
+            whole = margin >= 1.0
+            guess[i, p] = (float("-inf") if whole else approx[max(0.0, p - margin)],
+                           float("inf") if whole else approx[min(1.0, p + margin)])
+        row = d.agg(*[F.count_if(F.col(f"_x{i}") < lo).alias(f"b{j}") for j, ((i, _), (lo, _h)) in enumerate(guess.items())],
+                    *[F.count_if(F.col(f"_x{i}").between(lo, hi)).alias(f"c{j}")
+                      for j, ((i, _), (lo, hi)) in enumerate(guess.items())]).first()
+        wanted = []
+        for j, ((i, p), (lo, hi)) in enumerate(guess.items()):
+            pos = p * (n[i] - 1)
+            if row[f"b{j}"] <= math.floor(pos) and math.ceil(pos) < row[f"b{j}"] + row[f"c{j}"]:
+                brackets[i, p] = (lo, hi, row[f"b{j}"])
+            else:
+                wanted.append((i, p))
+        margin *= 8
+    found: dict[tuple, float] = {}
+    if brackets:
+        keys = list(brackets)
+        tags = [F.when(F.col(f"_x{i}").between(*brackets[i, p][:2]), F.struct(F.lit(j).alias("j"), F.col(f"_x{i}").alias("x")))
+                for j, (i, p) in enumerate(keys)]
+        inside = (d.select(F.explode(F.array(*tags)).alias("t")).where(F.col("t").isNotNull())
+                  .groupBy("t.j", "t.x").agg(F.count(F.lit(1)).alias("k")))
+        ranks = {j: (brackets[key][2], key[1] * (n[key[0]] - 1)) for j, key in enumerate(keys)}
+        run = running_sums(inside, ["x"], ["k"], partition_cols=["j"])
+        hit = None
+        for j, (below, pos) in ranks.items():
+            for r in {math.floor(pos), math.ceil(pos)}:
+                c = (F.col("j") == j) & (F.col("cum_k") - F.col("k") + below <= r) & (r < F.col("cum_k") + below)
+                hit = c if hit is None else hit | c
+        # Two rows at most for each column and probability.
+        for r in run.where(hit).collect():
+            below = ranks[r["j"]][0]
+            for pos in (math.floor(ranks[r["j"]][1]), math.ceil(ranks[r["j"]][1])):
+                if below + r["cum_k"] - r["k"] <= pos < below + r["cum_k"]:
+                    found[r["j"], pos] = r["x"]
+        index = {key: j for j, key in enumerate(keys)}
     out = {}
     for i, c in enumerate(cols):
-        if i not in positions:
+        if not n.get(i):
             out[c] = [None] * len(probs)
-        else:
-            out[c] = [_interpolate(pos, found[(i, math.floor(pos))], found[(i, math.ceil(pos))])
-                      for pos in positions[i]]
+            continue
+        out[c] = [_interpolate(p * (n[i] - 1), found[index[i, p], math.floor(p * (n[i] - 1))],
+                               found[index[i, p], math.ceil(p * (n[i] - 1))]) for p in probs]
     return out
 
 
-def _in(iv):
-    i, lo, hi, _b = iv
-    return F.col(f"_x{i}").between(lo, hi)
-
-
-def _any_in(intervals):
-    """Rows inside at least one interval (a codegen predicate applied before
-    the explode, so rows outside every interval cost one comparison chain)."""
-    cond = None
-    for iv in intervals:
-        c = _in(iv)
-        cond = c if cond is None else cond | c
-    return cond
-
-
-def _interval_counts(d: DataFrame, intervals) -> dict:
-    row = d.agg(*[F.count_if(_in(iv)).alias(f"c{j}") for j, iv in enumerate(intervals)]).first()
-    return {iv: row[f"c{j}"] for j, iv in enumerate(intervals)}
-
-
-def _resolve_small(d: DataFrame, small, state: dict, found: dict) -> None:
-    """Fetch the values of small intervals (bounded by max_collect each)."""
-    tags = [F.when(_in(iv), F.struct(F.lit(j).alias("iv"), F.col(f"_x{iv[0]}").alias("v")))
-            for j, iv in enumerate(small)]
-    rows = (d.where(_any_in(small)).select(F.explode(F.array(*tags)).alias("t"))
-            .where(F.col("t").isNotNull()).select("t.iv", "t.v").collect())
-    vals = {}
-    for r in rows:
-        vals.setdefault(r["iv"], []).append(r["v"])
-    for key, (lo, hi, below) in list(state.items()):
-        iv = (key[0], lo, hi, below)
-        if iv in small:
-            found[key] = sorted(vals[small.index(iv)])[key[1] - below]
-            del state[key]
-
-
-def _narrow(d: DataFrame, state: dict, buckets: int) -> dict:
-    intervals = sorted({(key[0], *iv) for key, iv in state.items()})
-    tags = []
-    for j, (i, lo, hi, _b) in enumerate(intervals):
-        x = F.col(f"_x{i}")
-        width = (hi - lo) / buckets
-        b = F.least(F.floor((x - F.lit(lo)) / F.lit(width)), F.lit(buckets - 1)).cast("int")
-        tags.append(F.when(x.between(lo, hi), F.struct(F.lit(j).alias("iv"), b.alias("b"), x.alias("v"))))
-    # explode + filter (not a lambda filter, which runs outside codegen)
-    hist = (d.where(_any_in(intervals)).select(F.explode(F.array(*tags)).alias("t"))
-            .where(F.col("t").isNotNull())
-            .groupBy(F.col("t.iv").alias("iv"), F.col("t.b").alias("b"))
-            .agg(F.count(F.lit(1)).alias("n"), F.min("t.v").alias("mn"), F.max("t.v").alias("mx")))
-    per = {}
-    for r in hist.collect():  # at most len(intervals) * buckets rows
-        per.setdefault(r["iv"], []).append((r["b"], r["n"], r["mn"], r["mx"]))
-    new = {}
-    for key, (lo, hi, below) in state.items():
-        acc = below
-        for _bk, cnt, mn, mx in sorted(per[intervals.index((key[0], lo, hi, below))]):
-            if key[1] < acc + cnt:
-                new[key] = (float(mn), float(mx), acc)
-                break
-            acc += cnt
-    return new
-
-
-def group_quantile(df: DataFrame, col: str, keys: Sequence[str], p: float = 0.5, name: str | None = None,
-                   small: int = 1_000_000, buckets: int = 1024, max_rounds: int = 12) -> DataFrame:
-    """Exact ``percentile(col, p)`` per group (NULL keys and values dropped).
-
-    Groups with at most ``small`` values are resolved by a window partitioned
-    by the group (at most ``small`` rows per task).  Larger groups - a hot
-    key holding a third of the table included - are narrowed round by round:
-    the values inside each group's current interval are histogrammed per
-    (group, bucket), which spreads the group over ``buckets`` partial
-    aggregates, and the interval shrinks to the bucket holding the rank.
-    State lives in a small table (two rows per large group) joined to the
-    data, never in the driver."""
-    from pyspark.sql import Window
-
+def group_quantiles(df: DataFrame, cols: Sequence[str] | str, keys: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """``(keys..., q)``: per group an array of exact ``percentile(col, p)`` (for
+    one column), or ``(keys..., column, q)`` for several, in one pass.  NULL
+    keys and values are dropped."""
     keys = list(keys)
-    name = name or f"q_{col}"
-    cond = F.col(col).isNotNull()
+    many = not isinstance(cols, str)
+    names = list(cols) if many else [cols]
+    values = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in names]))
+    cond = F.lit(True)
     for k in keys:
         cond = cond & F.col(k).isNotNull()
-    data = df.where(cond).select(*keys, F.col(col).cast("double").alias("_x"))
-    st = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"),
-                                 F.max("_x").alias("_hi"))
-    pos = F.lit(float(p)) * (F.col("_n") - 1)
-    st = st.withColumn("_pos", pos)
-    ranks = st.select(*keys, "_n", "_pos", "_lo", "_hi",
-                      F.explode(F.array(F.floor(pos).cast("long"), F.ceil(pos).cast("long"))).alias("_r"))
-    ranks = ranks.dropDuplicates([*keys, "_r"])
-
-    # Small groups: rank directly inside the group (bounded window).
-    small_r = ranks.where(F.col("_n") <= small)
-    sd = data.join(small_r.select(*keys).distinct(), keys, "left_semi")
-    w = Window.partitionBy(*keys).orderBy("_x")
-    ordered = sd.withColumn("_rn", F.row_number().over(w) - 1)
-    resolved = (ordered.join(small_r.select(*keys, "_r"), keys)
-                .where(F.col("_rn") == F.col("_r")).select(*keys, "_r", F.col("_x").alias("_v")))
-
-    # Large groups: distributed narrowing.  The state (two rows per large
-    # group) and each round's resolved values are small; both are cut from
-    # the lineage with a reliable checkpoint every round.
-    from ..session import cut_lineage
-
-    state = cut_lineage(ranks.where(F.col("_n") > small)
-                        .select(*keys, "_r", "_lo", "_hi", F.lit(0).cast("long").alias("_below"),
-                                F.col("_n").alias("_cnt")))
-    for _ in range(max_rounds):
-        if state.limit(1).count() == 0:
-            break
-        done = state.where((F.col("_lo") == F.col("_hi")) | (F.col("_cnt") <= small))
-        point = done.where(F.col("_lo") == F.col("_hi")).select(*keys, "_r", F.col("_lo").alias("_v"))
-        few = done.where(F.col("_lo") != F.col("_hi"))
-        fd = (data.join(few.select(*keys, "_r", "_lo", "_hi", "_below"), keys)
-              .where(F.col("_x").between(F.col("_lo"), F.col("_hi"))))
-        wf = Window.partitionBy(*keys, "_r").orderBy("_x")
-        picked = (fd.withColumn("_rn", F.row_number().over(wf) - 1 + F.col("_below"))
-                  .where(F.col("_rn") == F.col("_r")).select(*keys, "_r", F.col("_x").alias("_v")))
-        resolved = resolved.unionByName(cut_lineage(point.unionByName(picked)))
-        live = state.join(done.select(*keys, "_r"), [*keys, "_r"], "left_anti")
-        width = (F.col("_hi") - F.col("_lo")) / buckets
-        hd = (data.join(live.select(*keys, "_r", "_lo", "_hi", "_below"), keys)
-              .where(F.col("_x").between(F.col("_lo"), F.col("_hi")))
-              .withColumn("_b", F.least(F.floor((F.col("_x") - F.col("_lo")) / width),
-                                        F.lit(buckets - 1)).cast("int")))
-        hist = hd.groupBy(*keys, "_r", "_below", "_b").agg(
-            F.count(F.lit(1)).alias("_c"), F.min("_x").alias("_mn"), F.max("_x").alias("_mx"))
-        wb = Window.partitionBy(*keys, "_r").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-        cum = hist.withColumn("_before", F.coalesce(F.sum("_c").over(wb), F.lit(0)) + F.col("_below"))
-        state = cut_lineage(
-            cum.where((F.col("_before") <= F.col("_r")) & (F.col("_r") < F.col("_before") + F.col("_c")))
-            .select(*keys, "_r", F.col("_mn").alias("_lo"), F.col("_mx").alias("_hi"),
-                    F.col("_before").alias("_below"), F.col("_c").alias("_cnt")))
-    else:
-        if state.limit(1).count() > 0:
-            raise RuntimeError("group quantiles did not converge")
-    vals = resolved.groupBy(*keys).agg(F.min("_v").alias("_v0"), F.max("_v").alias("_v1"),
-                                       F.count(F.lit(1)).alias("_k"))
-    # _v0 is the value at floor(pos), _v1 at ceil(pos) (ranks are ordered).
-    out = st.join(vals, keys).select(
-        *keys,
-        F.when(F.floor("_pos") == F.ceil("_pos"), F.col("_v0"))
-        .when(F.col("_v0") == F.col("_v1"), F.col("_v0"))
-        .otherwise((F.ceil("_pos") - F.col("_pos")) * F.col("_v0")
-                   + (F.col("_pos") - F.floor("_pos")) * F.col("_v1")).alias(name))
-    return out
+    data = (df.where(cond).select(*keys, values.alias("v")).where(F.col("v.x").isNotNull())
+            .groupBy(*keys, F.col("v.column").alias("column"), F.col("v.x").alias("_x")).agg(F.count(F.lit(1)).alias("_k")))
+    # A repeated value is one row; the order is by range, so a hot group is spread.
+    run = running_sums(data, ["_x"], ["_k"], partition_cols=[*keys, "column"], totals_prefix="_all")
+    first, last = F.col("cum__k") - F.col("_k"), F.col("cum__k")
+    picks = []
+    for i, p in enumerate(probs):
+        pos = F.lit(float(p)) * (F.col("_all_k") - 1)
+        for tag, r in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
+            picks.append(F.max(F.when((first <= r) & (r < last), F.col("_x"))).alias(f"{tag}{i}"))
+    got = run.groupBy(*keys, "column").agg(F.first("_all_k").alias("_n"), *picks)
+    out = []
+    for i, p in enumerate(probs):
+        pos, lo, hi = F.lit(float(p)) * (F.col("_n") - 1), F.col(f"lo{i}"), F.col(f"hi{i}")
+        out.append(F.when((F.floor(pos) == F.ceil(pos)) | (lo == hi), lo)
+                   .otherwise((F.ceil(pos) - pos) * lo + (pos - F.floor(pos)) * hi))
+    return got.select(*keys, *(["column"] if many else []), F.array(*out).alias("q"))
 
 
-def group_quantiles(df: DataFrame, col: str, keys: Sequence[str], probs: Sequence[float],
-                    small: int = 1_000_000) -> DataFrame:
-    """``(keys..., q0, q1, ...)``: exact ``percentile(col, p)`` per group for
-    each p.  When no group holds more than ``small`` values the
-    ``percentile`` aggregate is used (its per-group map is then bounded);
-    otherwise each p goes through ``group_quantile``."""
-    keys = list(keys)
-    cond = F.col(col).isNotNull()
-    for k in keys:
-        cond = cond & F.col(k).isNotNull()
-    largest = df.where(cond).groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if largest <= small:
-        agg = df.where(cond).groupBy(*keys).agg(F.percentile(F.col(col).cast("double"), list(probs)).alias("_q"))
-        return agg.select(*keys, *[F.col("_q")[i].alias(f"q{i}") for i in range(len(probs))])
-    out = None
-    for i, p in enumerate(probs):
-        q = group_quantile(df, col, keys, p, f"q{i}", small=small)
-        out = q if out is None else out.join(q, keys)
-    return out
+def group_quantile(df: DataFrame, col: str, keys: Sequence[str], p: float = 0.5, name: str | None = None) -> DataFrame:
+    """Exact ``percentile(col, p)`` per group (NULL keys and values dropped)."""
+    q = cut_lineage(group_quantiles(df, col, keys, [p]))
+    return q.select(*keys, F.col("q")[0].alias(name or f"q_{col}"))
