@@ -3,8 +3,8 @@
 Plan
 ----
 1. Pivots: the ``P`` data rows with the smallest md5 of their key
-   (deterministic; ``P ~ sqrt(n)``, at most ``max_pivots``; the pivot
-   matrix is size-checked before it is shipped to tasks).
+   (deterministic; ``P ~ sqrt(n)``, as far as the pivot matrix keeps to
+   ``MAX_PIVOT_VALUES`` numbers, since it is shipped to every task).
 2. Every data row gets its nearest pivot (its *cell*) and that distance;
    every query row gets its distances to all pivots.  Both are vectorised
    numpy passes inside ``mapInPandas``.
@@ -21,8 +21,10 @@ Plan
 5. Per query the block winners (at most ``k`` per block) are merged with a
    window partitioned by the query key.
 
-Ranking is on the squared distance rounded to 6 decimals, then the data key,
-so results are deterministic and independent of block layout.  Work is
+Ranking is on the squared distance rounded to 6 decimals, then the data key.
+Candidates are chosen on centred vectors with a slack that covers both the
+rounding and the error of the expanded form, and distances are recomputed from
+plain differences, so results are deterministic and independent of the blocks.  Work is
 quadratic only when the data defeat the pruning (e.g. unclustered
 high-dimensional vectors); it is never materialised as a pair table.
 """
@@ -53,6 +55,11 @@ def _matrix(series) -> np.ndarray:
     return np.stack(list(series)).astype(np.float64, copy=False)
 
 
+def _slack(dim: int, q2, x2):
+    """Error bound of ``|q|^2 + |x|^2 - 2 q.x`` from the squared norms."""
+    return 8 * np.finfo(float).eps * (dim + 4) * (q2 + x2)
+
+
 def _pivot_distances(v: np.ndarray, piv: np.ndarray) -> np.ndarray:
     d2 = (v * v).sum(1)[:, None] + (piv * piv).sum(1)[None, :] - 2.0 * (v @ piv.T)
     return np.sqrt(np.maximum(d2, 0.0))
@@ -62,7 +69,11 @@ def _block_topk(qk, qv, dk, dv, k: int, exclude_self: bool):
     """Top-k (rounded squared distance, key) of each query within a block."""
     if len(qk) == 0 or len(dk) == 0:
         return [], [], []
-    approx = ((qv * qv).sum(1)[:, None] + (dv * dv).sum(1)[None, :] - 2.0 * (qv @ dv.T))
+    centre = dv.mean(0)
+    qc, dc = qv - centre, dv - centre
+    q2, d2 = (qc * qc).sum(1), (dc * dc).sum(1)
+    approx = q2[:, None] + d2[None, :] - 2.0 * (qc @ dc.T)
+    slack = 2 * 10.0 ** -ROUND + 2 * _slack(qv.shape[1], q2, d2.max())
     if exclude_self:
         approx = np.where(qk[:, None] == dk[None, :], np.inf, approx)
     out_q, out_d, out_s = [], [], []
@@ -73,10 +84,10 @@ def _block_topk(qk, qv, dk, dv, k: int, exclude_self: bool):
         if m == 0:
             continue
         kk = min(k, m)
-        # Candidates: everything within a small slack of the k-th approximate
+        # Candidates: everything within the slack of the k-th approximate
         # distance, so that exact recomputation and rounding cannot miss a tie.
         kth = np.partition(row[finite], kk - 1)[kk - 1]
-        cand = np.nonzero(row <= kth + 1e-7 + 1e-9 * abs(kth))[0]
+        cand = np.nonzero(row <= kth + slack[i])[0]
         ex = np.round(_sqdist_exact(np.broadcast_to(qv[i], (len(cand), qv.shape[1])), dv[cand]), ROUND)
         order = np.lexsort((dk[cand], ex))[:kk]
         out_q.extend([qk[i]] * len(order))
@@ -85,14 +96,9 @@ def _block_topk(qk, qv, dk, dv, k: int, exclude_self: bool):
     return out_q, out_d, out_s
 
 
-def _check_pivots(p: int, dim: int):
-    if p * dim > MAX_PIVOT_VALUES:
-        raise ValueError(f"pivot matrix {p}x{dim} exceeds {MAX_PIVOT_VALUES} values")
-
-
 def knn(query: DataFrame, data: DataFrame, k: int, q_key: str = "key", q_vec: str = "vec",
         d_key: str = "key", d_vec: str = "vec", exclude_self: bool = False,
-        block: int = 2048, max_pivots: int = 256) -> DataFrame:
+        block: int = 2048, max_pivots: int | None = None) -> DataFrame:
     """Exact k nearest data rows of every query row.
 
     Returns ``(q_key, nb_key, sq_dist, rank)``; ``rank`` starts at 1.  With
@@ -107,17 +113,21 @@ def knn(query: DataFrame, data: DataFrame, k: int, q_key: str = "key", q_vec: st
     if n_d == 0:
         schema = "q_key long, nb_key long, sq_dist double, rank int"
         return spark.createDataFrame([], schema)
-    n_piv = max(1, min(max_pivots, int(math.sqrt(n_d))))
+    dim = D.select(F.max(F.size("dv"))).first()[0]
+    n_piv = max(1, min(int(math.sqrt(n_d)), max_pivots or MAX_PIVOT_VALUES // max(1, dim)))
     prow = (D.orderBy(F.md5(F.col("dk").cast("string")), "dk").limit(n_piv).collect())
     piv_keys = np.asarray([r["dk"] for r in prow], dtype=np.int64)
     piv = _matrix([r["dv"] for r in prow])
-    _check_pivots(*piv.shape)
+    n_piv = len(piv)
+    centre = piv.mean(0)
+    piv -= centre
+    piv2 = float((piv * piv).sum(1).max())
 
     def assign_cells(it):
         for pdf in it:
             if len(pdf) == 0:
                 continue
-            v = _matrix(pdf["dv"])
+            v = _matrix(pdf["dv"]) - centre
             dist = _pivot_distances(v, piv)
             cell = dist.argmin(1)
             pdf = pdf.assign(cell=cell.astype(np.int32), dcell=dist[np.arange(len(v)), cell])
@@ -126,6 +136,9 @@ def knn(query: DataFrame, data: DataFrame, k: int, q_key: str = "key", q_vec: st
     Dc = D.mapInPandas(assign_cells, "dk long, dv array<double>, cell int, dcell double").persist()
     stats = {r["cell"]: (r["n"], r["radius"]) for r in
              Dc.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("dcell").alias("radius")).collect()}
+    # A radius is the distance of a data row, as uncertain as any other.
+    far = max((r[1] or 0.0 for r in stats.values()), default=0.0)
+    radius_err = float(np.sqrt(_slack(dim, (far + math.sqrt(piv2)) ** 2, piv2)))
     radius = np.full(n_piv, np.nan)
     n_chunks = np.zeros(n_piv, dtype=np.int64)
     for c, (n, rr) in stats.items():
@@ -136,7 +149,7 @@ def knn(query: DataFrame, data: DataFrame, k: int, q_key: str = "key", q_vec: st
         for pdf in it:
             if len(pdf) == 0:
                 continue
-            v = _matrix(pdf["qv"])
+            v = _matrix(pdf["qv"]) - centre
             dist = _pivot_distances(v, piv)
             if exclude_self:
                 own = pdf["qk"].to_numpy()[:, None] == piv_keys[None, :]
@@ -149,8 +162,10 @@ def knn(query: DataFrame, data: DataFrame, k: int, q_key: str = "key", q_vec: st
             else:
                 r = np.full(len(v), np.inf)
             r = np.where(avail >= k, r, np.inf)
-            bound = r * (1 + 1e-9) + 1e-6
-            ok = (dist - radius[None, :]) <= bound[:, None]
+            # Squared distances that round alike count as equal; distances carry the error of the expanded form.
+            err = np.sqrt(_slack(v.shape[1], (v * v).sum(1), piv2))
+            bound = np.sqrt(r * r + 2 * 10.0 ** -ROUND) + 2 * err
+            ok = (dist - radius[None, :]) <= (bound + err + radius_err)[:, None]
             ok &= ~np.isnan(radius)[None, :]
             cells = [np.nonzero(row)[0].astype(np.int32).tolist() for row in ok]
             yield pd.DataFrame({"qk": pdf["qk"], "qv": pdf["qv"], "cells": cells})
@@ -226,7 +241,8 @@ def knn_impute(df: DataFrame, key: str, cols: list[str], k: int = 5, block: int
     Receivers (rows with a missing value) and donors (rows with any value)
     are cut into blocks of at most ``block`` rows; each block is one
     ``cogroup`` task that computes the distance matrix once with numpy and
-    selects, per target column, the block's k best donors.  Memory per task
+    selects, per target column, the block's k best donors (by distance rounded
+    to 6 decimals, computed from plain differences, then key).  Memory per task
     is bounded whatever the table size; the per-receiver merge is a window
     partitioned by (receiver, column).
     """
@@ -250,6 +266,7 @@ def knn_impute(df: DataFrame, key: str, cols: list[str], k: int = 5, block: int
     n_r, n_d = stats["_nr"], stats["_nd"]
     if n_r == 0:
         return df
+    centre = np.array([stats[c] if stats[c] is not None else 0.0 for c in cols], dtype=np.float64)
     rq = max(1, math.ceil(n_r / block))
     dq = max(1, math.ceil(max(n_d, 1) / block))
     qchunk = F.pmod(F.xxhash64("_k"), F.lit(rq)).cast("int")
@@ -263,7 +280,7 @@ def knn_impute(df: DataFrame, key: str, cols: list[str], k: int = 5, block: int
     D1 = donors.where(dchunk == 0).select(F.col("_k").alias("_k"), *[F.col(v).alias(v) for v in vcols],
                                           F.explode(F.sequence(F.lit(0), F.lit(rq - 1))).alias("qchunk"))
     bounds = (R1.groupBy("qchunk").cogroup(D1.groupBy("qchunk"))
-              .applyInPandas(_impute_block(ncol, k, bounds_only=True),
+              .applyInPandas(_impute_block(ncol, k, centre, bounds_only=True),
                              "rk long, " + ", ".join(f"{b} double" for b in bcols)))
     # Pass 2: all blocks; a block emits only donors within the bound.
     r, b = recv.alias("r"), bounds.alias("b")
@@ -275,7 +292,7 @@ def knn_impute(df: DataFrame, key: str, cols: list[str], k: int = 5, block: int
     Db = donors.select("_k", *vcols, dchunk.alias("dchunk"),
                        F.explode(F.sequence(F.lit(0), F.lit(rq - 1))).alias("qchunk"))
     cand = (Rb.groupBy("qchunk", "dchunk").cogroup(Db.groupBy("qchunk", "dchunk"))
-            .applyInPandas(_impute_block(ncol, k), "rk long, ci int, dk long, dist double, val double"))
+            .applyInPandas(_impute_block(ncol, k, centre), "rk long, ci int, dk long, dist double, val double"))
     w = Window.partitionBy("rk", "ci").orderBy("dist", "dk")
     top = cand.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
     fills = top.groupBy("rk").agg(*[F.avg(F.when(F.col("ci") == i, F.col("val"))).alias(f"_fill_{i}")
@@ -302,7 +319,7 @@ def any_present_col(cols):
     return out
 
 
-def _impute_block(ncol: int, k: int, bounds_only: bool = False):
+def _impute_block(ncol: int, k: int, centre: np.ndarray, bounds_only: bool = False):
     """Block kernel of ``knn_impute``: one distance matrix, then the k best
     donors of every receiver for each column the receiver lacks (or, with
     ``bounds_only``, each receiver's k-th distance per column)."""
@@ -322,8 +339,9 @@ def _impute_block(ncol: int, k: int, bounds_only: bool = False):
                 return pd.DataFrame({"rk": qpdf["_k"].to_numpy(np.int64),
                                      **{b: np.full(len(qpdf), np.inf) for b in bcols}})
             return empty
-        qv = qpdf[vcols].to_numpy(np.float64, na_value=np.nan)
-        dv = dpdf[vcols].to_numpy(np.float64, na_value=np.nan)
+        qv = qpdf[vcols].to_numpy(np.float64, na_value=np.nan) - centre
+        val = dpdf[vcols].to_numpy(np.float64, na_value=np.nan)
+        dv = val - centre
         qm, dm = ~np.isnan(qv), ~np.isnan(dv)
         q0, d0 = np.nan_to_num(qv), np.nan_to_num(dv)
         both = qm.astype(np.float64) @ dm.T.astype(np.float64)
@@ -333,6 +351,14 @@ def _impute_block(ncol: int, k: int, bounds_only: bool = False):
         # Squared missing-aware distance; no common coordinate -> +inf.
         d2 = np.full(sq.shape, np.inf)
         np.divide(sq, both, out=d2, where=both > 0)
+        # Error of the expanded form, at most ncol common coordinates short.
+        err2 = ncol * _slack(ncol, (q0 * q0).sum(1), (d0 * d0).sum(1).max())
+
+        def exact(qi, di):
+            diff = np.where(qm[qi] & dm[di], q0[qi] - d0[di], 0.0)
+            n = (qm[qi] & dm[di]).sum(1)
+            return np.round(np.sqrt((diff * diff).sum(1) * ncol / np.maximum(n, 1)), ROUND)
+
         qk_, dk_ = qpdf["_k"].to_numpy(np.int64), dpdf["_k"].to_numpy(np.int64)
         if bounds_only:
             out = np.full((len(qk_), ncol), np.inf)
@@ -359,22 +385,26 @@ def _impute_block(ncol: int, k: int, bounds_only: bool = False):
                 kk = min(k, d.shape[1])
                 kth2 = np.partition(d, kk - 1, axis=1)[:, kk - 1]
                 if bounds_only:
-                    out[rows, ci] = np.sqrt(kth2) if d.shape[1] >= k else np.inf
+                    out[rows, ci] = np.sqrt(kth2 + err2[rows]) if d.shape[1] >= k else np.inf
                     done[sig] = ci
                     continue
-                kth = np.minimum(np.sqrt(kth2), prior[rows, ci])
-                # Keep everything within 1e-6 of the k-th distance: a donor
-                # farther than that ranks strictly after the k best once
-                # distances are rounded to 6 decimals, so the merge is exact.
-                thr2 = np.where(np.isfinite(kth), (kth + 1e-6) ** 2, -1.0)
-                qi, di = np.nonzero(d <= thr2[:, None])
-                dd = np.round(np.sqrt(d[qi, di]), ROUND)
+                kth = np.minimum(np.sqrt(kth2 + err2[rows]), prior[rows, ci])
+                # Everything that could round to a distance among the k best,
+                # measured exactly, then the k best by (distance, key).
+                near = np.isfinite(d) & (d <= ((np.where(np.isfinite(kth), kth, np.inf) + 2e-6) ** 2 + err2[rows])[:, None])
+                qi, di = np.nonzero(near)
+                dd = exact(rows[qi], donors[di])
+                order = np.lexsort((dk_[donors[di]], dd, qi))
+                qi, di, dd = qi[order], di[order], dd[order]
+                first = np.searchsorted(qi, qi)
+                best = np.arange(len(qi)) - first < k
+                qi, di, dd = qi[best], di[best], dd[best]
                 done[sig] = (ci, (qi, di, dd))
             if len(qi) == 0:
                 continue
             parts.append(pd.DataFrame({"rk": qk_[rows[qi]], "ci": np.full(len(qi), ci, np.int32),
                                        "dk": dk_[donors[di]], "dist": dd,
-                                       "val": dv[donors[di], ci]}))
+                                       "val": val[donors[di], ci]}))
         if bounds_only:
             return pd.DataFrame({"rk": qk_, **{b: out[:, i] for i, b in enumerate(bcols)}})
         return pd.concat(parts, ignore_index=True) if parts else empty

@@ -45,22 +45,34 @@ def _synthesise(minority_df: DataFrame, key: str, vec: str, copies: DataFrame, k
     return out.select("src_id", "copy", "nb_id", "u", new.alias(vec))
 
 
+def _originals(df: DataFrame, key: str, vec: str, label: str) -> DataFrame:
+    return df.select(F.col(key).cast("long").alias("src_id"), F.lit(None).cast("int").alias("copy"),
+                     F.lit(None).cast("long").alias("nb_id"), F.lit(None).cast("double").alias("u"),
+                     F.col(vec).cast("array<double>").alias(vec), F.col(label))
+
+
+def _resampled(df: DataFrame, key: str, vec: str, label: str, new: DataFrame) -> DataFrame:
+    """Every input row, then the synthetic ones (``copy`` not NULL)."""
+    return _originals(df, key, vec, label).unionByName(new.select("src_id", F.col("copy").cast("int").alias("copy"), "nb_id", "u", vec,
+                                                                  F.col(label).cast(df.schema[label].dataType).alias(label)))
+
+
 def smote(df: DataFrame, key: str, vec: str, label: str, minority, ratio: float = 1.0,
           k: int = 5) -> DataFrame:
-    """Synthetic minority rows so that minority / majority reaches ``ratio``
-    (``int(ratio * n_majority) - n_minority`` new rows, spread evenly over the
-    minority rows in key order: the first ``n_new % n_min`` get one extra).
-    Returns the synthetic rows ``(src_id, copy, nb_id, u, vec, label)``."""
+    """The table with the minority grown until minority / majority reaches
+    ``ratio`` (``int(ratio * n_majority) - n_minority`` new rows, spread evenly
+    over the minority rows in key order: the first ``n_new % n_min`` get one
+    extra).  Returns ``(src_id, copy, nb_id, u, vec, label)``: the originals,
+    with ``copy``, ``nb_id`` and ``u`` NULL, and the synthetic rows."""
     n_min, n_maj = _counts(df, label, minority)
     n_new = int(ratio * n_maj) - n_min
     mino = df.where(F.col(label) == F.lit(minority)).select(key, vec)
     if n_new <= 0 or n_min < 2:
-        return _synthesise(mino, key, vec, mino.select(key, F.lit(0).alias("n_copies")), k).withColumn(
-            label, F.lit(minority)).limit(0)
+        return _originals(df, key, vec, label)
     base, extra = divmod(n_new, n_min)
     pos = ordered_index(mino.select(key), [key], name="_pos")
     copies = pos.select(key, (F.lit(base) + F.when(F.col("_pos") - 1 < extra, 1).otherwise(0)).alias("n_copies"))
-    return _synthesise(mino, key, vec, copies, k).withColumn(label, F.lit(minority))
+    return _resampled(df, key, vec, label, _synthesise(mino, key, vec, copies, k).withColumn(label, F.lit(minority)))
 
 
 def adasyn(df: DataFrame, key: str, vec: str, label: str, minority, ratio: float = 1.0,
@@ -68,7 +80,7 @@ def adasyn(df: DataFrame, key: str, vec: str, label: str, minority, ratio: float
     """ADASYN: each minority row gets copies in proportion to the share of
     majority rows among its ``k`` nearest neighbours (over all rows):
     ``rint(r_i / sum(r) * G)`` with ``G = int(ratio * n_majority) - n_minority``
-    (half-to-even rounding).  Synthesis as in ``smote``."""
+    (half-to-even rounding).  Synthesis and result as in ``smote``."""
     n_min, n_maj = _counts(df, label, minority)
     g_total = int(ratio * n_maj) - n_min
     mino = df.where(F.col(label) == F.lit(minority)).select(key, vec)
@@ -82,4 +94,4 @@ def adasyn(df: DataFrame, key: str, vec: str, label: str, minority, ratio: float
     else:
         copies = hard.select(F.col("q_key").alias(key),
                              F.bround(F.col("r") / F.lit(total) * F.lit(float(g_total)), 0).cast("int").alias("n_copies"))
-    return _synthesise(mino, key, vec, copies, k).withColumn(label, F.lit(minority))
+    return _resampled(df, key, vec, label, _synthesise(mino, key, vec, copies, k).withColumn(label, F.lit(minority)))

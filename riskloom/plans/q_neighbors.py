@@ -104,7 +104,8 @@ SELECT g.src_id, CAST(g.copy AS INTEGER) AS copy, g.nb_id, g.u,
        round(a.v[1] + g.u * (b.v[1] - a.v[1]), 6) AS x0, round(a.v[2] + g.u * (b.v[2] - a.v[2]), 6) AS x1,
        round(list_sum(list_transform(range(1, {DIM + 1}), lambda i: a.v[i] + g.u * (b.v[i] - a.v[i]))), 6) AS vsum,
        0 AS label
-FROM g JOIN m a ON a.vec_id = g.src_id JOIN m b ON b.vec_id = g.nb_id"""
+FROM g JOIN m a ON a.vec_id = g.src_id JOIN m b ON b.vec_id = g.nb_id
+UNION ALL SELECT vec_id, NULL, NULL, NULL, round(v[1], 6), round(v[2], 6), round(list_sum(v), 6), label FROM e"""
 
 
 def _synthetic_out(df):
