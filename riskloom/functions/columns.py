@@ -99,12 +99,12 @@ def first_token(c, delim: str = ",") -> Column:
 
 def _ws_tokens(c) -> Column:
     # Python's str.split(): split on runs of whitespace, no empty tokens.
-    return F.split(F.trim(col(c)), r"\s+")
+    return F.filter(F.split(col(c), r"[\s\x0B\x1C-\x1F\x85\p{Z}]+"), lambda w: w != "")
 
 
 def last_token(c) -> Column:
-    """Last whitespace-separated token (H3)."""
-    return F.element_at(_ws_tokens(c), -1)
+    """Last whitespace-separated token (H3); NULL if there is none."""
+    return F.try_element_at(_ws_tokens(c), F.lit(-1))
 
 
 def to_number(c, default=0.0) -> Column:

@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .ordering import running_sums
 
 
@@ -47,21 +48,22 @@ def class_report(df: DataFrame, label: str, pred: str) -> DataFrame:
     weighted averages (D16, D20).  Classes are the union of labels and
     predictions; an undefined ratio is 0."""
     cm = df.groupBy(F.col(label).alias("y"), F.col(pred).alias("p")).agg(F.count(F.lit(1)).alias("n"))
-    classes = cm.select(F.col("y").alias("cls")).union(cm.select(F.col("p").alias("cls"))).distinct()
-    true_c = cm.groupBy(F.col("y").alias("cls")).agg(F.sum("n").alias("support"))
-    pred_c = cm.groupBy(F.col("p").alias("cls")).agg(F.sum("n").alias("predicted"))
-    tp_c = cm.where(F.col("y") == F.col("p")).select(F.col("y").alias("cls"), F.col("n").alias("tp"))
-    per = (classes.join(true_c, "cls", "left").join(pred_c, "cls", "left").join(tp_c, "cls", "left")
-           .fillna(0, ["support", "predicted", "tp"]))
+    zero = F.lit(0).cast("long")
+    hit = F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(zero)
+    sides = cm.select(F.explode(F.array(
+        F.struct(F.col("y").alias("cls"), F.col("n").alias("support"), zero.alias("predicted"), hit.alias("tp")),
+        F.struct(F.col("p").alias("cls"), zero.alias("support"), F.col("n").alias("predicted"), zero.alias("tp")))).alias("s"))
+    per = sides.select("s.*").groupBy("cls").agg(*[F.sum(c).alias(c) for c in ("support", "predicted", "tp")])
     per = per.select("cls", _z(F.col("tp"), F.col("predicted")).alias("precision"),
                      _z(F.col("tp"), F.col("support")).alias("recall"), "support", "tp")
-    per = per.withColumn("f1", _z(2 * F.col("precision") * F.col("recall"),
-                                  F.col("precision") + F.col("recall")))
+    # A row per class, read twice below: written once, so the input is scanned once.
+    per = cut_lineage(per.withColumn("f1", _z(2 * F.col("precision") * F.col("recall"),
+                                              F.col("precision") + F.col("recall"))))
     tot = per.agg(F.sum("support").alias("n"), F.sum("tp").alias("tp"),
                   F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1").alias("mf"),
-                  (F.sum(F.col("precision") * F.col("support")) / F.sum("support")).alias("wp"),
-                  (F.sum(F.col("recall") * F.col("support")) / F.sum("support")).alias("wr"),
-                  (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("wf"))
+                  F.try_divide(F.sum(F.col("precision") * F.col("support")), F.sum("support")).alias("wp"),
+                  F.try_divide(F.sum(F.col("recall") * F.col("support")), F.sum("support")).alias("wr"),
+                  F.try_divide(F.sum(F.col("f1") * F.col("support")), F.sum("support")).alias("wf"))
     rows = per.select(F.col("cls").cast("string").alias("class_name"), "precision", "recall", "f1",
                       F.col("support").cast("long").alias("support"))
     def row(name, p, r, f):
@@ -70,7 +72,7 @@ def class_report(df: DataFrame, label: str, pred: str) -> DataFrame:
                         F.col("n").cast("long").alias("support"))
     nul = F.lit(None)
     summary = tot.select(F.explode(F.array(
-        row("accuracy", nul, nul, F.col("tp") / F.col("n")),
+        row("accuracy", nul, nul, F.try_divide(F.col("tp"), F.col("n"))),
         row("macro avg", F.col("mp"), F.col("mr"), F.col("mf")),
         row("weighted avg", F.col("wp"), F.col("wr"), F.col("wf")),
     )).alias("s")).select("s.*")
