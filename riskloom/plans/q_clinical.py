@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
-from ..functions.binning import cut, cut_sql
+from ..functions.binning import cut
 from ..functions.columns import between_flag, flag, present_flag, safe_div
+from ..operators.impute import fill_sentinel_median
 from ..operators.strata import risk_strata
 from .common import r6, vx, with_vitals
 from .registry import register
@@ -22,6 +23,9 @@ BANDS = {
     "age_risk": ("age", [0, 45, 55, 65, 75, 100], ["Low", "Moderate", "High", "Very High", "Critical"]),
     "bmi_category": ("bmi", [0, 18.5, 25, 30, 35, 100],
                      ["Underweight", "Normal", "Overweight", "Obese", "Severely Obese"]),
+    "diabetes_bmi": ("bmi", [0, 18.5, 25, 30, 35, 100],
+                     ["Underweight", "Normal", "Overweight", "Obese", "Severely_Obese"]),
+    "diabetes_glucose": ("glucose", [0, 100, 125, 200, 500], ["Normal", "Prediabetic", "Diabetic", "Severe"]),
     "glucose_risk": ("glucose", [0, 100, 125, 200, 500], ["Normal", "Prediabetic", "Diabetic", "Uncontrolled"]),
     "dbp_category": ("dbp", [0, 80, 90, 120, 140, 200], ["Low", "Normal", "Elevated", "High", "Crisis"]),
     "age_group": ("age", [0, 30, 40, 50, 60, 100], ["Young", "Middle", "PreSenior", "Senior", "Elder"]),
@@ -36,8 +40,68 @@ BANDS = {
 }
 
 
+# The oracles word every rule a second time, by hand, so a wrong number in a
+# rule table cannot pass on both sides.
+def _when(*cases: str, other: str = "NULL") -> str:
+    return "CASE " + " ".join(f"WHEN {c}" for c in cases) + f" ELSE {other} END"
+
+
+def _points(*rules: str) -> str:
+    """'3 if pot > 6' -> a sum of CASE terms."""
+    return "(" + " + ".join(f"CASE WHEN {r.split(' if ', 1)[1]} THEN {r.split(' if ', 1)[0]} ELSE 0 END" for r in rules) + ")"
+
+
+SQL_CV = _points("2 if hypertension = 1", "3 if heart_disease = 1", "1 if age > 55", "1 if glucose > 125", "1 if bmi > 30",
+                 "1 if smoking = 'smokes' OR smoking = 'formerly smoked'")
+SQL_CARDIAC = _points("1 if age > 55", "1 if sex = 'M'", "2 if chest_pain = 'TA'", "2 if angina = 'Y'", "1 if oldpeak > 1",
+                      "1 if fasting_bs = 1")
+SQL_METABOLIC = _points("1 if glucose > 100", "1 if sbp > 130", "1 if bmi > 30")
+SQL_DIABETES = _points("3 if glucose > 125", "2 if bmi > 30", "2 if age > 45", "2 if pedigree > 0.5", "1 if sbp > 140")
+SQL_SIRS = {"temp": "temp > 38 OR temp < 36", "hr": "hr > 90", "rr": "rr > 20", "wbc": "wbc > 12 OR wbc < 4"}
+SQL_QSOFA = {"bp": "sbp <= 100", "rr": "rr >= 22", "gcs": "gcs < 15"}
+SQL_SOFA = {
+    "cardiovascular": _when("vaso = 1 THEN 3", "map < 70 THEN 1", other="0"),
+    "respiratory": _when("pf < 100 THEN 4", "pf < 200 THEN 3", "pf < 300 THEN 2", "pf < 400 THEN 1", other="0"),
+    "renal": _when("sc >= 5.0 THEN 4", "sc >= 3.5 THEN 3", "sc >= 2.0 THEN 2", "sc >= 1.2 THEN 1", other="0"),
+    "coagulation": _when("plt < 20 THEN 4", "plt < 50 THEN 3", "plt < 100 THEN 2", "plt < 150 THEN 1", other="0"),
+    "liver": _when("bili >= 12 THEN 4", "bili >= 6 THEN 3", "bili >= 2 THEN 2", "bili >= 1.2 THEN 1", other="0"),
+}
+SQL_URAEMIA = _points("1 if bu > 40", "2 if sc > 2", "2 if pot > 5.5", "1 if hemo < 10", "1 if appet = 0")
+SQL_SYSTEMS = _points("1 if ane = 1", "1 if hypertension = 1", "1 if al > 0", "1 if appet = 0")
+SQL_ICU = _points("3 if pot > 6", "3 if egfr < 15", "2 if bu > 100", "2 if sbp > 180", "2 if hemo < 7", "1 if pe = 1")
+SQL_BANDS = {
+    "age_risk": _when("age <= 0 THEN NULL", "age <= 45 THEN 'Low'", "age <= 55 THEN 'Moderate'", "age <= 65 THEN 'High'",
+                      "age <= 75 THEN 'Very High'", "age <= 100 THEN 'Critical'"),
+    "bmi_category": _when("bmi <= 0 THEN NULL", "bmi <= 18.5 THEN 'Underweight'", "bmi <= 25 THEN 'Normal'", "bmi <= 30 THEN 'Overweight'",
+                          "bmi <= 35 THEN 'Obese'", "bmi <= 100 THEN 'Severely Obese'"),
+    "diabetes_bmi": _when("bmi <= 0 THEN NULL", "bmi <= 18.5 THEN 'Underweight'", "bmi <= 25 THEN 'Normal'", "bmi <= 30 THEN 'Overweight'",
+                          "bmi <= 35 THEN 'Obese'", "bmi <= 100 THEN 'Severely_Obese'"),
+    "glucose_risk": _when("glucose <= 0 THEN NULL", "glucose <= 100 THEN 'Normal'", "glucose <= 125 THEN 'Prediabetic'",
+                          "glucose <= 200 THEN 'Diabetic'", "glucose <= 500 THEN 'Uncontrolled'"),
+    "diabetes_glucose": _when("glucose <= 0 THEN NULL", "glucose <= 100 THEN 'Normal'", "glucose <= 125 THEN 'Prediabetic'",
+                              "glucose <= 200 THEN 'Diabetic'", "glucose <= 500 THEN 'Severe'"),
+    "dbp_category": _when("dbp <= 0 THEN NULL", "dbp <= 80 THEN 'Low'", "dbp <= 90 THEN 'Normal'", "dbp <= 120 THEN 'Elevated'",
+                          "dbp <= 140 THEN 'High'", "dbp <= 200 THEN 'Crisis'"),
+    "age_group": _when("age <= 0 THEN NULL", "age <= 30 THEN 'Young'", "age <= 40 THEN 'Middle'", "age <= 50 THEN 'PreSenior'",
+                       "age <= 60 THEN 'Senior'", "age <= 100 THEN 'Elder'"),
+    "heart_age_risk": _when("age <= 0 THEN NULL", "age <= 40 THEN 'Low'", "age <= 55 THEN 'Moderate'", "age <= 65 THEN 'High'",
+                            "age <= 100 THEN 'Very High'"),
+    "heart_bp": _when("sbp <= 0 THEN NULL", "sbp <= 120 THEN 'Normal'", "sbp <= 130 THEN 'Elevated'", "sbp <= 140 THEN 'Stage1'",
+                      "sbp <= 180 THEN 'Stage2'", "sbp <= 300 THEN 'Crisis'"),
+    "chol_risk": _when("chol_k6 <= 0 THEN NULL", "chol_k6 <= 200 THEN 'Desirable'", "chol_k6 <= 240 THEN 'Borderline'",
+                       "chol_k6 <= 1000 THEN 'High'"),
+    "anaemia": _when("hemo <= 0 THEN NULL", "hemo <= 8 THEN 'Severe'", "hemo <= 10 THEN 'Moderate'", "hemo <= 12 THEN 'Mild'",
+                     "hemo <= 20 THEN 'None'"),
+    "k_risk": _when("pot <= 0 THEN NULL", "pot <= 3.5 THEN 'Hypokalemia'", "pot <= 5.0 THEN 'Normal'", "pot <= 5.5 THEN 'Mild_Hyper'",
+                    "pot <= 6.0 THEN 'Moderate_Hyper'", "pot <= 10 THEN 'Severe_Hyper'"),
+    "renal_bp": _when("sbp <= 0 THEN NULL", "sbp <= 120 THEN 'Normal'", "sbp <= 130 THEN 'Elevated'", "sbp <= 140 THEN 'Stage1_HTN'",
+                      "sbp <= 160 THEN 'Stage2_HTN'", "sbp <= 200 THEN 'Crisis'"),
+    "proteinuria": _when("al <= -1 THEN NULL", "al <= 0 THEN 'None'", "al <= 1 THEN 'Mild'", "al <= 3 THEN 'Moderate'", "al <= 5 THEN 'Severe'"),
+}
+
+
 @register("risk_strata", with_vitals(f"""
-, b AS (SELECT {cut_sql('p', STROKE_RISK[0])} AS band, y FROM vx),
+, b AS (SELECT {_when("p <= 0 THEN NULL", "p <= 0.1 THEN 0", "p <= 0.3 THEN 1", "p <= 0.5 THEN 2", "p <= 0.7 THEN 3", "p <= 1 THEN 4")} AS band, y FROM vx),
 agg AS (SELECT band, count(y) AS n, sum(y) AS s, avg(y) AS r FROM b WHERE band IS NOT NULL GROUP BY band),
 dim AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{v}')" for i, v in enumerate(STROKE_RISK[1]))}) d(band, risk_category))
 SELECT dim.band AS band, dim.risk_category AS risk_category,
@@ -50,8 +114,8 @@ def q_risk_strata(spark, sf_dir):
 
 
 @register("risk_strata_multi", with_vitals(f"""
-, s AS (SELECT {S.additive_score_sql(S.ICU_RISK)} AS icu_risk, egfr, p, y FROM vx),
-b AS (SELECT {cut_sql('p', CKD_RISK[0])} AS band, y, icu_risk, egfr FROM s),
+, s AS (SELECT {SQL_ICU} AS icu_risk, egfr, p, y FROM vx),
+b AS (SELECT {_when("p <= 0 THEN NULL", "p <= 0.2 THEN 0", "p <= 0.4 THEN 1", "p <= 0.6 THEN 2", "p <= 0.8 THEN 3", "p <= 1 THEN 4")} AS band, y, icu_risk, egfr FROM s),
 agg AS (SELECT band, count(y) AS n, sum(y) AS s, avg(y) AS r, avg(icu_risk) AS ai, avg(egfr) AS ae
         FROM b WHERE band IS NOT NULL GROUP BY band),
 dim AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{v}')" for i, v in enumerate(CKD_RISK[1]))}) d(band, risk_category))
@@ -67,19 +131,20 @@ def q_risk_strata_multi(spark, sf_dir):
 
 
 @register("action_tier", with_vitals(f"""
-SELECT id, y, p, {cut_sql('p', ALERT[0], ALERT[1])} AS alert_level,
-       {cut_sql('p', ACTION[0], ACTION[1])} AS action_required FROM vx"""), "I5 I4")
+SELECT id, y, p, {_when("p <= 0 THEN NULL", "p <= 0.1 THEN 'Green'", "p <= 0.3 THEN 'Yellow-Low'", "p <= 0.5 THEN 'Yellow-High'", "p <= 0.7 THEN 'Orange'", "p <= 0.9 THEN 'Red'", "p <= 1 THEN 'Critical'")} AS alert_level,
+       {_when("p <= 0 THEN NULL", "p <= 0.3 THEN 'Monitor'", "p <= 0.5 THEN 'Investigate'", "p <= 1 THEN 'Intervene'")} AS action_required FROM vx"""), "I5 I4")
 def q_action_tier(spark, sf_dir):
     v = vx(spark, sf_dir)
     return v.select("id", "y", "p", cut("p", *ALERT).alias("alert_level"),
                     cut("p", *ACTION).alias("action_required"))
 
 
-@register("cut_edges", with_vitals("\nSELECT id, " + ", ".join(
-    f"{cut_sql(c, e, lab)} AS {name}" for name, (c, e, lab) in BANDS.items()) + " FROM vx"),
-    "I1 M24 M31")
+@register("cut_edges", with_vitals("\nSELECT id, " + ", ".join(f"{e} AS {name}" for name, e in SQL_BANDS.items())
+                                  + " FROM (SELECT *, CASE WHEN chol = 0 THEN (SELECT median(chol) FROM vx) ELSE chol END AS chol_k6 FROM vx)"),
+          "I1 M24 M31 K6")
 def q_cut_edges(spark, sf_dir):
-    v = vx(spark, sf_dir)
+    # Cholesterol is banded after its sentinel zeros were filled (K6).
+    v = fill_sentinel_median(vx(spark, sf_dir), "chol")
     return v.select("id", *[cut(c, e, lab).alias(name) for name, (c, e, lab) in BANDS.items()])
 
 
@@ -99,7 +164,7 @@ SELECT id,
 FROM vx"""
 
 
-@register("flags", with_vitals(_FLAG_SQL), "B8 B9 B18 M6 M18 M21 M26")
+@register("flags", with_vitals(_FLAG_SQL), "B8 B9 B18 H14 M6 M18 M21 M26")
 def q_flags(spark, sf_dir):
     v = vx(spark, sf_dir)
     c = F.col
@@ -119,57 +184,57 @@ def q_flags(spark, sf_dir):
     )
 
 
-@register("score_cv", with_vitals(f"\nSELECT id, {S.additive_score_sql(S.CV)} AS cv_risk_score FROM vx"), "M1 B10 B12")
+@register("score_cv", with_vitals(f"\nSELECT id, {SQL_CV} AS cv_risk_score FROM vx"), "M1 B10 B12")
 def q_score_cv(spark, sf_dir):
     return vx(spark, sf_dir).select("id", S.additive_score(S.CV).alias("cv_risk_score"))
 
 
-@register("score_cardiac", with_vitals(f"\nSELECT id, {S.additive_score_sql(S.CARDIAC)} AS cardiac_score FROM vx"), "M2")
+@register("score_cardiac", with_vitals(f"\nSELECT id, {SQL_CARDIAC} AS cardiac_score FROM vx"), "M2")
 def q_score_cardiac(spark, sf_dir):
     return vx(spark, sf_dir).select("id", S.additive_score(S.CARDIAC).alias("cardiac_score"))
 
 
 @register("score_metabolic", with_vitals(
-    f"\nSELECT id, {S.additive_score_sql(S.METABOLIC)} AS metabolic_score, "
-    f"{S.additive_score_sql(S.DIABETES_RISK)} AS diabetes_risk FROM vx"), "M4 M7")
+    f"\nSELECT id, {SQL_METABOLIC} AS metabolic_score, "
+    f"{SQL_DIABETES} AS diabetes_risk FROM vx"), "M4 M7")
 def q_score_metabolic(spark, sf_dir):
     return vx(spark, sf_dir).select("id", S.additive_score(S.METABOLIC).alias("metabolic_score"),
                                     S.additive_score(S.DIABETES_RISK).alias("diabetes_risk"))
 
 
 def _flags_sql(rules, prefix):
-    return ", ".join(f"CASE WHEN {S.condition_sql(c)} THEN 1 ELSE 0 END AS {prefix}{n}"
-                     for n, _, c in rules)
+    return ", ".join(f"CASE WHEN {c} THEN 1 ELSE 0 END AS {prefix}{n}" for n, c in rules.items())
+
+
+def _total_sql(rules):
+    return _points(*[f"1 if {c}" for c in rules.values()])
 
 
 @register("score_sirs", with_vitals(
-    f"\nSELECT id, {_flags_sql(S.SIRS, 'sirs_')}, {S.additive_score_sql(S.SIRS)} AS sirs_score FROM vx"), "M8")
+    f"\nSELECT id, {_flags_sql(SQL_SIRS, 'sirs_')}, {_total_sql(SQL_SIRS)} AS sirs_score FROM vx"), "M8")
 def q_score_sirs(spark, sf_dir):
     return vx(spark, sf_dir).select("id", *S.rule_flags(S.SIRS, "sirs_"),
                                     S.additive_score(S.SIRS).alias("sirs_score"))
 
 
 @register("score_qsofa", with_vitals(
-    f"\nSELECT id, {_flags_sql(S.QSOFA, 'qsofa_')}, {S.additive_score_sql(S.QSOFA)} AS qsofa_score FROM vx"), "M9")
+    f"\nSELECT id, {_flags_sql(SQL_QSOFA, 'qsofa_')}, {_total_sql(SQL_QSOFA)} AS qsofa_score FROM vx"), "M9")
 def q_score_qsofa(spark, sf_dir):
     return vx(spark, sf_dir).select("id", *S.rule_flags(S.QSOFA, "qsofa_"),
                                     S.additive_score(S.QSOFA).alias("qsofa_score"))
 
 
-_SOFA_SQL = {n: S.tiered_score_sql(t) for n, t in S.SOFA}
-
-
 @register("score_sofa", with_vitals(
-    "\nSELECT id, " + ", ".join(f"{e} AS sofa_{n}" for n, e in _SOFA_SQL.items())
-    + ", " + " + ".join(f"({e})" for e in _SOFA_SQL.values()) + " AS sofa_total, "
-    + " + ".join(f"CASE WHEN ({e}) > 0 THEN 1 ELSE 0 END" for e in _SOFA_SQL.values())
+    "\nSELECT id, " + ", ".join(f"{e} AS sofa_{n}" for n, e in SQL_SOFA.items())
+    + ", " + " + ".join(f"({e})" for e in SQL_SOFA.values()) + " AS sofa_total, "
+    + " + ".join(f"CASE WHEN ({e}) > 0 THEN 1 ELSE 0 END" for e in SQL_SOFA.values())
     + " AS multi_organ FROM vx"), "M10-M15 M19 B11")
 def q_score_sofa(spark, sf_dir):
     return vx(spark, sf_dir).select("id", *S.sofa_columns())
 
 
 @register("score_comorbidity", with_vitals(
-    "\nSELECT id, " + " + ".join(S.COMORBIDITIES) + " AS comorbidity_count FROM vx"), "M20")
+    "\nSELECT id, " + "diabetes + hypertension + chf + copd + ckd + immuno" + " AS comorbidity_count FROM vx"), "M20")
 def q_score_comorbidity(spark, sf_dir):
     v = vx(spark, sf_dir)
     total = F.col(S.COMORBIDITIES[0])
@@ -179,9 +244,9 @@ def q_score_comorbidity(spark, sf_dir):
 
 
 @register("score_renal", with_vitals(
-    f"\nSELECT id, {S.additive_score_sql(S.URAEMIA)} AS uremia_risk, "
-    f"{S.additive_score_sql(S.SYSTEM_INVOLVEMENT)} AS system_involvement, "
-    f"{S.additive_score_sql(S.ICU_RISK)} AS icu_risk_score FROM vx"), "M27 M28 M29")
+    f"\nSELECT id, {SQL_URAEMIA} AS uremia_risk, "
+    f"{SQL_SYSTEMS} AS system_involvement, "
+    f"{SQL_ICU} AS icu_risk_score FROM vx"), "M27 M28 M29")
 def q_score_renal(spark, sf_dir):
     return vx(spark, sf_dir).select(
         "id", S.additive_score(S.URAEMIA).alias("uremia_risk"),
@@ -190,7 +255,7 @@ def q_score_renal(spark, sf_dir):
 
 
 @register("additive_score", with_vitals(
-    f"\nSELECT {S.additive_score_sql(S.CV)} AS score, CAST(count(*) AS BIGINT) AS n, "
+    f"\nSELECT {SQL_CV} AS score, CAST(count(*) AS BIGINT) AS n, "
     f"CAST(sum(y) AS BIGINT) AS positives FROM vx GROUP BY 1"), "B12 B10")
 def q_additive_score(spark, sf_dir):
     return (vx(spark, sf_dir).groupBy(S.additive_score(S.CV).alias("score"))
@@ -198,7 +263,7 @@ def q_additive_score(spark, sf_dir):
 
 
 @register("tiered_score", with_vitals(
-    f"\nSELECT {S.tiered_score_sql(S.SOFA_RESPIRATORY)} AS resp, {S.tiered_score_sql(S.SOFA_CARDIOVASCULAR)} AS cardio,"
+    f"\nSELECT {SQL_SOFA['respiratory']} AS resp, {SQL_SOFA['cardiovascular']} AS cardio,"
     f" CAST(count(*) AS BIGINT) AS n FROM vx GROUP BY 1, 2"), "B11")
 def q_tiered_score(spark, sf_dir):
     v = vx(spark, sf_dir)
@@ -234,7 +299,7 @@ def q_clinical_ratios(spark, sf_dir):
 
 
 @register("egfr", with_vitals(f"""
-SELECT id, round(egfr, 6) AS egfr, {cut_sql('egfr', S.CKD_STAGE_EDGES, S.CKD_STAGE_LABELS)} AS ckd_stage,
+SELECT id, round(egfr, 6) AS egfr, {_when("egfr <= 0 THEN NULL", "egfr <= 15 THEN 'Stage5'", "egfr <= 30 THEN 'Stage4'", "egfr <= 45 THEN 'Stage3b'", "egfr <= 60 THEN 'Stage3a'", "egfr <= 90 THEN 'Stage2'", "egfr <= 150 THEN 'Stage1'")} AS ckd_stage,
        CASE WHEN egfr < 15 THEN 1 ELSE 0 END AS dialysis_needed FROM vx"""), "M22 M23 M30 H13")
 def q_egfr(spark, sf_dir):
     v = vx(spark, sf_dir)

@@ -181,9 +181,8 @@ def q_soft_vote(spark, sf_dir):
 
 
 _MEMBERS = ["p", "p2", "p3"]
-# Fixed-weight probability blend (the reference's four-member
-# .3/.3/.2/.2 blend, here over three members, normalised).
-FIXED_W = {"p": 0.3, "p2": 0.3, "p3": 0.2}
+# The reference's four-member probability blend.
+FIXED_W = {"p": 0.3, "p2": 0.3, "p3": 0.2, "p4": 0.2}
 
 
 @register("weighted_vote", with_vitals("""
@@ -193,7 +192,7 @@ FIXED_W = {"p": 0.3, "p2": 0.3, "p3": 0.2}
 w AS (SELECT a1 / (a1 + a2 + a3) AS w1, a2 / (a1 + a2 + a3) AS w2, a3 / (a1 + a2 + a3) AS w3 FROM acc)
 SELECT id, round(p * w1 + p2 * w2 + p3 * w3, 6) AS cv_prob,
        CASE WHEN p * w1 + p2 * w2 + p3 * w3 > 0.5 THEN 1 ELSE 0 END AS cv_pred,
-       round(p * (0.3 / 0.8) + p2 * (0.3 / 0.8) + p3 * (0.2 / 0.8), 6) AS fixed_prob
+       round(p * 0.3 + p2 * 0.3 + p3 * 0.2 + p4 * 0.2, 6) AS fixed_prob
 FROM vx, w"""), "P2 P3")
 def q_weighted_vote(spark, sf_dir):
     v = vx(spark, sf_dir)
@@ -204,16 +203,19 @@ def q_weighted_vote(spark, sf_dir):
     return v.select("id", r6(cv).alias("cv_prob"), EN.vote_label(cv).alias("cv_pred"), r6(fixed).alias("fixed_prob"))
 
 
-# Regression blend weights and output clip bounds.
-BLEND_W = {"m1": 0.25, "m2": 0.25, "m3": 0.5}
-BLEND_CLIP = (1000.0, 100000.0)
+# The reference's six-member regression blend (lasso, elastic net,
+# kernel ridge, three boosters) and the clip of its prices.
+BLEND_W = {"m1": 0.10, "m2": 0.10, "m3": 0.10, "m4": 0.25, "m5": 0.25, "m6": 0.20}
+BLEND_CLIP = (40000.0, 800000.0)
 
 
 @register("blend_regression", """
 WITH m AS (SELECT l_orderkey, l_linenumber, ln(1 + l_extendedprice) * 0.999 AS m1, ln(1 + l_extendedprice * (1 - l_discount)) * 1.001 AS m2,
-                  ln(1 + l_extendedprice * (1 + l_tax)) AS m3 FROM lineitem)
+                  ln(1 + l_extendedprice * (1 + l_tax)) AS m3, ln(1 + l_extendedprice) AS m4, ln(1 + l_extendedprice * 2) AS m5,
+                  ln(1 + l_extendedprice * l_quantity) AS m6 FROM lineitem)
 SELECT l_orderkey, l_linenumber,
-       round(least(greatest((exp(m1) - 1) * 0.25 + (exp(m2) - 1) * 0.25 + (exp(m3) - 1) * 0.5, 1000.0), 100000.0), 6) AS price
+       round(least(greatest((exp(m1) - 1) * 0.10 + (exp(m2) - 1) * 0.10 + (exp(m3) - 1) * 0.10 + (exp(m4) - 1) * 0.25 + (exp(m5) - 1) * 0.25
+             + (exp(m6) - 1) * 0.20, 40000.0), 800000.0), 6) AS price
 FROM m""", "P4")
 def q_blend_regression(spark, sf_dir):
     li = t(spark, sf_dir, "lineitem")
@@ -221,7 +223,8 @@ def q_blend_regression(spark, sf_dir):
     # Member predictions on the log scale (slightly distorted, as models are).
     m = li.select("l_orderkey", "l_linenumber", (F.log1p("l_extendedprice") * 0.999).alias("m1"),
                   (F.log1p(c("l_extendedprice") * (1 - c("l_discount"))) * 1.001).alias("m2"),
-                  F.log1p(c("l_extendedprice") * (1 + c("l_tax"))).alias("m3"))
+                  F.log1p(c("l_extendedprice") * (1 + c("l_tax"))).alias("m3"), F.log1p("l_extendedprice").alias("m4"),
+                  F.log1p(c("l_extendedprice") * 2).alias("m5"), F.log1p(c("l_extendedprice") * c("l_quantity")).alias("m6"))
     return m.select("l_orderkey", "l_linenumber",
                     r6(EN.blend_regression(BLEND_W, *BLEND_CLIP)).alias("price"))
 

@@ -157,7 +157,7 @@ def q_freq_encode(spark, sf_dir):
 
 _SCALE_COLS = ["l_quantity", "l_extendedprice"]
 # Fit on the earlier shipments, apply to all rows (a temporal train split).
-_TRAIN = "year(l_shipdate) < 1997"
+_TRAIN = "l_shipdate < DATE '1997-01-01'"
 
 
 @register("standard_scale", "WITH s AS (SELECT " + ", ".join(
@@ -167,7 +167,7 @@ _TRAIN = "year(l_shipdate) < 1997"
     + " FROM lineitem, s", "J4 J5")
 def q_standard_scale(spark, sf_dir):
     li = t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", *_SCALE_COLS)
-    out = S.standard_scale(li, _SCALE_COLS, fit=li.where(F.year("l_shipdate") < 1997))
+    out = S.standard_scale(li, _SCALE_COLS, fit=li.where(_TRAIN))
     return out.select("l_orderkey", "l_linenumber", *[r6(c).alias(c) for c in _SCALE_COLS])
 
 
@@ -178,7 +178,7 @@ def q_standard_scale(spark, sf_dir):
     for c in _SCALE_COLS) + " FROM lineitem, s", "J6")
 def q_robust_scale(spark, sf_dir):
     li = t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", *_SCALE_COLS)
-    out = S.robust_scale(li, _SCALE_COLS, fit=li.where(F.year("l_shipdate") < 1997))
+    out = S.robust_scale(li, _SCALE_COLS, fit=li.where(_TRAIN))
     return out.select("l_orderkey", "l_linenumber", *[r6(c).alias(c) for c in _SCALE_COLS])
 
 

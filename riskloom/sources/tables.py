@@ -31,9 +31,13 @@ def nan_to_null(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 def load(spark: SparkSession, sf_dir: str, name: str, normalise: bool = True) -> DataFrame:
     """Lazy parquet scan of one table; column pruning and filter pushdown are
-    left to Catalyst, so callers should select only what they use."""
+    left to Catalyst, so callers should select only what they use.
+
+    ``normalise`` turns NaN into NULL in the floating columns of a table that is
+    not one of ``TABLES``; those store missing values as NULL, and a wrapped
+    column would keep filters from the scan."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return nan_to_null(df) if normalise else df
+    return nan_to_null(df) if normalise and name not in TABLES else df
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,

@@ -9,8 +9,8 @@ bit-identical inputs.  With
     d(a, m) = CAST(h(a, m) AS DOUBLE) / 10
 
 every measurement is ``offset + h`` or ``offset + d``.  ``temp``, ``sc`` and
-``bmi`` are NULL when ``o_orderkey % 11 = 0`` so that missing-value rules are
-exercised.  The spec renders one list of SQL expressions that Spark
+``bmi`` are NULL on every 11th, 13th and 17th order key, so missing values come
+in every combination.  The ranges reach every band and rule of the scores.  The spec renders one list of SQL expressions that Spark
 (``selectExpr``) and the oracle engine both evaluate, so they cannot drift
 apart.
 """
@@ -21,19 +21,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .tables import load
 
-# Fixed values of the view: (name, kind, multiplier a, modulus m, offset, nullable).
+# Fixed values of the view: (name, kind, multiplier a, modulus m, offset, NULL on
+# every so many order keys or False).
 # kind: "i" = offset + h, "d" = offset + h/10, "n" = offset - h, "f" = flag h == 0.
 MEASURES = [
     ("age", "i", 5, 78, 18, False),
-    ("temp", "d", 7, 50, 35, True),
+    ("temp", "d", 7, 50, 35, 11),
     ("hr", "i", 37, 100, 50, False),
     ("rr", "i", 11, 25, 10, False),
     ("wbc", "d", 13, 240, 1, False),
-    ("sbp", "i", 17, 90, 70, False),
-    ("dbp", "i", 19, 60, 40, False),
+    ("sbp", "i", 17, 160, 70, False),
+    ("dbp", "i", 19, 110, 40, False),
     ("gcs", "n", 23, 6, 15, False),
     ("pf", "i", 29, 450, 50, False),
-    ("sc", "d", 31, 60, 0.4, True),
+    ("sc", "d", 31, 60, 0.1, 13),
     ("plt", "i", 41, 400, 10, False),
     ("bili", "d", 43, 140, 0.2, False),
     ("lact", "d", 47, 100, 0.5, False),
@@ -45,7 +46,7 @@ MEASURES = [
     ("al", "i", 79, 6, 0, False),
     ("sod", "i", 83, 25, 125, False),
     ("glucose", "i", 89, 200, 60, False),
-    ("bmi", "d", 97, 300, 15, True),
+    ("bmi", "d", 97, 300, 15, 17),
     ("oldpeak", "d", 127, 40, 0, False),
     ("max_hr", "i", 131, 140, 60, False),
     ("insulin", "i", 137, 300, 15, False),
@@ -73,11 +74,10 @@ CATEGORIES = [
     ("smoking", 103, 4, ["smokes", "formerly smoked", "never smoked", "Unknown"]),
 ]
 
-# Score-like columns: p = h(61,1001)/1000 hits 0 and 1 exactly; p2, p3 are
-# further member "model" probabilities; y is a noisy function of p.
-SCORES = [("p", 61), ("p2", 227), ("p3", 233)]
+# Score-like columns: p = h(61,1001)/1000 hits 0 and 1 exactly; p2, p3 and
+# p4 are further member "model" probabilities; y is a noisy function of p.
+SCORES = [("p", 61), ("p2", 227), ("p3", 233), ("p4", 241)]
 LABEL = ("y", 61, 1001, 101, 400, 850)
-NULL_EVERY = 11
 # Every 9th order carries a sentinel zero cholesterol (heart table convention).
 CHOL_ZERO = (239, 9)
 
@@ -117,7 +117,7 @@ def vitals_exprs() -> list[str]:
         if name == "chol":
             e = f"CASE WHEN {_h_sql(*CHOL_ZERO)} = 0 THEN 0 ELSE {e} END"
         if nullable:
-            e = f"CASE WHEN o_orderkey % {NULL_EVERY} <> 0 THEN {e} END"
+            e = f"CASE WHEN o_orderkey % {nullable} <> 0 THEN {e} END"
         parts.append(f"{e} AS {name}")
     parts.append(f"CASE WHEN {_h_sql(193, 4)} = 0 THEN 0 ELSE 1 END AS appet")
     for name, a, m, levels in CATEGORIES:
