@@ -7,11 +7,13 @@ random forest  ``RandomForestClassifier/Regressor``; ``min_samples_leaf`` ->
                ``minInstancesPerNode``; no ``min_samples_split``
 boosting       ``GBTClassifier/Regressor`` (squared / absolute loss; no Huber)
 logistic       ``LogisticRegression(regParam=1/(C n), standardization=False)``
-linear         lasso / elastic net: ``regParam=alpha, elasticNetParam=l1``;
-               ridge: ``regParam=alpha/n``
+linear         lasso: ``regParam=alpha``; ridge: ``regParam=alpha*s/n``; elastic
+               net: both parts; MLlib divides an L2 penalty by the label's
+               standard deviation s, so s is put back in
 extra trees    forest without bootstrap, feature subsets (random split points
                are not available in MLlib)
 AdaBoost       SAMME loop of weighted depth-1 trees, lineage cut by checkpoint
+balanced       one tree per bag of under-sampled classes (``balanced_forest``)
 kernel SVM     random Fourier features + logistic regression
 kernel ridge   explicit degree-2 feature map + ridge without intercept
 neural net     ``MultilayerPerceptronClassifier`` (sigmoid hidden layers)
@@ -29,7 +31,7 @@ import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
                                        MultilayerPerceptronClassifier, RandomForestClassifier)
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import RobustScaler, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -45,7 +47,7 @@ def assemble(df: DataFrame, cols: Sequence[str], out: str = FEATURES) -> DataFra
     return VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid="error").transform(df)
 
 
-def estimator(name: str, label: str, n_rows: int | None = None, weight: str | None = None, **p):
+def estimator(name: str, label: str, n_rows: int | None = None, weight: str | None = None, label_std: float = 1.0, **p):
     """MLlib estimator for a reference model name."""
     seed = p.pop("seed", 42)
     common = dict(featuresCol=FEATURES, labelCol=label)
@@ -58,6 +60,9 @@ def estimator(name: str, label: str, n_rows: int | None = None, weight: str | No
     if name == "rf_reg":
         return RandomForestRegressor(numTrees=p.get("trees", 100), maxDepth=p.get("depth", 5),
                                      featureSubsetStrategy=p.get("features", "onethird"), seed=seed, **common)
+    if name == "extra_trees_reg":
+        return RandomForestRegressor(numTrees=p.get("trees", 500), maxDepth=p.get("depth", 15), bootstrap=False,
+                                     featureSubsetStrategy=p.get("features", "sqrt"), seed=seed, **common)
     if name == "extra_trees":
         return RandomForestClassifier(numTrees=p.get("trees", 100), maxDepth=p.get("depth", 10),
                                       bootstrap=False, featureSubsetStrategy=p.get("features", "sqrt"),
@@ -78,12 +83,13 @@ def estimator(name: str, label: str, n_rows: int | None = None, weight: str | No
     if name in ("lasso", "enet", "ridge"):
         alpha = p.get("alpha", 1.0)
         if name == "ridge":
-            return LinearRegression(regParam=alpha / (n_rows or 1), elasticNetParam=0.0,
+            return LinearRegression(regParam=alpha * label_std / (n_rows or 1), elasticNetParam=0.0,
                                     standardization=False, fitIntercept=p.get("intercept", True), **common)
         l1 = 1.0 if name == "lasso" else p.get("l1_ratio", 0.5)
-        return LinearRegression(regParam=alpha, elasticNetParam=l1, standardization=False, **common)
+        reg = alpha * (l1 + (1 - l1) * label_std)
+        return LinearRegression(regParam=reg, elasticNetParam=alpha * l1 / reg if reg else l1, standardization=False, **common)
     if name == "mlp":
-        return MultilayerPerceptronClassifier(layers=p["layers"], maxIter=p.get("iters", 100),
+        return MultilayerPerceptronClassifier(layers=p["layers"], maxIter=p.get("iters", 500),
                                               seed=seed, **common)
     raise ValueError(f"unknown model {name}")
 
@@ -94,13 +100,33 @@ def positive_probability(pred: DataFrame, out: str = "prob") -> DataFrame:
 
 
 def fit_predict(name: str, train: DataFrame, test: DataFrame, features: Sequence[str], label: str,
-                weight: str | None = None, **params):
-    """Fit on ``train``, score ``test``; returns (model, predictions)."""
-    n = train.count() if name in ("logreg", "ridge") else None
-    est = estimator(name, label, n_rows=n, weight=weight, **params)
-    model = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol=FEATURES,
-                                             handleInvalid="error"), est]).fit(train)
-    return model, model.transform(test)
+                weight: str | None = None, scaler: str | None = None, prediction: str = "prediction", **params):
+    """Fit on ``train``, score ``test``; returns (model, predictions).  With
+    ``scaler`` ("standard" or "robust") the scaling is a stage of the fitted
+    pipeline (N16), so within a fold it sees that fold's training rows only.
+    ``prediction`` names the result, so several models can score one frame."""
+    if name == "ridge" and not params.get("intercept", True):
+        # MLlib gives a column without variance no weight.  A row of zeros leaves
+        # a fit without intercept as it is, and a constant column varies with it.
+        zero = train.sparkSession.range(1).select(*[F.lit(0.0).alias(c) for c in (*features, label)])
+        train = train.select(*features, label).unionByName(zero)
+    n, std = None, 1.0
+    if name in ("logreg", "ridge", "lasso", "enet"):
+        n, std = train.agg(F.count(F.lit(1)), F.stddev_pop(label)).first()
+    est = estimator(name, label, n_rows=n, weight=weight, label_std=std or 1.0, **params).setPredictionCol(prediction)
+    vec = f"{FEATURES}_{prediction}"
+    raw = f"{vec}_raw" if scaler else vec
+    stages = [VectorAssembler(inputCols=list(features), outputCol=raw, handleInvalid="error")]
+    if scaler == "standard":
+        stages.append(StandardScaler(inputCol=raw, outputCol=vec, withMean=True, withStd=True))
+    elif scaler == "robust":
+        stages.append(RobustScaler(inputCol=raw, outputCol=vec, withCentering=True, withScaling=True))
+    if prediction != "prediction":
+        for col in ("rawPrediction", "probability"):
+            if est.hasParam(f"{col}Col"):
+                est = est.copy({est.getParam(f"{col}Col"): f"{col}_{prediction}"})
+    model = Pipeline(stages=[*stages, est.setFeaturesCol(vec)]).fit(train)
+    return model, model.transform(test).drop(raw, vec)
 
 
 def importances(model, names: Sequence[str]) -> list[tuple[str, float]]:
@@ -124,24 +150,55 @@ def cross_validate(df: DataFrame, fold_col: str, k: int, fit_score, parallelism:
         return sorted(ex.map(one, range(k)))
 
 
+# -- balanced forest -----------------------------------------------------------
+
+def balanced_forest(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, key: str,
+                    bags: int = 100, depth: int = 10, seed: int = 42, at_once: int = 8) -> DataFrame:
+    """Balanced random forest (N12): each bag under-samples every class to the
+    minority's size (L7) and fits a tree of its own; ``test`` gains ``prob``,
+    the mean of the trees' probabilities.  ``at_once`` bags are drawn in one
+    pass; only the sampled rows are kept for their fits."""
+    from .sampling import balanced_undersample
+
+    scored, total = test, F.lit(0.0)
+    for lo in range(0, bags, at_once):
+        n = min(at_once, bags - lo)
+        drawn = cut_lineage(balanced_undersample(train, key, label, n_bags=n, seed=seed + lo))
+        for b in range(n):
+            name = f"tree_{lo + b}"
+            _, scored = fit_predict("rf", drawn.where(F.col("bag") == b).drop("bag"), scored, features, label,
+                                    prediction=name, trees=1, depth=depth, seed=seed + lo + b)
+            scored = scored.withColumn(name, vector_to_array(f"probability_{name}")[1]).drop(
+                f"probability_{name}", f"rawPrediction_{name}")
+        names = [f"tree_{lo + b}" for b in range(n)]
+        total = F.col("_sum") if lo else F.lit(0.0)
+        for c in names:
+            total = total + F.col(c)
+        scored = cut_lineage(scored.withColumn("_sum", total).drop(*names))
+    return scored.withColumn("prob", F.col("_sum") / bags).drop("_sum")
+
+
 # -- AdaBoost (SAMME) ---------------------------------------------------------
 
 def adaboost(train: DataFrame, test: DataFrame, features: Sequence[str], label: str,
-             rounds: int = 50, rate: float = 0.5, checkpoint_every: int = 5) -> DataFrame:
+             rounds: int = 200, rate: float = 0.5, checkpoint_every: int = 10) -> DataFrame:
     """Discrete AdaBoost with depth-1 trees; returns ``test`` with the
     decision score ``ada_score`` and prediction ``ada_pred``.  Sample weights
     are a DataFrame column updated each round; the lineage is cut with a
     reliable checkpoint every ``checkpoint_every`` rounds."""
     va = VectorAssembler(inputCols=list(features), outputCol=FEATURES, handleInvalid="error")
-    tr = va.transform(train).withColumn("_w", F.lit(1.0))
+    tr = va.transform(train).withColumn("_w", F.lit(1.0)).persist()
     te = va.transform(test).withColumn("ada_score", F.lit(0.0))
     y = F.col(label)
+    # Materialises the weights and gives their sum; so does every round below.
+    weight = tr.agg(F.sum("_w")).first()[0] or 0.0
     for m in range(rounds):
+        if not weight:
+            break
         stump = DecisionTreeClassifier(maxDepth=1, labelCol=label, featuresCol=FEATURES,
                                        weightCol="_w", seed=42).fit(tr)
         scored = stump.transform(tr).withColumn("_miss", (F.col("prediction") != y).cast("double"))
-        row = scored.agg(F.sum(F.col("_w") * F.col("_miss")).alias("e"), F.sum("_w").alias("s")).first()
-        err = (row["e"] or 0.0) / row["s"]
+        err = (scored.agg(F.sum(F.col("_w") * F.col("_miss"))).first()[0] or 0.0) / weight
         if err <= 0 or err >= 0.5:
             alpha = rate * 10.0 if err <= 0 else 0.0
             if err >= 0.5:
@@ -161,7 +218,10 @@ def adaboost(train: DataFrame, test: DataFrame, features: Sequence[str], label:
         else:
             # Keep this round's weights for the next fit (several passes).
             tr = tr.persist()
+        # The new weights are computed (from the old ones) before the old go.
+        weight = tr.agg(F.sum("_w")).first()[0] or 0.0
         prev_tr.unpersist()
+    tr.unpersist()
     return te.withColumn("ada_pred", F.when(F.col("ada_score") > 0, 1).otherwise(0)).drop(FEATURES)
 
 
@@ -177,7 +237,7 @@ def rbf_gamma(df: DataFrame, cols: Sequence[str]) -> float:
     return 1.0 / (p * var) if var > 0 else 1.0
 
 
-def fourier_features(df: DataFrame, cols: Sequence[str], n_components: int = 50, gamma: float = None,
+def fourier_features(df: DataFrame, cols: Sequence[str], n_components: int = 300, gamma: float = None,
                      seed: int = 42, prefix: str = "rff_") -> tuple[DataFrame, list[str]]:
     """Random Fourier features of the RBF kernel exp(-gamma |x-z|^2)
     (Rahimi & Recht, 2007) as plain column expressions: the random matrix is

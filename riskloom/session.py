@@ -112,7 +112,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     d = sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
-        # Unset: only happens in local tests and benches.
+        # A folder of this machine is shared by all only in local mode.
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="riskloom-ckpt-")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
