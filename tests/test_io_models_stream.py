@@ -74,11 +74,35 @@ def test_stream_scoring_matches_batch(spark):
     assert n == spark.read.parquet(f"{SMALL}/orders.parquet").count()
 
 
-def test_sepsis_flow_end_to_end(spark):
-    from riskloom.plans.flows import sepsis_flow
-    strata, report = sepsis_flow(spark, SMALL, trees=5)
+def test_flows_end_to_end(spark):
+    from riskloom.plans.flows import regression_flow, resample_flow, sepsis_flow
+    strata, report = sepsis_flow(spark, SMALL, trees=5, rounds=5)
     rows = strata.collect()
     assert len(rows) == 6 and sum(r.patients for r in rows) > 0
     rep = {(r.section, r.name): r.value for r in report.collect()}
     assert 0.8 < rep[("metric", "roc_auc")] <= 1.0
     assert len([k for k in rep if k[0] == "top_predictor"]) == 10
+    grown, report = resample_flow(spark, SMALL, trees=5, rounds=5, iters=20, bags=4)
+    n = {r["y"]: r["count"] for r in grown.groupBy("y").count().collect()}
+    assert n[0] == int(0.5 * n[1])
+    assert {r.name for r in report.where("section = 'metric'").collect()} >= {"roc_auc", "avg_precision", "ppv"}
+    priced, rmsle, cv = regression_flow(spark, SMALL, trees=5, rounds=5, fourier=30)
+    assert rmsle < 0.3 and len(cv) == 5 and all(e < 0.3 for _, e in cv)
+    assert priced.where("price < 40000 OR price > 800000").count() == 0
+
+
+def test_ridge_equals_closed_form(spark):
+    import numpy as np
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 3))
+    y = x @ [1.0, -2.0, 0.5] + 3 + rng.normal(size=200) * 0.1
+    df = spark.createDataFrame([(i, *map(float, r), float(t)) for i, (r, t) in enumerate(zip(x, y))], "id long, a double, b double, c double, y double")
+    _, pred = MD.fit_predict("ridge", df, df, ["a", "b", "c"], "y", alpha=5.0)
+    xc, yc = x - x.mean(0), y - y.mean()
+    want = xc @ np.linalg.solve(xc.T @ xc + 5.0 * np.eye(3), xc.T @ yc) + y.mean()
+    assert np.allclose([r.prediction for r in pred.orderBy("id").collect()], want, atol=1e-4)
+    k, names = MD.poly2_features(df, ["a", "b", "c"])
+    _, pred = MD.fit_predict("ridge", k, k, names, "y", alpha=0.6, intercept=False)
+    gram = (x @ x.T / 3 + 2.5) ** 2
+    want = gram @ np.linalg.solve(gram + 0.6 * np.eye(200), y)
+    assert np.allclose([r.prediction for r in pred.orderBy("id").collect()], want, atol=1e-3)

@@ -225,8 +225,9 @@ def test_smote_points_between_parents(spark):
     pts = rng.normal(size=(60, 3))
     rows = [(i, pts[i].tolist(), int(i < 12)) for i in range(60)]
     df = spark.createDataFrame(rows, "id long, v array<double>, label int")
-    syn = RB.smote(df, "id", "v", "label", minority=1, ratio=1.0, k=5).collect()
-    assert len(syn) == 48 - 12
+    out = RB.smote(df, "id", "v", "label", minority=1, ratio=1.0, k=5).collect()
+    syn = [r for r in out if r["copy"] is not None]
+    assert len(syn) == 48 - 12 and len(out) == 60 + len(syn)
     for r in syn:
         a, b = pts[r.src_id], pts[r.nb_id]
         assert np.allclose(np.array(r.v), a + r.u * (b - a))
@@ -248,8 +249,8 @@ def test_exact_quantiles_match_percentile_with_ties(spark):
     df = spark.createDataFrame([(v,) for v in vals], "x double")
     probs = [0, 0.1, 0.25, 0.5, 0.6000000000000001, 0.75, 0.999, 1.0]
     ref = df.agg(F.percentile("x", probs)).first()[0]
-    for kw in ({}, {"map_limit": 0}, {"map_limit": 0, "max_collect": 20, "buckets": 8}):
-        assert exact_quantiles(df, "x", probs, **kw) == list(ref)
+    for margin in (4e-4, 1e-9):  # a bracket that misses its rank is widened
+        assert exact_quantiles(df, "x", probs, margin=margin) == list(ref)
     assert exact_quantiles(df.where("x IS NULL"), "x", [0.5]) == [None]
 
 
@@ -264,10 +265,8 @@ def test_group_quantile_hot_group_matches_median(spark):
     df = spark.createDataFrame(rows, "g string, h int, v double")
     ref = {(r.g, r.h): r.m for r in df.where("g IS NOT NULL AND h IS NOT NULL")
            .groupBy("g", "h").agg(F.median("v").alias("m")).collect()}
-    for small in (20000, 40):
-        got = {(r.g, r.h): r.q for r in group_quantile(df, "v", ["g", "h"], 0.5, "q", small=small,
-                                                       buckets=8).collect()}
-        assert got == ref
+    got = {(r.g, r.h): r.q for r in group_quantile(df, "v", ["g", "h"], 0.5, "q").collect()}
+    assert got == ref
 
 
 def test_knn_prunes_cells_on_clustered_data(spark):
