@@ -4,7 +4,7 @@ shared folder, Arrow plumbing and connected components."""
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -133,5 +133,11 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
         mark = now
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+BROADCAST_ROWS = 1 << 21
+
+
+def small_enough(keys: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table of one or two longs, marked for broadcast if its row
+    count, which is taken here, is within ``limit`` (32 MB of keys); a larger
+    one is joined by shuffling both sides."""
+    return F.broadcast(keys) if keys.count() <= limit else keys

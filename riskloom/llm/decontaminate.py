@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, by_bytes, prepare, utf8_buffers
+from .common import Scratch, by_bytes, prepare, small_enough, utf8_buffers
 
 BITMAP_BITS = 1 << 26  # 8 MB
 SHINGLE = 3
@@ -233,4 +233,4 @@ def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     bad = Scratch(spark, "contaminated").write(
         contamination(docs, items, id_col, text_col, **kw).filter("contaminated")
         .select(F.col(id_col).alias("_bad_id"), F.col("text_hash").alias("_bad_hash")).distinct())
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad_id"]) & (F.xxhash64(docs[text_col].cast("string")) == bad["_bad_hash"]), "left_anti")
+    return docs.join(small_enough(bad), docs[id_col].eqNullSafe(bad["_bad_id"]) & (F.xxhash64(docs[text_col].cast("string")) == bad["_bad_hash"]), "left_anti")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, components, fold_labels, prepare, ranges
+from .common import Scratch, components, fold_labels, prepare, ranges, small_enough
 
 LEAF = 32
 FAN = 16
@@ -266,32 +266,31 @@ def keep_representatives(df: DataFrame, id_col: str = "doc_id", text_col: str =
     (null ids last, then the smallest fingerprint and text)."""
     spark = df.sparkSession
     scratch = Scratch(spark, "simhash-keep")
-    g = near_groups(df, id_col, text_col, shingle, max_bits)
+    g = scratch.write(near_groups(df, id_col, text_col, shingle, max_bits))
     rank = F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("id"), F.col("fp").alias("fp"))
-    reps = g.groupBy("root").agg(F.min(rank).alias("r")).select("r.id", "r.fp")
-    marked = scratch.write(g.groupBy("id", "fp").count().join(
-        reps.select(F.col("id").alias("rid"), F.col("fp").alias("rfp")),
-        F.col("id").eqNullSafe(F.col("rid")) & (F.col("fp") == F.col("rfp"))).select("id", "fp", "count"))
-    # Ids are usually unique: then the id alone picks the row and no text is compared.
-    ids = marked.filter("count = 1 AND id IS NOT NULL")
-    repeated = g.groupBy("id").count().filter("count > 1 OR id IS NULL").select("id")
-    clean = ids.join(repeated, "id", "left_anti").select("id")
-    kept = df.join(clean, df[id_col].cast("long") == clean["id"], "left_semi")
-    odd = scratch.write(marked.select(F.col("id"), F.col("fp")).join(
-        clean.withColumnRenamed("id", "cid"), F.col("id") == F.col("cid"), "left_anti"))
-    if not odd.take(1):
+    reps = scratch.write(g.groupBy("root").agg(F.min(rank).alias("r")).select("r.id", "r.fp"))
+    # Ids are usually unique: then the id alone tells which rows go, and no text is compared.
+    counted = g.filter("id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("fp"))
+    repeated = scratch.write(counted.filter("n > 1").select("id"))
+    gone = scratch.write(counted.join(reps, ["id", "fp"], "left_anti").select("id").union(repeated).distinct())
+    key = df[id_col].cast("long")
+    kept = df.filter(key.isNotNull()).join(small_enough(gone.withColumnRenamed("id", "_gone")), key == F.col("_gone"), "left_anti")
+    null_id = g.filter("id IS NULL").take(1)
+    if not null_id and not repeated.take(1):
         return kept
-    names = df.columns
 
     def refp(batches):
         for b in batches:
             fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column(text_col)], np.uint64).view(np.int64)
             yield b.append_column("_fp", pa.array(fps))
 
-    near = df.join(odd.select(F.col("id").alias("_id")).distinct(), df[id_col].cast("long").eqNullSafe(F.col("_id")), "left_semi")
-    schema = T.StructType([*near.schema.fields, T.StructField("_fp", T.LongType())])
-    withfp = near.mapInArrow(refp, schema)
-    one = (withfp.join(odd, F.col("_fp").eqNullSafe(odd.fp) & withfp[id_col].cast("long").eqNullSafe(odd.id), "left_semi")
-           .groupBy(id_col, "_fp").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in [text_col] + [c for c in names if c != text_col]])).alias("r"))
-           .select(*[F.col(f"r.`{c}`").alias(c) for c in names]))
+    odd = df.filter(key.isNull()).unionByName(
+        df.join(small_enough(repeated.withColumnRenamed("id", "_again")), key == F.col("_again"), "left_semi"))
+    schema = T.StructType([*odd.schema.fields, T.StructField("_fp", T.LongType())])
+    text_first = [text_col] + [c for c in df.columns if c != text_col]
+    one = (odd.mapInArrow(refp, schema)
+           .join(reps.select(F.col("id").alias("_rid"), F.col("fp").alias("_rfp")),
+                 (F.col("_fp") == F.col("_rfp")) & F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_rid")), "left_semi")
+           .groupBy(id_col, "_fp").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in text_first])).alias("r"))
+           .select(*[F.col(f"r.`{c}`").alias(c) for c in df.columns]))
     return kept.unionByName(one)
