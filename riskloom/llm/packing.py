@@ -8,10 +8,10 @@ sequence at p_j is
 
     f(j) = penalty(j) + window - p_j + min over p_j - window <= p_i < p_j of (f(i) + p_i)
 
-a sliding minimum that a monotone queue holds, plus the transitions of
-power-of-two length, which need no padding.  A partition is one stream, read
+a sliding minimum that a monotone queue holds.  A partition is one stream, read
 in blocks of bounded size, so nothing is shuffled; what a block cannot fill
-starts the next one.
+starts the next one, and the rest at the end of the partition may come as
+sequences of power-of-two lengths, which need no padding.
 """
 
 from __future__ import annotations
@@ -26,14 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, prepare
+from .common import by_bytes, prepare, ranges
 from .tokens import encoder, tokenizer_path
 
 WINDOW = 2048
 SENTENCE_CUT, INNER_CUT = 2, 48  # penalties, in tokens of padding
 PIECE = 64
 BLOCK_TOKENS = 1 << 19
-TEXT_BYTES = 1 << 20
+TEXT_BYTES = 1 << 21
 _FLAGS: dict = {}
 
 
@@ -45,24 +45,18 @@ def choose_cuts(places: np.ndarray, penalty: np.ndarray, window: int = WINDOW, c
     p, pen = places.tolist(), penalty.tolist()
     n = len(p)
     best, back = [0] * n, [0] * n
-    index = {v: i for i, v in enumerate(p)}
-    powers = [1 << k for k in range(window.bit_length()) if 1 << k <= window]
-    queue: deque[int] = deque([0])
+    queue: deque[tuple[int, int, int]] = deque([(0, 0, 0)])  # f + place (rising), place, index
+    pop, push = queue.pop, queue.append
     for j in range(1, n):
         pj = p[j]
-        while p[queue[0]] < pj - window:
+        while queue[0][1] < pj - window:
             queue.popleft()
-        i = queue[0]
-        cost, src = best[i] + p[i] + window - pj, i
-        for w in powers:
-            k = index.get(pj - w)
-            if k is not None and best[k] < cost:
-                cost, src = best[k], k
-        best[j], back[j] = cost + pen[j], src
-        key = best[j] + pj
-        while queue and best[queue[-1]] + p[queue[-1]] >= key:
-            queue.pop()
-        queue.append(j)
+        low, _, back[j] = queue[0]
+        best[j] = cost = low + window - pj + pen[j]
+        key = cost + pj
+        while queue and queue[-1][0] >= key:
+            pop()
+        push((key, pj, j))
     j = n - 1
     if not close:
         low = int(np.searchsorted(places, p[-1] - window, side="right"))
@@ -91,17 +85,13 @@ def _sentence_ids(path: str) -> np.ndarray:
 def cut_places(ids: np.ndarray, doc_ends: np.ndarray, ends_sentence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(places, penalties): document ends, sentence ends, and inner cuts every
     PIECE tokens of a longer sentence."""
-    sent = np.flatnonzero(ends_sentence[ids]) + 1
-    places = np.unique(np.concatenate([[0], sent, doc_ends]))
-    gaps = np.diff(places)
-    long = np.flatnonzero(gaps > PIECE)
-    inner = [np.arange(places[i] + PIECE, places[i + 1], PIECE) for i in long]
-    inner = np.concatenate(inner) if inner else np.zeros(0, np.int64)
-    every = np.union1d(places, inner)
-    pen = np.full(len(every), SENTENCE_CUT, np.int64)
-    pen[np.isin(every, inner)] = INNER_CUT
-    pen[np.isin(every, doc_ends)] = 0
-    return every, pen
+    cost = np.where(ends_sentence[ids], SENTENCE_CUT, -1)
+    cost[doc_ends - 1] = 0
+    places = np.append(0, np.flatnonzero(cost >= 0) + 1)
+    inside = (np.diff(places) - 1) // PIECE
+    cost[ranges(np.zeros(len(inside), np.int64), inside) * PIECE + np.repeat(places[:-1], inside) + PIECE - 1] = INNER_CUT
+    at = np.flatnonzero(cost >= 0)
+    return np.append(0, at + 1), np.append(0, cost[at])
 
 
 def tail_lengths(n: int, window: int) -> list[int]:
@@ -166,9 +156,10 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             return np.diff([0] + choose_cuts(places, pen, window, close)).tolist()
 
         for b in by_bytes(batches, 1, TEXT_BYTES):
-            for i, ids in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist(), end_id)):
-                docs.append([i, len(ids), 0, ids])
-                held += len(ids)
+            ids, off = enc.encode(b.column(1), end_id)
+            for i, s, e in zip(b.column(0).to_pylist(), off[:-1].tolist(), off[1:].tolist()):
+                docs.append([i, e - s, 0, ids[s:e]])
+            held += len(ids)
             if held >= BLOCK_TOKENS:
                 yield from emit(cuts(False))
         if held > window:
