@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import SMALL, classes, crc, token_ids
 
@@ -14,7 +15,7 @@ from riskloom.llm import compression_toxicity as T
 from riskloom.llm import embedding_dedup as E
 from riskloom.llm import packing as P
 from riskloom.llm import rans_store as R
-from riskloom.llm.tokens import encoder, tokenizer_path
+from riskloom.llm.tokens import Encoder, tokenizer_path
 
 ODD = [(None, "null id"), (900, None), (901, ""), (902, " \n"), (903, "a b \x1c c d é Σίσυφος <|endoftext|> it's 42"), (904, "x" * 9000),
        (905, "word " * 6000), (7, "again"), (7, "again")]
@@ -31,10 +32,17 @@ def frame(spark, rows):
 
 # -- tokens and packing ----------------------------------------------------
 
-def test_encoder_equals_tokenizer(docs):
-    texts = [t for _, t in docs]
-    got = encoder(tokenizer_path()).encode(texts, 1)
-    assert [g.tolist() for g in got] == token_ids(texts, tokenizer_path())
+def test_encoder_equals_tokenizer(docs, monkeypatch):
+    texts = [t for _, t in docs] + ["a\x01b \x01 c", "x" * 16 + " " + "x" * 17, "é" * 8 + "\x00", "\x00 a\x00", "end",
+                                    "Ab12c,d. don't DON'T a'b'' <|ENDOFTEXT|> x<|endoftext|>y A|b|| É3é× e\u0301E\u0301x ÷3 \u00c3 naïve—dash «q» 日本x1 K\u212a ß.ÀÖØÿ!?", "A", " a", "b "]
+    enc = Encoder(tokenizer_path())
+    for _ in range(2):
+        ids, off = enc.encode(pa.array(texts), 1)
+        assert [ids[a:b].tolist() for a, b in zip(off, off[1:])] == token_ids(texts, tokenizer_path())
+    monkeypatch.setattr("riskloom.llm.tokens.CACHE_ENTRIES", 50)
+    ids, off = enc.encode(pa.array(texts[::-1]), 1)
+    assert [ids[a:b].tolist() for a, b in zip(off, off[1:])] == token_ids(texts[::-1], tokenizer_path())
+    assert enc.encode(pa.array([], pa.string()), 1)[0].tolist() == []
 
 
 def test_packing(spark, docs):
@@ -69,8 +77,7 @@ def cheapest(places, penalty, window):
         for i in range(j):
             n = places[j] - places[i]
             if n <= window:
-                pad = 0 if n & (n - 1) == 0 else window - n
-                best[j] = min(best[j], best[i] + pad + penalty[j])
+                best[j] = min(best[j], best[i] + window - n + penalty[j])
     return best
 
 
@@ -86,7 +93,7 @@ def test_choose_cuts_is_optimal(seed):
         cuts = [0] + P.choose_cuts(places, penalty, window, close)
         lens = np.diff(cuts)
         assert (lens > 0).all() and (lens <= window).all()
-        cost = sum((0 if n & (n - 1) == 0 else window - n) + at[c] for n, c in zip(lens.tolist(), cuts[1:]))
+        cost = sum(window - n + at[c] for n, c in zip(lens.tolist(), cuts[1:]))
         if close:
             assert cuts[-1] == places[-1] and cost == best[-1]
         else:
