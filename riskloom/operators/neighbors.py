@@ -38,6 +38,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 MAX_PIVOT_VALUES = 4_000_000
 ROUND = 6
 LAST_STATS: dict = {}
@@ -133,7 +135,8 @@ def knn(query: DataFrame, data: DataFrame, k: int, q_key: str = "key", q_vec: st
             pdf = pdf.assign(cell=cell.astype(np.int32), dcell=dist[np.arange(len(v)), cell])
             yield pdf
 
-    Dc = D.mapInPandas(assign_cells, "dk long, dv array<double>, cell int, dcell double").persist()
+    # Written, not cached: read by several jobs here and by the returned plan, and nothing to release.
+    Dc = cut_lineage(D.mapInPandas(assign_cells, "dk long, dv array<double>, cell int, dcell double"))
     stats = {r["cell"]: (r["n"], r["radius"]) for r in
              Dc.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("dcell").alias("radius")).collect()}
     # A radius is the distance of a data row, as uncertain as any other.
@@ -170,8 +173,8 @@ def knn(query: DataFrame, data: DataFrame, k: int, q_key: str = "key", q_vec: st
             cells = [np.nonzero(row)[0].astype(np.int32).tolist() for row in ok]
             yield pd.DataFrame({"qk": pdf["qk"], "qv": pdf["qv"], "cells": cells})
 
-    Qc = (Q.mapInPandas(candidate_cells, "qk long, qv array<double>, cells array<int>")
-          .select("qk", "qv", F.explode("cells").alias("cell")).persist())
+    Qc = cut_lineage(Q.mapInPandas(candidate_cells, "qk long, qv array<double>, cells array<int>")
+                     .select("qk", "qv", F.explode("cells").alias("cell")))
     qcount = {r["cell"]: r["n"] for r in Qc.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     # Pruning statistics of the last call (candidate query-cell pairs vs all).
     LAST_STATS.clear()

@@ -20,8 +20,6 @@ from ..session import cut_lineage, default_parallelism
 from .lookup import attach
 from .ordering import hash_bucket, hash_order, ordered_index
 
-MAX_CLASSES = 10000
-
 
 def _buckets(df: DataFrame) -> int:
     return max(64, 8 * default_parallelism(df.sparkSession))
@@ -38,14 +36,6 @@ def hashed_rank(df: DataFrame, key: str, seed: int = 42, by: Sequence[str] = (),
     return out.drop("_h")
 
 
-def class_counts(df: DataFrame, label: str) -> dict:
-    """Rows per class, collected (bounded: refuses more than MAX_CLASSES)."""
-    rows = df.groupBy(label).count().limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"{label}: more than {MAX_CLASSES} classes")
-    return {r[0]: r[1] for r in rows}
-
-
 def strat_split(df: DataFrame, key: str, label: str, frac: float = 0.2, seed: int = 42,
                 out: str = "_split") -> DataFrame:
     """Stratified hold-out: in each class the first ``floor(frac*n_c + 0.5)``
@@ -73,14 +63,10 @@ def kfold(df: DataFrame, key: str, k: int = 5, seed: int = 42, out: str = "fold"
 
 def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """Balanced weights n / (k * n_c) as a weight column."""
-    counts = class_counts(df, label)
-    n, k = sum(counts.values()), len(counts)
-    w = {c: n / (k * m) for c, m in counts.items()}
-    expr = None
-    for c, v in w.items():
-        cond = F.col(label) == F.lit(c)
-        expr = F.when(cond, F.lit(v)) if expr is None else expr.when(cond, F.lit(v))
-    return df.withColumn(out, expr)
+    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n_class"))
+    n, k = sizes.agg(F.sum("_n_class"), F.count(F.lit(1))).first()
+    weights = sizes.select(label, (F.lit(float(n or 0)) / (F.lit(k) * F.col("_n_class"))).alias(out))
+    return attach(df, weights, [label])
 
 
 def balanced_undersample(df: DataFrame, key: str, label: str, n_bags: int = 3, seed: int = 42,

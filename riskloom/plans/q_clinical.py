@@ -9,14 +9,14 @@ from ..functions.binning import cut
 from ..functions.columns import between_flag, flag, present_flag, safe_div
 from ..operators.impute import fill_sentinel_median
 from ..operators.strata import risk_strata
+from ..streaming.scoring import ALERT_EDGES, ALERT_LABELS
 from .common import r6, vx, with_vitals
 from .registry import register
 
 # Band tables of the reference (edges, labels).
 STROKE_RISK = ([0, 0.1, 0.3, 0.5, 0.7, 1.0], ["Very Low", "Low", "Moderate", "High", "Critical"])
 CKD_RISK = ([0, 0.2, 0.4, 0.6, 0.8, 1.0], ["Very Low", "Low", "Moderate", "High", "Critical"])
-ALERT = ([0, 0.1, 0.3, 0.5, 0.7, 0.9, 1.0],
-         ["Green", "Yellow-Low", "Yellow-High", "Orange", "Red", "Critical"])
+ALERT = (ALERT_EDGES, ALERT_LABELS)
 ACTION = ([0, 0.3, 0.5, 1.0], ["Monitor", "Investigate", "Intervene"])
 BANDS = {
     # column of the vitals view -> (edges, labels)
