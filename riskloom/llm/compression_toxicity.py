@@ -81,13 +81,13 @@ def evidence(saved: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(n)), np.log1p(n) / 4, *counts, np.log1p(1000 * rate / WINDOW) / 3], axis=1)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
     w = np.zeros(x.shape[1])
     reg = np.eye(x.shape[1]) * ridge
     reg[0, 0] = 1e-3
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + reg, x.T @ (y - p) - reg @ w)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + reg, x.T @ (weight * (y - p)) - reg @ w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -141,8 +141,9 @@ def contrast_passages(docs: list[bytes], others: list[bytes], limit: int, least:
     return picked[::-1]
 
 
-def fit(texts: list[str], labels: list[int]) -> Model:
-    """A model of the given rows (a bounded sample)."""
+def fit(texts: list[str], labels: list[int], totals: tuple[int, int] | None = None) -> Model:
+    """A model of the given rows (a bounded sample); ``totals`` are the numbers
+    of ordinary and toxic rows that the sample stands for."""
     norm = [" ".join([" "] + t.lower().split() + [" "]).encode() for t in texts]
     y = np.array(labels, float)
     toxic, ordinary = [n for n, l in zip(norm, labels) if l], [n for n, l in zip(norm, labels) if not l]
@@ -157,7 +158,10 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     # Unused bytes stand in for the passages, so shared content keeps its distance in both.
     model = Model(base + b"\x01" * len(mine), base + mine, [])
     if 0 < y.sum() < len(y):
-        model.weights = _logistic(evidence(*savings(texts, model.compressors())), y).tolist()
+        # A score is a probability among all labelled rows, whatever the sample's mix.
+        mix = np.array([1 - y.mean(), y.mean()])
+        share = mix if totals is None else np.array(totals) / sum(totals)
+        model.weights = _logistic(evidence(*savings(texts, model.compressors())), y, (share / mix)[y.astype(int)]).tolist()
     else:
         share = (y.sum() + 1) / (len(y) + 2)
         model.weights = [float(np.log(share / (1 - share)))] + [0.0] * (len(THRESHOLDS) + 2)
@@ -175,12 +179,13 @@ def fit_from_tables(docs: DataFrame, labels: DataFrame, fit_rows: int = 3000, fi
               .filter(F.col("lid").isNotNull() & F.col("y").isNotNull() & ~is_held_out("lid"))
               .groupBy("lid").agg(F.max("y").alias("y")))
     pick = lambda y: usable.filter(F.col("y") == y).orderBy(F.xxhash64("lid"), "lid").limit(fit_rows)
+    count = {r["y"]: r["count"] for r in usable.groupBy("y").count().collect()}  # a row per label
     chosen = F.broadcast(pick(1).union(pick(0)))  # 2 * fit_rows ids at most
     rows = (docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
             .filter(F.octet_length("text") <= fit_bytes)
             .join(chosen, F.col("id") == F.col("lid")).groupBy("id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
             .orderBy("id").toPandas())
-    return fit(rows["text"].tolist(), rows["y"].tolist())
+    return fit(rows["text"].tolist(), rows["y"].tolist(), (count.get(0, 0) or 1, count.get(1, 0) or 1))
 
 
 def _scorer(model: Model, text_at: int, keep_below: float | None):
