@@ -3,12 +3,17 @@ profiles over the TPC-H-like driver tables."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import profile as P
 from ..operators.ordering import ordered_index
 from ..operators.setops import union_tagged
+from ..session import ensure_checkpoint_dir
+from ..sources import read_csv, read_headerless
+from ..sources.sinks import write_csv
 from .common import r6, t
 from .registry import register
 
@@ -48,6 +53,33 @@ def q_scan_project(spark, sf_dir):
             .select("l_orderkey", "l_linenumber", "qty", "l_extendedprice", "line_text", "l_returnflag"))
 
 
+def _csv_folder(spark):
+    return f"{ensure_checkpoint_dir(spark)}/csv-{uuid.uuid4().hex[:12]}"
+
+
+@register("csv_sink_scan", "SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer", "A1 A4")
+def q_csv_sink_scan(spark, sf_dir):
+    path = _csv_folder(spark)
+    write_csv(t(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment"), path)
+    return read_csv(spark, path, "c_custkey long, c_name string, c_acctbal double, c_mktsegment string")
+
+
+@register("csv_group_sink", """SELECT c_mktsegment, count(*) AS n, round(sum(c_acctbal), 6) AS total FROM customer GROUP BY c_mktsegment""", "A1 A5")
+def q_csv_group_sink(spark, sf_dir):
+    path = _csv_folder(spark)
+    write_csv(t(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("c_acctbal").alias("total")), path)
+    back = read_csv(spark, path)  # types inferred from the text
+    return back.select("c_mktsegment", F.col("n").cast("long").alias("n"), F.round("total", 6).alias("total"))
+
+
+@register("headerless_scan", "SELECT n_nationkey AS k, n_name AS name, n_regionkey AS region FROM nation", "A2")
+def q_headerless_scan(spark, sf_dir):
+    path = _csv_folder(spark)
+    t(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").write.csv(path)
+    return read_headerless(spark, path, "k int, name string, region int")
+
+
 @register("outlier_drop", f"""WITH {LN_SQL}
 SELECT l_orderkey, l_linenumber, price FROM ln
 WHERE NOT coalesce(l_quantity > 45 AND price < 20000, false)""", "B3")
