@@ -24,15 +24,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, by_bytes, prepare
+from .common import Scratch, by_bytes, prepare, utf8_buffers
 from .tokens import encoder, tokenizer_path
 
 MAGIC = b"RANS1\0\0\0"
-LANES, BLOCK, CHECK = 16, 1 << 14, 1 << 12
+LANES, BLOCK, CHECK = 32, 1 << 15, 1 << 13
 SCALE = 20  # frequencies add up to 2^SCALE
 LOW = np.uint64(1 << 31)
-FRAME_IDS = 1 << 20
-TEXT_BYTES = 1 << 20
+FRAME_IDS = 1 << 22
+TEXT_BYTES = 1 << 21
 
 
 def quantise(counts: np.ndarray) -> np.ndarray:
@@ -50,7 +50,7 @@ class Table:
     def __init__(self, freq: np.ndarray):
         self.freq = freq
         self.cum = np.concatenate([np.zeros(1, np.uint64), np.cumsum(freq)]).astype(np.uint64)
-        self.of_slot = np.repeat(np.arange(len(freq), dtype=np.uint32), freq.astype(np.int64))
+        self.of_slot = np.repeat(np.arange(len(freq), dtype=np.int32), freq.astype(np.int64))
 
 
 def encode_blocks(ids: np.ndarray, table: Table) -> list[bytes]:
@@ -58,7 +58,7 @@ def encode_blocks(ids: np.ndarray, table: Table) -> list[bytes]:
     n = len(ids)
     blocks = -(-n // BLOCK)
     steps = BLOCK // LANES
-    padded = np.full(blocks * BLOCK, int(np.argmax(table.freq)), np.int64)
+    padded = np.full(blocks * BLOCK, int(np.argmax(table.freq)), np.uint32)
     padded[:n] = ids
     # sym[t, block, lane]: id number t * LANES + lane of the block.
     sym = np.ascontiguousarray(padded.reshape(blocks, steps, LANES).transpose(1, 0, 2))
@@ -66,16 +66,18 @@ def encode_blocks(ids: np.ndarray, table: Table) -> list[bytes]:
     word = np.zeros(sym.shape, np.uint32)
     out = np.zeros(sym.shape, bool)
     marks = np.zeros((BLOCK // CHECK, blocks, LANES), np.uint64)
-    shift, scale = np.uint64(31 - SCALE + 32), np.uint64(SCALE)
+    shift, one = np.uint64(31 - SCALE + 32), np.uint64(1 << SCALE)
     per = CHECK // LANES
+    low = np.uint64(0xFFFFFFFF)
     for t in range(steps - 1, -1, -1):
         f = table.freq[sym[t]]
         full = state >= (f << shift)
-        word[t][full] = state[full].astype(np.uint32)
+        word[t] = state & low
         out[t] = full
-        state = np.where(full, state >> np.uint64(32), state)
+        state >>= np.where(full, np.uint64(32), np.uint64(0))
         q = state // f
-        state = (q << scale) + (state - q * f) + table.cum[sym[t]]
+        # (q << SCALE) + state % f + cum
+        state += table.cum[sym[t]] + q * (one - f)
         if t % per == 0:
             marks[t // per] = state
     result = []
@@ -112,16 +114,21 @@ def decode_blocks(blobs: list[bytes], table: Table) -> np.ndarray:
     stream = np.concatenate(streams + [np.zeros(LANES, np.uint32)]).astype(np.uint64)
     low_bits = np.uint64((1 << SCALE) - 1)
     got = np.zeros((per, len(x), LANES), np.uint32)
+    rows, flat_x = x.shape[0], x.reshape(-1)
     for t in range(per):
-        slot = x & low_bits
-        s = table.of_slot[slot.astype(np.int64)]
-        got[t] = s
-        x = table.freq[s] * (x >> np.uint64(SCALE)) + slot - table.cum[s]
-        need = x < LOW
-        k = np.cumsum(need, axis=1)
-        src = np.minimum(at[:, None] + k - 1, len(stream) - 1)
-        x = np.where(need, (x << np.uint64(32)) | stream[np.maximum(src, 0)], x)
-        at = at + k[:, -1]
+        slot = flat_x & low_bits
+        s = table.of_slot.take(slot.view(np.int64))
+        got[t] = s.reshape(rows, LANES)
+        flat_x >>= np.uint64(SCALE)
+        flat_x *= table.freq.take(s)
+        flat_x += slot
+        flat_x -= table.cum.take(s)
+        # Lanes that ran low take the next words of their stream, in lane order.
+        need = np.flatnonzero(flat_x < LOW)
+        count = np.bincount(need // LANES, minlength=rows)
+        src = np.repeat(at - (np.cumsum(count) - count), count) + np.arange(len(need))
+        flat_x[need] = (flat_x[need] << np.uint64(32)) | stream.take(np.minimum(src, len(stream) - 1))
+        at = at + count
     flat = got.transpose(1, 0, 2).reshape(len(blobs), BLOCK)
     parts = []
     for row, n, crc in zip(flat, counts, sums):
@@ -151,12 +158,11 @@ def write_token_files(df: DataFrame, path: str, id_col: str = "doc_id", text_col
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tok_path)
         for b in by_bytes(batches, 1, TEXT_BYTES):
-            ids = enc.encode(b.column(1).to_pylist(), end_id)
-            raw = [i.astype("<u4").tobytes() for i in ids]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(i) for i in ids], pa.int64()), pa.array([zlib.crc32(r) for r in raw], pa.int64()),
-                 pa.array([i.astype("<u2").tobytes() if vocab <= 1 << 16 else r for i, r in zip(ids, raw)], pa.binary())],
-                names=["id", "n", "crc", "ids"])
+            ids, off = enc.encode(b.column(1), end_id)
+            ids = ids.astype(width)
+            raw = [ids[s:e].tobytes() for s, e in zip(off[:-1].tolist(), off[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(off)), pa.array([zlib.crc32(r) for r in raw], pa.int64()),
+                                              pa.array(raw, pa.binary())], names=["id", "n", "crc", "ids"])
 
     vocab = encoder(tok_path).tok.get_vocab_size(with_added_tokens=True)
     width = "<u2" if vocab <= 1 << 16 else "<u4"
@@ -167,8 +173,7 @@ def write_token_files(df: DataFrame, path: str, id_col: str = "doc_id", text_col
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocab, np.int64)
         for b in batches:
-            for raw in b.column(0):
-                total += np.bincount(np.frombuffer(raw.as_py(), width), minlength=vocab)
+            total += np.bincount(utf8_buffers(b.column(0))[0].view(width), minlength=vocab)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["token", "c"])
 
