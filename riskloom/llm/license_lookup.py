@@ -56,20 +56,37 @@ KNOWN = [
 ]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-NOTICE_LINE = r"(?m)^[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
+NOTICE = r"^[^a-z0-9]*(copyright|\(c\)|©|all rights reserved)"
+SQL_NOTICE_LINE = r"^[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
 PUNCTUATION = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form of a text."""
-    c = F.regexp_replace(F.translate(text, UPPER, LOWER), NOTICE_LINE, "")
-    c = F.concat(F.lit(" "), F.trim(F.regexp_replace(c, PUNCTUATION, " ")), F.lit(" "))
+def folded_lines(text: Column) -> Column:
+    """A text's lines in lower case with punctuation and white space folded;
+    copyright lines are empty."""
+    def fold(line: Column) -> Column:
+        return F.when(line.rlike(NOTICE), F.lit("")).otherwise(F.trim(F.regexp_replace(line, PUNCTUATION, " ")))
+    return F.transform(F.split(F.translate(text, UPPER, LOWER), "\n"), fold)
+
+
+def unify(folded: Column) -> Column:
+    """Equivalent spellings of a folded text made one."""
+    c = F.concat(F.lit(" "), folded, F.lit(" "))
     for a, b in SPELLINGS:
         if a != b:
             c = F.replace(c, F.lit(f" {a} "), F.lit(f" {b} "))
     return F.trim(c)
 
 
+def _join(lines: Column) -> Column:
+    return F.array_join(F.filter(lines, lambda x: x != ""), " ")
+
+
+def canonical(text: Column) -> Column:
+    """The canonical form of a text."""
+    return unify(_join(folded_lines(text)))
+
+
 def known_licenses(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(KNOWN, "license string, text string")
 
@@ -87,17 +104,24 @@ def license_matches(df: DataFrame, known: DataFrame, id_col: str = "doc_id", tex
     scratch = Scratch(df.sparkSession, "licenses")
     forms = known.select("license", canonical(F.col("text")).alias("form")).filter("form <> ''")
     digests = scratch.write(forms.groupBy("form").agg(F.min("license").alias("license"))
-                            .select("license", F.length("form").alias("n"), F.sha2("form", 256).alias("digest")))
-    # Equal texts have equal lengths: only those are digested.  At most one entry per known length.
+                            .select("license", "form", F.length("form").alias("n"), F.sha2("form", 256).alias("digest")))
+    # Equal texts have equal lengths and begin with the same word, up to its
+    # spelling: only such texts are unified and digested.  Both lists have at most
+    # one entry per known text.
     lengths = [r[0] for r in digests.select("n").distinct().collect()]
+    heads = {r[0] for r in digests.select(F.substring_index("form", " ", 1)).distinct().collect()}
+    for _ in SPELLINGS:  # a spelling may lead to another one's
+        heads |= {a.split()[0] for a, b in SPELLINGS if b.split()[0] in heads}
+    begins = lambda c: F.substring_index(c, " ", 1).isin(sorted(heads)) if heads else F.lit(False)
     fits = lambda c: F.length(c).isin(lengths) if lengths else F.lit(False)
-    text = F.col("text")
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    whole = canonical(text)
-    lines = F.filter(F.transform(F.split(text, "\n"), canonical), fits)
-    rows = scratch.write(src.select(
-        F.monotonically_increasing_id().alias("row"), "id", F.when(fits(whole), F.sha2(whole, 256)).alias("whole"),
-        F.transform(lines, lambda c: F.sha2(c, 256)).alias("lines")))
+    split = src.select(F.monotonically_increasing_id().alias("row"), "id", folded_lines(F.col("text")).alias("lines"))
+    near = split.select("row", "id", F.filter("lines", begins).alias("lines"), F.when(
+        begins(F.get(F.filter("lines", lambda x: x != ""), F.lit(0))) if heads else F.lit(False), _join(F.col("lines"))).alias("whole"))
+    whole = F.when(F.col("whole").isNotNull(), unify(F.col("whole")))
+    rows = scratch.write(near.select("row", "id", whole.alias("whole"), F.transform("lines", unify).alias("lines")).select(
+        "row", "id", F.when(fits(F.col("whole")), F.sha2("whole", 256)).alias("whole"),
+        F.transform(F.filter("lines", fits), lambda c: F.sha2(c, 256)).alias("lines")))
     found = (rows.select("row", F.explode("lines").alias("digest")).join(digests, "digest")
              .groupBy("row").agg(F.count(F.lit(1)).alias("n_license_lines"),
                                  F.array_join(F.array_sort(F.collect_set("license")), ",").alias("line_licenses")))
@@ -111,7 +135,7 @@ def license_matches(df: DataFrame, known: DataFrame, id_col: str = "doc_id", tex
 
 def canonical_sql(expr: str) -> str:
     """The canonical form as an SQL expression."""
-    c = f"regexp_replace(translate({expr}, '{UPPER}', '{LOWER}'), '{NOTICE_LINE[4:]}', '', 'gm')".replace("'gm'", "'gm'")
+    c = f"regexp_replace(translate({expr}, '{UPPER}', '{LOWER}'), '{SQL_NOTICE_LINE}', '', 'gm')"
     c = f"' ' || trim(regexp_replace({c}, '{PUNCTUATION}', ' ', 'g')) || ' '"
     for a, b in SPELLINGS:
         if a != b:
