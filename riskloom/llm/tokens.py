@@ -191,16 +191,28 @@ class Encoder:
         stop = inside.copy()
         stop[:-1] &= ~inside[1:] | begin[1:]
         size = np.flatnonzero(stop) + 1 - start
-        entry = self._entries(data, start, size, end_id)
         # The end id of a text is a word after its last.
         words = np.searchsorted(start, off[1:])
-        entry = np.insert(entry, words, self.end)
-        count = self.count[entry].astype(np.int64)
-        ids = self.pool[ranges(self.offset[entry], count)]
-        total = np.append(0, np.cumsum(count))
-        return ids, np.append(0, total[words + np.arange(1, n + 1)])
+        ids, counts, done = [], [], 0
+        # So many words at a time that all of them fit into the table as new ones;
+        # their ids are copied out before it may be cleared for the next.
+        step = max(1, CACHE_ENTRIES // 2)
+        for lo in range(0, max(1, len(start)), step):
+            hi = min(lo + step, len(start))
+            a, b = (start[lo], start[hi - 1] + size[hi - 1]) if hi else (0, 0)
+            entry = self._entries(data[a:b], start[lo:hi] - a, size[lo:hi], end_id)
+            ends = n if hi == len(start) else int(np.searchsorted(words, hi))
+            entry = np.insert(entry, words[done:ends] - lo, self.end)
+            done = ends
+            count = self.count[entry].astype(np.int64)
+            ids.append(self.pool[ranges(self.offset[entry], count)])
+            counts.append(count)
+        total = np.append(0, np.cumsum(np.concatenate(counts)))
+        return ids[0] if len(ids) == 1 else np.concatenate(ids), np.append(0, total[words + np.arange(1, n + 1)])
 
     def _entries(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, end_id: int) -> np.ndarray:
+        """Entry of each word, for at most half of CACHE_ENTRIES words: the table
+        holds CACHE_ENTRIES at most, so it always has free slots."""
         if self.entries + len(start) > CACHE_ENTRIES and self.entries > CACHE_ENTRIES // 2:
             self._clear()
         if not self.entries:

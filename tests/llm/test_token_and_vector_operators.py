@@ -45,6 +45,17 @@ def test_encoder_equals_tokenizer(docs, monkeypatch):
     assert enc.encode(pa.array([], pa.string()), 1)[0].tolist() == []
 
 
+def test_a_text_of_more_words_than_the_table_holds(monkeypatch):
+    words = [f"{a}{b}" for a in "abcdefghijklmnopqrst" for b in "abcdefghijklmnopqrstuvwxyz"]
+    texts = ["", " ".join(words[:300]), "", " ".join(words[100:]) + "x" * 30, "end", ""]
+    monkeypatch.setattr("riskloom.llm.tokens.CACHE_ENTRIES", 50)
+    enc, used, insert = Encoder(tokenizer_path()), [], Encoder._insert
+    monkeypatch.setattr(Encoder, "_insert", lambda self, *a: (insert(self, *a), used.append(int((self.size > 0).sum()))))
+    ids, off = enc.encode(pa.array(texts), 1)
+    assert [ids[a:b].tolist() for a, b in zip(off, off[1:])] == token_ids(texts, tokenizer_path())
+    assert used and max(used) <= 50  # a full table would never be left
+
+
 def test_packing(spark, docs):
     want = token_ids([t for _, t in docs], tokenizer_path())
     out = P.pack_documents(frame(spark, docs).repartition(2), with_ids=True).collect()
