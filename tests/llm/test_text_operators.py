@@ -171,6 +171,19 @@ def test_shards_fit_and_split_only_when_needed(spark):
     assert X.assign_shards(df.limit(0), ["doc_id"], "text", limit).count() == 0
 
 
+def test_hot_keys_split_until_they_fit(spark):
+    rows = [(7, "hotrow")] * 6000 + [(None, "é" * 3)] * 5000 + [(8, "x" * 50), (9, None)]
+    out = X.assign_shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), ["doc_id"], "text", 13).collect()
+    size = {}
+    for r in out:
+        size.setdefault((r["depth"], r["prefix"]), []).append(r)
+    assert len(out) == len(rows) and max(d for d, _ in size) > X.BITS
+    for rs in size.values():
+        assert len({(r["shard_bytes"], r["shard_rows"]) for r in rs}) == 1 and len(rs) == rs[0]["shard_rows"]
+        assert sum(len((dict(rows)[r["doc_id"]] or "").encode()) for r in rs) == rs[0]["shard_bytes"]
+        assert rs[0]["shard_bytes"] <= 13 or len(rs) == 1
+
+
 def test_words_of_bytes():
     import pyarrow as pa
 
