@@ -1,8 +1,10 @@
 """Licence scans by canonical digest lookup.
 
 Known licence texts and scanned texts go through one canonical form: lower
-case, no copyright lines, equivalent spellings unified, punctuation and white
-space folded.  The SHA-256 of the whole form is joined with the digests of the
+case, no copyright statements, equivalent spellings unified, punctuation and
+white space folded.  Ahead of the body every line that begins like a notice
+goes; in the body, whose wrapped lines may begin with "copyright" too, only
+statements with a sign or a year.  The SHA-256 of the whole form is joined with the digests of the
 known texts.  The scanned texts are each document and each of its lines (a
 document often carries a notice on a line of its own).  DataFrame expressions
 only; the same rules run in any SQL engine.
@@ -57,16 +59,35 @@ KNOWN = [
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOTICE = r"^[^a-z0-9]*(copyright|\(c\)|©|all rights reserved)"
+STATEMENT = (r"^[^a-z0-9]*((\(c\)[^a-z0-9]*)?copyright[^a-z0-9]*(\(c\)|©|[0-9]{4}|yyyy|year\b)"
+             r"|\(c\)[^a-z0-9]*([0-9]{4}|yyyy|year\b)|©|all rights reserved[^a-z0-9]*$)")
 SQL_NOTICE_LINE = r"^[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
 PUNCTUATION = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+def _lower_lines(text: Column) -> Column:
+    return F.split(F.translate(text, UPPER, LOWER), "\n")
+
+
+def _fold(line: Column) -> Column:
+    return F.trim(F.regexp_replace(line, PUNCTUATION, " "))
+
+
 def folded_lines(text: Column) -> Column:
-    """A text's lines in lower case with punctuation and white space folded;
-    copyright lines are empty."""
-    def fold(line: Column) -> Column:
-        return F.when(line.rlike(NOTICE), F.lit("")).otherwise(F.trim(F.regexp_replace(line, PUNCTUATION, " ")))
-    return F.transform(F.split(F.translate(text, UPPER, LOWER), "\n"), fold)
+    """A text's lines, each as a text of its own: in lower case with punctuation
+    and white space folded; copyright lines are empty."""
+    return F.transform(_lower_lines(text), lambda x: F.when(x.rlike(NOTICE), F.lit("")).otherwise(_fold(x)))
+
+
+def body_lines(text: Column) -> Column:
+    """The folded lines of a whole text; empty are the copyright lines ahead of
+    the first other line, and after it those that are copyright statements."""
+    def keep(lines: Column) -> Column:
+        # From 1; 0 if there is no body.
+        first = F.array_position(F.transform(lines, lambda x: ~x.rlike(NOTICE) & (_fold(x) != "")), F.lit(True))
+        return F.transform(lines, lambda x, i: F.when(
+            F.when((first == 0) | (i < first), x.rlike(NOTICE)).otherwise(x.rlike(STATEMENT)), F.lit("")).otherwise(_fold(x)))
+    return F.get(F.transform(F.array(_lower_lines(text)), keep), F.lit(0))
 
 
 def unify(folded: Column) -> Column:
@@ -84,7 +105,7 @@ def _join(lines: Column) -> Column:
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text."""
-    return unify(_join(folded_lines(text)))
+    return unify(_join(body_lines(text)))
 
 
 def known_licenses(spark: SparkSession) -> DataFrame:
@@ -115,9 +136,9 @@ def license_matches(df: DataFrame, known: DataFrame, id_col: str = "doc_id", tex
     begins = lambda c: F.substring_index(c, " ", 1).isin(sorted(heads)) if heads else F.lit(False)
     fits = lambda c: F.length(c).isin(lengths) if lengths else F.lit(False)
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    split = src.select(F.monotonically_increasing_id().alias("row"), "id", folded_lines(F.col("text")).alias("lines"))
+    split = src.select(F.monotonically_increasing_id().alias("row"), "id", "text", folded_lines(F.col("text")).alias("lines"))
     near = split.select("row", "id", F.filter("lines", begins).alias("lines"), F.when(
-        begins(F.get(F.filter("lines", lambda x: x != ""), F.lit(0))) if heads else F.lit(False), _join(F.col("lines"))).alias("whole"))
+        begins(F.get(F.filter("lines", lambda x: x != ""), F.lit(0))) if heads else F.lit(False), _join(body_lines(F.col("text")))).alias("whole"))
     whole = F.when(F.col("whole").isNotNull(), unify(F.col("whole")))
     rows = scratch.write(near.select("row", "id", whole.alias("whole"), F.transform("lines", unify).alias("lines")).select(
         "row", "id", F.when(fits(F.col("whole")), F.sha2("whole", 256)).alias("whole"),

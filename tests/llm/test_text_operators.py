@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import textwrap
 
 import numpy as np
 import pytest
@@ -144,6 +145,22 @@ def test_license_matches(spark):
     assert none.count() == len(rows) and none.filter("n_license_lines > 0").count() == 0
 
 
+def rewrapped(text, width):
+    """The text with its paragraphs filled anew."""
+    return "\n\n".join(textwrap.fill(" ".join(p.split()), width) for p in text.split("\n\n"))
+
+
+def test_known_texts_at_any_wrap(spark):
+    texts = [(n, t) for n, t in L.KNOWN if "\n" in t]
+    head = "Copyright Somebody\n(c) 2021 Other\n\n"
+    cases = [(n, head + rewrapped(t, w)) for n, t in texts for w in (*range(20, 121, 4), 10 ** 6)]
+    # Only statements go from a body: these differ from the known texts.
+    cases += [(None, t.replace("above copyright notice and ", "above and ")) for n, t in texts if n != "0BSD"]
+    cases += [(n, t.replace("\n\n", "\n\nCopyright (c) 1999 A. Person\nAll rights reserved.\n\n", 1)) for n, t in texts]
+    got = by_row(spark, [(k, t) for k, (_, t) in enumerate(cases)], lambda df: L.license_matches(df, L.known_licenses(spark)), ["text_license"])
+    assert got == {k: [(n,)] for k, (n, _) in enumerate(cases)}
+
+
 # -- sharding --------------------------------------------------------------
 
 def test_shards_fit_and_split_only_when_needed(spark):
