@@ -2,8 +2,8 @@
 
 Known licence texts and scanned texts go through one canonical form: lower
 case, no copyright statements, equivalent spellings unified, punctuation and
-white space folded.  Ahead of the body every line that begins like a notice
-goes; in the body, whose wrapped lines may begin with "copyright" too, only
+white space folded.  Ahead of the body every title line and every line that
+begins like a notice goes; in the body, whose wrapped lines may begin with "copyright" too, only
 statements with a sign or a year.  The SHA-256 of the whole form is joined with the digests of the
 known texts.  The scanned texts are each document and each of its lines (a
 document often carries a notice on a line of its own).  DataFrame expressions
@@ -12,6 +12,10 @@ only; the same rules run in any SQL engine.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +61,47 @@ KNOWN = [
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
 ]
 
+END = "END OF TERMS AND CONDITIONS"
+
+
+def bodies() -> list[tuple[str, str]]:
+    """(licence, text) of the published texts in ``licenses/``, and as they are
+    often shortened: without what follows the terms, without the notice ahead
+    of CC0, and BSD lists with bullets."""
+    out = []
+    for p in sorted((Path(__file__).parent / "licenses").glob("*.txt")):
+        text = p.read_text(encoding="utf-8")
+        out.append((p.stem, text))
+        if END in text:
+            terms = text[:text.index(END)]
+            out += [(p.stem, terms), (p.stem, terms + END)]
+        if p.stem == "CC0-1.0":
+            out.append((p.stem, text[text.index("Statement of Purpose"):]))
+        if p.stem.startswith("BSD"):
+            out.append((p.stem, re.sub(r"(?m)^\s*\d\.\s", "* ", text)))
+    return out
+
+
+# Folded title lines (and the publisher's address below them), which
+# texts have or lack ahead of the body.
+TITLES = [
+    "mit license", "the mit license", "the mit license mit", "mit license mit", "expat license",
+    "isc license", "the isc license", "isc license isc", "the isc license isc", "isc license iscl",
+    "bsd zero clause license", "zero clause bsd", "zero clause bsd license", "0bsd license", "bsd zero clause license 0bsd",
+    "bsd license", "the bsd license", "bsd 2 clause license", "the bsd 2 clause license", "the 2 clause bsd license",
+    "2 clause bsd license", "simplified bsd license", "bsd 2 clause simplified license", "bsd 3 clause license",
+    "the bsd 3 clause license", "the 3 clause bsd license", "3 clause bsd license", "new bsd license", "modified bsd license",
+    "revised bsd license", "bsd 3 clause new or revised license", "zlib license", "the zlib license", "unlicense", "the unlicense",
+    "apache license", "version 2 0 january 2004", "http www apache org licenses", "https www apache org licenses",
+    "apache license version 2 0", "apache license version 2 0 january 2004",
+    "gnu general public license", "gnu lesser general public license", "version 2 june 1991", "version 2 1 february 1999",
+    "version 3 29 june 2007", "51 franklin street fifth floor boston ma 02110 1301 usa",
+    "59 temple place suite 330 boston ma 02111 1307 usa", "http fsf org", "https fsf org",
+    "mozilla public license", "version 1 1", "version 2 0", "mozilla public license version 1 1", "mozilla public license version 2 0",
+    "creative commons legal code", "cc0 1 0 universal", "creative commons cc0 1 0 universal",
+]
+TITLES = sorted({*TITLES, *(t.replace("license", "licence") for t in TITLES)})
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOTICE = r"^[^a-z0-9]*(copyright|\(c\)|©|all rights reserved)"
 STATEMENT = (r"^[^a-z0-9]*((\(c\)[^a-z0-9]*)?copyright[^a-z0-9]*(\(c\)|©|[0-9]{4}|yyyy|year\b)"
@@ -65,6 +110,11 @@ SQL_NOTICE_LINE = r"^[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*$
 PUNCTUATION = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, not once per line."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _lower_lines(text: Column) -> Column:
     return F.split(F.translate(text, UPPER, LOWER), "\n")
 
@@ -79,15 +129,20 @@ def folded_lines(text: Column) -> Column:
     return F.transform(_lower_lines(text), lambda x: F.when(x.rlike(NOTICE), F.lit("")).otherwise(_fold(x)))
 
 
+def _in_body(folded: Column) -> Column:
+    return (folded != "") & ~folded.isin(TITLES)
+
+
 def body_lines(text: Column) -> Column:
-    """The folded lines of a whole text; empty are the copyright lines ahead of
-    the first other line, and after it those that are copyright statements."""
+    """The folded lines of a whole text; empty are the titles and copyright lines
+    ahead of the first other line, and after it the copyright statements.  A
+    text of titles only keeps them."""
     def keep(lines: Column) -> Column:
         # From 1; 0 if there is no body.
-        first = F.array_position(F.transform(lines, lambda x: ~x.rlike(NOTICE) & (_fold(x) != "")), F.lit(True))
-        return F.transform(lines, lambda x, i: F.when(
-            F.when((first == 0) | (i < first), x.rlike(NOTICE)).otherwise(x.rlike(STATEMENT)), F.lit("")).otherwise(_fold(x)))
-    return F.get(F.transform(F.array(_lower_lines(text)), keep), F.lit(0))
+        first = F.array_position(F.transform(lines, lambda x: ~x.rlike(NOTICE) & _in_body(_fold(x))), F.lit(True))
+        rest = lambda x, i, f: F.when(f == 0, x.rlike(NOTICE)).when(i < f - 1, F.lit(True)).otherwise(x.rlike(STATEMENT))
+        return _let(first, lambda f: F.transform(lines, lambda x, i: F.when(rest(x, i, f), F.lit("")).otherwise(_fold(x))))
+    return _let(_lower_lines(text), keep)
 
 
 def unify(folded: Column) -> Column:
@@ -109,7 +164,7 @@ def canonical(text: Column) -> Column:
 
 
 def known_licenses(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(KNOWN, "license string, text string")
+    return spark.createDataFrame(KNOWN + bodies(), "license string, text string")
 
 
 def license_matches(df: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -126,7 +181,7 @@ def license_matches(df: DataFrame, known: DataFrame, id_col: str = "doc_id", tex
     forms = known.select("license", canonical(F.col("text")).alias("form")).filter("form <> ''")
     digests = scratch.write(forms.groupBy("form").agg(F.min("license").alias("license"))
                             .select("license", "form", F.length("form").alias("n"), F.sha2("form", 256).alias("digest")))
-    # Equal texts have equal lengths and begin with the same word, up to its
+    # Equal texts have equal lengths and bodies that begin with the same word, up to its
     # spelling: only such texts are unified and digested.  Both lists have at most
     # one entry per known text.
     lengths = [r[0] for r in digests.select("n").distinct().collect()]
@@ -138,7 +193,7 @@ def license_matches(df: DataFrame, known: DataFrame, id_col: str = "doc_id", tex
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     split = src.select(F.monotonically_increasing_id().alias("row"), "id", "text", folded_lines(F.col("text")).alias("lines"))
     near = split.select("row", "id", F.filter("lines", begins).alias("lines"), F.when(
-        begins(F.get(F.filter("lines", lambda x: x != ""), F.lit(0))) if heads else F.lit(False), _join(body_lines(F.col("text")))).alias("whole"))
+        begins(F.coalesce(*[F.get(F.filter("lines", f), F.lit(0)) for f in (_in_body, lambda x: x != "")])) if heads else F.lit(False), _join(body_lines(F.col("text")))).alias("whole"))
     whole = F.when(F.col("whole").isNotNull(), unify(F.col("whole")))
     rows = scratch.write(near.select("row", "id", whole.alias("whole"), F.transform("lines", unify).alias("lines")).select(
         "row", "id", F.when(fits(F.col("whole")), F.sha2("whole", 256)).alias("whole"),

@@ -147,7 +147,7 @@ def test_license_matches(spark):
 
 def rewrapped(text, width):
     """The text with its paragraphs filled anew."""
-    return "\n\n".join(textwrap.fill(" ".join(p.split()), width) for p in text.split("\n\n"))
+    return "\n\n".join(textwrap.fill(" ".join(p.split()), width, break_long_words=False) for p in text.split("\n\n"))
 
 
 def test_known_texts_at_any_wrap(spark):
@@ -161,6 +161,25 @@ def test_known_texts_at_any_wrap(spark):
     assert got == {k: [(n,)] for k, (n, _) in enumerate(cases)}
 
 
+def test_published_texts(spark):
+    keep = lambda p: any(" ".join(L.re.findall("[a-z0-9]+", x.lower())) in L.TITLES or L.re.search("copyright (.c. |.yyyy)", x.lower()) for x in p.split("\n"))
+    wrap = lambda t, w: "\n\n".join(p if keep(p) else rewrapped(p, w) for p in t.split("\n\n"))
+    published = [(n, t) for n, t in L.bodies()]
+    assert len({n for n, _ in published}) == 12
+    cases = [(n, wrap(t, w)) for n, t in published for w in (24, 61, 80, 10 ** 6)] + published
+    who = "\nCopyright (c) 2024 Somebody\nAll rights reserved.\n\n"
+    title = {"MIT": "MIT License\n", "ISC": "ISC License\n", "0BSD": "BSD Zero Clause License\n", "BSD-2-Clause": "BSD 2-Clause License\n",
+             "BSD-3-Clause": "The 3-Clause BSD License\n", "Zlib": "zlib License\n", "Unlicense": "The Unlicence\n"}
+    cases += [(n, title[n] + who + t) for n, t in L.KNOWN + published if n in title and "\n" in t]
+    cases += [(None, "MIT License"), (None, "MIT License" + who), (None, "ISC License\n\nsomething else")]
+    cases += [(None, t.replace("the", "no", 1)) for _, t in published]
+    got = by_row(spark, list(enumerate(t for _, t in cases)), lambda df: L.license_matches(df, L.known_licenses(spark)), ["text_license"])
+    assert {k: v for k, v in got.items() if v != [(cases[k][0],)]} == {} and len(got) == len(cases)
+    own = spark.createDataFrame([("title", "The MIT License")], "license string, text string")
+    got = by_row(spark, [(1, "The MIT License\n" + who), (2, "The MIT License\nx")], lambda df: L.license_matches(df, own), ["text_license", "line_licenses"])
+    assert got == {1: [("title", "title")], 2: [(None, "title")]}
+
+
 # -- sharding --------------------------------------------------------------
 
 def test_shards_fit_and_split_only_when_needed(spark):
