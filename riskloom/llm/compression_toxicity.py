@@ -1,12 +1,13 @@
-"""Toxicity by compression distance to two zstandard dictionaries.
+"""Toxicity by compression distance to zstandard dictionaries.
 
-One dictionary is trained on ordinary text.  The other holds the same content
-and, after it, the word stems that set toxic training documents apart from
-ordinary ones (by likelihood ratio).  A document is cut into windows of whole
-words; each is compressed with both, and the bytes that the toxic dictionary
-saves are its distance.  How many windows save 1, 2, ... 6 bytes or more is the
-document's evidence, and a logistic curve that is calibrated on the training
-rows weighs these thresholds into a score.
+One dictionary is trained on ordinary text, one on toxic text.  A third holds
+the ordinary content and, after it, the word stems that set toxic training
+documents apart from ordinary ones (by likelihood ratio).  A document is cut
+into windows of whole words; each is compressed with all three, and the bytes
+that the stems and the toxic dictionary save are its distances.  How many
+windows save 1, 2, ... 6 bytes or more is the document's evidence, and a
+logistic curve that is calibrated on the training rows weighs these thresholds
+into a score.
 
 The fit uses a bounded sample of labelled rows: at most ``fit_rows`` of each
 label, chosen by a hash of the id, of at most ``fit_bytes`` bytes each.  Scoring
@@ -34,7 +35,7 @@ WINDOW = 64
 STEM = (3, 12)
 SHARE = 0.04
 LEVEL = 9
-ORDINARY_BYTES, TOXIC_BYTES = 32 << 10, 2 << 10
+DICTIONARY_BYTES, STEMS_BYTES = 32 << 10, 2 << 10
 THRESHOLDS = (1, 2, 3, 4, 5, 6)
 TEXT_BYTES = 1 << 20
 # Up to WINDOW bytes that end before white space; a longer word is cut.
@@ -48,15 +49,17 @@ def windows(text: str | None) -> list[bytes]:
 
 @dataclass
 class Model:
-    """Both dictionaries and the weights of the evidence."""
+    """The dictionaries (ordinary text, with toxic stems, toxic text) and the
+    weights of the evidence."""
 
     ordinary: bytes
+    stems: bytes
     toxic: bytes
     weights: list[float]
 
     def compressors(self):
         out = []
-        for raw in (self.ordinary, self.toxic):
+        for raw in (self.ordinary, self.stems, self.toxic):
             d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=LEVEL)
             out.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_dict_id=False))
@@ -64,21 +67,35 @@ class Model:
 
 
 def savings(texts: list[str | None], compressors) -> tuple[np.ndarray, np.ndarray]:
-    """(saved bytes of every window, number of windows of each text)."""
+    """(bytes that the stems and the toxic dictionary save in every window, two
+    rows; number of windows of each text)."""
     cut = [windows(t) for t in texts]
     flat = [w for ws in cut for w in ws]
     n = np.array([len(ws) for ws in cut], np.int64)
     size = [np.fromiter((len(c.compress(w)) for w in flat), np.int64, len(flat)) for c in compressors]
-    return size[0] - size[1], n
+    return np.stack([size[0] - size[1], size[0] - size[2]]), n
 
 
 def evidence(saved: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Per text: 1, its windows, the windows that save each of THRESHOLDS bytes
-    or more (logarithms), and the savings for each window."""
+    """Per text: 1, its windows, and for each dictionary the windows that save
+    each of THRESHOLDS bytes or more (logarithms) and the savings for each
+    window; for the toxic text also the mean difference."""
     of = np.repeat(np.arange(len(n)), n)
-    counts = [np.log1p(np.bincount(of, saved >= k, len(n))) for k in THRESHOLDS]
-    rate = np.bincount(of, np.maximum(saved, 0), len(n)) / np.maximum(n, 1)
-    return np.stack([np.ones(len(n)), np.log1p(n) / 4, *counts, np.log1p(1000 * rate / WINDOW) / 3], axis=1)
+    parts = [np.ones(len(n)), np.log1p(n) / 4]
+    for one in saved:
+        parts += [np.log1p(np.bincount(of, one >= k, len(n))) for k in THRESHOLDS]
+        rate = np.bincount(of, np.maximum(one, 0), len(n)) / np.maximum(n, 1)
+        parts.append(np.log1p(1000 * rate / WINDOW) / 3)
+    return np.stack([*parts, np.bincount(of, saved[1], len(n)) / np.maximum(n, 1)], axis=1)
+
+
+def _trained(pool: list[bytes]) -> bytes:
+    """A dictionary of windows, of at most 40,000 of them."""
+    pool = pool[::max(1, len(pool) // 40000)]
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, pool).as_bytes()[-DICTIONARY_BYTES:]
+    except zstandard.ZstdError:  # too little text to train on: its bytes are the dictionary
+        return b"".join(pool)[-DICTIONARY_BYTES:]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
@@ -147,16 +164,11 @@ def fit(texts: list[str], labels: list[int], totals: tuple[int, int] | None = No
     norm = [" ".join([" "] + t.lower().split() + [" "]).encode() for t in texts]
     y = np.array(labels, float)
     toxic, ordinary = [n for n, l in zip(norm, labels) if l], [n for n, l in zip(norm, labels) if not l]
-    pool = [w for t, l in zip(texts, labels) if not l for w in windows(t)]
-    pool = pool[::max(1, len(pool) // 40000)]
-    try:
-        base = zstandard.train_dictionary(ORDINARY_BYTES, pool).as_bytes()[-ORDINARY_BYTES:]
-    except zstandard.ZstdError:  # too little text to train on: its bytes are the dictionary
-        base = b"".join(pool)[-ORDINARY_BYTES:]
-    base = base or b" the and "
-    mine = b"".join(contrast_passages(toxic, ordinary, TOXIC_BYTES, 18.0))
+    base, other = (_trained([w for t, l in zip(texts, labels) if bool(l) == k for w in windows(t)]) or b" the and " for k in (False, True))
+    mine = b"".join(contrast_passages(toxic, ordinary, STEMS_BYTES, 18.0))
     # Unused bytes stand in for the passages, so shared content keeps its distance in both.
-    model = Model(base + b"\x01" * len(mine), base + mine, [])
+    pad = b"\x01" * len(mine)
+    model = Model(base + pad, base + mine, other + pad, [])
     if 0 < y.sum() < len(y):
         # A score is a probability among all labelled rows, whatever the sample's mix.
         mix = np.array([1 - y.mean(), y.mean()])
@@ -164,7 +176,7 @@ def fit(texts: list[str], labels: list[int], totals: tuple[int, int] | None = No
         model.weights = _logistic(evidence(*savings(texts, model.compressors())), y, (share / mix)[y.astype(int)]).tolist()
     else:
         share = (y.sum() + 1) / (len(y) + 2)
-        model.weights = [float(np.log(share / (1 - share)))] + [0.0] * (len(THRESHOLDS) + 2)
+        model.weights = [float(np.log(share / (1 - share)))] + [0.0] * (2 * len(THRESHOLDS) + 4)
     return model
 
 

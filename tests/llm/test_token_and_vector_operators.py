@@ -197,6 +197,19 @@ def test_toxicity_held_out(spark):
     assert T.score_documents(docs.limit(0), model).count() == 0
 
 
+def test_toxic_passages_of_common_words():
+    """Toxic text that no word gives away: the same words, in fixed passages."""
+    rnd = np.random.default_rng(3)
+    vocabulary = np.array(["".join(rnd.choice(list("abcdefghijklmnop"), 5)) for _ in range(60)])
+    say = lambda k: " ".join(rnd.choice(vocabulary, k))
+    passages = [say(30) for _ in range(12)]
+    text = lambda y: " ".join([say(40), passages[rnd.integers(12)] if y else say(30), say(40)])
+    y = [k % 2 for k in range(800)]
+    model = T.fit([text(k) for k in y], y)
+    score = 1 / (1 + np.exp(-T.evidence(*T.savings([text(k) for k in y], model.compressors())) @ np.array(model.weights)))
+    assert np.mean((score >= 0.5) == np.array(y)) >= 0.9
+
+
 @pytest.mark.parametrize("labels", [[], [(1, 0)], [(1, 1), (2, 1)]])
 def test_toxicity_without_both_labels(spark, labels):
     docs = spark.createDataFrame([(1, "a b"), (2, None), (3, "")], "doc_id long, text string")
