@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (chat_views, compression_toxicity, decontaminate, embedding_dedup, extendible_sharding, license_lookup,
-               packing, rans_store, simhash_index, suffix_dedup)
+from . import (chat_views, compression_toxicity, decontaminate, embedding_dedup, extendible_sharding, lexical_search,
+               license_lookup, merkle_manifest, packing, personal_data, rans_store, simhash_index, suffix_dedup)
 
 SHARD_BYTES = 4 << 20
 
@@ -76,9 +76,47 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_merkle_dataset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves and proofs of all documents in one tree per language, a third of
+    the rows presented with their capitals lower-cased."""
+    docs = _table(spark, sf_dir, "documents")
+    low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    third = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    return merkle_manifest.manifest(docs, claim=F.when(third, merkle_manifest.leaf_digest(text=low)))
+
+
+def op12_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best of all documents for each benchmark item."""
+    return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    out = personal_data.personal_data(_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["base"])
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["base"] & (x["kind"] == kind))).cast("long")
+    return out.select("doc_id", *[count(k).alias(f"n_{k}") for k in personal_data.BASE],
+                      F.sha2(personal_data.span_list(base), 256).alias("base_sha256"),
+                      personal_data.span_list(F.col("spans")).alias("spans"))
+
+
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
+_CAPS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+def _leaf_sql(text: str) -> str:
+    fields = ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text)
+    return "sha256(" + " || ".join(f"coalesce(strlen({x}) || ':' || {x}, '-')" for x in fields) + ")"
+
+
+# CRC-32 of a string of ASCII characters, bit by bit.
+_CRC = """xor(list_reduce(list_concat([4294967295], flatten(list_transform(range(1, length(s) + 1),
+    lambda i: [CAST(ord(substr(s, i, 1)) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, (c & 1) * 3988292384) END), 4294967295)"""
+
+
 def _values(rows: list[tuple[str, str]]) -> str:
     q = lambda s: "'" + s.replace("'", "''") + "'"
     return ", ".join(f"({q(a)}, {q(b)})" for a, b in rows)
@@ -134,8 +172,46 @@ f AS (SELECT * FROM b WHERE bytes <= {SHARD_BYTES} OR n = 1)
 SELECT doc_id, CAST(depth AS INTEGER) AS depth, prefix, CAST(bytes AS BIGINT) AS shard_bytes, n AS shard_rows
 FROM (SELECT doc_id, f.*, row_number() OVER (PARTITION BY doc_id ORDER BY depth) AS k FROM d JOIN f ON f.prefix = d.h >> (48 - f.depth))
 WHERE k = 1""",
+    "op11_merkle_dataset_manifest": f"""
+WITH RECURSIVE d AS (SELECT *, CAST(doc_id AS VARCHAR) AS s FROM documents),
+l AS (SELECT row_number() OVER () AS r, doc_id, lang, {_leaf_sql('text')} AS leaf,
+    CASE WHEN {_CRC} % 3 = 0 THEN {_leaf_sql(f'translate(text, {_CAPS})')} ELSE {_leaf_sql('text')} END AS claim FROM d),
+n AS (SELECT r, lang, 0 AS lvl, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, leaf AS h,
+        count(*) OVER (PARTITION BY lang) AS size FROM l
+    UNION ALL SELECT NULL, lang, lvl + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (size + 7) // 8 FROM n WHERE size > 1
+        GROUP BY lang, lvl, pos // 8, size),
+t AS (SELECT lang, lvl, h FROM n WHERE size = 1),
+m AS (SELECT lang, 0 AS lvl, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, h, count(*) OVER () AS size FROM t
+    UNION ALL SELECT NULL, lvl + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (size + 7) // 8 FROM m WHERE size > 1
+        GROUP BY lvl, pos // 8, size),
+p AS (SELECT n.r, n.lang, n.lvl, pos, size, claim AS h, '' AS sib FROM n JOIN l ON n.r = l.r
+    UNION ALL SELECT p.r, p.lang, p.lvl + 1, p.pos // 8, (p.size + 7) // 8,
+        sha256(string_agg(CASE WHEN n.pos = p.pos THEN p.h ELSE n.h END, '' ORDER BY n.pos)),
+        p.sib || coalesce(string_agg(n.h, '' ORDER BY n.pos) FILTER (n.pos <> p.pos), '')
+        FROM p JOIN n ON n.lang IS NOT DISTINCT FROM p.lang AND n.lvl = p.lvl AND n.pos // 8 = p.pos // 8 WHERE p.size > 1
+        GROUP BY p.r, p.lang, p.lvl, p.pos, p.size, p.sib),
+o AS (SELECT p.r, m.lvl, m.pos, m.size, p.h, p.sib FROM p JOIN m ON p.size = 1 AND m.lvl = 0 AND m.lang IS NOT DISTINCT FROM p.lang
+    UNION ALL SELECT o.r, o.lvl + 1, o.pos // 8, (o.size + 7) // 8,
+        sha256(string_agg(CASE WHEN m.pos = o.pos THEN o.h ELSE m.h END, '' ORDER BY m.pos)),
+        o.sib || coalesce(string_agg(m.h, '' ORDER BY m.pos) FILTER (m.pos <> o.pos), '')
+        FROM o JOIN m ON m.lvl = o.lvl AND m.pos // 8 = o.pos // 8 WHERE o.size > 1 GROUP BY o.r, o.lvl, o.pos, o.size, o.sib),
+top AS (SELECT h FROM m WHERE size = 1)
+SELECT doc_id, leaf, t.h AS subroot, top.h AS root, sha256(o.sib) AS proof_sha256, o.h AS folded_root, o.h = top.h AS verified
+FROM l JOIN o ON l.r = o.r AND o.size = 1 JOIN t ON t.lang IS NOT DISTINCT FROM l.lang, top""",
+    "op12_ranked_lexical_search": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT row_number() OVER () AS q, item_id, {_WORDS} AS w FROM benchmark),
+c AS (SELECT count(*) FILTER (len(w) > 0) AS big_n, CAST(sum(len(w)) AS BIGINT) AS big_l FROM d),
+tf AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM d) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+s AS (SELECT q, item_id, r, doc_id, CAST(sum(CAST(floor(1000 * ln((2 * big_n + 2) / (2 * df + 1))) AS BIGINT)
+    * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * big_n) // big_l)))) AS BIGINT) AS score
+    FROM (SELECT q, item_id, unnest(w) AS term FROM i) JOIN tf USING (term) JOIN df USING (term), c GROUP BY q, item_id, r, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 20""",
 }
 
 QUERIES = {f.__name__: f for f in (
     op1_chat_formatting, op2_suffix_array_dedup, op3_benchmark_decontamination, op4_embedding_near_dedup, op5_packing,
-    op6_token_id_output, op7_simhash_near_dedup, op8_license_scans, op9_sharding, op10_toxicity)}
+    op6_token_id_output, op7_simhash_near_dedup, op8_license_scans, op9_sharding, op10_toxicity,
+    op11_merkle_dataset_manifest, op12_ranked_lexical_search, op13_pii)}
