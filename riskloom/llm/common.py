@@ -50,6 +50,13 @@ class Scratch:
             p.getFileSystem(hconf).delete(p, True)
 
 
+def by_position(df: DataFrame) -> DataFrame:
+    """The table with its columns named c0, c1, ... by position, so that no
+    name of the input, dotted or clashing, meets one that an operator uses.
+    ``toDF(*names)`` gives the names back."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def utf8_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string array without its nulls' content, and
     n+1 offsets; a null counts as empty."""

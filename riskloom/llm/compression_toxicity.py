@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, prepare
+from .common import by_position, by_bytes, prepare
 
 WINDOW = 64
 STEM = (3, 12)
@@ -225,6 +225,11 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
 
 
 def keep_below(docs: DataFrame, model: Model, limit: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows with a score under ``limit``, with all their columns."""
+    """The rows with a score under ``limit``, with all their columns under any
+    name, dotted or clashing.  Null and empty texts have the score of no
+    evidence; repeated rows and null ids are rows of their own; an empty table
+    gives an empty result."""
     prepare(docs.sparkSession)
-    return docs.mapInArrow(_scorer(model, docs.columns.index(text_col), limit), docs.schema)
+    plain = by_position(docs)
+    kept = plain.mapInArrow(_scorer(model, docs.columns.index(text_col), limit), plain.schema)
+    return kept.toDF(*docs.columns)

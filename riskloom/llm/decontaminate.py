@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, by_bytes, prepare, small_enough, utf8_buffers
+from .common import Scratch, by_bytes, by_position, prepare, small_enough, utf8_buffers
 
 BITMAP_BITS = 1 << 26  # 8 MB
 SHINGLE = 3
@@ -102,7 +102,7 @@ def item_windows(items: DataFrame, id_col: str, text_col: str, window: int) -> D
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()),
                                               pa.array([r[2] for r in rows], pa.int32())], names=["item_id", "win", "n"])
 
-    return items.select(F.col(id_col).cast("string"), F.col(text_col).cast("string")).mapInArrow(
+    return items.select(F.col(f"`{id_col}`").cast("string"), F.col(f"`{text_col}`").cast("string")).mapInArrow(
         run, "item_id string, win string, n int")
 
 
@@ -163,7 +163,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     sh = scratch.write(window_shingles(runs))
     sizes = sorted(r[0] for r in sh.select(F.least("n", F.lit(SHINGLE))).distinct().collect())  # SHINGLE rows at most
     all_bits = hash_bitmap(spark, sh)
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     all_bits = spark.sparkContext.broadcast(all_bits)
 
@@ -228,9 +228,15 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """The documents that are not contaminated, with all their columns."""
-    spark = docs.sparkSession
-    bad = Scratch(spark, "contaminated").write(
-        contamination(docs, items, id_col, text_col, **kw).filter("contaminated")
-        .select(F.col(id_col).alias("_bad_id"), F.col("text_hash").alias("_bad_hash")).distinct())
-    return docs.join(small_enough(bad), docs[id_col].eqNullSafe(bad["_bad_id"]) & (F.xxhash64(docs[text_col].cast("string")) == bad["_bad_hash"]), "left_anti")
+    """The documents that are not contaminated, with all their columns under
+    any name, dotted or clashing.  Null and empty texts are clean; rows that
+    repeat an id are judged each by its own text, equal rows alike; without
+    documents or items nothing is dropped."""
+    names = docs.columns
+    plain = by_position(docs)
+    key, text = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
+    bad = Scratch(docs.sparkSession, "contaminated").write(
+        contamination(plain, items, key, text, **kw).filter("contaminated")
+        .select(F.col(key).alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct())
+    same = F.col(key).eqNullSafe(F.col("bad_id")) & (F.xxhash64(F.col(text).cast("string")) == F.col("bad_hash"))
+    return plain.join(small_enough(bad), same, "left_anti").toDF(*names)

@@ -69,7 +69,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     spark = df.sparkSession
     prepare(spark)
     scratch = Scratch(spark, "cosine")
-    src = df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    src = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{vec_col}`").cast("array<double>").alias("v"))
     usable = F.expr("""v IS NOT NULL AND size(v) > 0 AND NOT exists(v, a -> a IS NULL OR isnan(a) OR abs(a) = double('Infinity'))
                        AND exists(v, a -> a <> 0)""")
     rows = scratch.write(src.withColumn("ok", F.coalesce(usable, F.lit(False))))

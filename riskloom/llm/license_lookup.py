@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from pathlib import Path
+from importlib import resources
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,24 +61,29 @@ KNOWN = [
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
 ]
 
+# The licences whose published texts are in ``licenses/``.
+PUBLISHED = ["Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only",
+             "MPL-1.1", "MPL-2.0", "Unlicense", "Zlib"]
 END = "END OF TERMS AND CONDITIONS"
 
 
 def bodies() -> list[tuple[str, str]]:
     """(licence, text) of the published texts in ``licenses/``, and as they are
     often shortened: without what follows the terms, without the notice ahead
-    of CC0, and BSD lists with bullets."""
+    of CC0, and BSD lists with bullets.  They are package data, read wherever
+    the package is installed, also from a zip; it is an error if one is missing."""
     out = []
-    for p in sorted((Path(__file__).parent / "licenses").glob("*.txt")):
-        text = p.read_text(encoding="utf-8")
-        out.append((p.stem, text))
+    folder = resources.files(__package__) / "licenses"
+    for name in PUBLISHED:
+        text = (folder / f"{name}.txt").read_text(encoding="utf-8")
+        out.append((name, text))
         if END in text:
             terms = text[:text.index(END)]
-            out += [(p.stem, terms), (p.stem, terms + END)]
-        if p.stem == "CC0-1.0":
-            out.append((p.stem, text[text.index("Statement of Purpose"):]))
-        if p.stem.startswith("BSD"):
-            out.append((p.stem, re.sub(r"(?m)^\s*\d\.\s", "* ", text)))
+            out += [(name, terms), (name, terms + END)]
+        if name == "CC0-1.0":
+            out.append((name, text[text.index("Statement of Purpose"):]))
+        if name.startswith("BSD"):
+            out.append((name, re.sub(r"(?m)^\s*\d\.\s", "* ", text)))
     return out
 
 
@@ -190,7 +195,7 @@ def license_matches(df: DataFrame, known: DataFrame, id_col: str = "doc_id", tex
         heads |= {a.split()[0] for a, b in SPELLINGS if b.split()[0] in heads}
     begins = lambda c: F.substring_index(c, " ", 1).isin(sorted(heads)) if heads else F.lit(False)
     fits = lambda c: F.length(c).isin(lengths) if lengths else F.lit(False)
-    src = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    src = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     split = src.select(F.monotonically_increasing_id().alias("row"), "id", "text", folded_lines(F.col("text")).alias("lines"))
     near = split.select("row", "id", F.filter("lines", begins).alias("lines"), F.when(
         begins(F.coalesce(*[F.get(F.filter("lines", f), F.lit(0)) for f in (_in_body, lambda x: x != "")])) if heads else F.lit(False), _join(body_lines(F.col("text")))).alias("whole"))

@@ -184,7 +184,8 @@ def manifest(docs: DataFrame, id_col: str = "doc_id", group_col: str = "lang", c
     leaves = docs.select(
         F.coalesce(F.concat(F.lit("="), group), F.lit("")).alias("g"), F.col(f"`{id_col}`").alias("id"),
         leaf.alias("digest"), (F.lit(None).cast("string") if claim is None else claim).alias("claim"))
-    nodes = (_placed(scratch, leaves, ["id", "digest"])
+    # Written first: the range sort reads its input twice, once for the bounds.
+    nodes = (_placed(scratch, scratch.write(leaves), ["id", "digest"])
              .select("g", "pos", "size", "digest", F.col("id").cast("string"), F.coalesce("claim", "digest").alias("claim")))
     tiers = _climb(scratch, nodes, fan_out, block_levels)
 

@@ -115,7 +115,7 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     path = tokenizer or tokenizer_path()
     prepare(df.sparkSession)
     names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
-    src = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    src = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     id_type = src.schema["id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -166,7 +166,7 @@ def write_token_files(df: DataFrame, path: str, id_col: str = "doc_id", text_col
 
     vocab = encoder(tok_path).tok.get_vocab_size(with_added_tokens=True)
     width = "<u2" if vocab <= 1 << 16 else "<u4"
-    src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    src = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     toks = scratch.write(src.mapInArrow(tokenise, "id long, n long, crc long, ids binary")
                          .withColumn("tie", F.monotonically_increasing_id()))
 

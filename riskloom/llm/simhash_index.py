@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, components, fold_labels, prepare, ranges, small_enough
+from .common import by_position, Scratch, components, fold_labels, prepare, ranges, small_enough
 
 LEAF = 32
 FAN = 16
@@ -263,7 +263,17 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def keep_representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
                          max_bits: int = 3) -> DataFrame:
     """The input's rows, one for each component: the row with the smallest id
-    (null ids last, then the smallest fingerprint and text)."""
+    (null ids last, then the smallest fingerprint and text).
+
+    Null and empty texts are one component; of rows that repeat an id those
+    with the representative's fingerprint come down to the smallest row; texts
+    of any length count whole; an empty table gives an empty result.  Other
+    columns pass through under any name, dotted or clashing."""
+    names = df.columns
+    return _representatives(by_position(df), f"c{names.index(id_col)}", f"c{names.index(text_col)}", shingle, max_bits).toDF(*names)
+
+
+def _representatives(df: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int) -> DataFrame:
     spark = df.sparkSession
     scratch = Scratch(spark, "simhash-keep")
     g = scratch.write(near_groups(df, id_col, text_col, shingle, max_bits))

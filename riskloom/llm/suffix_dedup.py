@@ -311,7 +311,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def send_anchors(key, t):
         s = _Segment(t.column("id"), t.column("text"), length)
-        times = np.minimum(s.seen, 255).astype(np.uint8)
+        times = s.seen.astype(np.uint32)
         seg = key[0].as_py()
         return _packets([(seg, b, 0, j - i, _pack(rest, times[i:j])) for b, i, j, rest in s.cut(s.uniq, bits)])
 
@@ -319,7 +319,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         raws = [zstandard.decompress(d) for d in t.column("data").to_pylist()]
         ns = t.column("n").to_pylist()
         h = np.concatenate([np.frombuffer(r, np.uint32, n) for r, n in zip(raws, ns)])
-        c = np.concatenate([np.frombuffer(r, np.uint8, n, 4 * n) for r, n in zip(raws, ns)])
+        c = np.concatenate([np.frombuffer(r, np.uint32, n, 4 * n) for r, n in zip(raws, ns)])
         _, inv = np.unique(h, return_inverse=True)
         total = np.bincount(inv, weights=c)
         rep, hot = (total >= 2)[inv], (total > hot_limit)[inv]
