@@ -86,7 +86,7 @@ def ship_package(spark: SparkSession) -> None:
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for root, _dirs, files in os.walk(pkg):
             for f in files:
-                if f.endswith(".py"):
+                if f.endswith((".py", ".txt")):
                     full = os.path.join(root, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
     if sc is not None:
