@@ -1,215 +1,328 @@
 """Exact k-nearest-neighbour joins (C3, C4, N9, K7) without a cross join.
 
-Plan
-----
-1. Pivots: the ``P`` data rows with the smallest md5 of their key
-   (deterministic; ``P ~ sqrt(n)``, as far as the pivot matrix keeps to
-   ``MAX_PIVOT_VALUES`` numbers, since it is shipped to every task).
-2. Every data row gets its nearest pivot (its *cell*) and that distance;
-   every query row gets its distances to all pivots.  Both are vectorised
-   numpy passes inside ``mapInPandas``.
-3. Pruning by the triangle inequality: pivots are data rows, so the k-th
-   nearest pivot distance ``r_q`` bounds the k-th neighbour distance; cell
-   ``j`` (radius ``R_j``) can hold a neighbour only if
-   ``d(q, p_j) - R_j <= r_q``.
-4. Blocks: every candidate (query, cell) pair is routed to block keys
-   ``(cell, data chunk, query chunk)``; cells are cut into chunks of at most
-   ``block`` rows on each side, so a hot cell (even a third of all rows)
-   becomes many bounded blocks spread over the cluster.  Each block is a
-   ``cogroup`` evaluated with numpy (one matrix product for candidate
-   selection, exact squared differences for the kept candidates).
-5. Per query the block winners (at most ``k`` per block) are merged with a
-   window partitioned by the query key.
-
-Ranking is on the squared distance rounded to 6 decimals, then the data key.
-Candidates are chosen on centred vectors with a slack that covers both the
-rounding and the error of the expanded form, and distances are recomputed from
-plain differences, so results are deterministic and independent of the blocks.  Work is
-quadratic only when the data defeat the pruning (e.g. unclustered
-high-dimensional vectors); it is never materialised as a pair table.
+Rows meet in *chunks*: at most ``block`` rows that lie near each other, packed
+as one row of two binary columns (keys and numbers).  An index over the chunks
+gives the pairs of chunks that can hold neighbours, as ids; the packed rows
+are joined to these pairs by id and compared with numpy, pair by pair, so a
+task holds two chunks whatever the size of the tables.
+
+``knn`` (vectors): a tree of pivots, which are data rows.  About
+``sqrt(n / block)`` pivots cut the data into parts, and each part has one pivot
+of its own for every ``block`` of its rows; a leaf cell is what lies nearest to
+such a pivot.  Every query gets an upper bound of its k-th distance from the
+pivots that it passes and from its own cell.  A cell is visited only if the
+triangle inequality allows it for the chunk's queries, first for the part,
+then for the cell.  A cell larger than ``block`` (equal rows) is cut into
+chunks by a hash of the key.
+
+``knn_impute`` (rows with missing values): rows are ordered by their pattern of
+present columns and by a space-filling curve over the present values, and
+consecutive rows form the chunks, each with its box.  For two patterns the
+distance is Euclidean over the shared columns, so the boxes' distance over
+these columns bounds it from below.  The upper bounds are tightened in rounds
+over the nearest chunks before the rest is searched.
+
+Ranking is on the squared distance rounded to 6 decimals (``knn_impute``: on the
+distance), then the data key.  Bounds carry a slack that covers the rounding and the error
+of the expanded form, and distances are recomputed from plain differences, so
+results are exact and do not depend on the chunks.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-MAX_PIVOT_VALUES = 4_000_000
 ROUND = 6
+#: Numbers that a task holds in one matrix of distances to pivots.
+MATRIX = 1 << 22
+#: Packed bytes of chunk pairs per task.
+PAIR_BYTES = 16 << 20
+#: What the last call compared (see the functions).
 LAST_STATS: dict = {}
 
 
-def _sqdist_exact(qv: np.ndarray, xv: np.ndarray) -> np.ndarray:
-    d = qv - xv
-    return np.einsum("ij,ij->i", d, d)
+def _slack(dim: int, q2, x2):
+    """Error bound of ``|q|^2 + |x|^2 - 2 q.x`` from the squared norms."""
+    return 8 * np.finfo(float).eps * (dim + 4) * (q2 + x2)
 
 
-def _matrix(series) -> np.ndarray:
-    """Stack a column of equal-length vectors (Arrow gives numpy arrays)."""
-    if len(series) == 0:
-        return np.zeros((0, 0))
-    return np.stack(list(series)).astype(np.float64, copy=False)
+def _vectors(col: pa.Array, dim: int) -> np.ndarray:
+    """A column of vectors of ``dim`` numbers as a matrix."""
+    return np.asarray(col.flatten(), np.float64).reshape(-1, dim)
 
 
-def _slack(dim: int, q2, x2):
-    """Error bound of ``|q|^2 + |x|^2 - 2 q.x`` from the squared norms."""
-    return 8 * np.finfo(float).eps * (dim + 4) * (q2 + x2)
+def _lists(m: np.ndarray) -> pa.Array:
+    off = np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]
+    return pa.ListArray.from_arrays(pa.array(off), pa.array(m.ravel()))
+
+
+def _matrix(raw: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(raw, np.float64).reshape(-1, width)
 
 
-def _pivot_distances(v: np.ndarray, piv: np.ndarray) -> np.ndarray:
+def _distances(v: np.ndarray, piv: np.ndarray) -> np.ndarray:
     d2 = (v * v).sum(1)[:, None] + (piv * piv).sum(1)[None, :] - 2.0 * (v @ piv.T)
     return np.sqrt(np.maximum(d2, 0.0))
 
 
-def _block_topk(qk, qv, dk, dv, k: int, exclude_self: bool):
-    """Top-k (rounded squared distance, key) of each query within a block."""
-    if len(qk) == 0 or len(dk) == 0:
-        return [], [], []
+def _nearest(qk, qv, dk, dv, k: int, exclude_self: bool, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query's place, data key, rounded squared distance) of the ``k`` best
+    data rows of each query, as far as they are within its ``limit``."""
+    dim = qv.shape[1]
     centre = dv.mean(0)
     qc, dc = qv - centre, dv - centre
     q2, d2 = (qc * qc).sum(1), (dc * dc).sum(1)
     approx = q2[:, None] + d2[None, :] - 2.0 * (qc @ dc.T)
-    slack = 2 * 10.0 ** -ROUND + 2 * _slack(qv.shape[1], q2, d2.max())
     if exclude_self:
-        approx = np.where(qk[:, None] == dk[None, :], np.inf, approx)
-    out_q, out_d, out_s = [], [], []
-    for i in range(len(qk)):
-        row = approx[i]
-        finite = np.isfinite(row)
-        m = int(finite.sum())
-        if m == 0:
-            continue
-        kk = min(k, m)
-        # Candidates: everything within the slack of the k-th approximate
-        # distance, so that exact recomputation and rounding cannot miss a tie.
-        kth = np.partition(row[finite], kk - 1)[kk - 1]
-        cand = np.nonzero(row <= kth + slack[i])[0]
-        ex = np.round(_sqdist_exact(np.broadcast_to(qv[i], (len(cand), qv.shape[1])), dv[cand]), ROUND)
-        order = np.lexsort((dk[cand], ex))[:kk]
-        out_q.extend([qk[i]] * len(order))
-        out_d.extend(dk[cand][order].tolist())
-        out_s.extend(ex[order].tolist())
-    return out_q, out_d, out_s
+        approx[qk[:, None] == dk[None, :]] = np.inf
+    slack = 2 * 10.0 ** -ROUND + 2 * _slack(dim, q2, d2.max())
+    kth = np.partition(approx, min(k, len(dk)) - 1, axis=1)[:, min(k, len(dk)) - 1]
+    # Everything that could round to a distance among the k best.
+    near = (approx <= (np.minimum(kth, limit) + slack)[:, None]) & np.isfinite(approx)
+    ends = np.cumsum(near.sum(1))
+    parts = []
+    lo = 0
+    while lo < len(qk):  # as many queries at once as have MATRIX numbers in their candidates
+        base = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, base + MATRIX // dim, side="right")))
+        qi, di = np.nonzero(near[lo:hi])
+        diff = qv[lo:hi][qi] - dv[di]
+        ex = np.round(np.einsum("ij,ij->i", diff, diff), ROUND)
+        order = np.lexsort((dk[di], ex, qi))
+        qi, di, ex = qi[order], di[order], ex[order]
+        best = np.arange(len(qi)) - np.searchsorted(qi, qi) < k
+        parts.append((qi[best] + lo, dk[di[best]], ex[best]))
+        lo = hi
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+class _Tree:
+    """The pivots over the data of one search: ``top`` (a matrix, on the driver:
+    sqrt(n / block) rows) and, below it, a written table (top, sub, key, vec)."""
+
+    def __init__(self, data: DataFrame, n: int, dim: int, block: int, k: int):
+        self.dim, self.block, self.k = dim, block, k
+        rows = data.orderBy(F.md5(F.col("key").cast("string")), "key").limit(math.ceil(math.sqrt(n / block))).collect()
+        self.keys = np.array([r["key"] for r in rows], np.int64)
+        top = np.array([r["vec"] for r in rows], np.float64).reshape(-1, dim)
+        self.centre = top.mean(0)
+        self.top = top - self.centre
+        parts = cut_lineage(self._part(data))
+        sizes = parts.groupBy("top").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("radius")).collect()
+        self.sizes = {r["top"]: r["n"] for r in sizes}
+        self.radius = np.zeros(len(top))
+        for r in sizes:
+            self.radius[r["top"]] = r["radius"]
+        first = Window.partitionBy("top").orderBy(F.md5(F.col("key").cast("string")), "key")
+        self.sub = cut_lineage(self._sized(parts, self.sizes).withColumn("sub", F.row_number().over(first) - 1)
+                               .where(F.col("sub") < F.ceil(F.col("n") / block)).select("top", "sub", "key", "vec"))
+        self.rows = cut_lineage(self._leaf(parts, self.sizes))
+
+    def _sized(self, parts: DataFrame, sizes: dict) -> DataFrame:
+        table = parts.sparkSession.createDataFrame(list(sizes.items()), "top int, n long")
+        return parts.join(table, "top")
+
+    def _part(self, rows: DataFrame) -> DataFrame:
+        """(key, vec, top, d, reach): the nearest top pivot, its distance, and
+        the k-th distance among the top pivots other than the row itself."""
+        top, keys, centre, dim, k = self.top, self.keys, self.centre, self.dim, self.k
+        step = max(1, MATRIX // max(1, len(top)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for lo in range(0, b.num_rows, step):
+                    t = b.slice(lo, step)
+                    near, d, reach = _to_pivots(t.column(0).to_numpy(), _vectors(t.column(1), dim) - centre, keys, top, k)
+                    yield pa.RecordBatch.from_arrays([*t.columns, pa.array(near.astype(np.int32)), pa.array(d), pa.array(reach)],
+                                                     names=["key", "vec", "top", "d", "reach"])
+
+        return rows.mapInArrow(run, "key long, vec array<double>, top int, d double, reach double")
+
+    def _leaf(self, parts: DataFrame, sizes: dict) -> DataFrame:
+        """(key, vec, cell, d, reach) with the nearest of the part's own pivots."""
+        dim, centre, k = self.dim, self.centre, self.k
+        share = 8 * self.block
+        own = self._sized(parts, sizes).withColumn("share", F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / share)).cast("int")).drop("n")
+        subs = self._sized(self.sub, sizes).withColumn("share", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / share).cast("int") - 1))).drop("n")
+
+        def run(own: pa.Table, subs: pa.Table) -> pa.Table:
+            if not own.num_rows or not subs.num_rows:
+                return pa.table({"key": pa.array([], pa.int64()), "vec": pa.array([], pa.list_(pa.float64())), "cell": pa.array([], pa.int64()),
+                                 "d": pa.array([], pa.float64()), "reach": pa.array([], pa.float64())})
+            subs = subs.sort_by("sub")
+            own = own.combine_chunks()
+            piv = _vectors(subs.column("vec").combine_chunks(), dim) - centre
+            keys, top = subs.column("key").to_numpy(), own.column("top")[0].as_py()
+            step, out = max(1, MATRIX // len(piv)), []
+            for lo in range(0, own.num_rows, step):
+                t = own.slice(lo, step)
+                near, d, reach = _to_pivots(t.column("key").to_numpy(), _vectors(t.column("vec").combine_chunks(), dim) - centre, keys, piv, k)
+                out.append(pa.table({"key": t.column("key"), "vec": t.column("vec"), "cell": (top << 32) + near, "d": d,
+                                     "reach": np.minimum(reach, t.column("reach").to_numpy())}))
+            return pa.concat_tables(out)
+
+        return own.groupBy("top", "share").cogroup(subs.groupBy("top", "share")).applyInArrow(
+            run, "key long, vec array<double>, cell long, d double, reach double")
+
+    def place(self, queries: DataFrame) -> DataFrame:
+        """The queries in their nearest cells, as ``rows`` are."""
+        parts = cut_lineage(self._part(queries))
+        sizes = {r["top"]: r["n"] for r in parts.groupBy("top").agg(F.count(F.lit(1)).alias("n")).collect()}
+        return cut_lineage(self._leaf(parts, sizes))
+
+
+def _to_pivots(key: np.ndarray, v: np.ndarray, keys: np.ndarray, piv: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    dist = _distances(v, piv)
+    near = dist.argmin(1)
+    d = dist[np.arange(len(v)), near]
+    dist[key[:, None] == keys[None, :]] = np.inf
+    reach = np.partition(dist, k - 1, axis=1)[:, k - 1] if len(piv) >= k else np.full(len(v), np.inf)
+    return near, d, reach
+
+
+def _packed(rows: DataFrame, block: int, dim: int) -> DataFrame:
+    """Chunks (cell, chunk, n, keys, vecs, reach, far) of rows (key, vec, cell, d, reach)."""
+    sizes = rows.groupBy(F.col("cell").alias("c")).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("m"))
+    own = rows.join(sizes, F.col("cell") == F.col("c")).withColumn("chunk", F.pmod(F.xxhash64("key", F.lit(1)), F.col("m")).cast("int"))
+
+    def run(t: pa.Table) -> pa.Table:
+        return pa.table({"cell": t.column("cell")[:1], "chunk": t.column("chunk")[:1], "n": pa.array([t.num_rows], pa.int32()),
+                         "keys": [t.column("key").to_numpy().tobytes()], "vecs": [_vectors(t.column("vec").combine_chunks(), dim).tobytes()],
+                         "reach": [t.column("reach").to_numpy().tobytes()], "far": [max(t.column("d").to_numpy())]})
+
+    return own.drop("c", "m").groupBy("cell", "chunk").applyInArrow(
+        run, "cell long, chunk int, n int, keys binary, vecs binary, reach binary, far double")
+
+
+def _dealt(pairs: DataFrame, chunk_bytes: int) -> DataFrame:
+    """Pairs of chunk ids, written, and dealt to as many tasks as their packed
+    rows need (ids alone would be put together into one or two)."""
+    pairs = cut_lineage(pairs)
+    n = pairs.count()
+    return pairs.repartition(max(1, min(n // 16, -(-n * chunk_bytes // PAIR_BYTES)))) if n > 16 else pairs
+
+
+def _compare(pairs: DataFrame, dim: int, k: int, exclude_self: bool, bounds_only: bool) -> DataFrame:
+    """Compare the chunks of each row of ``pairs`` (keys, vecs, reach of the
+    queries; dkeys, dvecs of the data).  With ``bounds_only`` ``reach`` (the
+    squared k-th distance) is lowered; else the rows are neighbours."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols = {n: b.column(n) for n in b.schema.names}
+            for i in range(b.num_rows):
+                qk, qv = np.frombuffer(cols["keys"][i].as_py(), np.int64), _matrix(cols["vecs"][i].as_py(), dim)
+                limit = np.frombuffer(cols["reach"][i].as_py(), np.float64)
+                raw = cols["dkeys"][i].as_py()
+                if raw is None:
+                    at, key, sq = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+                else:
+                    at, key, sq = _nearest(qk, qv, np.frombuffer(raw, np.int64), _matrix(cols["dvecs"][i].as_py(), dim), k, exclude_self, limit)
+                if not bounds_only:
+                    yield pa.RecordBatch.from_arrays([pa.array(qk[at]), pa.array(key), pa.array(sq)], names=["q_key", "nb_key", "sq_dist"])
+                    continue
+                last = np.arange(len(at)) - np.searchsorted(at, at) == k - 1
+                limit = limit.copy()
+                limit[at[last]] = np.minimum(limit[at[last]], sq[last] + 10.0 ** -ROUND)
+                yield pa.RecordBatch.from_arrays([pa.array([cols["cell"][i].as_py()], pa.int64()), pa.array([cols["chunk"][i].as_py()], pa.int32()),
+                                                  pa.array([limit.tobytes()], pa.binary()), pa.array([limit.max()], pa.float64())],
+                                                 names=["cell", "chunk", "reach", "most"])
+
+    return pairs.mapInArrow(run, "cell long, chunk int, reach binary, most double" if bounds_only
+                            else "q_key long, nb_key long, sq_dist double")
 
 
 def knn(query: DataFrame, data: DataFrame, k: int, q_key: str = "key", q_vec: str = "vec",
-        d_key: str = "key", d_vec: str = "vec", exclude_self: bool = False,
-        block: int = 2048, max_pivots: int | None = None) -> DataFrame:
+        d_key: str = "key", d_vec: str = "vec", exclude_self: bool = False, block: int = 2048) -> DataFrame:
     """Exact k nearest data rows of every query row.
 
     Returns ``(q_key, nb_key, sq_dist, rank)``; ``rank`` starts at 1.  With
     ``exclude_self`` a data row with the query's key is not its neighbour.
     Vectors are arrays of numbers of equal length; keys are longs.
-    """
+    ``LAST_STATS`` has the number of leaf cells (pivots), of data rows and of
+    (query, cell) pairs that were compared."""
     spark = query.sparkSession
-    Q = query.select(F.col(q_key).cast("long").alias("qk"), F.col(q_vec).cast("array<double>").alias("qv"))
-    D = data.select(F.col(d_key).cast("long").alias("dk"), F.col(d_vec).cast("array<double>").alias("dv"))
-
-    n_d = D.count()
-    if n_d == 0:
-        schema = "q_key long, nb_key long, sq_dist double, rank int"
-        return spark.createDataFrame([], schema)
-    dim = D.select(F.max(F.size("dv"))).first()[0]
-    n_piv = max(1, min(int(math.sqrt(n_d)), max_pivots or MAX_PIVOT_VALUES // max(1, dim)))
-    prow = (D.orderBy(F.md5(F.col("dk").cast("string")), "dk").limit(n_piv).collect())
-    piv_keys = np.asarray([r["dk"] for r in prow], dtype=np.int64)
-    piv = _matrix([r["dv"] for r in prow])
-    n_piv = len(piv)
-    centre = piv.mean(0)
-    piv -= centre
-    piv2 = float((piv * piv).sum(1).max())
-
-    def assign_cells(it):
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
-            v = _matrix(pdf["dv"]) - centre
-            dist = _pivot_distances(v, piv)
-            cell = dist.argmin(1)
-            pdf = pdf.assign(cell=cell.astype(np.int32), dcell=dist[np.arange(len(v)), cell])
-            yield pdf
-
-    # Written, not cached: read by several jobs here and by the returned plan, and nothing to release.
-    Dc = cut_lineage(D.mapInPandas(assign_cells, "dk long, dv array<double>, cell int, dcell double"))
-    stats = {r["cell"]: (r["n"], r["radius"]) for r in
-             Dc.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("dcell").alias("radius")).collect()}
-    # A radius is the distance of a data row, as uncertain as any other.
-    far = max((r[1] or 0.0 for r in stats.values()), default=0.0)
-    radius_err = float(np.sqrt(_slack(dim, (far + math.sqrt(piv2)) ** 2, piv2)))
-    radius = np.full(n_piv, np.nan)
-    n_chunks = np.zeros(n_piv, dtype=np.int64)
-    for c, (n, rr) in stats.items():
-        radius[c] = rr
-        n_chunks[c] = max(1, math.ceil(n / block))
-
-    def candidate_cells(it):
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
-            v = _matrix(pdf["qv"]) - centre
-            dist = _pivot_distances(v, piv)
-            if exclude_self:
-                own = pdf["qk"].to_numpy()[:, None] == piv_keys[None, :]
-                kd = np.where(own, np.inf, dist)
-            else:
-                kd = dist
-            avail = kd.shape[1] - (np.isinf(kd).sum(1) if exclude_self else 0)
-            if kd.shape[1] >= k:
-                r = np.partition(kd, k - 1, axis=1)[:, k - 1]
-            else:
-                r = np.full(len(v), np.inf)
-            r = np.where(avail >= k, r, np.inf)
-            # Squared distances that round alike count as equal; distances carry the error of the expanded form.
-            err = np.sqrt(_slack(v.shape[1], (v * v).sum(1), piv2))
-            bound = np.sqrt(r * r + 2 * 10.0 ** -ROUND) + 2 * err
-            ok = (dist - radius[None, :]) <= (bound + err + radius_err)[:, None]
-            ok &= ~np.isnan(radius)[None, :]
-            cells = [np.nonzero(row)[0].astype(np.int32).tolist() for row in ok]
-            yield pd.DataFrame({"qk": pdf["qk"], "qv": pdf["qv"], "cells": cells})
-
-    Qc = cut_lineage(Q.mapInPandas(candidate_cells, "qk long, qv array<double>, cells array<int>")
-                     .select("qk", "qv", F.explode("cells").alias("cell")))
-    qcount = {r["cell"]: r["n"] for r in Qc.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    # Pruning statistics of the last call (candidate query-cell pairs vs all).
-    LAST_STATS.clear()
-    LAST_STATS.update(pivots=n_piv, candidate_pairs=int(sum(qcount.values())), data_rows=int(n_d))
-    q_chunks = np.ones(n_piv, dtype=np.int64)
-    for c, n in qcount.items():
-        q_chunks[c] = max(1, math.ceil(n / block))
-
-    nch = F.array(*[F.lit(int(x)) for x in n_chunks])
-    qch = F.array(*[F.lit(int(x)) for x in q_chunks])
-    # Block keys.  Chunk ids come from a hash of the row key, so chunks of a
-    # cell are near-equal in size without a ranking pass.
-    Qb = Qc.select("qk", "qv", "cell",
-                   F.explode(F.sequence(F.lit(0), F.element_at(nch, F.col("cell") + 1) - 1)).alias("dchunk"),
-                   F.pmod(F.xxhash64("qk"), F.element_at(qch, F.col("cell") + 1)).cast("int").alias("qchunk"))
-    Db = Dc.select("dk", "dv", "cell",
-                   F.pmod(F.xxhash64("dk", F.lit(1)), F.element_at(nch, F.col("cell") + 1)).cast("int").alias("dchunk"),
-                   F.explode(F.sequence(F.lit(0), F.element_at(qch, F.col("cell") + 1) - 1)).alias("qchunk"))
-
-    def block_fn(qpdf: pd.DataFrame, dpdf: pd.DataFrame) -> pd.DataFrame:
-        if len(qpdf) == 0 or len(dpdf) == 0:
-            return pd.DataFrame({"q_key": [], "nb_key": [], "sq_dist": []})
-        qk_, dk_ = qpdf["qk"].to_numpy(np.int64), dpdf["dk"].to_numpy(np.int64)
-        a, b, c = _block_topk(qk_, _matrix(qpdf["qv"]), dk_, _matrix(dpdf["dv"]), k, exclude_self)
-        return pd.DataFrame({"q_key": np.asarray(a, dtype=np.int64), "nb_key": np.asarray(b, dtype=np.int64),
-                             "sq_dist": np.asarray(c, dtype=np.float64)})
-
-    keys = ["cell", "dchunk", "qchunk"]
-    cand = (Qb.groupBy(*keys).cogroup(Db.groupBy(*keys))
-            .applyInPandas(block_fn, "q_key long, nb_key long, sq_dist double"))
+    same = query is data and (q_key, q_vec) == (d_key, d_vec)
+    data = data.select(F.col(d_key).cast("long").alias("key"), F.col(d_vec).cast("array<double>").alias("vec"))
+    query = data if same else query.select(F.col(q_key).cast("long").alias("key"), F.col(q_vec).cast("array<double>").alias("vec"))
+    n, dim = data.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
+    if not n:
+        return spark.createDataFrame([], "q_key long, nb_key long, sq_dist double, rank int")
+    if n <= block:  # one cell, one chunk
+        one = lambda df: df.select("key", "vec", F.lit(0).cast("long").alias("cell"), F.lit(0.0).alias("d"), F.lit(float("inf")).alias("reach"))
+        chunks = _packed(one(data), block, dim)
+        asked = chunks if same else _packed(one(query), block, dim)
+        pairs = asked.join(chunks.select("cell", F.col("keys").alias("dkeys"), F.col("vecs").alias("dvecs")), "cell")
+        LAST_STATS.clear()
+        LAST_STATS.update(pivots=1, data_rows=int(n))
+    else:
+        pairs = _tree_pairs(_Tree(data, n, dim, block, k), query, same, n, dim, k, exclude_self, block)
+    cand = _compare(pairs, dim, k, exclude_self, False)
     w = Window.partitionBy("q_key").orderBy("sq_dist", "nb_key")
     return (cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .withColumn("rank", F.col("rank").cast("int")))
 
 
+def _tree_pairs(tree: _Tree, query: DataFrame, same: bool, n: int, dim: int, k: int, exclude_self: bool, block: int) -> DataFrame:
+    """The packed chunks of queries and data that can hold neighbours, pair by pair."""
+    placed = tree.rows if same else tree.place(query)
+    centre, top, radius = tree.centre, tree.top, tree.radius
+    top2 = float((top * top).sum(1).max())
+    # Squared bounds; a distance to a pivot carries the error of the expanded form.
+    spread = math.sqrt(top2) + float(radius.max())
+    err = 2 * float(np.sqrt(_slack(dim, spread ** 2, spread ** 2)))
+    square = (F.col("reach") + F.lit(err)) * (F.col("reach") + F.lit(err)) + F.lit(10.0 ** -ROUND)
+    chunks = cut_lineage(_packed(tree.rows, block, dim))
+    asked = cut_lineage(_packed(placed.withColumn("reach", square), block, dim))
+    data = chunks.select(F.col("cell").alias("d_cell"), F.col("chunk").alias("d_chunk"), F.col("keys").alias("dkeys"), F.col("vecs").alias("dvecs"))
+    home = asked.join(data.where("d_chunk = 0"), F.col("cell") == F.col("d_cell"), "left")
+    bounds = cut_lineage(_compare(home, dim, k, exclude_self, True))
+    cells = cut_lineage(tree.rows.groupBy("cell").agg(F.max("d").alias("radius"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("m")).join(
+        tree.sub.select(((F.col("top").cast("long") * (1 << 32)) + F.col("sub")).alias("cell"), F.col("vec").alias("pivot")), "cell"))
+
+    # Parts of the tree that a chunk's queries can reach, from the pivot of their own cell.
+    heads = (asked.select("cell", "chunk", "n", "far").join(bounds.select("cell", "chunk", "most"), ["cell", "chunk"])
+             .join(tree.sub.select(((F.col("top").cast("long") * (1 << 32)) + F.col("sub")).alias("cell"), "vec"), "cell")
+             .select("cell", "chunk", "n", "far", "most", "vec"))
+
+    def reach_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, MATRIX // len(top))
+        for b in batches:
+            for lo in range(0, b.num_rows, step):
+                t = b.slice(lo, step)
+                far, most = t.column(3).to_numpy(), t.column(4).to_numpy()
+                dist = _distances(_vectors(t.column(5), dim) - centre, top)
+                i, j = np.nonzero(dist - radius[None, :] <= (far + np.sqrt(most) + 3 * err)[:, None])
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(i)) for c in t.columns), pa.array(j.astype(np.int32))],
+                                                 names=["cell", "chunk", "n", "far", "most", "vec", "top"])
+
+    head = "cell long, chunk int, n int, far double, most double, vec array<double>"
+    parts = heads.mapInArrow(reach_parts, f"{head}, top int")
+    own = cells.select(F.col("cell").alias("d_cell"), "radius", "m", "pivot", (F.col("cell") / F.lit(1 << 32)).cast("long").cast("int").alias("top"))
+
+    def reach_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            c = {x: b.column(x) for x in b.schema.names}
+            diff = _vectors(c["vec"], dim) - _vectors(c["pivot"], dim)
+            dist = np.sqrt((diff * diff).sum(1))
+            ok = dist - c["radius"].to_numpy() <= c["far"].to_numpy() + np.sqrt(c["most"].to_numpy()) + 3 * err
+            yield pa.RecordBatch.from_arrays([c[x] for x in ("cell", "chunk", "n", "d_cell", "m")], names=["cell", "chunk", "n", "d_cell", "m"]).filter(pa.array(ok))
+
+    found = cut_lineage(parts.join(own, "top").mapInArrow(reach_cells, "cell long, chunk int, n int, d_cell long, m int"))
+    LAST_STATS.clear()
+    LAST_STATS.update(pivots=cells.count(), data_rows=int(n), candidate_pairs=int(found.agg(F.sum("n")).first()[0] or 0))
+    ids = found.select("cell", "chunk", "d_cell", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("d_chunk"))
+    sides = asked.drop("n", "reach", "far").join(bounds.drop("most"), ["cell", "chunk"])
+    return _dealt(ids, 16 * block * (dim + 1)).join(sides, ["cell", "chunk"]).join(data, ["d_cell", "d_chunk"])
+
+
 def knn_classify(df: DataFrame, key: str, vec: str, label: str, k: int = 5) -> DataFrame:
     """Leave-one-out kNN vote for every row (N9): ``pred_uniform`` is the most
     frequent neighbour label, ``pred_distance`` maximises the sum of
@@ -232,184 +345,248 @@ def knn_classify(df: DataFrame, key: str, vec: str, label: str, k: int = 5) -> D
     return pu.join(pw, key)
 
 
-def knn_impute(df: DataFrame, key: str, cols: list[str], k: int = 5, block: int = 2048) -> DataFrame:
+def _patterns(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
+    """(_k, _c0 .., mask): doubles and the bit set of the present ones."""
+    values = [F.col(c).cast("double") for c in cols]
+    mask = sum((F.when(v.isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, v in enumerate(values)), F.lit(0).cast("long"))
+    return df.select(F.col(key).cast("long").alias("_k"), *[v.alias(f"_c{i}") for i, v in enumerate(values)], mask.alias("mask"))
+
+
+def _curve(ncol: int, centre: np.ndarray, scale: float) -> Column:
+    """Place on a Z-order curve over the present values, one scale for all."""
+    bits = max(1, min(12, 60 // ncol))
+    out = F.lit(0).cast("long")
+    for i in range(ncol):
+        cell = F.floor((F.col(f"_c{i}") - F.lit(float(centre[i]))) / F.lit(scale) * F.lit(float(1 << bits)) / F.lit(8.0)) + F.lit(1 << (bits - 1))
+        q = F.coalesce(F.least(F.greatest(cell, F.lit(0)), F.lit((1 << bits) - 1)), F.lit(0)).cast("long")
+        for b in range(bits):
+            out = out.bitwiseOR(F.shiftleft(F.shiftright(q, b).bitwiseAND(F.lit(1).cast("long")), b * ncol + i))
+    return out
+
+
+def _box_distance(lo1, hi1, lo2, hi2, shared: np.ndarray, ncol: int) -> np.ndarray:
+    """Squared missing-aware distance of boxes over the ``shared`` columns (rows x columns)."""
+    gap = np.maximum(np.maximum(lo1 - hi2, lo2 - hi1), 0.0)
+    both = shared.sum(-1)
+    d = np.where(shared, gap * gap, 0.0).sum(-1) * ncol / np.maximum(both, 1)
+    return np.where(both > 0, d, np.inf)
+
+
+def _bits(mask: np.ndarray, ncol: int) -> np.ndarray:
+    return (np.asarray(mask)[..., None] >> np.arange(ncol)) & 1 == 1
+
+
+_META = "cid long, mask long, n int, lo array<double>, hi array<double>"
+
+
+def _impute_chunks(rows: DataFrame, ncol: int, centre: np.ndarray, scale: float, block: int) -> DataFrame:
+    """Chunks of rows of one pattern that follow each other on the curve:
+    cid, mask, n, lo, hi, part, keys, vals."""
+    vcols = [f"_c{i}" for i in range(ncol)]
+    order = ["mask", "z", "_k"]
+    ordered = cut_lineage(rows.where("mask <> 0").withColumn("z", _curve(ncol, centre, scale)).repartitionByRange(*order).sortWithinPartitions(*order)
+                          .select("_k", *vcols, "mask", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("seq")))
+    # The row number within the part is in the lower 33 bits.
+    own = ordered.withColumn("run", F.expr(f"(seq & {(1 << 33) - 1}) div {block}"))
+
+    def run(t: pa.Table) -> pa.Table:
+        v = np.column_stack([t.column(c).to_numpy() for c in vcols]).astype(np.float64)
+        part, mask = t.column("part")[0].as_py(), t.column("mask")[0].as_py()
+        empty = ~_bits(mask, ncol)
+        lo, hi = (np.where(empty, 0.0, f(v, axis=0)) for f in (np.min, np.max))
+        return pa.table({"cid": pa.array([min(t.column("seq").to_numpy())], pa.int64()), "mask": pa.array([mask], pa.int64()),
+                         "n": pa.array([t.num_rows], pa.int32()), "lo": [lo], "hi": [hi], "part": pa.array([part], pa.int32()),
+                         "keys": [t.column("_k").to_numpy().tobytes()], "vals": [v.tobytes()]})
+
+    filled = [F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in vcols]
+    return cut_lineage(own.select("_k", *filled, "mask", "part", "seq", "run").groupBy("mask", "part", "run")
+                       .applyInArrow(run, f"{_META}, part int, keys binary, vals binary"))
+
+
+def _impute_compare(pairs: DataFrame, ncol: int, k: int, bounds_only: bool) -> DataFrame:
+    """Compare a receiving chunk (cid, mask, n, keys, vals, reach) with a
+    donating one (dmask, dlo, dhi, dkeys, dvals).  ``reach`` is a matrix of
+    upper bounds of the k-th distance (receivers x columns).  With
+    ``bounds_only`` the result is the chunk's lowered matrix, else candidates
+    (rk, ci, dk, dist, val) and a row with ci = -1 that counts comparisons."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            col = {x: b.column(x) for x in b.schema.names}
+            for i in range(b.num_rows):
+                qm, dm = col["mask"][i].as_py(), col["dmask"][i].as_py()
+                qv, dv = _matrix(col["vals"][i].as_py(), ncol), _matrix(col["dvals"][i].as_py(), ncol)
+                dk = np.frombuffer(col["dkeys"][i].as_py(), np.int64)
+                raw = col["reach"][i].as_py()
+                reach = np.full(qv.shape, np.inf) if raw is None else _matrix(raw, ncol)
+                shared, targets = np.flatnonzero(_bits(qm & dm, ncol)), np.flatnonzero(_bits(dm & ~qm, ncol))
+                factor = ncol / len(shared)
+                lo, hi = (np.array(col[x][i].as_py())[shared] for x in ("dlo", "dhi"))
+                q, d = qv[:, shared], dv[:, shared]
+                limit = reach[:, targets].max(1) + 10.0 ** -ROUND
+                gap = np.maximum(np.maximum(lo - q, q - hi), 0.0)
+                rows = np.flatnonzero(np.sqrt((gap * gap).sum(1) * factor) <= limit)
+                sq = np.zeros((len(rows), len(dk)))
+                for c in range(len(shared)):
+                    diff = q[rows, c][:, None] - d[:, c][None, :]
+                    sq += diff * diff
+                if bounds_only:
+                    new = reach.copy()
+                    if len(dk) >= k and len(rows):
+                        kth = np.sqrt(np.partition(sq, k - 1, axis=1)[:, k - 1] * factor) + 10.0 ** -ROUND
+                        new[np.ix_(rows, targets)] = np.minimum(new[np.ix_(rows, targets)], kth[:, None])
+                    yield pa.RecordBatch.from_arrays([pa.array([col["cid"][i].as_py()], pa.int64()), pa.array([new.tobytes()], pa.binary())],
+                                                     names=["cid", "reach"])
+                    continue
+                qk = np.frombuffer(col["keys"][i].as_py(), np.int64)
+                out = [(np.zeros(1, np.int64), np.full(1, -1, np.int32), np.array([len(rows)]), np.zeros(1), np.array([float(len(rows) * len(dk))]))]
+                if len(rows):
+                    kk = min(k, len(dk))
+                    near = (np.sqrt(np.partition(sq, kk - 1, axis=1)[:, kk - 1] * factor) + 2 * 10.0 ** -ROUND) ** 2 / factor
+                    wide = (limit[rows] + 2 * 10.0 ** -ROUND) ** 2 / factor
+                    r, j = np.nonzero(sq <= np.minimum(near, wide)[:, None])
+                    dist = np.round(np.sqrt(sq[r, j] * ncol / len(shared)), ROUND)
+                    order = np.lexsort((dk[j], dist, r))
+                    r, j, dist = r[order], j[order], dist[order]
+                    best = np.arange(len(r)) - np.searchsorted(r, r) < k
+                    r, j, dist = r[best], j[best], dist[best]
+                    for c in targets.tolist():
+                        own = dist <= reach[rows[r], c] + 2 * 10.0 ** -ROUND
+                        out.append((qk[rows[r[own]]], np.full(int(own.sum()), c, np.int32), dk[j[own]], dist[own], dv[j[own], c]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["rk", "ci", "dk", "dist", "val"])
+
+    return pairs.mapInArrow(run, "cid long, reach binary" if bounds_only else "rk long, ci int, dk long, dist double, val double")
+
+
+def _lowest(bounds: DataFrame) -> DataFrame:
+    """One matrix of bounds per receiving chunk: the least of all."""
+    def run(t: pa.Table) -> pa.Table:
+        low = np.minimum.reduce([np.frombuffer(x, np.float64) for x in t.column("reach").to_pylist()])
+        return pa.table({"cid": t.column("cid")[:1], "reach": [low.tobytes()]})
+
+    return bounds.groupBy("cid").applyInArrow(run, "cid long, reach binary")
+
+
+def _impute_pairs(heads: DataFrame, supers: tuple, donors: DataFrame, ncol: int, nearest: int | None) -> DataFrame:
+    """(cid, dcid, ci, gap): donating chunks whose box is within the bounds of a
+    receiving chunk ``heads`` (_META, most: the largest bound per column).
+    With ``nearest``, that many for each column, by box and then centre, from
+    the best group of chunks where nothing is known yet."""
+    smask, slo, shi, sid = supers
+
+    def centre(lo1, hi1, lo2, hi2, shared):
+        c = (lo1 + hi1 - lo2 - hi2) / 2
+        return np.where(shared, c * c, 0.0).sum(-1)
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, MATRIX // (len(smask) * ncol))
+        for b in batches:
+            for at in range(0, b.num_rows, step):
+                t = b.slice(at, step)
+                mask, most = t.column(1).to_numpy(), _vectors(t.column(5), ncol)
+                lo, hi = (_vectors(t.column(x), ncol)[:, None, :] for x in (3, 4))
+                shared = _bits(mask[:, None] & smask[None, :], ncol)
+                gap = np.sqrt(_box_distance(lo, hi, slo[None], shi[None], shared, ncol))
+                useful = _bits(smask[None, :] & ~mask[:, None], ncol) & np.isfinite(gap)[:, :, None]
+                keep = useful & (gap[:, :, None] <= most[:, None, :] + 10.0 ** -ROUND)
+                if nearest is not None and np.isinf(most).any():
+                    # Nothing known of a column yet: its nearest group alone.
+                    far = centre(lo, hi, slo[None], shi[None], shared)
+                    rank = np.where(useful, gap[:, :, None], np.inf) + 1e-9 * far[:, :, None]
+                    first = np.zeros_like(keep)
+                    i, c = np.nonzero(useful.any(1))
+                    first[i, np.argmin(rank, axis=1)[i, c], c] = True
+                    keep &= np.where(np.isinf(most)[:, None, :], first, True)
+                i, s, c = np.nonzero(keep)
+                yield pa.RecordBatch.from_arrays([*(x.take(pa.array(i)) for x in t.columns), pa.array(sid[s]), pa.array(c.astype(np.int32))],
+                                                 names=["cid", "mask", "n", "lo", "hi", "most", "super", "ci"])
+
+    def boxes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = {n: b.column(n) for n in b.schema.names}
+            lo, hi, dlo, dhi, most = (_vectors(x[n], ncol) for n in ("lo", "hi", "dlo", "dhi", "most"))
+            ci = x["ci"].to_numpy()
+            shared = _bits(x["mask"].to_numpy() & x["dmask"].to_numpy(), ncol)
+            gap = np.sqrt(_box_distance(lo, hi, dlo, dhi, shared, ncol))
+            ok = (gap <= most[np.arange(len(ci)), ci] + 10.0 ** -ROUND) & np.isfinite(gap)
+            yield pa.RecordBatch.from_arrays([x["cid"], x["dcid"], x["ci"], pa.array(gap), pa.array(centre(lo, hi, dlo, dhi, shared))],
+                                             names=["cid", "dcid", "ci", "gap", "off"]).filter(pa.array(ok))
+
+    near = heads.mapInArrow(groups, f"{_META}, most array<double>, super long, ci int")
+    out = near.join(donors, "super").mapInArrow(boxes, "cid long, dcid long, ci int, gap double, off double")
+    if nearest is not None:
+        w = Window.partitionBy("cid", "ci").orderBy("gap", "off", "dcid")
+        out = out.withColumn("r", F.row_number().over(w)).where(F.col("r") <= nearest)
+    return out.select("cid", "dcid").distinct()
+
+
+def knn_impute(df: DataFrame, key: str, cols: list[str], k: int = 5, block: int = 256, rounds: tuple[int, ...] = (2, 4)) -> DataFrame:
     """kNN imputation with the missing-aware Euclidean distance (K7, C4).
 
     For every (row, missing column) the donors are the rows having that
     column; distance = sqrt(n_cols / n_common * sum over coordinates present
     in both of the squared difference); the fill is the mean of the column
-    over the ``k`` nearest donors (ties: smaller key).  A row sharing no
-    coordinate with any donor gets the column mean.
-
-    Receivers (rows with a missing value) and donors (rows with any value)
-    are cut into blocks of at most ``block`` rows; each block is one
-    ``cogroup`` task that computes the distance matrix once with numpy and
-    selects, per target column, the block's k best donors (by distance rounded
-    to 6 decimals, computed from plain differences, then key).  Memory per task
-    is bounded whatever the table size; the per-receiver merge is a window
-    partitioned by (receiver, column).
-    """
+    over the ``k`` nearest donors (by distance rounded to 6 decimals, then
+    key).  A row sharing no coordinate with any donor gets the column mean.
+
+    Rows are indexed by pattern and box (see the module).  Each of ``rounds``
+    compares every receiving chunk with that many of the nearest donating
+    chunks for each column and lowers the bounds; then all chunks within the
+    bounds are searched.  ``LAST_STATS`` has the receivers, the donors and the
+    donor rows compared per receiver in that search."""
     ncol = len(cols)
-    # Plain double columns (not an array): Arrow hands them to numpy as
-    # float64 with NaN for NULL, with no per-row Python work.
-    vcols = [f"_c{i}" for i in range(ncol)]
-    bcols = [f"_b{i}" for i in range(ncol)]
-    base = df.select(F.col(key).cast("long").alias("_k"),
-                     *[F.col(c).cast("double").alias(v) for c, v in zip(cols, vcols)])
-    any_missing = None
-    any_present = None
-    for v in vcols:
-        miss, pres = F.col(v).isNull(), F.col(v).isNotNull()
-        any_missing = miss if any_missing is None else any_missing | miss
-        any_present = pres if any_present is None else any_present | pres
-    recv = base.where(any_missing)
-    donors = base.where(any_present)
-    stats = df.agg(*[F.avg(c).alias(c) for c in cols], F.count_if(any_missing_col(cols)).alias("_nr"),
-                   F.count_if(any_present_col(cols)).alias("_nd")).first().asDict()
-    n_r, n_d = stats["_nr"], stats["_nd"]
-    if n_r == 0:
+    rows = _patterns(df, key, cols)
+    full = (1 << ncol) - 1
+    moments = [f(F.col(c).cast("double")).alias(f"{tag}{i}") for i, c in enumerate(cols) for tag, f in (("m", F.avg), ("s", F.stddev_pop))]
+    stats = df.agg(*moments).first().asDict()
+    mean = [stats[f"m{i}"] for i in range(ncol)]
+    centre = np.array([m or 0.0 for m in mean])
+    scale = max([stats[f"s{i}"] or 0.0 for i in range(ncol)]) or 1.0
+    n_receivers, n_donors = rows.agg(F.count_if(F.col("mask") != full), F.count_if(F.col("mask") != 0)).first()
+    LAST_STATS.clear()
+    if not n_receivers:
         return df
-    centre = np.array([stats[c] if stats[c] is not None else 0.0 for c in cols], dtype=np.float64)
-    rq = max(1, math.ceil(n_r / block))
-    dq = max(1, math.ceil(max(n_d, 1) / block))
-    qchunk = F.pmod(F.xxhash64("_k"), F.lit(rq)).cast("int")
-    dchunk = F.pmod(F.xxhash64("_k", F.lit(1)), F.lit(dq)).cast("int")
-    # Pass 1: each receiver against one donor chunk gives, per column, the
-    # k-th distance among real donors - an upper bound of the final k-th.
-    # (fresh aliases keep the bound table's lineage distinct from ``recv``,
-    # which it is joined back to)
-    R1 = recv.select(F.col("_k").alias("_k"), *[F.col(v).alias(v) for v in vcols], qchunk.alias("qchunk"),
-                     *[F.lit(None).cast("double").alias(b) for b in bcols])
-    D1 = donors.where(dchunk == 0).select(F.col("_k").alias("_k"), *[F.col(v).alias(v) for v in vcols],
-                                          F.explode(F.sequence(F.lit(0), F.lit(rq - 1))).alias("qchunk"))
-    bounds = (R1.groupBy("qchunk").cogroup(D1.groupBy("qchunk"))
-              .applyInPandas(_impute_block(ncol, k, centre, bounds_only=True),
-                             "rk long, " + ", ".join(f"{b} double" for b in bcols)))
-    # Pass 2: all blocks; a block emits only donors within the bound.
-    r, b = recv.alias("r"), bounds.alias("b")
-    Rb = (r.join(b, F.col("r._k") == F.col("b.rk"), "left")
-          .select(F.col("r._k").alias("_k"), *[F.col(f"r.{v}").alias(v) for v in vcols],
-                  *[F.col(f"b.{x}").alias(x) for x in bcols])
-          .select("_k", *vcols, *bcols, qchunk.alias("qchunk"),
-                  F.explode(F.sequence(F.lit(0), F.lit(dq - 1))).alias("dchunk")))
-    Db = donors.select("_k", *vcols, dchunk.alias("dchunk"),
-                       F.explode(F.sequence(F.lit(0), F.lit(rq - 1))).alias("qchunk"))
-    cand = (Rb.groupBy("qchunk", "dchunk").cogroup(Db.groupBy("qchunk", "dchunk"))
-            .applyInPandas(_impute_block(ncol, k, centre), "rk long, ci int, dk long, dist double, val double"))
+    if not n_donors:
+        return df.select(*[F.col(c).cast("double").alias(c) if c in cols else F.col(c) for c in df.columns])
+    chunks = _impute_chunks(rows, ncol, centre, scale, block)
+    # Groups of chunks: at most about a thousand boxes, and one more for each pattern, go to the driver.
+    spread = max(1, -(-((chunks.agg(F.max("part")).first()[0] or 0) + 1) // 1024))
+    sup = (F.col("mask") * (1 << 20) + F.expr(f"part div {spread}")).alias("super")
+    grouped = chunks.groupBy(sup, "mask").agg(*[F.array(*[f(F.col(c)[i]) for i in range(ncol)]).alias(c) for c, f in (("lo", F.min), ("hi", F.max))]).collect()
+    supers = (np.array([r["mask"] for r in grouped], np.int64), np.array([r["lo"] for r in grouped]), np.array([r["hi"] for r in grouped]),
+              np.array([r["super"] for r in grouped], np.int64))
+    donors = chunks.select(sup, F.col("cid").alias("dcid"), F.col("mask").alias("dmask"), F.col("lo").alias("dlo"), F.col("hi").alias("dhi"))
+    asked = chunks.where(F.col("mask") != full)
+    given = chunks.select(F.col("cid").alias("dcid"), F.col("mask").alias("dmask"), F.col("lo").alias("dlo"), F.col("hi").alias("dhi"),
+                          F.col("keys").alias("dkeys"), F.col("vals").alias("dvals"))
+    reach = asked.select("cid", F.lit(None).cast("binary").alias("reach"))
+
+    def largest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = b.column(5).to_pylist()
+            most = np.array([np.full(ncol, np.inf) if x is None else _matrix(x, ncol).max(0) for x in raw]).reshape(-1, ncol)
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], _lists(most)], names=["cid", "mask", "n", "lo", "hi", "most"])
+
+    for nearest in (*rounds, None):
+        heads = asked.select("cid", "mask", "n", "lo", "hi").join(reach, "cid").select("cid", "mask", "n", "lo", "hi", "reach").mapInArrow(
+            largest, f"{_META}, most array<double>")
+        pairs = _dealt(_impute_pairs(heads, supers, donors, ncol, nearest), 16 * block * (ncol + 1))
+        met = pairs.join(asked.select("cid", "mask", "n", "keys", "vals").join(reach, "cid"), "cid").join(given, "dcid")
+        if nearest is not None:
+            reach = cut_lineage(_lowest(_impute_compare(met, ncol, k, True).unionByName(
+                asked.select("cid", "n").join(reach, "cid").select("cid", F.coalesce("reach", _endless(ncol)).alias("reach")))))
+    cand = cut_lineage(_impute_compare(met, ncol, k, False))
+    compared = cand.where("ci = -1").agg(F.sum("val"), F.sum("dk")).first()
+    LAST_STATS.update(receivers=int(n_receivers), donors=int(n_donors), compared_per_receiver=(compared[0] or 0.0) / n_receivers)
     w = Window.partitionBy("rk", "ci").orderBy("dist", "dk")
-    top = cand.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
-    fills = top.groupBy("rk").agg(*[F.avg(F.when(F.col("ci") == i, F.col("val"))).alias(f"_fill_{i}")
-                                    for i in range(ncol)])
+    best = cand.where("ci >= 0").withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
+    fills = best.groupBy("rk").agg(*[F.avg(F.when(F.col("ci") == i, F.col("val"))).alias(f"_fill_{i}") for i in range(ncol)])
     out = df.join(fills, F.col(key).cast("long") == F.col("rk"), "left")
     return out.select(*[
-        F.coalesce(F.col(c).cast("double"), F.col(f"_fill_{cols.index(c)}"), F.lit(stats[c])).alias(c)
+        F.coalesce(F.col(c).cast("double"), F.col(f"_fill_{cols.index(c)}"), F.lit(mean[cols.index(c)])).alias(c)
         if c in cols else F.col(c) for c in df.columns])
 
 
-def any_missing_col(cols):
-    out = None
-    for c in cols:
-        e = F.col(c).isNull()
-        out = e if out is None else out | e
-    return out
-
-
-def any_present_col(cols):
-    out = None
-    for c in cols:
-        e = F.col(c).isNotNull()
-        out = e if out is None else out | e
-    return out
-
-
-def _impute_block(ncol: int, k: int, centre: np.ndarray, bounds_only: bool = False):
-    """Block kernel of ``knn_impute``: one distance matrix, then the k best
-    donors of every receiver for each column the receiver lacks (or, with
-    ``bounds_only``, each receiver's k-th distance per column)."""
-
-    def block_fn(qpdf: pd.DataFrame, dpdf: pd.DataFrame) -> pd.DataFrame:
-        if bounds_only:
-            empty = pd.DataFrame({"rk": np.array([], np.int64), **{f"_b{i}": [] for i in range(ncol)}})
-        else:
-            empty = pd.DataFrame({"rk": np.array([], np.int64), "ci": np.array([], np.int32),
-                                  "dk": np.array([], np.int64), "dist": [], "val": []})
-        vcols = [f"_c{i}" for i in range(ncol)]
-        bcols = [f"_b{i}" for i in range(ncol)]
-        if len(qpdf) == 0:
-            return empty
-        if len(dpdf) == 0:
-            if bounds_only:
-                return pd.DataFrame({"rk": qpdf["_k"].to_numpy(np.int64),
-                                     **{b: np.full(len(qpdf), np.inf) for b in bcols}})
-            return empty
-        qv = qpdf[vcols].to_numpy(np.float64, na_value=np.nan) - centre
-        val = dpdf[vcols].to_numpy(np.float64, na_value=np.nan)
-        dv = val - centre
-        qm, dm = ~np.isnan(qv), ~np.isnan(dv)
-        q0, d0 = np.nan_to_num(qv), np.nan_to_num(dv)
-        both = qm.astype(np.float64) @ dm.T.astype(np.float64)
-        sq = (q0 * q0) @ dm.T + qm @ (d0 * d0).T - 2.0 * (q0 @ d0.T)
-        np.maximum(sq, 0, out=sq)
-        sq *= ncol
-        # Squared missing-aware distance; no common coordinate -> +inf.
-        d2 = np.full(sq.shape, np.inf)
-        np.divide(sq, both, out=d2, where=both > 0)
-        # Error of the expanded form, at most ncol common coordinates short.
-        err2 = ncol * _slack(ncol, (q0 * q0).sum(1), (d0 * d0).sum(1).max())
-
-        def exact(qi, di):
-            diff = np.where(qm[qi] & dm[di], q0[qi] - d0[di], 0.0)
-            n = (qm[qi] & dm[di]).sum(1)
-            return np.round(np.sqrt((diff * diff).sum(1) * ncol / np.maximum(n, 1)), ROUND)
-
-        qk_, dk_ = qpdf["_k"].to_numpy(np.int64), dpdf["_k"].to_numpy(np.int64)
-        if bounds_only:
-            out = np.full((len(qk_), ncol), np.inf)
-        else:
-            prior = qpdf[bcols].to_numpy(np.float64, na_value=np.inf)
-            prior = np.where(np.isnan(prior), np.inf, prior)
-        parts = []
-        done = {}
-        for ci in range(ncol):
-            rmask, dmask = ~qm[:, ci], dm[:, ci]
-            if not rmask.any() or not dmask.any():
-                continue
-            sig = (rmask.tobytes(), dmask.tobytes())
-            if sig in done and bounds_only:
-                out[:, ci] = out[:, done[sig]]
-                continue
-            rows = np.nonzero(rmask)[0]
-            donors = np.nonzero(dmask)[0]
-            if sig in done:
-                qi, di, dd = done[sig][1]
-            else:
-                full = len(rows) == len(qk_) and len(donors) == len(dk_)
-                d = d2 if full else d2[np.ix_(rows, donors)]
-                kk = min(k, d.shape[1])
-                kth2 = np.partition(d, kk - 1, axis=1)[:, kk - 1]
-                if bounds_only:
-                    out[rows, ci] = np.sqrt(kth2 + err2[rows]) if d.shape[1] >= k else np.inf
-                    done[sig] = ci
-                    continue
-                kth = np.minimum(np.sqrt(kth2 + err2[rows]), prior[rows, ci])
-                # Everything that could round to a distance among the k best,
-                # measured exactly, then the k best by (distance, key).
-                near = np.isfinite(d) & (d <= ((np.where(np.isfinite(kth), kth, np.inf) + 2e-6) ** 2 + err2[rows])[:, None])
-                qi, di = np.nonzero(near)
-                dd = exact(rows[qi], donors[di])
-                order = np.lexsort((dk_[donors[di]], dd, qi))
-                qi, di, dd = qi[order], di[order], dd[order]
-                first = np.searchsorted(qi, qi)
-                best = np.arange(len(qi)) - first < k
-                qi, di, dd = qi[best], di[best], dd[best]
-                done[sig] = (ci, (qi, di, dd))
-            if len(qi) == 0:
-                continue
-            parts.append(pd.DataFrame({"rk": qk_[rows[qi]], "ci": np.full(len(qi), ci, np.int32),
-                                       "dk": dk_[donors[di]], "dist": dd,
-                                       "val": val[donors[di], ci]}))
-        if bounds_only:
-            return pd.DataFrame({"rk": qk_, **{b: out[:, i] for i, b in enumerate(bcols)}})
-        return pd.concat(parts, ignore_index=True) if parts else empty
-
-    return block_fn
+def _endless(ncol: int) -> Column:
+    """``n`` rows of unbounded bounds, packed."""
+    one = np.full(ncol, np.inf).tobytes().hex()
+    return F.unhex(F.expr(f"repeat('{one}', n)"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -120,15 +121,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or d
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint dir.
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write the rows as Parquet into the shared checkpoint folder and read
+    them back.
 
-    Survives executor loss (unlike a local checkpoint, whose blocks die with
-    the executor).  Used by iterative operators whose plans would otherwise
-    grow every round.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    The files outlive a lost executor, and later steps read only the columns
+    and row groups that they need.  Used by operators whose intermediate
+    results are read again, or whose plans would grow every round."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/riskloom-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def default_parallelism(spark: SparkSession) -> int:
