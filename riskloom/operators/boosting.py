@@ -109,7 +109,7 @@ def _gradients(loss: str, y: np.ndarray, s: np.ndarray, w: np.ndarray, delta: fl
 class _Rows:
     """The packed rows with the trees that their scores lack."""
 
-    def __init__(self, packed: DataFrame, n_f: int):
+    def __init__(self, packed: T.Packed, n_f: int):
         self.packed, self.n_f, self.pending = packed, n_f, []
 
     def read(self):
@@ -137,7 +137,7 @@ class _Rows:
                 cells = [pa.array([a.tobytes()], pa.binary()) for a in (c.x, c.y, c.w, c.u, c.s)]
                 yield pa.RecordBatch.from_arrays([pa.array([len(c.y)], pa.int32()), *cells], names=["n", "x", "y", "w", "u", "s"])
 
-        self.packed = cut_lineage(self.packed.mapInArrow(run, self.packed.schema))
+        self.packed = T.Packed.of(cut_lineage(self.packed.df.mapInArrow(run, self.packed.df.schema)))
         self.pending = []
 
 
@@ -146,10 +146,9 @@ def _histograms(rows: _Rows, tree: T.Tree, leaves: list[int], n_bins: int, loss:
     read, n_f, arrays = rows.read(), rows.n_f, tree.arrays()
     slot = np.full(len(tree.feature), -1, np.int64)
     slot[leaves] = np.arange(len(leaves))
-    shape = (len(leaves), n_f, n_bins)
 
-    def cells(batches: Iterator[pa.RecordBatch]) -> dict:
-        g, h, n = (np.zeros((n_f, len(leaves) * n_bins)) for _ in range(3))
+    def sums(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        total = np.zeros((3, n_f, len(leaves) * n_bins))
         for c in read(batches):
             at = slot[T.leaves_of(arrays, c.x)]
             use = at >= 0
@@ -159,19 +158,12 @@ def _histograms(rows: _Rows, tree: T.Tree, leaves: list[int], n_bins: int, loss:
             gs, hs, at = gs[use], hs[use], at[use] * n_bins
             for f in range(n_f):
                 k = at + c.x[f][use]
-                g[f] += np.bincount(k, gs, shape[0] * n_bins)
-                h[f] += np.bincount(k, hs, shape[0] * n_bins)
-                n[f] += np.bincount(k, minlength=shape[0] * n_bins)
-        f, k = np.nonzero(n)
-        return {"cell": ((k // n_bins) * n_f + f) * n_bins + k % n_bins, "g": g[f, k], "h": h[f, k], "n": n[f, k]}
+                for i, w in enumerate((gs, hs, None)):
+                    total[i, f] += np.bincount(k, w, len(leaves) * n_bins)
+        return total
 
-    cell, sums = T.add_up(rows.packed, cells, ["g", "h", "n"], int(np.prod(shape)))
-    out = []
-    for name in ("g", "h", "n"):
-        a = np.zeros(np.prod(shape))
-        a[cell] = sums[name]
-        out.append(a.reshape(shape))
-    return tuple(out)
+    total = rows.packed.summed(sums).reshape(3, n_f, len(leaves), n_bins)
+    return tuple(np.moveaxis(total, 1, 2))
 
 
 def boost(train: DataFrame, features: Sequence[str], label: str, loss: str = "logistic", rounds: int = 100, rate: float = 0.1, depth: int = 3,
@@ -251,7 +243,7 @@ def _residuals(rows: _Rows, tree: T.Tree | None) -> DataFrame:
             leaf = T.leaves_of(arrays, c.x) if arrays else np.zeros(len(c.y), np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(leaf.astype(np.int32)), pa.array(c.y - c.s)], names=["leaf", "r"])
 
-    return rows.packed.mapInArrow(run, "leaf int, r double")
+    return rows.packed.df.mapInArrow(run, "leaf int, r double")
 
 
 def _residual_quantile(rows: _Rows, alpha: float) -> float:
@@ -307,22 +299,18 @@ def fit_stumps(train: DataFrame, features: Sequence[str], label: str, rounds: in
     for _ in range(rounds):
         read = rows.read()
 
-        def cells(batches: Iterator[pa.RecordBatch]) -> dict:
-            total = np.zeros((2, n_f, n_bins))
+        def sums(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+            total = np.zeros((n_f, n_bins, 2))
             for c in read(batches):
                 # Up to a factor for all, exp(says of the misses) is this function of the score.
                 w = np.exp(-(2 * c.y - 1) * c.s / 2)
                 for k in (0, 1):
                     own = c.y == k
                     for f in range(n_f):
-                        total[k, f] += np.bincount(c.x[f][own], w[own], n_bins)
-            at = np.flatnonzero(total)
-            return {"cell": at, "w": total.ravel()[at]}
-
-        cell, sums = T.add_up(rows.packed, cells, ["w"], 2 * n_f * n_bins)
-        by = np.zeros(2 * n_f * n_bins)
-        by[cell] = sums["w"]
-        by = np.moveaxis(by.reshape(2, n_f, n_bins), 0, -1)
+                        total[f, :, k] += np.bincount(c.x[f][own], w[own], n_bins)
+            return total
+
+        by = rows.packed.summed(sums).reshape(n_f, n_bins, 2)
         left = np.cumsum(by, axis=1)[:, :-1]
         right = by.sum(1)[:, None] - left
         weight = by[0].sum() if n_f else 0.0

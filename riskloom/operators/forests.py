@@ -2,8 +2,8 @@
 
 One pass a level sends every row down every tree.  A task sums, for each open
 node, the weight and the weighted label on the left of each candidate split;
-its sums are packed by tree and block of nodes, added up in groups of at most
-FAN tasks, and the best split of each node is chosen where the last sum is made.
+its sums are packed by tree and block of nodes, added up in groups of
+``trees.FAN`` tasks, and the best split of each node is chosen where the last sum is made.
 Only the chosen splits come to the driver.
 
 ``extra_trees``: every tree sees all rows; a node draws some features and, for
@@ -19,6 +19,7 @@ are those of binned features.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -29,7 +30,6 @@ from pyspark.sql import functions as F
 
 from . import trees as T
 
-FAN = 64
 BLOCK_NODES = 128
 _SENT = "tree int, block int, part int, cells binary"
 
@@ -40,6 +40,7 @@ class Forest:
     features: list[str]
     trees: list
     gains: np.ndarray
+    root_gains: list
 
     def predict(self, df: DataFrame, out: str = "prob") -> DataFrame:
         bc = df.sparkSession.sparkContext.broadcast(self.trees)
@@ -70,7 +71,7 @@ class _Level:
         self.cuts: list[np.ndarray] = []
 
 
-def _passed(packed: DataFrame, level: _Level, n_f: int, binned: bool, weights: Callable, cells: Callable, merge: Callable, finish: Callable,
+def _passed(packed: T.Packed, level: _Level, n_f: int, binned: bool, weights: Callable, cells: Callable, merge: Callable, finish: Callable,
             schema: str):
     """One pass: ``cells(level, tree, slot, chunk, weight, total)`` adds a
     chunk's rows to a tree's sums (nodes first); ``merge`` joins two sums, ``finish``
@@ -106,11 +107,10 @@ def _passed(packed: DataFrame, level: _Level, n_f: int, binned: bool, weights: C
     def last(t: pa.Table) -> pa.Table:
         return finish(t.column("tree")[0].as_py(), t.column("block")[0].as_py(), joined(t))
 
-    parts = packed.rdd.getNumPartitions()
-    sent = packed.mapInArrow(run, _SENT)
-    while parts > FAN:
-        sent = sent.withColumn("part", F.expr(f"part div {FAN}")).groupBy("tree", "block", "part").applyInArrow(fold, _SENT)
-        parts = -(-parts // FAN)
+    sent, parts = packed.df.mapInArrow(run, _SENT), packed.parts
+    while parts > T.FAN:
+        sent = sent.withColumn("part", F.expr(f"part div {T.FAN}")).groupBy("tree", "block", "part").applyInArrow(fold, _SENT)
+        parts = -(-parts // T.FAN)
     return sent.groupBy("tree", "block").applyInArrow(last, schema).toArrow()
 
 
@@ -143,13 +143,13 @@ def _choose(level: _Level, t: int, block: int, sums: np.ndarray, all_sums: np.nd
                      "right": mean(tot[:, 1] - left[:, 1], tot[:, 0] - left[:, 0]), "n": tot[:, 0]})
 
 
-def _grow(packed: DataFrame, n_f: int, n_trees: int, depth: int, m: int, seed: int, min_rows: float, edges: list | None, weights: Callable,
-          min_gain: float = 1e-12) -> tuple[list, np.ndarray]:
+def _grow(packed: T.Packed, n_f: int, n_trees: int, depth: int, m: int, seed: int, min_rows: float, edges: list | None, weights: Callable,
+          min_gain: float = 1e-12) -> tuple[list, np.ndarray, list]:
     binned = edges is not None
     n_bins = max((len(e) for e in edges), default=0) + 2 if binned else 0
     grown = [T.Tree() for _ in range(n_trees)]
     nodes: list[list[int]] = [[0] for _ in range(n_trees)]
-    gains = np.zeros(n_f)
+    gains, root_gains = np.zeros(n_f), [0.0] * n_trees
     for d in range(depth):
         level = _Level(grown, nodes, n_f, m, np.random.default_rng([seed, d]))
         if binned:
@@ -193,7 +193,7 @@ def _grow(packed: DataFrame, n_f: int, n_trees: int, depth: int, m: int, seed: i
         for r in found.sort_by([("tree", "ascending"), ("slot", "ascending")]).to_pylist():
             t, node = r["tree"], level.nodes[r["tree"]][r["slot"]]
             if not d:
-                grown[t].value[0] = r["total"]
+                grown[t].value[0], root_gains[t] = r["total"], r["gain"]
             if r["gain"] <= min_gain:
                 continue
             cut = r["cut"] if not binned else (float(edges[r["feature"]][r["at"] - 1]) if 0 < r["at"] <= len(edges[r["feature"]]) else -np.inf)
@@ -202,7 +202,7 @@ def _grow(packed: DataFrame, n_f: int, n_trees: int, depth: int, m: int, seed: i
             nodes[t] += [a, b]
         if not any(nodes):
             break
-    return [t.arrays() for t in grown], gains
+    return [t.arrays() for t in grown], gains, root_gains
 
 
 def cut_share(seed: int, tree: int, node: int, feature: int) -> float:
@@ -210,7 +210,7 @@ def cut_share(seed: int, tree: int, node: int, feature: int) -> float:
     return int(hashlib.md5(f"{seed}:{tree}:{node}:{feature}".encode()).hexdigest()[:8], 16) / 2.0 ** 32
 
 
-def _draw_cuts(packed: DataFrame, level: _Level, n_f: int, m: int, seed: int, weights: Callable) -> None:
+def _draw_cuts(packed: T.Packed, level: _Level, n_f: int, m: int, seed: int, weights: Callable) -> None:
     def cells(level, t, slot, x, y, w, total):
         size = len(level.nodes[t])
         total = np.full((size, 2 * m), np.inf) if total is None else total
@@ -247,13 +247,14 @@ def extra_trees(train: DataFrame, features: Sequence[str], label: str, trees: in
     out; without rows every prediction is 0."""
     features = list(features)
     n_f = len(features)
-    packed = T.pack(train.where(F.col(label).isNotNull()), features, label, None, weight=weight)
+    packed = T.pack(train.where(F.col(label).isNotNull()), features, label, None, weight=weight,
+                    tasks=train.sparkSession.sparkContext.defaultParallelism)
     m = min(n_f, candidates or max(1, int(np.sqrt(n_f))))
-    grown, gains = _grow(packed, n_f, trees, depth, m, seed, min_rows, None, lambda c, t: None)
-    return Forest(features, grown, gains)
+    grown, gains, roots = _grow(packed, n_f, trees, depth, m, seed, min_rows, None, lambda c, t: None)
+    return Forest(features, grown, gains, roots)
 
 
-def bag_thresholds(packed: DataFrame, sizes: dict, bags: int, seed: int, n_f: int, cells: int = 256) -> dict:
+def bag_thresholds(packed: T.Packed, sizes: dict, bags: int, seed: int, n_f: int, cells: int = 256) -> dict:
     """{class: the least value per bag such that exactly the smallest class's
     number of rows draws at most it}.  Counting in ever smaller windows around
     the expected place; the last window's draws are looked at themselves."""
@@ -280,13 +281,9 @@ def bag_thresholds(packed: DataFrame, sizes: dict, bags: int, seed: int, n_f: in
                         d = d[(d >= lo[b]) & (d < hi[b])]
                         at = np.minimum(((d - lo[b]) / (hi[b] - lo[b]) * cells).astype(np.int64), cells - 1)
                         total[i, 1:] += np.bincount(at, minlength=cells)
-                at = np.flatnonzero(total)
-                return {"cell": at, "n": total.ravel()[at]}
+                return total
 
-            cell, sums = T.add_up(packed, count, ["n"], len(todo) * (cells + 1))
-            total = np.zeros(len(todo) * (cells + 1))
-            total[cell] = sums["n"]
-            run = np.cumsum(total.reshape(len(todo), cells + 1), axis=1)
+            run = np.cumsum(packed.summed(count).reshape(len(todo), cells + 1), axis=1)
             missed = (run[:, 0] >= low) | (run[:, -1] < low)
             lo, hi = lo.copy(), hi.copy()
             lo[todo[missed]], hi[todo[missed]] = 0.0, 1.0
@@ -315,7 +312,7 @@ def bag_thresholds(packed: DataFrame, sizes: dict, bags: int, seed: int, n_f: in
                                                   pa.array([*[0.0] * len(bag), *below])], names=["bag", "d", "below"])
 
             if held:
-                got = packed.mapInArrow(collect, "bag int, d double, below double").toArrow().to_pandas()
+                got = packed.df.mapInArrow(collect, "bag int, d double, below double").toArrow().to_pandas()
                 below = got.groupby("bag")["below"].sum()
                 for b in held:
                     d = np.sort(got[(got.bag == b) & got.d.notna()]["d"].to_numpy())
@@ -324,6 +321,24 @@ def bag_thresholds(packed: DataFrame, sizes: dict, bags: int, seed: int, n_f: in
     return out
 
 
+def random_forest(train: DataFrame, features: Sequence[str], label: str, key: str, trees: int = 100, depth: int = 10,
+                  candidates: int | None = None, min_rows: float = 1, weight: str | None = None, bins: int = 63, seed: int = 42) -> Forest:
+    """Random forest for a 0/1 label or a number: a row is in a tree's bag as
+    often as a Poisson(1) draw from the hash of ``key`` and the tree says (the
+    bootstrap of a large table); otherwise as ``balanced_forest``."""
+    features = list(features)
+    n_f = len(features)
+    train = train.where(F.col(label).isNotNull())
+    edges = T.edges_of(train, features, bins)
+    packed = T.pack(train, features, label, edges, key, weight, tasks=train.sparkSession.sparkContext.defaultParallelism)
+    m = min(n_f, candidates or max(1, int(np.sqrt(n_f))))
+    # P(count <= k) for k = 0, 1, ...
+    steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
+    grown, gains, roots = _grow(packed, n_f, trees, depth, m, seed, min_rows, edges,
+                         lambda c, t: np.searchsorted(steps, T.draw(c.u, seed + t), side="right").astype(np.float64))
+    return Forest(features, grown, gains, roots)
+
+
 def balanced_forest(train: DataFrame, features: Sequence[str], label: str, key: str, trees: int = 200, depth: int = 10,
                     candidates: int | None = None, min_rows: float = 1, bins: int = 63, seed: int = 42) -> Forest:
     """Balanced random forest: each tree sees every row of the smallest class
@@ -335,7 +350,7 @@ def balanced_forest(train: DataFrame, features: Sequence[str], label: str, key:
     n_f = len(features)
     train = train.where(F.col(label).isNotNull())
     edges = T.edges_of(train, features, bins)
-    packed = T.pack(train, features, label, edges, key)
+    packed = T.pack(train, features, label, edges, key, tasks=train.sparkSession.sparkContext.defaultParallelism)
     sizes = {float(r[0]): r[1] for r in train.groupBy(label).count().collect()}
     m = min(n_f, candidates or max(1, int(np.sqrt(n_f))))
     most = bag_thresholds(packed, sizes, trees, seed, n_f) if sizes else {}
@@ -346,5 +361,5 @@ def balanced_forest(train: DataFrame, features: Sequence[str], label: str, key:
             limit[c.y == k] = v[t]
         return (T.draw(c.u, seed + t) <= limit).astype(np.float64)
 
-    grown, gains = _grow(packed, n_f, trees, depth, m, seed, min_rows, edges, weights)
-    return Forest(features, grown, gains)
+    grown, gains, roots = _grow(packed, n_f, trees, depth, m, seed, min_rows, edges, weights)
+    return Forest(features, grown, gains, roots)

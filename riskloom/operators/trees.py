@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-CHUNK = 1 << 15
+CHUNK = 1 << 14
 TASK_BYTES = 4 << 20
-CELLS = 1 << 20
+FAN = 64
 
 
 @dataclass
@@ -89,9 +89,10 @@ _PACKED = "n int, x binary, y binary, w binary, u binary, s binary"
 
 
 def pack(df: DataFrame, features: Sequence[str], label: str, edges: list[np.ndarray] | None, key: str | None = None,
-         weight: str | None = None, start: float = 0.0) -> DataFrame:
+         weight: str | None = None, start: float = 0.0, chunk: int = CHUNK, tasks: int = 1) -> Packed:
     """The packed table.  ``x`` holds bin numbers (uint8; 0 is missing) or, without
-    ``edges``, the values as float64."""
+    ``edges``, the values as float64.  It is read by as many tasks as its
+    bytes need, but by ``tasks`` at least where it has that many chunks."""
     n_f = len(features)
     cols = [F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)]
     u = F.xxhash64(F.col(key) if key else F.monotonically_increasing_id())
@@ -115,7 +116,7 @@ def pack(df: DataFrame, features: Sequence[str], label: str, edges: list[np.ndar
             if b.num_rows:
                 held.append(b)
                 n += b.num_rows
-            if n >= CHUNK:
+            if n >= chunk:
                 yield out(held)
                 held, n = [], 0
         if n:
@@ -123,8 +124,8 @@ def pack(df: DataFrame, features: Sequence[str], label: str, edges: list[np.ndar
 
     packed = cut_lineage(src.mapInArrow(run, _PACKED))
     # As many tasks as the bytes need, so that a pass over a small table is a small job.
-    size = packed.agg(F.sum(F.octet_length("x") + 32 * F.col("n"))).first()[0] or 0
-    return cut_lineage(packed.repartition(max(1, -(-size // TASK_BYTES))))
+    size, chunks = packed.agg(F.coalesce(F.sum(F.octet_length("x") + 32 * F.col("n")), F.lit(0)), F.count(F.lit(1))).first()
+    return Packed.of(cut_lineage(packed.repartition(max(1, -(-size // TASK_BYTES), min(tasks, chunks)))))
 
 
 @dataclass
@@ -145,17 +146,36 @@ def chunks_of(batches: Iterator[pa.RecordBatch], n_f: int, binned: bool = True)
                         np.frombuffer(raw["w"]), np.frombuffer(raw["u"], np.uint64), np.frombuffer(raw["s"]))
 
 
-def add_up(packed: DataFrame, cells: Callable[[Iterator[pa.RecordBatch]], dict], names: Sequence[str], most: int) -> tuple[np.ndarray, dict]:
-    """One pass: ``cells(batches)`` gives a task's {"cell": numbers, name:
-    sums}; equal cells are added up over the tasks.  ``most`` bounds the cells."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = cells(batches)
-        yield pa.RecordBatch.from_arrays([pa.array(got["cell"].astype(np.int64)), *(pa.array(got[n].astype(np.float64)) for n in names)],
-                                         names=["cell", *names])
-
-    sent = packed.mapInArrow(run, "cell long, " + ", ".join(f"{n} double" for n in names))
-    out = (sent.repartition(max(1, -(-most // CELLS)), "cell").groupBy("cell").agg(*[F.sum(n).alias(n) for n in names])).toArrow()
-    return out.column("cell").to_numpy(), {n: out.column(n).to_numpy() for n in names}
+@dataclass
+class Packed:
+    """A packed table and the number of tasks that read it."""
+    df: DataFrame
+    parts: int
+
+    @classmethod
+    def of(cls, df: DataFrame) -> Packed:
+        return cls(df, df.rdd.getNumPartitions())
+
+    def summed(self, sums: Callable[[Iterator[pa.RecordBatch]], np.ndarray]) -> np.ndarray:
+        """One pass: ``sums(batches)`` gives a task's numbers, always as many;
+        equal places are added up, in groups of FAN tasks until so few are
+        left, and the last of them on the driver."""
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
+            part = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([sums(batches).astype(np.float64).tobytes()], pa.binary())],
+                                             names=["part", "v"])
+
+        def fold(t: pa.Table) -> pa.Table:
+            total = np.sum([np.frombuffer(x) for x in t.column("v").to_pylist()], axis=0)
+            return pa.table({"part": t.column("part")[:1], "v": pa.array([total.tobytes()], pa.binary())})
+
+        sent, parts = self.df.mapInArrow(run, "part int, v binary"), self.parts
+        while parts > FAN:
+            sent = sent.withColumn("part", F.expr(f"part div {FAN}")).groupBy("part").applyInArrow(fold, "part int, v binary")
+            parts = -(-parts // FAN)
+        return np.sum([np.frombuffer(x) for x in sent.toArrow().column("v").to_pylist()], axis=0)
 
 
 def draw(u: np.ndarray, seed: int) -> np.ndarray:
