@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_clinical, q_eval, q_models, q_neighbors, q_prep, q_tabular, q_trees  # noqa: F401
+from . import q_clinical, q_eval, q_linear, q_models, q_neighbors, q_prep, q_tabular, q_trees  # noqa: F401
 from .registry import REGISTRY
 
 
