@@ -109,8 +109,8 @@ def _gradients(loss: str, y: np.ndarray, s: np.ndarray, w: np.ndarray, delta: fl
 class _Rows:
     """The packed rows with the trees that their scores lack."""
 
-    def __init__(self, packed: T.Packed, n_f: int):
-        self.packed, self.n_f, self.pending = packed, n_f, []
+    def __init__(self, packed: T.Packed, n_f: int, refresh: int = REFRESH):
+        self.packed, self.n_f, self.refresh, self.pending = packed, n_f, refresh, []
 
     def read(self):
         """A function from a task's batches to chunks with scores up to date."""
@@ -128,7 +128,7 @@ class _Rows:
 
     def learned(self, tree: tuple) -> None:
         self.pending.append(tree)
-        if len(self.pending) < REFRESH:
+        if len(self.pending) < self.refresh:
             return
         read = self.read()
 
@@ -283,7 +283,8 @@ class Stumps:
         return T.scored(df, self.features, of, score).withColumn(label, (F.col(score) > 0).cast("int"))
 
 
-def fit_stumps(train: DataFrame, features: Sequence[str], label: str, rounds: int = 200, rate: float = 0.5, bins: int = 255) -> Stumps:
+def fit_stumps(train: DataFrame, features: Sequence[str], label: str, rounds: int = 200, rate: float = 0.5, bins: int = 255,
+               refresh: int = REFRESH) -> Stumps:
     """Discrete AdaBoost (SAMME) on a 0/1 label with depth-1 trees: each round
     takes the split of least Gini impurity under the current weights (the
     first feature and the smallest value among equals), each side says its
@@ -294,7 +295,7 @@ def fit_stumps(train: DataFrame, features: Sequence[str], label: str, rounds: in
     n_f = len(features)
     edges = T.edges_of(train, features, bins)
     n_bins = max((len(e) for e in edges), default=0) + 2
-    rows = _Rows(T.pack(train.where(F.col(label).isNotNull()), features, label, edges), n_f)
+    rows = _Rows(T.pack(train.where(F.col(label).isNotNull()), features, label, edges), n_f, refresh)
     stumps = []
     for _ in range(rounds):
         read = rows.read()

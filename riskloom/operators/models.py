@@ -5,18 +5,21 @@ The reference's estimators map onto MLlib as follows (gaps stated plainly):
 ============== ===============================================================
 random forest  ``RandomForestClassifier/Regressor``; ``min_samples_leaf`` ->
                ``minInstancesPerNode``; no ``min_samples_split``
-boosting       ``GBTClassifier/Regressor`` (squared / absolute loss; no Huber)
+boosting       ``GBTClassifier/Regressor`` (squared / absolute loss); second
+               order, leaf-wise and Huber: ``boosting.py``
 logistic       ``LogisticRegression(regParam=1/(C n), standardization=False)``
 linear         lasso: ``regParam=alpha``; ridge: ``regParam=alpha*s/n``; elastic
                net: both parts; MLlib divides an L2 penalty by the label's
                standard deviation s, so s is put back in
-extra trees    forest without bootstrap, feature subsets (random split points
-               are not available in MLlib)
-AdaBoost       SAMME loop of weighted depth-1 trees, lineage cut by checkpoint
-balanced       one tree per bag of under-sampled classes (``balanced_forest``)
-kernel SVM     random Fourier features + logistic regression
+extra trees    forest without bootstrap, feature subsets; with random split
+               points: ``forests.py``
+AdaBoost       ``boosting.py``
+balanced       ``forests.py``
+kernel SVM     random Fourier features + logistic regression; hinge and epsilon
+               losses with probabilities: ``networks.py``
 kernel ridge   explicit degree-2 feature map + ridge without intercept
-neural net     ``MultilayerPerceptronClassifier`` (sigmoid hidden layers)
+neural net     ``MultilayerPerceptronClassifier`` (sigmoid hidden layers);
+               ReLU and early stopping: ``networks.py``
 ============== ===============================================================
 
 Features are assembled into a vector only at the model edge (J8).
@@ -29,15 +32,15 @@ from typing import Sequence
 
 import numpy as np
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
-                                       MultilayerPerceptronClassifier, RandomForestClassifier)
+from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
+                                       RandomForestClassifier)
 from pyspark.ml.feature import RobustScaler, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from . import boosting, forests
 
 FEATURES = "features"
 
@@ -150,79 +153,20 @@ def cross_validate(df: DataFrame, fold_col: str, k: int, fit_score, parallelism:
         return sorted(ex.map(one, range(k)))
 
 
-# -- balanced forest -----------------------------------------------------------
+# -- ensembles grown on packed rows --------------------------------------------
 
 def balanced_forest(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, key: str,
-                    bags: int = 100, depth: int = 10, seed: int = 42, at_once: int = 8) -> DataFrame:
-    """Balanced random forest (N12): each bag under-samples every class to the
-    minority's size (L7) and fits a tree of its own; ``test`` gains ``prob``,
-    the mean of the trees' probabilities.  ``at_once`` bags are drawn in one
-    pass; only the sampled rows are kept for their fits."""
-    from .sampling import balanced_undersample
-
-    scored, total = test, F.lit(0.0)
-    for lo in range(0, bags, at_once):
-        n = min(at_once, bags - lo)
-        drawn = cut_lineage(balanced_undersample(train, key, label, n_bags=n, seed=seed + lo))
-        for b in range(n):
-            name = f"tree_{lo + b}"
-            _, scored = fit_predict("rf", drawn.where(F.col("bag") == b).drop("bag"), scored, features, label,
-                                    prediction=name, trees=1, depth=depth, seed=seed + lo + b)
-            scored = scored.withColumn(name, vector_to_array(f"probability_{name}")[1]).drop(
-                f"probability_{name}", f"rawPrediction_{name}")
-        names = [f"tree_{lo + b}" for b in range(n)]
-        total = F.col("_sum") if lo else F.lit(0.0)
-        for c in names:
-            total = total + F.col(c)
-        scored = cut_lineage(scored.withColumn("_sum", total).drop(*names))
-    return scored.withColumn("prob", F.col("_sum") / bags).drop("_sum")
-
-
-# -- AdaBoost (SAMME) ---------------------------------------------------------
+                    bags: int = 200, depth: int = 10, seed: int = 42) -> DataFrame:
+    """``test`` with ``prob`` of a balanced random forest (N12, ``forests.py``)."""
+    return forests.balanced_forest(train, features, label, key, trees=bags, depth=depth, seed=seed).predict(test, "prob")
+
 
 def adaboost(train: DataFrame, test: DataFrame, features: Sequence[str], label: str,
-             rounds: int = 200, rate: float = 0.5, checkpoint_every: int = 10) -> DataFrame:
-    """Discrete AdaBoost with depth-1 trees; returns ``test`` with the
-    decision score ``ada_score`` and prediction ``ada_pred``.  Sample weights
-    are a DataFrame column updated each round; the lineage is cut with a
-    reliable checkpoint every ``checkpoint_every`` rounds."""
-    va = VectorAssembler(inputCols=list(features), outputCol=FEATURES, handleInvalid="error")
-    tr = va.transform(train).withColumn("_w", F.lit(1.0)).persist()
-    te = va.transform(test).withColumn("ada_score", F.lit(0.0))
-    y = F.col(label)
-    # Materialises the weights and gives their sum; so does every round below.
-    weight = tr.agg(F.sum("_w")).first()[0] or 0.0
-    for m in range(rounds):
-        if not weight:
-            break
-        stump = DecisionTreeClassifier(maxDepth=1, labelCol=label, featuresCol=FEATURES,
-                                       weightCol="_w", seed=42).fit(tr)
-        scored = stump.transform(tr).withColumn("_miss", (F.col("prediction") != y).cast("double"))
-        err = (scored.agg(F.sum(F.col("_w") * F.col("_miss"))).first()[0] or 0.0) / weight
-        if err <= 0 or err >= 0.5:
-            alpha = rate * 10.0 if err <= 0 else 0.0
-            if err >= 0.5:
-                break
-        else:
-            alpha = rate * math.log((1 - err) / err)
-        prev_tr = tr
-        tr = scored.select(*[c for c in tr.columns if c != "_w"],
-                           (F.col("_w") * F.exp(F.lit(alpha) * F.col("_miss"))).alias("_w"))
-        te = (stump.transform(te).withColumn(
-            "ada_score", F.col("ada_score") + F.lit(alpha) * (2 * F.col("prediction") - 1))
-            .drop("prediction", "rawPrediction", "probability"))
-        if (m + 1) % checkpoint_every == 0:
-            # Reliable checkpoint: bounded lineage, survives executor loss.
-            tr = cut_lineage(tr)
-            te = cut_lineage(te)
-        else:
-            # Keep this round's weights for the next fit (several passes).
-            tr = tr.persist()
-        # The new weights are computed (from the old ones) before the old go.
-        weight = tr.agg(F.sum("_w")).first()[0] or 0.0
-        prev_tr.unpersist()
-    tr.unpersist()
-    return te.withColumn("ada_pred", F.when(F.col("ada_score") > 0, 1).otherwise(0)).drop(FEATURES)
+             rounds: int = 200, rate: float = 0.5, checkpoint_every: int = boosting.REFRESH) -> DataFrame:
+    """``test`` with the score ``ada_score`` and the class ``ada_pred`` of
+    AdaBoost with stumps (N7, ``boosting.py``).  The training rows are written
+    with their scores every ``checkpoint_every`` rounds."""
+    return boosting.fit_stumps(train, features, label, rounds, rate, refresh=checkpoint_every).predict(test)
 
 
 # -- kernel approximations --------------------------------------------------------

@@ -19,10 +19,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
+from ..operators import boosting as BO
+from ..operators import encode as E
 from ..operators import ensemble as EN
+from ..operators import forests as FO
 from ..operators import impute as IM
 from ..operators import metrics as M
 from ..operators import models as MD
+from ..operators import networks as NW
 from ..operators import rebalance as RB
 from ..operators import sampling as SA
 from ..operators import scale as SC
@@ -35,6 +39,8 @@ from .common import vx
 
 MEASURES = ["age", "temp", "hr", "rr", "sbp", "dbp", "wbc", "lact", "sc"]
 FEATURES = MEASURES + ["map", "shock_index", "sirs_score", "qsofa_score", "marker"]
+# Encoded in the flow: a 0/1 column per level, and a code of the sorted levels.
+ONE_HOT, CODED = ["chest_pain"], ["smoking"]
 # Weights of this flow's three members (forest, boosting, logistic).
 BLEND = {"p_rf": 0.4, "p_gbt": 0.4, "p_lr": 0.2}
 # The reference's four-member probability blend.
@@ -57,24 +63,28 @@ def sepsis_flow(spark: SparkSession, sf_dir: str, trees: int = 200, rounds: int
     v = vx(spark, sf_dir)
     c = v.withColumns({"shock_index": F.col("hr") / F.col("sbp"), "sirs_score": S.additive_score(S.SIRS),
                        "qsofa_score": S.additive_score(S.QSOFA), "marker": F.col("p") * 10 + F.col("lact") / 5})
-    split = cut_lineage(SA.strat_split(c.select("id", "y", *FEATURES), "id", "y", frac=0.2))
+    split = cut_lineage(SA.strat_split(c.select("id", "y", *FEATURES, *ONE_HOT, *CODED), "id", "y", frac=0.2))
     train, test = split.where(F.col("_split") == "train"), split.where(F.col("_split") == "test")
     train, test = (IM.fill_median(d, ["temp", "sc"], fit=train) for d in (train, test))
+    # Levels and codes come from the training rows; a level unseen there is the code -1 and no 0/1 column.
+    levels = {x: E.level_list(train, x) for x in ONE_HOT}
+    codes = [f"{x}_code" for x in CODED]
+    train, test = (E.one_hot(E.label_encode(d, CODED, fit=train, suffix="_code"), ONE_HOT, levels).fillna(-1, codes) for d in (train, test))
+    features = [*FEATURES, *codes, *[f"{x}_{v}" for x in ONE_HOT for v in levels[x]]]
     train = SA.class_weights(train, "y")
-    params = SC.fit_standard(train, FEATURES)
+    params = SC.fit_standard(train, features)
     tr, te = cut_lineage(SC.apply_standard(train, params, "_z")), SC.apply_standard(test, params, "_z")
-    zf = [f + "_z" for f in FEATURES]
+    zf = [f + "_z" for f in features]
     scored = te.select("id", "y", "sirs_score", "lact", *zf)
-    models = {}
-    for name, col, weight, kw in (("rf", "p_rf", "weight", {"trees": trees, "depth": 8}),
-                                  ("gbt", "p_gbt", None, {"rounds": rounds, "depth": 3}),
-                                  ("logreg", "p_lr", "weight", {"C": 1.0})):
-        models[name], pred = MD.fit_predict(name, tr, scored, zf, "y", weight=weight, **kw)
-        scored = MD.positive_probability(pred, col).drop("rawPrediction", "probability", "prediction")
+    forest = FO.random_forest(tr, zf, "y", "id", trees=trees, depth=8, weight="weight")
+    scored = forest.predict(scored, "p_rf")
+    scored = BO.boost(tr, zf, "y", rounds=rounds, depth=3, subsample=0.8, key="id").predict(scored, "p_gbt")
+    _, pred = MD.fit_predict("logreg", tr, scored, zf, "y", weight="weight", C=1.0)
+    scored = MD.positive_probability(pred, "p_lr").drop("rawPrediction", "probability", "prediction")
     # Several metrics read the scored hold-out: score it once.
     scored = cut_lineage(scored.withColumn("prob", EN.weighted_vote(BLEND)).withColumn("pred", EN.vote_label(F.col("prob"))))
     strata = risk_strata(scored, "prob", "y", ALERT_EDGES, ALERT_LABELS, extra_means=["sirs_score", "lact"])
-    return strata, _report(scored, list(zip(FEATURES, [v for _, v in MD.importances(models["rf"], zf)])))
+    return strata, _report(scored, list(zip(features, [v for _, v in forest.importances()])))
 
 
 TEXT_FEATURES = ["log_chars", "symbol_share", "upper_share", "digit_share", "mean_word", "distinct_share", "line_rate", "space_share",
@@ -93,7 +103,7 @@ def text_features(docs: DataFrame) -> DataFrame:
                        without(" ").alias("space_share"), without(r"\|").alias("pipe_share"), without("[.,;:]").alias("punct_share"))
 
 
-def resample_flow(spark: SparkSession, sf_dir: str, trees: int = 200, rounds: int = 200, iters: int = 500, ratio: float = 0.5,
+def resample_flow(spark: SparkSession, sf_dir: str, trees: int = 200, rounds: int = 200, epochs: int = 200, ratio: float = 0.5,
                   bags: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Over-sample the training rows of the rarer label, then fit on the grown
     table.  Returns (grown training table (y, features), metrics report)."""
@@ -110,19 +120,18 @@ def resample_flow(spark: SparkSession, sf_dir: str, trees: int = 200, rounds: in
         F.xxhash64("src_id", F.coalesce("copy", F.lit(-1))).alias("id"), "y",
         *[F.col("v")[i].alias(c) for i, c in enumerate(TEXT_FEATURES)]))
     scored = MD.balanced_forest(grown, te, TEXT_FEATURES, "y", "id", bags=bags or trees, depth=8).withColumnRenamed("prob", "p_brf")
-    models = {}
-    for name, col, kw in (("gbt", "p_gbt", {"rounds": rounds, "depth": 3}), ("extra_trees", "p_et", {"trees": trees, "depth": 8}),
-                          ("mlp", "p_nn", {"layers": [len(TEXT_FEATURES), 100, 50, 25, 2], "iters": iters})):
-        models[name], pred = MD.fit_predict(name, grown, scored, TEXT_FEATURES, "y", **kw)
-        scored = MD.positive_probability(pred, col).drop("rawPrediction", "probability", "prediction")
+    scored = BO.boost(grown, TEXT_FEATURES, "y", rounds=rounds, depth=3, subsample=0.8, key="id").predict(scored, "p_gbt")
+    extra = FO.extra_trees(grown, TEXT_FEATURES, "y", trees=trees, depth=8)
+    scored = extra.predict(scored, "p_et")
+    scored = NW.fit_network(grown, TEXT_FEATURES, "y", "id", hidden=(100, 50, 25), epochs=epochs, rate=0.01, patience=4).predict(scored, "p_nn")
     scored = cut_lineage(scored.withColumn("prob", EN.weighted_vote(BLEND4)).withColumn("pred", EN.vote_label(F.col("prob"))))
-    return grown, _report(scored, MD.importances(models["extra_trees"], TEXT_FEATURES))
+    return grown, _report(scored, extra.importances())
 
 
 REG_FEATURES = ["log_quantity", "retail", "p_size", "discount", "tax", "n_lines", "log_retail"]
 
 
-def regression_flow(spark: SparkSession, sf_dir: str, trees: int = 500, rounds: int = 3000, fourier: int = 300):
+def regression_flow(spark: SparkSession, sf_dir: str, trees: int = 500, rounds: int = 12, rate: float = 0.3, fourier: int = 300):
     """Price of a part's orders: log1p target, eight regressors, blend, clip.
     Returns (held-out id, y, price; RMSE of logs; [(fold, CV error)])."""
     li = load(spark, sf_dir, "lineitem")
@@ -137,16 +146,12 @@ def regression_flow(spark: SparkSession, sf_dir: str, trees: int = 500, rounds:
     train, test = folded.where("fold <> 0"), folded.where("fold = 0")
     for name, kw in (("lasso", {"alpha": 0.0005}), ("enet", {"alpha": 0.0005, "l1_ratio": 0.9}), ("ridge", {"alpha": 10.0})):
         _, test = MD.fit_predict(name, train, test, REG_FEATURES, "y", scaler="robust", prediction=name, **kw)
-    for name, kw in (("gbt_reg", {"rounds": rounds, "depth": 4, "loss": "squared"}), ("rf_reg", {"trees": trees, "depth": 10}),
-                     ("extra_trees_reg", {"trees": trees, "depth": 10})):
-        _, test = MD.fit_predict(name, train, test, REG_FEATURES, "y", prediction=name, **kw)
+    test = BO.boost(train, REG_FEATURES, "y", loss="huber", rounds=rounds, rate=rate, depth=4, min_rows=15).predict(test, "gbt_reg")
+    test = FO.random_forest(train, REG_FEATURES, "y", "id", trees=trees, depth=10, candidates=3).predict(test, "rf_reg")
+    test = FO.extra_trees(train, REG_FEATURES, "y", trees=trees, depth=10, candidates=3).predict(test, "extra_trees_reg")
     params = SC.fit_standard(train, REG_FEATURES)
     tr, te = SC.apply_standard(train, params), cut_lineage(SC.apply_standard(test, params))
-    gamma = MD.rbf_gamma(tr, REG_FEATURES)
-    ftr, fn = MD.fourier_features(tr, REG_FEATURES, n_components=fourier, gamma=gamma)
-    fte, _ = MD.fourier_features(te, REG_FEATURES, n_components=fourier, gamma=gamma)
-    _, te = MD.fit_predict("ridge", cut_lineage(ftr), fte, fn, "y", alpha=0.1, prediction="svr")
-    te = te.drop(*fn)
+    te = NW.fit_svr(tr, REG_FEATURES, "y", "id", c=20.0, epsilon=0.008, components=fourier).predict(te, "svr")
     ptr, pn = MD.poly2_features(tr, REG_FEATURES)
     pte, _ = MD.poly2_features(te, REG_FEATURES)
     _, te = MD.fit_predict("ridge", cut_lineage(ptr), pte, pn, "y", alpha=0.6, intercept=False, prediction="krr")

@@ -6,8 +6,10 @@ that every probability lies in [0, 1], and that the held-out ROC-AUC (or error)
 passes a floor that a broken fit misses (the features carry signal: ``marker``
 and ``marker2`` are noisy functions of the risk that the label is drawn from).
 
-``BENCH`` holds the sizes that the registered queries fit with; the operators'
-defaults are the reference's (100 to 500 trees, 200 rounds, 500 iterations).
+Forests have 100 trees, the balanced one 200 bags, boosting 100 rounds and
+AdaBoost 200 stumps.  The network goes on until its held-out loss no longer
+falls.  Kernel machines have 200 Fourier features; the flows' Huber boosting
+has 12 rounds at a higher rate.
 """
 
 from __future__ import annotations
@@ -15,8 +17,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import boosting as BO
+from ..operators import forests as FO
 from ..operators import metrics as M
 from ..operators import models as MD
+from ..operators import networks as NW
 from ..operators import sampling as SA
 from ..operators import scale as SC
 from ..session import cut_lineage
@@ -24,8 +29,7 @@ from ..sources.cohort import SEPSIS, SEPSIS_PREVALENCE, cohort
 from .common import t, vx, with_vitals
 from .registry import register
 
-# Documented bench setting of the registered queries.
-BENCH = {"trees": 20, "rounds": 10, "stumps": 10, "bags": 10, "fourier": 100, "iters": 60}
+TREES, BAGS, ROUNDS, STUMPS, FOURIER = 100, 200, 100, 200, 200
 FEATS = ["age", "hr", "rr", "sbp", "dbp", "gcs", "pf", "plt", "bu", "glucose", "insulin",
          "max_hr", "chol", "al", "wbc", "lact", "hemo", "pot", "sod", "marker", "marker2"]
 AUC_FLOOR, RMSE_CEILING = 0.8, 0.15
@@ -70,15 +74,14 @@ def _out(pred):
 @register("rf_fit", CLASS_SQL, "N1 N14 J8")
 def q_rf_fit(spark, sf_dir):
     tr, te = split(spark, sf_dir)
-    _, pred = MD.fit_predict("rf", tr, te, FEATS, "y", trees=BENCH["trees"], depth=5, min_leaf=5)
-    return _out(pred)
+    return _checked(FO.random_forest(tr, FEATS, "y", "id", trees=TREES, depth=5, min_rows=5).predict(te), "prob")
 
 
 @register("gbt_fit", CLASS_SQL, "N2 N3")
 def q_gbt_fit(spark, sf_dir):
     tr, te = split(spark, sf_dir)
-    _, pred = MD.fit_predict("gbt", tr, te, FEATS, "y", rounds=BENCH["rounds"], rate=0.1, depth=3, subsample=0.8)
-    return _out(pred)
+    m = BO.boost(tr, FEATS, "y", rounds=ROUNDS, rate=0.1, depth=3, subsample=0.8, l2=0.0, min_child=0.0, key="id")
+    return _checked(m.predict(te, "prob"), "prob")
 
 
 @register("logreg_fit", CLASS_SQL, "N4 L6 J4")
@@ -107,44 +110,36 @@ def q_linreg_fit(spark, sf_dir):
           "N1 N2 N6")
 def q_tree_reg_fit(spark, sf_dir):
     tr, te = split(spark, sf_dir)
-    for name, kw in (("rf_reg", {"trees": BENCH["trees"], "depth": 8}), ("gbt_reg", {"rounds": BENCH["rounds"], "depth": 4}),
-                     ("extra_trees_reg", {"trees": BENCH["trees"], "depth": 8})):
-        _, te = MD.fit_predict(name, tr, te, FEATS, "p", prediction=name, **kw)
+    te = FO.random_forest(tr, FEATS, "p", "id", trees=TREES, depth=8, candidates=len(FEATS) // 3).predict(te, "rf_reg")
+    te = BO.boost(tr, FEATS, "p", loss="squared", rounds=20, depth=4, l2=0.0).predict(te, "gbt_reg")
+    te = FO.extra_trees(tr, FEATS, "p", trees=TREES, depth=8, candidates=len(FEATS) // 3).predict(te, "extra_trees_reg")
     return _regression_checks(te, ["rf_reg", "gbt_reg", "extra_trees_reg"])
 
 
 @register("extra_trees_fit", CLASS_SQL, "N6")
 def q_extra_trees_fit(spark, sf_dir):
     tr, te = split(spark, sf_dir)
-    _, pred = MD.fit_predict("extra_trees", tr, te, FEATS, "y", trees=BENCH["trees"], depth=8)
-    return _out(pred)
+    return _checked(FO.extra_trees(tr, FEATS, "y", trees=TREES, depth=8).predict(te), "prob")
 
 
 @register("adaboost_fit", CLASS_SQL, "N7")
 def q_adaboost_fit(spark, sf_dir):
     tr, te = split(spark, sf_dir)
-    out = MD.adaboost(tr, te, FEATS, "y", rounds=BENCH["stumps"], rate=0.5)
+    out = BO.fit_stumps(tr, FEATS, "y", rounds=STUMPS, rate=0.5, bins=63).predict(te)
     return _checked(out, "ada_score", bounded=False)
 
 
 @register("rff_svm_fit", CLASS_SQL, "N8")
 def q_rff_svm_fit(spark, sf_dir):
     tr, te = scaled_split(spark, sf_dir)
-    gamma = MD.rbf_gamma(tr, FEATS)
-    tr, names = MD.fourier_features(tr, FEATS, n_components=BENCH["fourier"], gamma=gamma)
-    te, _ = MD.fourier_features(te, FEATS, n_components=BENCH["fourier"], gamma=gamma)
-    _, pred = MD.fit_predict("logreg", cut_lineage(tr), te, names, "y", C=1.0)
-    return _out(pred)
+    return _checked(NW.fit_svm(tr, FEATS, "y", "id", components=FOURIER).predict(te, "prob"), "prob")
 
 
 @register("rff_svr_fit", with_vitals(_SPLIT_SQL + "SELECT id, TRUE AS svr_ok FROM test"), "N8")
 def q_rff_svr_fit(spark, sf_dir):
     tr, te = scaled_split(spark, sf_dir)
-    gamma = MD.rbf_gamma(tr, FEATS)
-    tr, names = MD.fourier_features(tr, FEATS, n_components=BENCH["fourier"], gamma=gamma)
-    te, _ = MD.fourier_features(te, FEATS, n_components=BENCH["fourier"], gamma=gamma)
-    _, pred = MD.fit_predict("ridge", cut_lineage(tr), te, names, "p", alpha=0.1, prediction="svr")
-    return _regression_checks(pred, ["svr"], ceiling=0.2)
+    svr = NW.fit_svr(tr, FEATS, "p", "id", components=FOURIER, epsilon=0.05)
+    return _regression_checks(svr.predict(te, "svr"), ["svr"], ceiling=0.2)
 
 
 @register("poly_ridge_fit", with_vitals(_SPLIT_SQL + "SELECT id, TRUE AS krr_ok FROM test"), "N10")
@@ -159,25 +154,24 @@ def q_poly_ridge_fit(spark, sf_dir):
 @register("mlp_fit", CLASS_SQL, "N11")
 def q_mlp_fit(spark, sf_dir):
     tr, te = scaled_split(spark, sf_dir)
-    _, pred = MD.fit_predict("mlp", tr, te, FEATS, "y", layers=[len(FEATS), 100, 50, 25, 2], iters=BENCH["iters"])
-    return _out(pred)
+    return _checked(NW.fit_network(tr, FEATS, "y", "id", hidden=(100, 50, 25), rate=0.01, patience=4).predict(te), "prob")
 
 
 @register("rf_balanced_fit", CLASS_SQL, "N12 L7")
 def q_rf_balanced_fit(spark, sf_dir):
     tr, te = split(spark, sf_dir)
-    return _checked(MD.balanced_forest(tr, te, FEATS, "y", "id", bags=BENCH["bags"], depth=8, at_once=BENCH["bags"]), "prob")
+    return _checked(MD.balanced_forest(tr, te, FEATS, "y", "id", bags=BAGS, depth=8), "prob")
 
 
 @register("importance_topk", """SELECT model, rank, TRUE AS is_feature, TRUE AS in_range, rank = 1 AS is_marker
 FROM (SELECT unnest(['rf', 'gbt', 'extra_trees']) AS model) m, (SELECT CAST(unnest(range(1, 11)) AS INTEGER) AS rank) r""", "N13 F1")
 def q_importance_topk(spark, sf_dir):
-    tr, te = split(spark, sf_dir)
+    tr, _ = split(spark, sf_dir)
     rows = []
-    for name, kw in (("rf", {"trees": BENCH["trees"], "depth": 5}), ("gbt", {"rounds": 10, "depth": 3}),
-                     ("extra_trees", {"trees": BENCH["trees"], "depth": 5})):
-        model, _ = MD.fit_predict(name, tr, te, FEATS, "y", **kw)
-        top = sorted(MD.importances(model, FEATS), key=lambda r: (-r[1], r[0]))[:10]
+    for name, model in (("rf", FO.random_forest(tr, FEATS, "y", "id", trees=TREES, depth=5)),
+                        ("gbt", BO.boost(tr, FEATS, "y", rounds=ROUNDS // 2, depth=3)),
+                        ("extra_trees", FO.extra_trees(tr, FEATS, "y", trees=TREES, depth=5))):
+        top = sorted(model.importances(), key=lambda r: (-r[1], r[0]))[:10]
         rows += [(name, i, f in FEATS, 0.0 <= v <= 1.0, i == 1 and f.startswith("marker")) for i, (f, v) in enumerate(top, 1)]
     return spark.createDataFrame(rows, "model string, rank int, is_feature boolean, in_range boolean, is_marker boolean")
 
@@ -190,7 +184,7 @@ def q_cv_score(spark, sf_dir):
     folded = cut_lineage(SA.strat_kfold(tr, "id", "y", k=5))
 
     def classify(fit_on, held):
-        _, pred = MD.fit_predict("logreg", fit_on, held, FEATS, "y", scaler="standard", C=1.0, iters=50)
+        _, pred = MD.fit_predict("logreg", fit_on, held, FEATS, "y", scaler="standard", C=1.0)
         s = cut_lineage(MD.positive_probability(pred).select("y", "prob", "prediction"))
         return M.roc_auc(s, "y", "prob").first()[0], M.accuracy(s, "y", "prediction").first()[0]
 
@@ -228,7 +222,7 @@ def _report_out(report: DataFrame, floor: float) -> DataFrame:
 @register("sepsis_flow", _REPORT_SQL + ")", "A6 D6 N1 N2 N4 P3 L1 L6 J4 M8 M9 M16 M17 K2")
 def q_sepsis_flow(spark, sf_dir):
     from .flows import sepsis_flow
-    _, report = sepsis_flow(spark, sf_dir, trees=BENCH["trees"], rounds=BENCH["rounds"])
+    _, report = sepsis_flow(spark, sf_dir, trees=TREES, rounds=ROUNDS // 2)
     return _report_out(report, AUC_FLOOR)
 
 
@@ -240,7 +234,7 @@ def q_sepsis_flow(spark, sf_dir):
         FROM labels JOIN documents USING (doc_id)))""", "L4 N1 N2 N6 N11 N12 P3 A6 L1 J4")
 def q_resample_flow(spark, sf_dir):
     from .flows import resample_flow
-    grown, report = resample_flow(spark, sf_dir, trees=BENCH["trees"], rounds=BENCH["rounds"], iters=BENCH["iters"])
+    grown, report = resample_flow(spark, sf_dir, trees=TREES, rounds=ROUNDS // 2)
     sizes = grown.groupBy("y").count().collect()
     n = {r["y"]: r["count"] for r in sizes}
     extra = spark.createDataFrame([("resampled", f"{n.get(0, 0)} of {n.get(1, 0)}", True)], "section string, name string, in_range boolean")
@@ -253,7 +247,7 @@ SELECT id, TRUE AS price_in_range, TRUE AS rmsle_below_ceiling, TRUE AS cv_below
           "N1 N2 N5 N6 N8 N10 N15 N16 P4 D19 H10 L3")
 def q_regression_flow(spark, sf_dir):
     from .flows import regression_flow
-    priced, rmsle, cv = regression_flow(spark, sf_dir, trees=BENCH["trees"], rounds=BENCH["rounds"], fourier=BENCH["fourier"])
+    priced, rmsle, cv = regression_flow(spark, sf_dir, trees=TREES, rounds=12, fourier=FOURIER)
     return priced.select("id", F.col("price").between(*_CLIP).alias("price_in_range"), F.lit(rmsle <= 0.3).alias("rmsle_below_ceiling"),
                          F.lit(all(e <= 0.3 for _, e in cv)).alias("cv_below_ceiling"))
 

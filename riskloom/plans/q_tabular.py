@@ -73,11 +73,11 @@ def q_csv_group_sink(spark, sf_dir):
     return back.select("c_mktsegment", F.col("n").cast("long").alias("n"), F.round("total", 6).alias("total"))
 
 
-@register("headerless_scan", "SELECT n_nationkey AS k, n_name AS name, n_regionkey AS region FROM nation", "A2")
+@register("headerless_scan", "SELECT o_orderkey AS k, o_orderpriority AS name, o_custkey AS customer FROM orders", "A2")
 def q_headerless_scan(spark, sf_dir):
     path = _csv_folder(spark)
-    t(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").write.csv(path)
-    return read_headerless(spark, path, "k int, name string, region int")
+    t(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_custkey").write.csv(path)
+    return read_headerless(spark, path, "k long, name string, customer long")
 
 
 @register("outlier_drop", f"""WITH {LN_SQL}
