@@ -10,7 +10,8 @@ logistic curve that is calibrated on the training rows weighs these thresholds
 into a score.
 
 The fit uses a bounded sample of labelled rows: at most ``fit_rows`` of each
-label, chosen by a hash of the id, of at most ``fit_bytes`` bytes each.  Scoring
+label, chosen by a hash of the id, of at most ``fit_bytes`` bytes each, and for
+a dictionary at most ``fit_windows`` windows of them.  Scoring
 covers whole texts and needs only the text; nothing is shuffled.
 """
 
@@ -38,6 +39,7 @@ LEVEL = 9
 DICTIONARY_BYTES, STEMS_BYTES = 32 << 10, 2 << 10
 THRESHOLDS = (1, 2, 3, 4, 5, 6)
 TEXT_BYTES = 1 << 20
+FIT_WINDOWS = 80_000
 # Up to WINDOW bytes that end before white space; a longer word is cut.
 _WINDOWS = re.compile(rb"(?s)\S.{0,%d}(?=\s|\Z)|\S{1,%d}" % (WINDOW - 2, WINDOW))
 
@@ -89,9 +91,9 @@ def evidence(saved: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.stack([*parts, np.bincount(of, saved[1], len(n)) / np.maximum(n, 1)], axis=1)
 
 
-def _trained(pool: list[bytes]) -> bytes:
-    """A dictionary of windows, of at most 40,000 of them."""
-    pool = pool[::max(1, len(pool) // 40000)]
+def _trained(pool: list[bytes], most: int) -> bytes:
+    """A dictionary of windows, of ``most`` of them at most, evenly spread."""
+    pool = pool[::max(1, -(-len(pool) // most))]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, pool).as_bytes()[-DICTIONARY_BYTES:]
     except zstandard.ZstdError:  # too little text to train on: its bytes are the dictionary
@@ -158,13 +160,14 @@ def contrast_passages(docs: list[bytes], others: list[bytes], limit: int, least:
     return picked[::-1]
 
 
-def fit(texts: list[str], labels: list[int], totals: tuple[int, int] | None = None) -> Model:
+def fit(texts: list[str], labels: list[int], totals: tuple[int, int] | None = None, fit_windows: int = FIT_WINDOWS) -> Model:
     """A model of the given rows (a bounded sample); ``totals`` are the numbers
-    of ordinary and toxic rows that the sample stands for."""
+    of ordinary and toxic rows that the sample stands for.  A dictionary is
+    trained on ``fit_windows`` windows of its label at most."""
     norm = [" ".join([" "] + t.lower().split() + [" "]).encode() for t in texts]
     y = np.array(labels, float)
     toxic, ordinary = [n for n, l in zip(norm, labels) if l], [n for n, l in zip(norm, labels) if not l]
-    base, other = (_trained([w for t, l in zip(texts, labels) if bool(l) == k for w in windows(t)]) or b" the and " for k in (False, True))
+    base, other = (_trained([w for t, l in zip(texts, labels) if bool(l) == k for w in windows(t)], fit_windows) or b" the and " for k in (False, True))
     mine = b"".join(contrast_passages(toxic, ordinary, STEMS_BYTES, 18.0))
     # Unused bytes stand in for the passages, so shared content keeps its distance in both.
     pad = b"\x01" * len(mine)

@@ -48,6 +48,7 @@ GRAM = 16
 PAD = 0xFF  # no byte of UTF-8
 NO_ID = np.iinfo(np.int64).max  # a null id ranks behind every id
 SLICE = 1 << 20
+STEP = 1 << 16  # strings that are compared at once
 _MULT = 0x9E3779B97F4A7C15
 _BYTE = (np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _WORDS = (np.random.default_rng(21).integers(0, 1 << 63, 64, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -217,37 +218,72 @@ class _Segment:
         for a, b in zip(starts, np.append(starts[1:], len(bucket))):
             yield int(bucket[a]), int(a), int(b), rest[a:b]
 
+    def _entries(self, want: np.ndarray, single: bool) -> Iterator[tuple]:
+        """Slices (text index, position, key, bytes) of the strings over the
+        wanted anchors, of STEP strings at most for each text."""
+        at = np.flatnonzero(want)
+        cuts = np.searchsorted(self.of[at], np.arange(len(self.texts) + 1))
+        for k in np.flatnonzero(np.diff(cuts)):
+            sel = at[cuts[k]:cuts[k + 1]]
+            data = np.frombuffer(self.texts[k], np.uint8)
+            if single:
+                cover = np.zeros(len(data) + 1, np.int32)
+                np.add.at(cover, np.maximum(self.pos[sel] - self.side, 0), 1)
+                np.add.at(cover, self.pos[sel] + 1, -1)
+                places = np.flatnonzero(np.cumsum(cover)[:len(data) - self.length + 1] > 0)
+                view = sliding_window_view(data, self.length)
+            else:
+                edge = np.full(self.side, PAD, np.uint8)
+                places = self.pos[sel]
+                view = sliding_window_view(np.concatenate([edge, data, edge]), 2 * self.side + GRAM)
+            for lo in range(0, len(places), STEP):
+                here = places[lo:lo + STEP]
+                x = view[here]
+                key = _row_hash(x) if single else self.uniq[self.inv[sel[lo:lo + STEP]]]
+                yield np.full(len(here), k), here if single else here - self.side, key, x
+
     def surroundings(self, repeated: np.ndarray, hot: np.ndarray):
-        """Two sets of entries (text index, position, key, bytes): strings around
-        ordinary anchors, and single ``length``-byte strings over hot ones."""
+        """Two sets of strings: those around ordinary anchors, and single
+        ``length``-byte strings over hot ones.  Each is (text index, position
+        and string number of every occurrence; key, bytes and smallest id of
+        every distinct string, by key).  Occurrences are made distinct slice by
+        slice, so a long periodic text never has all its surroundings at once."""
         use = repeated[self.inv] if len(self.inv) else np.zeros(0, bool)
         is_hot = hot[self.inv] if len(self.inv) else use
-        width = 2 * self.side + GRAM
-        parts, singles = [], []
-        for want, out in ((use & ~is_hot, parts), (use & is_hot, singles)):
-            at = np.flatnonzero(want)
-            cuts = np.searchsorted(self.of[at], np.arange(len(self.texts) + 1))
-            for k in np.flatnonzero(np.diff(cuts)):
-                sel = at[cuts[k]:cuts[k + 1]]
-                data = np.frombuffer(self.texts[k], np.uint8)
-                if out is parts:
-                    edge = np.full(self.side, PAD, np.uint8)
-                    view = sliding_window_view(np.concatenate([edge, data, edge]), width)
-                    out.append((np.full(len(sel), k), self.pos[sel] - self.side, self.uniq[self.inv[sel]], view[self.pos[sel]]))
-                else:
-                    cover = np.zeros(len(data) + 1, np.int64)
-                    np.add.at(cover, np.maximum(self.pos[sel] - self.side, 0), 1)
-                    np.add.at(cover, self.pos[sel] + 1, -1)
-                    s = np.flatnonzero(np.cumsum(cover)[:len(data) - self.length + 1] > 0)
-                    x = sliding_window_view(data, self.length)[s]
-                    out.append((np.full(len(s), k), s, _row_hash(x), x))
-        for out, w in ((parts, width), (singles, self.length)):
-            if out:
-                k, p, key, x = (np.concatenate([o[i] for o in out]) for i in range(4))
-            else:
-                k, p, key, x = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros((0, w), np.uint8)
-            order, first = _distinct(key, x, self.low[k])
-            yield k[order], p[order], key[order], x[order], first
+        for want, single, width in ((use & ~is_hot, False, 2 * self.side + GRAM), (use & is_hot, True, self.length)):
+            where, kept, held, n, base = [], [], [], 0, 0
+
+            def settle() -> None:
+                nonlocal held, n, base
+                k, p, key, x = (np.concatenate([h[i] for h in held]) for i in range(4))
+                ids = self.low[k]
+                order, first = _distinct(key, x, ids)
+                number = np.empty(len(k), np.int64)
+                number[order] = base + np.cumsum(first) - 1
+                reps = order[first]
+                where.append((k, p, number))
+                kept.append((key[reps], x[reps], ids[reps]))
+                base += len(reps)
+                held, n = [], 0
+
+            for part in self._entries(want, single):
+                held.append(part)
+                n += len(part[0])
+                if n >= STEP:
+                    settle()
+            if held:
+                settle()
+            if not where:
+                none = np.zeros(0, np.int64)
+                yield none, none, none, np.zeros(0, np.uint64), np.zeros((0, width), np.uint8), none
+                continue
+            k, p, number = (np.concatenate([w[i] for w in where]) for i in range(3))
+            key, x, ids = (np.concatenate([w[i] for w in kept]) for i in range(3))
+            order, first = _distinct(key, x, ids)
+            final = np.empty(len(key), np.int64)
+            final[order] = np.cumsum(first) - 1
+            reps = order[first]
+            yield k, p, final[number], key[reps], x[reps], ids[reps]
 
 
 def _bits_from(replies: pa.Table, kind: int, bits: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -339,8 +375,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         s = _Segment(docs.column("id"), docs.column("text"), length)
         rep, hot = _bits_from(replies, 0, bits, len(s.uniq))
         rows = []
-        for kind, (k, _, h, x, first) in enumerate(s.surroundings(rep, hot), 1):
-            h, x, low = h[first], x[first], s.low[k[first]]
+        for kind, (_, _, _, h, x, low) in enumerate(s.surroundings(rep, hot), 1):
             rows += [(key[0].as_py(), b, kind, j - i, _pack(low[i:j], rest, x[i:j])) for b, i, j, rest in s.cut(h, bits)]
         return _packets(rows)
 
@@ -379,13 +414,11 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             s = _Segment(docs.column(c_id).cast(pa.int64()), docs.column(c_text).cast(pa.string()), length)
             rep, hot = _bits_from(replies, 0, bits, len(s.uniq))
             entries = []
-            for kind, (k, p, h, x, first) in enumerate(s.surroundings(rep, hot), 1):
+            for kind, (k, p, number, _, x, low) in enumerate(s.surroundings(rep, hot), 1):
                 got = np.concatenate([np.zeros(0, np.uint64)] + [np.frombuffer(r, np.uint64) for _, _, r, _ in _answers(replies, kind)])
-                group = np.cumsum(first) - 1
-                low = s.low[k[first]] if len(k) else np.zeros(0, np.int64)
                 by = np.argsort(k, kind="stable")
-                entries.append((p[by], got[group][by] if len(k) else got, low[group][by] if len(k) else low,
-                                np.searchsorted(k[by], np.arange(len(s.texts) + 1)), x.shape[1] - length + 1))
+                entries.append((p[by], got[number[by]], low[number[by]], np.searchsorted(k[by], np.arange(len(s.texts) + 1)),
+                                x.shape[1] - length + 1))
         done: dict = {}
         for row in range(docs.num_rows):
             k, me = s.row_text[row], s.ids[row]
@@ -406,20 +439,21 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def _cut_text(raw: bytes, entries: list, me: int, length: int) -> dict:
     """One document's result from the marks of its strings."""
     n = len(raw)
-    starts = []
+    begins = np.zeros(n + 1, np.int32)
     for pos, mark, low, offsets in entries:
-        mark = np.where(low < me, np.uint64((1 << offsets) - 1), mark)
-        use = np.flatnonzero(mark)
-        b = np.unpackbits(mark[use].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, :offsets]
-        r, o = np.nonzero(b)
-        s = pos[use][r] + o
-        starts.append(s[(s >= 0) & (s + length <= n)])
-    starts = np.concatenate(starts) if starts else np.zeros(0, np.int64)
-    if not len(starts):
+        for lo in range(0, len(pos), STEP):
+            here = slice(lo, lo + STEP)
+            bits = np.where(low[here] < me, np.uint64((1 << offsets) - 1), mark[here])
+            use = np.flatnonzero(bits)
+            b = np.unpackbits(bits[use].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, :offsets]
+            r, o = np.nonzero(b)
+            at = pos[here][use][r] + o
+            begins[at[(at >= 0) & (at + length <= n)]] = 1
+    if not begins.any():
         return {"kept": raw.decode(errors="ignore"), "spans": [], "n_bytes": n, "n_removed": 0, "n_spans": 0,
                 "sha": hashlib.sha256(raw).hexdigest()}
-    step = np.bincount(starts, minlength=n + 1).astype(np.int64)
-    step[length:] -= np.bincount(starts, minlength=n + 1)[:n + 1 - length]
+    step = begins.copy()
+    step[length:] -= begins[:n + 1 - length]
     gone = np.cumsum(step)[:n] > 0
     edges = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))
     left = np.frombuffer(raw, np.uint8)[~gone].tobytes()
