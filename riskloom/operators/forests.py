@@ -109,7 +109,7 @@ def _passed(packed: T.Packed, level: _Level, n_f: int, binned: bool, weights: Ca
 
     sent, parts = packed.df.mapInArrow(run, _SENT), packed.parts
     while parts > T.FAN:
-        sent = sent.withColumn("part", F.expr(f"part div {T.FAN}")).groupBy("tree", "block", "part").applyInArrow(fold, _SENT)
+        sent = sent.withColumn("part", F.expr(f"cast(part div {T.FAN} AS int)")).groupBy("tree", "block", "part").applyInArrow(fold, _SENT)
         parts = -(-parts // T.FAN)
     return sent.groupBy("tree", "block").applyInArrow(last, schema).toArrow()
 

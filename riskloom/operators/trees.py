@@ -173,7 +173,7 @@ class Packed:
 
         sent, parts = self.df.mapInArrow(run, "part int, v binary"), self.parts
         while parts > FAN:
-            sent = sent.withColumn("part", F.expr(f"part div {FAN}")).groupBy("part").applyInArrow(fold, "part int, v binary")
+            sent = sent.withColumn("part", F.expr(f"cast(part div {FAN} AS int)")).groupBy("part").applyInArrow(fold, "part int, v binary")
             parts = -(-parts // FAN)
         return np.sum([np.frombuffer(x) for x in sent.toArrow().column("v").to_pylist()], axis=0)
 

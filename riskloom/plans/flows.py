@@ -103,7 +103,7 @@ def text_features(docs: DataFrame) -> DataFrame:
                        without(" ").alias("space_share"), without(r"\|").alias("pipe_share"), without("[.,;:]").alias("punct_share"))
 
 
-def resample_flow(spark: SparkSession, sf_dir: str, trees: int = 200, rounds: int = 200, epochs: int = 200, ratio: float = 0.5,
+def resample_flow(spark: SparkSession, sf_dir: str, trees: int = 200, rounds: int = 200, iters: int = 200, ratio: float = 0.5,
                   bags: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Over-sample the training rows of the rarer label, then fit on the grown
     table.  Returns (grown training table (y, features), metrics report)."""
@@ -123,7 +123,7 @@ def resample_flow(spark: SparkSession, sf_dir: str, trees: int = 200, rounds: in
     scored = BO.boost(grown, TEXT_FEATURES, "y", rounds=rounds, depth=3, subsample=0.8, key="id").predict(scored, "p_gbt")
     extra = FO.extra_trees(grown, TEXT_FEATURES, "y", trees=trees, depth=8)
     scored = extra.predict(scored, "p_et")
-    scored = NW.fit_network(grown, TEXT_FEATURES, "y", "id", hidden=(100, 50, 25), epochs=epochs, rate=0.01, patience=4).predict(scored, "p_nn")
+    scored = NW.fit_network(grown, TEXT_FEATURES, "y", "id", hidden=(100, 50, 25), epochs=iters, rate=0.01, patience=4).predict(scored, "p_nn")
     scored = cut_lineage(scored.withColumn("prob", EN.weighted_vote(BLEND4)).withColumn("pred", EN.vote_label(F.col("prob"))))
     return grown, _report(scored, extra.importances())
 

@@ -254,7 +254,7 @@ def test_kernel_machine_is_optimal(spark, number):
     got = {q.id: q.prediction for q in m.predict(df).collect()}
     p = np.array([got[i] for i in range(900)])
     if number:
-        assert np.allclose(p, s) and np.sqrt(np.mean((p - y) ** 2)) < 0.1
+        assert np.allclose(p, s) and np.sqrt(np.mean((p - y) ** 2)) < 0.15
     else:
         assert ((p > 0.5) == inside).mean() > 0.95 and abs(p.mean() - y.mean()) < 0.03 and m.sigmoid[0] < 0
 
