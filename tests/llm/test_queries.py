@@ -17,6 +17,8 @@ COLUMNS = {
     "op6_token_id_output": ["doc_id", "start", "n_tokens", "ids_crc32"],
     "op7_simhash_near_dedup": ["doc_id", "fingerprint", "component_id"],
     "op10_toxicity": ["doc_id", "held_out", "score", "predicted"],
+    "op11_merkle_dataset_manifest": ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"],
+    "op13_pii": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
 }
 
 
