@@ -162,12 +162,45 @@ def test_near_vectors(spark):
     comp = classes([i for i, _ in rows], link)
     n = [sum(link(a, b) for b in range(len(rows)) if b != a) for a in range(len(rows))]
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, cell int")
-    out = E.near_vectors(df, cell_rows=60, block=32).collect()
-    got = sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"]), r["kept"]) for r in out)
-    assert got == sorted((str(i), k, str(c), i == c) for (i, _), k, c in zip(rows, n, comp))
+    # Hosts of one cell in chunks; of several cells; one pass for each top cell.
+    for kw in ({"cell_rows": 60, "block": 32}, {"cell_rows": 5, "block": 64, "slice_bytes": 4000}, {}):
+        out = E.near_vectors(df, **kw).collect()
+        got = sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"]), r["kept"]) for r in out)
+        assert got == sorted((str(i), k, str(c), i == c) for (i, _), k, c in zip(rows, n, comp))
     assert E.near_vectors(df.limit(0)).count() == 0
 
 
+def test_near_vectors_of_single_precision(spark):
+    rng = np.random.default_rng(16)
+    base = rng.normal(size=(30, 6))
+    x = np.array([base[rng.integers(30)] + rng.normal(size=6) * .12 for _ in range(400)]).astype(np.float32)
+    x[5], x[6] = x[7], -x[7]
+    wide = x.astype(float)
+    cos = (wide @ wide.T) / np.outer(np.linalg.norm(wide, axis=1), np.linalg.norm(wide, axis=1))
+    near = cos >= 0.95
+    comp = classes(list(range(400)), lambda a, b: bool(near[a, b]))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    for kw in ({"cell_rows": 10, "block": 40, "slice_bytes": 1000}, {"cell_rows": 3, "block": 400}):
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in E.near_vectors(df, **kw).collect()}
+        assert got == {i: (int(near[i].sum()) - 1, comp[i]) for i in range(400)}
+
+
+def test_cells_grow_with_the_rows():
+    rng = np.random.default_rng(3)
+    tops = E._unit(rng.normal(size=(4, 6)))
+    cells = {t: (E._unit(tops[t] + rng.normal(size=(5, 6)) * .2), np.full(5, .3), np.arange(5) // 2 + 10 * t) for t in range(4)}
+    x = E._unit(tops[rng.integers(4, size=200)] + rng.normal(size=(200, 6)) * .2)
+    home = (x @ tops.T).argmax(1)
+    leaf = np.array([(h << 16) + (cells[h][0] @ v).argmax() for h, v in zip(home, x)])
+    whole = E._visits(leaf, x, (tops, np.full(4, .6)), cells, .3).to_pylist()
+    parts = [E._visits(leaf, x, (tops, np.full(4, .6)), {t: cells[t]}, .3).to_pylist() for t in range(4)]
+    assert whole == [sum((p[k] for p in parts), []) for k in range(200)]
+    for k, row in enumerate(whole):
+        assert [v["host"] for v in row if not v["guest"]] == [cells[home[k]][2][leaf[k] & 0xFFFF]]
+        assert all(c > leaf[k] and cells[c >> 16][2][c & 0xFFFF] == v["host"] for v in row for c in v["cells"])
+    assert list(E._slices([(0, 3), (2, 3), (3, 9), (7, 1)], 6)) == [(0, 2), (3, 3), (7, 7)]
+
+
 # -- toxicity --------------------------------------------------------------
 
 def test_toxicity_held_out(spark):
