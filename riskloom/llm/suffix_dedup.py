@@ -25,7 +25,7 @@ Only bounded pieces move: a segment's packed columns, never all occurrences of
 a group.  An anchor with more than ``hot_limit`` occurrences is spread: each
 ``length``-byte string over it becomes its own collection entry, dealt by that
 string's hash, so a passage that a third of all documents share meets in many
-buckets, once per segment and distinct string.
+buckets, once per segment and distinct string; the rounds decide there as well.
 """
 
 from __future__ import annotations
@@ -147,15 +147,19 @@ def column_rounds(group: np.ndarray, x: np.ndarray, cap: int) -> Iterator[tuple[
             bwt = columns[col - 1][order]
 
 
-def marks(key: np.ndarray, x: np.ndarray, ids: np.ndarray, length: int) -> np.ndarray:
+def marks(key: np.ndarray, x: np.ndarray, ids: np.ndarray, length: int, settle: bool = True) -> np.ndarray:
     """For each string a bit per offset: the ``length`` bytes from there also
-    occur, under the same key and offset, with a smaller id."""
+    occur, under the same key and offset, with a smaller id.  Exact copies of a
+    row are settled before the rounds, or (``settle=False``) by the rounds too."""
     out = np.zeros(len(key), np.uint64)
     if not len(key):
         return out
     offsets = x.shape[1] - length + 1
     full = np.uint64((1 << offsets) - 1)
-    order, first = _distinct(key, x, ids)
+    if settle:
+        order, first = _distinct(key, x, ids)
+    else:
+        order, first = np.argsort(key, kind="stable"), np.ones(len(key), bool)
     lead = np.flatnonzero(first)[np.cumsum(first) - 1]
     copy = ids[order] > ids[order[lead]]
     out[order[copy]] = full
@@ -343,6 +347,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
      .repartition(segs, "seg").write.bucketBy(segs, "seg").option("path", scratch.path()).option("compression", "zstd")
      .format("parquet").saveAsTable(table))
     dealt = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # the files are external and stay; no entry is left in the catalogue
     slim = dealt.select("seg", F.col(c_id).cast("long").alias("id"), F.col(c_text).cast("string").alias("text"))
 
     def send_anchors(key, t):
@@ -392,7 +397,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             h = np.concatenate([np.frombuffer(r, np.uint32, n, 8 * n) for r, n in zip(raws, ns)])
             x = np.concatenate([np.frombuffer(r, np.uint8, n * width, 12 * n).reshape(n, width) for r, n in zip(raws, ns)])
             del raws
-            m = marks(h.astype(np.int64), x, low, length)
+            # The key of a hot string deals it to its bucket; the rounds decide which are equal.
+            m = marks(h.astype(np.int64), x, low, length, settle=kind == 1)
             at = 0
             for seg, b, n in zip(rows.column("seg").to_pylist(), rows.column("bucket").to_pylist(), ns):
                 out.append((seg, b, kind, n, _pack(m[at:at + n])))

@@ -69,3 +69,22 @@ def test_rounds_are_sorted_suffixes_with_their_common_prefixes():
             a, b = rows[k - 1][1], rows[k][1]
             common = next((n for n, (p, q) in enumerate(zip(a, b)) if p != q), len(a))
             assert lcp[k] == (min(common, 6) if rows[k - 1][0] == rows[k][0] else 0)
+
+
+def test_rounds_decide_equal_strings_under_one_key():
+    rng = np.random.default_rng(9)
+    x = rng.integers(97, 99, (300, 6)).astype(np.uint8)
+    key, ids = rng.integers(0, 3, 300), rng.integers(0, 200, 300)
+    want = [int(any(key[a] == key[b] and (x[a] == x[b]).all() and ids[b] < ids[a] for b in range(300))) for a in range(300)]
+    assert S.marks(key, x, ids, 6, settle=False).tolist() == S.marks(key, x, ids, 6).tolist() == want
+    assert S.marks(key[:0], x[:0], ids[:0], 6, settle=False).tolist() == []
+
+
+def test_no_table_is_left_in_the_catalogue(spark):
+    df = spark.createDataFrame([(i, f"{i % 3} " * 40) for i in range(9)], "doc_id long, text string")
+    before = spark.catalog.listTables()
+    out = S.remove_repeats(df)
+    assert spark.catalog.listTables() == before
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan
+    assert out.count() == 9
