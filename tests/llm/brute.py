@@ -1,16 +1,20 @@
 """Plain reference computations that the tests hold the operators against."""
 
 import hashlib
+import math
 import re
 import zlib
 
 import xxhash
+import zstandard
+
+from riskloom.llm import compression_toxicity as C
 
 SMALL = "/root/testdata/sf0.001"
 
 
-def repeats(rows, length):
-    """(id, text) rows -> per row (n_bytes, n_removed, n_spans, sha256)."""
+def without_repeats(rows, length):
+    """(id, text) rows -> per row (bytes, 1 for each byte that goes)."""
     first = {}
     for i, t in rows:
         b = (t or "").encode()
@@ -26,12 +30,20 @@ def repeats(rows, length):
         for s in range(len(b) - length + 1):
             if first[b[s:s + length]] < i:
                 gone[s:s + length] = b"\1" * length
-        kept = bytes(x for x, g in zip(b, gone) if not g)
-        spans = len(re.findall(b"\1+", bytes(gone)))
-        out.append((len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+        out.append((b, bytes(gone)))
     return out
 
 
+def kept_bytes(raw, gone):
+    return bytes(x for x, g in zip(raw, gone) if not g)
+
+
+def repeats(rows, length):
+    """(id, text) rows -> per row (n_bytes, n_removed, n_spans, sha256)."""
+    return [(len(b), sum(gone), len(re.findall(b"\1+", gone)), hashlib.sha256(kept_bytes(b, gone)).hexdigest())
+            for b, gone in without_repeats(rows, length)]
+
+
 def words(text):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
@@ -93,6 +105,25 @@ def classes(keys, linked):
     return [low.get(find(i)) for i in range(len(keys))]
 
 
+def toxicity(text, model):
+    """A text's score under a fitted model, window by window, a new compressor for each."""
+    def length(raw, window):
+        d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(level=C.LEVEL, dict_data=d, write_content_size=False, write_dict_id=False).compress(window))
+
+    ws = C.windows(text)
+    plain = [length(model.ordinary, w) for w in ws]
+    row = [1.0, math.log1p(len(ws)) / 4]
+    mean = 0.0
+    for other in (model.stems, model.toxic):
+        saved = [p - length(other, w) for p, w in zip(plain, ws)]
+        row += [math.log1p(sum(x >= k for x in saved)) for k in C.THRESHOLDS]
+        row.append(math.log1p(1000 * sum(max(x, 0) for x in saved) / max(len(ws), 1) / C.WINDOW) / 3)
+        mean = sum(saved) / max(len(ws), 1)
+    row.append(mean)
+    return 1 / (1 + math.exp(-min(30, max(-30, sum(a * b for a, b in zip(row, model.weights))))))
+
+
 def token_ids(texts, path):
     from tokenizers import Tokenizer
 

@@ -1,12 +1,10 @@
 """Long periodic texts in bounded memory; toxicity scores window by window."""
 
-import math
 import resource
 
 import numpy as np
 import pytest
-import zstandard
-from brute import repeats
+from brute import repeats, toxicity
 
 from riskloom.llm import compression_toxicity as C
 from riskloom.llm import suffix_dedup as S
@@ -47,23 +45,7 @@ def test_scores_window_by_window():
     labels = [0, 1, 0, 1] * 12
     model = C.fit(texts, labels)
     tests = [*texts[:4], "", None, "one idiot among many ordinary words about the weather", "x" * 500, "é日 " * 60]
-
-    def length(raw, window):
-        d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        return len(zstandard.ZstdCompressor(level=C.LEVEL, dict_data=d, write_content_size=False, write_dict_id=False).compress(window))
-
-    want = []
-    for t in tests:
-        ws = C.windows(t)
-        row = [1.0, math.log1p(len(ws)) / 4]
-        last = 0.0
-        for other in (model.stems, model.toxic):
-            saved = [length(model.ordinary, w) - length(other, w) for w in ws]
-            row += [math.log1p(sum(x >= k for x in saved)) for k in C.THRESHOLDS]
-            row.append(math.log1p(1000 * sum(max(x, 0) for x in saved) / max(len(ws), 1) / C.WINDOW) / 3)
-            last = sum(saved) / max(len(ws), 1)
-        row.append(last)
-        want.append(1 / (1 + math.exp(-min(30, max(-30, sum(a * b for a, b in zip(row, model.weights)))))))
+    want = [toxicity(t, model) for t in tests]
     saved, n = C.savings(tests, model.compressors())
     got = 1 / (1 + np.exp(-np.clip(C.evidence(saved, n) @ np.array(model.weights), -30, 30)))
     assert np.allclose(got, want) and got[1] > 0.5 > got[0]
