@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, prepare
+from .common import Scratch, prepare, range_parts
 
 OPEN, CLOSE, END = "<|", "|>", "<|end|>"
 
@@ -44,7 +44,7 @@ def perspectives(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
         F.col(f"`{role_col}`").isNotNull().alias("named"), F.col(f"`{text_col}`").isNotNull().alias("told"),
         F.monotonically_increasing_id().alias("tie"))
     keys = ["conv", "turn", "named", "role", "told", "text", "tie"]
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = range_parts(spark, src.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0)
     sorted_turns = scratch.write(
         src.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
         .select("conv", "role", "text", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("seq")))

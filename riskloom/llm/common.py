@@ -50,6 +50,15 @@ class Scratch:
             p.getFileSystem(hconf).delete(p, True)
 
 
+PART_BYTES = 128 << 20
+
+
+def range_parts(spark: SparkSession, total_bytes: int) -> int:
+    """Parts of a range shuffle of ``total_bytes``: about PART_BYTES each, and
+    no fewer than the session's shuffle partitions."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), int(total_bytes // PART_BYTES) + 1)
+
+
 def by_position(df: DataFrame) -> DataFrame:
     """The table with its columns named c0, c1, ... by position, so that no
     name of the input, dotted or clashing, meets one that an operator uses.

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, by_bytes, prepare, utf8_buffers
+from .common import Scratch, by_bytes, prepare, range_parts, utf8_buffers
 from .tokens import encoder, tokenizer_path
 
 MAGIC = b"RANS1\0\0\0"
@@ -209,7 +209,7 @@ def write_token_files(df: DataFrame, path: str, id_col: str = "doc_id", text_col
             yield flush()
 
     # Dealt by ranges of the id; the other keys spread an id that many rows repeat.
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    parts = range_parts(spark, int(counts.sum()) * np.dtype(width).itemsize)
     keys = ["id", "n", "crc", "tie"]
     (toks.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).select("id", "ids")
      .mapInArrow(code, _FRAME).write.mode("overwrite").option("compression", "none").parquet(f"{path}/frames"))
