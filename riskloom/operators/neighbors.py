@@ -15,12 +15,15 @@ triangle inequality allows it for the chunk's queries, first for the part,
 then for the cell.  A cell larger than ``block`` (equal rows) is cut into
 chunks by a hash of the key.
 
-``knn_impute`` (rows with missing values): rows are ordered by their pattern of
-present columns and by a space-filling curve over the present values, and
-consecutive rows form the chunks, each with its box.  For two patterns the
-distance is Euclidean over the shared columns, so the boxes' distance over
-these columns bounds it from below.  The upper bounds are tightened in rounds
-over the nearest chunks before the rest is searched.
+``knn_impute`` (rows with missing values): the distance of a receiver and a donor
+is Euclidean over the columns that both have, so for each pattern of donors and
+each set of shared columns that receivers ask for, the donors are seen in the
+space of these columns.  Of donors at one place only the k lowest keys count.
+Each space is cut into cells at medians of a sample; a cell's donors meet its
+visitors in one task, which has a tree of its own over them.  A receiver visits
+its own cell for an upper bound of its k-th distance, and then every cell of
+every space whose box is within the bound.  What a receiver is compared with
+does not grow with the table.
 
 Ranking is on the squared distance rounded to 6 decimals (``knn_impute``: on the
 distance), then the data key.  Bounds carry a slack that covers the rounding and the error
@@ -32,19 +35,24 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from . import trees as T
 
 ROUND = 6
 #: Numbers that a task holds in one matrix of distances to pivots.
 MATRIX = 1 << 22
 #: Packed bytes of chunk pairs per task.
 PAIR_BYTES = 16 << 20
+#: Rows that a task deals to cells at a time, and cells of one space.
+DEALT = 1 << 17
+MAX_CELLS = 2048
 #: What the last call compared (see the functions).
 LAST_STATS: dict = {}
 
@@ -352,174 +360,201 @@ def _patterns(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
     return df.select(F.col(key).cast("long").alias("_k"), *[v.alias(f"_c{i}") for i, v in enumerate(values)], mask.alias("mask"))
 
 
-def _curve(ncol: int, centre: np.ndarray, scale: float) -> Column:
-    """Place on a Z-order curve over the present values, one scale for all."""
-    bits = max(1, min(12, 60 // ncol))
-    out = F.lit(0).cast("long")
-    for i in range(ncol):
-        cell = F.floor((F.col(f"_c{i}") - F.lit(float(centre[i]))) / F.lit(scale) * F.lit(float(1 << bits)) / F.lit(8.0)) + F.lit(1 << (bits - 1))
-        q = F.coalesce(F.least(F.greatest(cell, F.lit(0)), F.lit((1 << bits) - 1)), F.lit(0)).cast("long")
-        for b in range(bits):
-            out = out.bitwiseOR(F.shiftleft(F.shiftright(q, b).bitwiseAND(F.lit(1).cast("long")), b * ncol + i))
-    return out
-
-
-def _box_distance(lo1, hi1, lo2, hi2, shared: np.ndarray, ncol: int) -> np.ndarray:
-    """Squared missing-aware distance of boxes over the ``shared`` columns (rows x columns)."""
-    gap = np.maximum(np.maximum(lo1 - hi2, lo2 - hi1), 0.0)
-    both = shared.sum(-1)
-    d = np.where(shared, gap * gap, 0.0).sum(-1) * ncol / np.maximum(both, 1)
-    return np.where(both > 0, d, np.inf)
-
-
-def _bits(mask: np.ndarray, ncol: int) -> np.ndarray:
-    return (np.asarray(mask)[..., None] >> np.arange(ncol)) & 1 == 1
-
-
-_META = "cid long, mask long, n int, lo array<double>, hi array<double>"
-
-
-def _impute_chunks(rows: DataFrame, ncol: int, centre: np.ndarray, scale: float, block: int) -> DataFrame:
-    """Chunks of rows of one pattern that follow each other on the curve:
-    cid, mask, n, lo, hi, part, keys, vals."""
+def _columns(mask: int, ncol: int) -> list[int]:
+    return [i for i in range(ncol) if mask >> i & 1]
+
+
+def _split_tree(x: np.ndarray, size: int) -> tuple[tuple, np.ndarray]:
+    """A tree of median cuts along the widest side (``trees.Tree`` arrays)
+    whose leaves hold about ``size`` rows of ``x``, and each row's leaf."""
+    tree, leaf = T.Tree(), np.zeros(len(x), np.int32)
+    todo = [(0, np.arange(len(x)))]
+    while todo:
+        node, own = todo.pop()
+        leaf[own] = node
+        if len(own) <= size:
+            continue
+        v = x[own]
+        lo, hi = v.min(0), v.max(0)
+        c = int(np.argmax(hi - lo))
+        if not hi[c] > lo[c]:
+            continue  # equal rows
+        v = v[:, c]
+        at = np.partition(v, (len(v) - 1) // 2)[(len(v) - 1) // 2]
+        at = at if at < hi[c] else v[v < hi[c]].max()
+        a, b = tree.split(node, c, 0, float(at))
+        todo += [(a, own[v <= at]), (b, own[v > at])]
+    return tree.arrays(), leaf
+
+
+def _node_boxes(tree: tuple, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The boxes of all nodes from those of the leaves (an empty one: inf, -inf)."""
+    for i in range(len(tree[0]) - 1, -1, -1):  # children stand behind their parents
+        if tree[0][i] >= 0:
+            a, b = tree[3][i], tree[4][i]
+            lo[i], hi[i] = np.minimum(lo[a], lo[b]), np.maximum(hi[a], hi[b])
+    return lo, hi
+
+
+def _reached(tree: tuple, lo: np.ndarray, hi: np.ndarray, x: np.ndarray, limit2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, leaf): the leaves whose boxes are within the rows' squared limits."""
+    row, node = np.arange(len(x)), np.zeros(len(x), np.int64)
+    rows, leaves = [], []
+    while len(row):
+        v = x[row]
+        gap = np.maximum(np.maximum(lo[node] - v, v - hi[node]), 0.0)
+        near = np.einsum("ij,ij->i", gap, gap) <= limit2[row]
+        near &= lo[node, 0] <= hi[node, 0]
+        row, node = row[near], node[near]
+        end = tree[0][node] < 0
+        rows.append(row[end])
+        leaves.append(node[end])
+        row, node = row[~end], node[~end]
+        row, node = np.concatenate([row, row]), np.concatenate([tree[3][node], tree[4][node]]).astype(np.int64)
+    return np.concatenate(rows), np.concatenate(leaves)
+
+
+def _few_equal(key: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+    """The places of the ``k`` lowest keys of each distinct row of ``x``: no
+    other row can be among the k nearest of anything."""
+    order = np.lexsort((key, *x.T))
+    s = x[order]
+    new = np.ones(len(s), bool)
+    new[1:] = (s[1:] != s[:-1]).any(1)
+    first = np.flatnonzero(new)
+    return order[np.arange(len(s)) - first[np.cumsum(new) - 1] < k]
+
+
+def _cell_search(q: np.ndarray, limit: np.ndarray | None, dk: np.ndarray, d: np.ndarray, k: int, leaf: int, factor: float) -> tuple:
+    """(query's place, donor's place, rounded distance) of each query's ``k``
+    best donors within its ``limit`` (None: of all), and the comparisons made."""
+    tree, of = _split_tree(d, leaf)
+    order = np.argsort(of, kind="stable")
+    first, ends = np.searchsorted(of[order], np.arange(len(tree[0]))), np.searchsorted(of[order], np.arange(len(tree[0])), side="right")
+    size = ends - first
+    lo, hi = np.full((len(size), d.shape[1]), np.inf), np.full((len(size), d.shape[1]), -np.inf)
+    for i in np.flatnonzero(size):
+        v = d[order[first[i]:ends[i]]]
+        lo[i], hi[i] = v.min(0), v.max(0)
+    lo, hi = _node_boxes(tree, lo, hi)
+    # Donors by leaf, filled up with places that are far from all.
+    width = int(size.max())
+    place = first[:, None] + np.arange(width)
+    real = np.arange(width) < size[:, None]
+    place = np.where(real, order[np.minimum(place, len(order) - 1)], 0)
+    vals = np.where(real[:, :, None], d[place], np.inf)
+    compared = 0
+
+    def squares(row, node):
+        diff = vals[node] - q[row][:, None, :]
+        return np.einsum("ijk,ijk->ij", diff, diff)
+
+    step = max(1, MATRIX // (width * d.shape[1]))
+    if limit is None:
+        # A first bound from the leaf that holds the query's place.
+        own = T.leaves_of(tree, q.T, raw=True)
+        limit = np.full(len(q), np.inf)
+        if width >= k:
+            for at in range(0, len(q), step):
+                row = np.arange(at, min(len(q), at + step))
+                limit[row] = np.sqrt(np.partition(squares(row, own[row]), k - 1, axis=1)[:, k - 1] * factor)
+            compared += len(q) * width
+    wide = limit + 2 * 10.0 ** -ROUND
+    row, node = _reached(tree, lo, hi, q, wide * wide / factor * (1 + 1e-12))
+    compared += int(size[node].sum())
+    by = np.argsort(row, kind="stable")
+    row, node = row[by], node[by]
+    out, at = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))], 0
+    while at < len(row):  # all leaves of some queries at a time
+        end = len(row) if at + step >= len(row) else max(int(np.searchsorted(row, row[at + step])), int(np.searchsorted(row, row[at], side="right")))
+        r, s = row[at:end], node[at:end]
+        dist = np.concatenate([np.sqrt(squares(r[i:i + step], s[i:i + step]) * factor) for i in range(0, len(r), step)])
+        i, j = np.nonzero((dist <= wide[r][:, None]) & real[s])
+        dist, who, r = np.round(dist[i, j], ROUND), place[s[i], j], r[i]
+        best = np.lexsort((dk[who], dist, r))
+        r, who, dist = r[best], who[best], dist[best]
+        best = np.arange(len(r)) - np.searchsorted(r, r) < k
+        out.append((r[best], who[best], dist[best]))
+        at = end
+    return tuple(np.concatenate(x) for x in zip(*out)), compared
+
+
+_SENT = "cell int, keys binary, vals binary"
+
+
+@dataclass
+class _Unit:
+    """Donors of the pattern ``donor`` seen in the ``shared`` columns: the space
+    of all receivers that have of the donors' columns just these."""
+    shared: list[int]
+    donor: int
+    targets: list[int]
+    tree: tuple
+    cells: np.ndarray  # number of a leaf's cell, by node
+    lo: np.ndarray | None = None
+    hi: np.ndarray | None = None
+
+
+def _held(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def _by_cell(cell: np.ndarray, key: np.ndarray, vals: np.ndarray) -> pa.RecordBatch:
+    """One packed row for each cell."""
+    order = np.argsort(cell, kind="stable")
+    cell, key, vals = cell[order], key[order], vals[order]
+    own, first = np.unique(cell, return_index=True)
+    ends = [*first[1:], len(cell)]
+    return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array([key[a:b].tobytes() for a, b in zip(first, ends)], pa.binary()),
+                                       pa.array([vals[a:b].tobytes() for a, b in zip(first, ends)], pa.binary())], names=["cell", "keys", "vals"])
+
+
+def _rows_of(t: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
+    return (np.frombuffer(b"".join(t.column("keys").to_pylist()), np.int64), _matrix(b"".join(t.column("vals").to_pylist()), width))
+
+
+def _values(t: pa.Table, names: list[str]) -> np.ndarray:
+    return np.column_stack([t.column(c).to_numpy() for c in names]).astype(np.float64)
+
+
+def _units(rows: DataFrame, counts: dict, ncol: int, cell: int) -> list[_Unit]:
+    """The spaces and their cells, cut at medians of a sample of 32 rows a cell."""
     vcols = [f"_c{i}" for i in range(ncol)]
-    order = ["mask", "z", "_k"]
-    ordered = cut_lineage(rows.where("mask <> 0").withColumn("z", _curve(ncol, centre, scale)).repartitionByRange(*order).sortWithinPartitions(*order)
-                          .select("_k", *vcols, "mask", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("seq")))
-    # The row number within the part is in the lower 33 bits.
-    own = ordered.withColumn("run", F.expr(f"(seq & {(1 << 33) - 1}) div {block}"))
-
-    def run(t: pa.Table) -> pa.Table:
-        v = np.column_stack([t.column(c).to_numpy() for c in vcols]).astype(np.float64)
-        part, mask = t.column("part")[0].as_py(), t.column("mask")[0].as_py()
-        empty = ~_bits(mask, ncol)
-        lo, hi = (np.where(empty, 0.0, f(v, axis=0)) for f in (np.min, np.max))
-        return pa.table({"cid": pa.array([min(t.column("seq").to_numpy())], pa.int64()), "mask": pa.array([mask], pa.int64()),
-                         "n": pa.array([t.num_rows], pa.int32()), "lo": [lo], "hi": [hi], "part": pa.array([part], pa.int32()),
-                         "keys": [t.column("_k").to_numpy().tobytes()], "vals": [v.tobytes()]})
-
-    filled = [F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in vcols]
-    return cut_lineage(own.select("_k", *filled, "mask", "part", "seq", "run").groupBy("mask", "part", "run")
-                       .applyInArrow(run, f"{_META}, part int, keys binary, vals binary"))
-
-
-def _impute_compare(pairs: DataFrame, ncol: int, k: int, bounds_only: bool) -> DataFrame:
-    """Compare a receiving chunk (cid, mask, n, keys, vals, reach) with a
-    donating one (dmask, dlo, dhi, dkeys, dvals).  ``reach`` is a matrix of
-    upper bounds of the k-th distance (receivers x columns).  With
-    ``bounds_only`` the result is the chunk's lowered matrix, else candidates
-    (rk, ci, dk, dist, val) and a row with ci = -1 that counts comparisons."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            col = {x: b.column(x) for x in b.schema.names}
-            for i in range(b.num_rows):
-                qm, dm = col["mask"][i].as_py(), col["dmask"][i].as_py()
-                qv, dv = _matrix(col["vals"][i].as_py(), ncol), _matrix(col["dvals"][i].as_py(), ncol)
-                dk = np.frombuffer(col["dkeys"][i].as_py(), np.int64)
-                raw = col["reach"][i].as_py()
-                reach = np.full(qv.shape, np.inf) if raw is None else _matrix(raw, ncol)
-                shared, targets = np.flatnonzero(_bits(qm & dm, ncol)), np.flatnonzero(_bits(dm & ~qm, ncol))
-                factor = ncol / len(shared)
-                lo, hi = (np.array(col[x][i].as_py())[shared] for x in ("dlo", "dhi"))
-                q, d = qv[:, shared], dv[:, shared]
-                limit = reach[:, targets].max(1) + 10.0 ** -ROUND
-                gap = np.maximum(np.maximum(lo - q, q - hi), 0.0)
-                rows = np.flatnonzero(np.sqrt((gap * gap).sum(1) * factor) <= limit)
-                sq = np.zeros((len(rows), len(dk)))
-                for c in range(len(shared)):
-                    diff = q[rows, c][:, None] - d[:, c][None, :]
-                    sq += diff * diff
-                if bounds_only:
-                    new = reach.copy()
-                    if len(dk) >= k and len(rows):
-                        kth = np.sqrt(np.partition(sq, k - 1, axis=1)[:, k - 1] * factor) + 10.0 ** -ROUND
-                        new[np.ix_(rows, targets)] = np.minimum(new[np.ix_(rows, targets)], kth[:, None])
-                    yield pa.RecordBatch.from_arrays([pa.array([col["cid"][i].as_py()], pa.int64()), pa.array([new.tobytes()], pa.binary())],
-                                                     names=["cid", "reach"])
-                    continue
-                qk = np.frombuffer(col["keys"][i].as_py(), np.int64)
-                out = [(np.zeros(1, np.int64), np.full(1, -1, np.int32), np.array([len(rows)]), np.zeros(1), np.array([float(len(rows) * len(dk))]))]
-                if len(rows):
-                    kk = min(k, len(dk))
-                    near = (np.sqrt(np.partition(sq, kk - 1, axis=1)[:, kk - 1] * factor) + 2 * 10.0 ** -ROUND) ** 2 / factor
-                    wide = (limit[rows] + 2 * 10.0 ** -ROUND) ** 2 / factor
-                    r, j = np.nonzero(sq <= np.minimum(near, wide)[:, None])
-                    dist = np.round(np.sqrt(sq[r, j] * ncol / len(shared)), ROUND)
-                    order = np.lexsort((dk[j], dist, r))
-                    r, j, dist = r[order], j[order], dist[order]
-                    best = np.arange(len(r)) - np.searchsorted(r, r) < k
-                    r, j, dist = r[best], j[best], dist[best]
-                    for c in targets.tolist():
-                        own = dist <= reach[rows[r], c] + 2 * 10.0 ** -ROUND
-                        out.append((qk[rows[r[own]]], np.full(int(own.sum()), c, np.int32), dk[j[own]], dist[own], dv[j[own], c]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["rk", "ci", "dk", "dist", "val"])
-
-    return pairs.mapInArrow(run, "cid long, reach binary" if bounds_only else "rk long, ci int, dk long, dist double, val double")
-
-
-def _lowest(bounds: DataFrame) -> DataFrame:
-    """One matrix of bounds per receiving chunk: the least of all."""
-    def run(t: pa.Table) -> pa.Table:
-        low = np.minimum.reduce([np.frombuffer(x, np.float64) for x in t.column("reach").to_pylist()])
-        return pa.table({"cid": t.column("cid")[:1], "reach": [low.tobytes()]})
-
-    return bounds.groupBy("cid").applyInArrow(run, "cid long, reach binary")
+    pairs = sorted({(r & d, d) for r in counts for d in counts if r & d and d & ~r})
+    cells = {d: min(MAX_CELLS, -(-counts[d] // cell)) for _, d in pairs}
+    share = F.lit(0)
+    for d, n in cells.items():
+        share = F.when(F.col("mask") == d, F.lit(min(1 << 30, (1 << 30) * 32 * n // counts[d]))).otherwise(share)
+    picked = rows.where(F.pmod(F.xxhash64("_k", F.lit(7)), F.lit(1 << 30)) < share).select("mask", *vcols).toArrow()
+    mask, vals = picked.column("mask").to_numpy(), _values(picked, vcols) if picked.num_rows else np.zeros((0, ncol))
+    out, n = [], 0
+    for s, d in pairs:
+        shared = _columns(s, ncol)
+        x = vals[mask == d][:, shared]
+        tree, _ = _split_tree(x, max(1, -(-len(x) // cells[d]))) if cells[d] > 1 else (T.Tree().arrays(), None)
+        leaves = np.flatnonzero(tree[0] < 0)
+        number = np.full(len(tree[0]), -1)
+        number[leaves] = n + np.arange(len(leaves))
+        n += len(leaves)
+        out.append(_Unit(shared, d, _columns(d & ~s, ncol), tree, number))
+    return out
 
 
-def _impute_pairs(heads: DataFrame, supers: tuple, donors: DataFrame, ncol: int, nearest: int | None) -> DataFrame:
-    """(cid, dcid, ci, gap): donating chunks whose box is within the bounds of a
-    receiving chunk ``heads`` (_META, most: the largest bound per column).
-    With ``nearest``, that many for each column, by box and then centre, from
-    the best group of chunks where nothing is known yet."""
-    smask, slo, shi, sid = supers
+def _visiting(r: int, units: list[_Unit]) -> list[int]:
+    """The spaces in which receivers of the pattern ``r`` have donors."""
+    return [i for i, u in enumerate(units) if r & u.donor == sum(1 << c for c in u.shared)]
 
-    def centre(lo1, hi1, lo2, hi2, shared):
-        c = (lo1 + hi1 - lo2 - hi2) / 2
-        return np.where(shared, c * c, 0.0).sum(-1)
 
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = max(1, MATRIX // (len(smask) * ncol))
-        for b in batches:
-            for at in range(0, b.num_rows, step):
-                t = b.slice(at, step)
-                mask, most = t.column(1).to_numpy(), _vectors(t.column(5), ncol)
-                lo, hi = (_vectors(t.column(x), ncol)[:, None, :] for x in (3, 4))
-                shared = _bits(mask[:, None] & smask[None, :], ncol)
-                gap = np.sqrt(_box_distance(lo, hi, slo[None], shi[None], shared, ncol))
-                useful = _bits(smask[None, :] & ~mask[:, None], ncol) & np.isfinite(gap)[:, :, None]
-                keep = useful & (gap[:, :, None] <= most[:, None, :] + 10.0 ** -ROUND)
-                if nearest is not None and np.isinf(most).any():
-                    # Nothing known of a column yet: its nearest group alone.
-                    far = centre(lo, hi, slo[None], shi[None], shared)
-                    rank = np.where(useful, gap[:, :, None], np.inf) + 1e-9 * far[:, :, None]
-                    first = np.zeros_like(keep)
-                    i, c = np.nonzero(useful.any(1))
-                    first[i, np.argmin(rank, axis=1)[i, c], c] = True
-                    keep &= np.where(np.isinf(most)[:, None, :], first, True)
-                i, s, c = np.nonzero(keep)
-                yield pa.RecordBatch.from_arrays([*(x.take(pa.array(i)) for x in t.columns), pa.array(sid[s]), pa.array(c.astype(np.int32))],
-                                                 names=["cid", "mask", "n", "lo", "hi", "most", "super", "ci"])
-
-    def boxes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = {n: b.column(n) for n in b.schema.names}
-            lo, hi, dlo, dhi, most = (_vectors(x[n], ncol) for n in ("lo", "hi", "dlo", "dhi", "most"))
-            ci = x["ci"].to_numpy()
-            shared = _bits(x["mask"].to_numpy() & x["dmask"].to_numpy(), ncol)
-            gap = np.sqrt(_box_distance(lo, hi, dlo, dhi, shared, ncol))
-            ok = (gap <= most[np.arange(len(ci)), ci] + 10.0 ** -ROUND) & np.isfinite(gap)
-            yield pa.RecordBatch.from_arrays([x["cid"], x["dcid"], x["ci"], pa.array(gap), pa.array(centre(lo, hi, dlo, dhi, shared))],
-                                             names=["cid", "dcid", "ci", "gap", "off"]).filter(pa.array(ok))
-
-    near = heads.mapInArrow(groups, f"{_META}, most array<double>, super long, ci int")
-    out = near.join(donors, "super").mapInArrow(boxes, "cid long, dcid long, ci int, gap double, off double")
-    if nearest is not None:
-        w = Window.partitionBy("cid", "ci").orderBy("gap", "off", "dcid")
-        out = out.withColumn("r", F.row_number().over(w)).where(F.col("r") <= nearest)
-    return out.select("cid", "dcid").distinct()
-
-
-def knn_impute(df: DataFrame, key: str, cols: list[str], k: int = 5, block: int = 256, rounds: tuple[int, ...] = (2, 4)) -> DataFrame:
+def knn_impute(df: DataFrame, key: str, cols: list[str], k: int = 5, block: int = 256, rounds: tuple[int, ...] = (1,),
+               cell: int | None = None) -> DataFrame:
     """kNN imputation with the missing-aware Euclidean distance (K7, C4).
 
     For every (row, missing column) the donors are the rows having that
@@ -528,65 +563,132 @@ def knn_impute(df: DataFrame, key: str, cols: list[str], k: int = 5, block: int
     over the ``k`` nearest donors (by distance rounded to 6 decimals, then
     key).  A row sharing no coordinate with any donor gets the column mean.
 
-    Rows are indexed by pattern and box (see the module).  Each of ``rounds``
-    compares every receiving chunk with that many of the nearest donating
-    chunks for each column and lowers the bounds; then all chunks within the
-    bounds are searched.  ``LAST_STATS`` has the receivers, the donors and the
-    donor rows compared per receiver in that search."""
+    Donors are dealt to cells of about ``cell`` rows (128 blocks) in each space
+    of shared columns (see the module) and compared in leaves of a quarter
+    ``block``.  With ``rounds`` every receiver first gets bounds from its own cells;
+    without, it visits all.  ``LAST_STATS`` has the receivers, the donors and the
+    donor rows compared per receiver in the search within the bounds."""
     ncol = len(cols)
-    rows = _patterns(df, key, cols)
     full = (1 << ncol) - 1
-    moments = [f(F.col(c).cast("double")).alias(f"{tag}{i}") for i, c in enumerate(cols) for tag, f in (("m", F.avg), ("s", F.stddev_pop))]
-    stats = df.agg(*moments).first().asDict()
-    mean = [stats[f"m{i}"] for i in range(ncol)]
-    centre = np.array([m or 0.0 for m in mean])
-    scale = max([stats[f"s{i}"] or 0.0 for i in range(ncol)]) or 1.0
-    n_receivers, n_donors = rows.agg(F.count_if(F.col("mask") != full), F.count_if(F.col("mask") != 0)).first()
+    vcols, bcols = [f"_c{i}" for i in range(ncol)], [f"_b{i}" for i in range(ncol)]
+    rows = cut_lineage(_patterns(df, key, cols))
+    mean = list(df.agg(*[F.avg(F.col(c).cast("double")) for c in cols]).first())
+    counts = {r["mask"]: r["n"] for r in rows.groupBy("mask").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_receivers, n_donors = sum(n for m, n in counts.items() if m != full), sum(n for m, n in counts.items() if m)
     LAST_STATS.clear()
     if not n_receivers:
         return df
     if not n_donors:
         return df.select(*[F.col(c).cast("double").alias(c) if c in cols else F.col(c) for c in df.columns])
-    chunks = _impute_chunks(rows, ncol, centre, scale, block)
-    # Groups of chunks: at most about a thousand boxes, and one more for each pattern, go to the driver.
-    spread = max(1, -(-((chunks.agg(F.max("part")).first()[0] or 0) + 1) // 1024))
-    sup = (F.col("mask") * (1 << 20) + F.expr(f"part div {spread}")).alias("super")
-    grouped = chunks.groupBy(sup, "mask").agg(*[F.array(*[f(F.col(c)[i]) for i in range(ncol)]).alias(c) for c, f in (("lo", F.min), ("hi", F.max))]).collect()
-    supers = (np.array([r["mask"] for r in grouped], np.int64), np.array([r["lo"] for r in grouped]), np.array([r["hi"] for r in grouped]),
-              np.array([r["super"] for r in grouped], np.int64))
-    donors = chunks.select(sup, F.col("cid").alias("dcid"), F.col("mask").alias("dmask"), F.col("lo").alias("dlo"), F.col("hi").alias("dhi"))
-    asked = chunks.where(F.col("mask") != full)
-    given = chunks.select(F.col("cid").alias("dcid"), F.col("mask").alias("dmask"), F.col("lo").alias("dlo"), F.col("hi").alias("dhi"),
-                          F.col("keys").alias("dkeys"), F.col("vals").alias("dvals"))
-    reach = asked.select("cid", F.lit(None).cast("binary").alias("reach"))
-
-    def largest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    leaf = max(4, block // 4)
+    units = _units(rows, counts, ncol, cell or 128 * block)
+    asks = {r: _visiting(r, units) for r in counts if r != full}
+    spaces = [(u.shared, u.targets, ncol / len(u.shared)) for u in units]
+    owner = np.concatenate([np.zeros(0, np.int64), *[np.full(int((u.cells >= 0).sum()), i) for i, u in enumerate(units)]])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _held(batches, DEALT):
+            keys, mask, vals = t.column("_k").to_numpy(), t.column("mask").to_numpy(), _values(t, vcols)
+            for u in units:
+                own = np.flatnonzero(mask == u.donor)
+                if len(own):
+                    own = own[_few_equal(keys[own], vals[own][:, u.shared], k)]
+                    at = u.cells[T.leaves_of(u.tree, vals[own][:, u.shared].T, raw=True)]
+                    yield _by_cell(at, keys[own], vals[own])
+
+    donors = cut_lineage(rows.where("mask <> 0").mapInArrow(deal, _SENT))
+
+    def box(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw = b.column(5).to_pylist()
-            most = np.array([np.full(ncol, np.inf) if x is None else _matrix(x, ncol).max(0) for x in raw]).reshape(-1, ncol)
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], _lists(most)], names=["cid", "mask", "n", "lo", "hi", "most"])
-
-    for nearest in (*rounds, None):
-        heads = asked.select("cid", "mask", "n", "lo", "hi").join(reach, "cid").select("cid", "mask", "n", "lo", "hi", "reach").mapInArrow(
-            largest, f"{_META}, most array<double>")
-        pairs = _dealt(_impute_pairs(heads, supers, donors, ncol, nearest), 16 * block * (ncol + 1))
-        met = pairs.join(asked.select("cid", "mask", "n", "keys", "vals").join(reach, "cid"), "cid").join(given, "dcid")
-        if nearest is not None:
-            reach = cut_lineage(_lowest(_impute_compare(met, ncol, k, True).unionByName(
-                asked.select("cid", "n").join(reach, "cid").select("cid", F.coalesce("reach", _endless(ncol)).alias("reach")))))
-    cand = cut_lineage(_impute_compare(met, ncol, k, False))
-    compared = cand.where("ci = -1").agg(F.sum("val"), F.sum("dk")).first()
-    LAST_STATS.update(receivers=int(n_receivers), donors=int(n_donors), compared_per_receiver=(compared[0] or 0.0) / n_receivers)
+            v = [_matrix(x, ncol) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(_lists(np.array([f(np.where(np.isnan(x), 0.0, x), axis=0) for x in v]).reshape(-1, ncol))
+                                                            for f in (np.min, np.max))], names=["cell", "lo", "hi"])
+
+    boxes = donors.select("cell", "vals").mapInArrow(box, "cell int, lo array<double>, hi array<double>").groupBy("cell").agg(
+        *[F.array(*[f(F.col(c)[i]) for i in range(ncol)]).alias(c) for c, f in (("lo", F.min), ("hi", F.max))]).collect()
+    ends = {r["cell"]: (r["lo"], r["hi"]) for r in boxes}
+    for u in units:
+        lo, hi = np.full((len(u.cells), len(u.shared)), np.inf), np.full((len(u.cells), len(u.shared)), -np.inf)
+        for i, c in enumerate(u.cells.tolist()):
+            if c in ends:
+                lo[i], hi[i] = (np.array(x)[u.shared] for x in ends[c])
+        u.lo, u.hi = _node_boxes(u.tree, lo, hi)
+
+    # The space that gives a target its first bounds: the one with most donors.
+    first = {r: sorted({max((i for i in us if c in units[i].targets), key=lambda i: (counts[units[i].donor], -i))
+                        for c in _columns(full & ~r, ncol) if any(c in units[i].targets for i in us)}) for r, us in asks.items()}
+    receivers = rows.where((F.col("mask") != full) & (F.col("mask") != 0))
+
+    def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _held(batches, DEALT):
+            keys, mask, vals = t.column("_k").to_numpy(), t.column("mask").to_numpy(), _values(t, vcols)
+            for r, us in first.items():
+                own = np.flatnonzero(mask == r)
+                for i in us if len(own) else ():
+                    u = units[i]
+                    yield _by_cell(u.cells[T.leaves_of(u.tree, vals[own][:, u.shared].T, raw=True)], keys[own], vals[own])
+
+    def bounds(asked: pa.Table, given: pa.Table) -> pa.Table:
+        if not asked.num_rows:
+            return pa.table({c: pa.array([], k) for c, k in (("_k", pa.int64()), *((c, pa.float64()) for c in (*vcols, *bcols)))})
+        shared, targets, factor = spaces[owner[asked.column("cell")[0].as_py()]]
+        qk, qv = _rows_of(asked, ncol)
+        reach = np.full((len(qk), ncol), np.inf)
+        if given.num_rows:
+            dk, dv = _rows_of(given, ncol)
+            own = _few_equal(dk, dv[:, shared], k)
+            (at, _, dist), _ = _cell_search(qv[:, shared], None, dk[own], dv[own][:, shared], k, leaf, factor)
+            last = np.arange(len(at)) - np.searchsorted(at, at) == k - 1
+            reach[np.ix_(at[last], targets)] = dist[last][:, None] + 10.0 ** -ROUND
+        return pa.table({"_k": qk, **{c: qv[:, i] for i, c in enumerate(vcols)}, **{c: reach[:, i] for i, c in enumerate(bcols)}})
+
+    if rounds:
+        at_home = sorted({i for us in first.values() for i in us})
+        mine = donors.where(F.col("cell").isin(np.flatnonzero(np.isin(owner, at_home)).tolist())) if len(at_home) < len(units) else donors
+        bounded = receivers.mapInArrow(homes, _SENT).groupBy("cell").cogroup(mine.groupBy("cell")).applyInArrow(
+            bounds, ", ".join(["_k long", *[f"{c} double" for c in (*vcols, *bcols)]]))
+        if any(len(us) > 1 for us in first.values()):
+            bounded = bounded.groupBy("_k").agg(*[F.first(c).alias(c) for c in vcols], *[F.min(c).alias(c) for c in bcols])
+    else:
+        bounded = receivers.select("_k", *vcols, *[F.lit(float("inf")).alias(c) for c in bcols])
+
+    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _held(batches, DEALT):
+            keys, vals, reach = t.column("_k").to_numpy(), _values(t, vcols), _values(t, bcols)
+            mask = (~np.isnan(vals)) @ (1 << np.arange(ncol))
+            for r, us in asks.items():
+                own = np.flatnonzero(mask == r)
+                for i in us if len(own) else ():
+                    u = units[i]
+                    limit = reach[own][:, u.targets].max(1) + 2 * 10.0 ** -ROUND
+                    row, node = _reached(u.tree, u.lo, u.hi, vals[own][:, u.shared], limit * limit * len(u.shared) / ncol * (1 + 1e-12))
+                    yield _by_cell(u.cells[node], keys[own[row]], np.column_stack([vals[own[row]], reach[own[row]]]))
+
+    def compare(asked: pa.Table, given: pa.Table) -> pa.Table:
+        names = ["rk", "ci", "dk", "dist", "val"]
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))]
+        if asked.num_rows and given.num_rows:
+            shared, targets, factor = spaces[owner[asked.column("cell")[0].as_py()]]
+            qk, q = _rows_of(asked, 2 * ncol)
+            reach = q[:, ncol:]
+            dk, dv = _rows_of(given, ncol)
+            own = _few_equal(dk, dv[:, shared], k)
+            dk, dv = dk[own], dv[own]
+            (at, who, dist), compared = _cell_search(q[:, shared], reach[:, targets].max(1), dk, dv[:, shared], k, leaf, factor)
+            out.append((np.zeros(1, np.int64), np.full(1, -1, np.int32), np.zeros(1, np.int64), np.zeros(1), np.array([float(compared)])))
+            for c in targets:
+                near = dist <= reach[at, c] + 2 * 10.0 ** -ROUND
+                out.append((qk[at[near]], np.full(int(near.sum()), c, np.int32), dk[who[near]], dist[near], dv[who[near], c]))
+        return pa.table([pa.array(np.concatenate(x)) for x in zip(*out)], names=names)
+
+    cand = cut_lineage(bounded.mapInArrow(visits, _SENT).groupBy("cell").cogroup(donors.groupBy("cell")).applyInArrow(
+        compare, "rk long, ci int, dk long, dist double, val double"))
+    compared = cand.where("ci = -1").agg(F.sum("val")).first()[0]
+    LAST_STATS.update(receivers=int(n_receivers), donors=int(n_donors), compared_per_receiver=(compared or 0.0) / n_receivers)
     w = Window.partitionBy("rk", "ci").orderBy("dist", "dk")
-    best = cand.where("ci >= 0").withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
+    best = cand.where("ci >= 0").repartition("rk").withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
     fills = best.groupBy("rk").agg(*[F.avg(F.when(F.col("ci") == i, F.col("val"))).alias(f"_fill_{i}") for i in range(ncol)])
     out = df.join(fills, F.col(key).cast("long") == F.col("rk"), "left")
     return out.select(*[
         F.coalesce(F.col(c).cast("double"), F.col(f"_fill_{cols.index(c)}"), F.lit(mean[cols.index(c)])).alias(c)
         if c in cols else F.col(c) for c in df.columns])
-
-
-def _endless(ncol: int) -> Column:
-    """``n`` rows of unbounded bounds, packed."""
-    one = np.full(ncol, np.inf).tobytes().hex()
-    return F.unhex(F.expr(f"repeat('{one}', n)"))

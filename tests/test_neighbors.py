@@ -97,3 +97,29 @@ def test_impute_reads_few_donors_on_clustered_data(spark):
     out = NB.knn_impute(df, "id", ["a", "b", "c"], k=3, block=16)
     assert out.where("c IS NULL").count() == 0
     assert NB.LAST_STATS["compared_per_receiver"] < 0.1 * NB.LAST_STATS["donors"]
+
+
+@pytest.mark.parametrize("seed,cell", [(5, 12), (6, 40)])
+def test_impute_visits_across_cells(spark, seed, cell):
+    rng = np.random.default_rng(seed)
+    x = np.vstack([rng.integers(0, 9, (150, 4)) * [1.0, 2.0, 0.5, 1.0], np.full((30, 4), 3.0)])
+    x[rng.random(x.shape) < 0.2] = np.nan
+    cols = ["a", "b", "c", "d"]
+    df = spark.createDataFrame([(i, *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)], "id long, a double, b double, c double, d double")
+    got = {r.id: r for r in NB.knn_impute(df, "id", cols, k=3, block=8, cell=cell).collect()}
+    want = brute_impute(x, 3)
+    for i in range(len(x)):
+        assert np.allclose([got[i][c] for c in cols], want[i]), i
+
+
+def test_impute_compares_no_more_rows_on_larger_tables(spark):
+    compared = []
+    for n in (1500, 12000):
+        rng = np.random.default_rng(1)
+        x = np.column_stack([rng.integers(0, 8, (n, 2)), rng.uniform(0, 1, (n, 2))]).astype(float)
+        x[rng.random(n) < 0.1, 2:] = np.nan  # what is left of these rows equals that of many donors
+        df = spark.createDataFrame([(i, *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)],
+                                   "id long, a double, b double, c double, d double")
+        assert NB.knn_impute(df, "id", ["a", "b", "c", "d"], k=3, block=32).count() == n
+        compared.append(NB.LAST_STATS["compared_per_receiver"])
+    assert compared[1] < 1.5 * compared[0]
