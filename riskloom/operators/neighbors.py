@@ -2,9 +2,10 @@
 
 Rows meet in *chunks*: at most ``block`` rows that lie near each other, packed
 as one row of two binary columns (keys and numbers).  An index over the chunks
-gives the pairs of chunks that can hold neighbours, as ids; the packed rows
-are joined to these pairs by id and compared with numpy, pair by pair, so a
-task holds two chunks whatever the size of the tables.
+gives the pairs of chunks that can hold neighbours, as ids; the pairs form tiles
+of a group of query chunks and a group of data chunks.  A packed chunk is sent
+once to every tile that it has a pair in, and a task holds the two groups of a
+tile, whatever the size of the tables.
 
 ``knn`` (vectors): a tree of pivots, which are data rows.  About
 ``sqrt(n / block)`` pivots cut the data into parts, and each part has one pivot
@@ -39,7 +40,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -48,8 +49,8 @@ from . import trees as T
 ROUND = 6
 #: Numbers that a task holds in one matrix of distances to pivots.
 MATRIX = 1 << 22
-#: Packed bytes of chunk pairs per task.
-PAIR_BYTES = 16 << 20
+#: Packed bytes of a group of chunks; a task holds a group of each side.
+TILE_BYTES = 64 << 20
 #: Rows that a task deals to cells at a time, and cells of one space.
 DEALT = 1 << 17
 MAX_CELLS = 2048
@@ -92,9 +93,12 @@ def _nearest(qk, qv, dk, dv, k: int, exclude_self: bool, limit: np.ndarray) -> t
     if exclude_self:
         approx[qk[:, None] == dk[None, :]] = np.inf
     slack = 2 * 10.0 ** -ROUND + 2 * _slack(dim, q2, d2.max())
-    kth = np.partition(approx, min(k, len(dk)) - 1, axis=1)[:, min(k, len(dk)) - 1]
     # Everything that could round to a distance among the k best.
-    near = (approx <= (np.minimum(kth, limit) + slack)[:, None]) & np.isfinite(approx)
+    near = (approx <= (limit + slack)[:, None]) & np.isfinite(approx)
+    many = np.flatnonzero(near.sum(1) > 4 * k)
+    if len(many):
+        kth = np.partition(approx[many], min(k, len(dk)) - 1, axis=1)[:, min(k, len(dk)) - 1]
+        near[many] &= approx[many] <= (kth + slack[many])[:, None]
     ends = np.cumsum(near.sum(1))
     parts = []
     lo = 0
@@ -210,12 +214,38 @@ def _packed(rows: DataFrame, block: int, dim: int) -> DataFrame:
         run, "cell long, chunk int, n int, keys binary, vecs binary, reach binary, far double")
 
 
-def _dealt(pairs: DataFrame, chunk_bytes: int) -> DataFrame:
-    """Pairs of chunk ids, written, and dealt to as many tasks as their packed
-    rows need (ids alone would be put together into one or two)."""
-    pairs = cut_lineage(pairs)
-    n = pairs.count()
-    return pairs.repartition(max(1, min(n // 16, -(-n * chunk_bytes // PAIR_BYTES)))) if n > 16 else pairs
+def _tiles(pairs: DataFrame, asked: DataFrame, data: DataFrame, dim: int, k: int, exclude_self: bool) -> DataFrame:
+    """Neighbours from ``pairs`` (cell, chunk, q_group, d_cell, d_chunk, d_group)
+    of chunk ids.  A tile is a group of query chunks and a group of data chunks;
+    a packed chunk goes once to each tile that has a pair of it, and what a
+    query finds in a tile lowers its limit there."""
+    tile = ["q_group", "d_group"]
+    wanted = pairs.groupBy("cell", "chunk", *tile).agg(F.collect_list(F.struct("d_cell", "d_chunk")).alias("wanted"))
+    left = wanted.select("cell", "chunk", *tile, F.transform("wanted", lambda x: x["d_cell"]).alias("w_cell"),
+                         F.transform("wanted", lambda x: x["d_chunk"]).alias("w_chunk")).join(asked, ["cell", "chunk"])
+    right = pairs.select("d_cell", "d_chunk", F.col("q_group").alias("to_q"), F.col("d_group").alias("to_d")).distinct().join(data, ["d_cell", "d_chunk"])
+
+    def run(own: pa.Table, given: pa.Table) -> pa.Table:
+        chunks = {}
+        for c, h, dk, dv in zip(*(given.column(x).to_pylist() for x in ("d_cell", "d_chunk", "dkeys", "dvecs"))):
+            chunks[c, h] = np.frombuffer(dk, np.int64), _matrix(dv, dim)
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for keys, vecs, reach, cells, parts in zip(*(own.column(x).to_pylist() for x in ("keys", "vecs", "reach", "w_cell", "w_chunk"))):
+            qk, qv, limit = np.frombuffer(keys, np.int64), _matrix(vecs, dim), np.frombuffer(reach, np.float64).copy()
+            at, key, sq = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            for c, h in sorted(zip(cells, parts)):
+                at, key, sq = (np.concatenate(x) for x in zip((at, key, sq), _nearest(qk, qv, *chunks[c, h], k, exclude_self, limit)))
+                order = np.lexsort((key, sq, at))
+                at, key, sq = at[order], key[order], sq[order]
+                rank = np.arange(len(at)) - np.searchsorted(at, at)
+                last = rank == k - 1
+                limit[at[last]] = np.minimum(limit[at[last]], sq[last] + 10.0 ** -ROUND)
+                at, key, sq = at[rank < k], key[rank < k], sq[rank < k]
+            out.append((qk[at], key, sq))
+        return pa.table([pa.array(np.concatenate(x)) for x in zip(*out)], names=["q_key", "nb_key", "sq_dist"])
+
+    return left.select(*tile, "keys", "vecs", "reach", "w_cell", "w_chunk").groupBy(*tile).cogroup(right.groupBy("to_q", "to_d")).applyInArrow(
+        run, "q_key long, nb_key long, sq_dist double")
 
 
 def _compare(pairs: DataFrame, dim: int, k: int, exclude_self: bool, bounds_only: bool) -> DataFrame:
@@ -271,15 +301,18 @@ def knn(query: DataFrame, data: DataFrame, k: int, q_key: str = "key", q_vec: st
         LAST_STATS.clear()
         LAST_STATS.update(pivots=1, data_rows=int(n))
     else:
-        pairs = _tree_pairs(_Tree(data, n, dim, block, k), query, same, n, dim, k, exclude_self, block)
-    cand = _compare(pairs, dim, k, exclude_self, False)
+        return _ranked(_tree_found(_Tree(data, n, dim, block, k), query, same, n, dim, k, exclude_self, block), k)
+    return _ranked(_compare(pairs, dim, k, exclude_self, False), k)
+
+
+def _ranked(cand: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("q_key").orderBy("sq_dist", "nb_key")
     return (cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .withColumn("rank", F.col("rank").cast("int")))
 
 
-def _tree_pairs(tree: _Tree, query: DataFrame, same: bool, n: int, dim: int, k: int, exclude_self: bool, block: int) -> DataFrame:
-    """The packed chunks of queries and data that can hold neighbours, pair by pair."""
+def _tree_found(tree: _Tree, query: DataFrame, same: bool, n: int, dim: int, k: int, exclude_self: bool, block: int) -> DataFrame:
+    """Candidates from the chunks of queries and data that can hold neighbours."""
     placed = tree.rows if same else tree.place(query)
     centre, top, radius = tree.centre, tree.top, tree.radius
     top2 = float((top * top).sum(1).max())
@@ -326,9 +359,23 @@ def _tree_pairs(tree: _Tree, query: DataFrame, same: bool, n: int, dim: int, k:
     found = cut_lineage(parts.join(own, "top").mapInArrow(reach_cells, "cell long, chunk int, n int, d_cell long, m int"))
     LAST_STATS.clear()
     LAST_STATS.update(pivots=cells.count(), data_rows=int(n), candidate_pairs=int(found.agg(F.sum("n")).first()[0] or 0))
+    # Groups of chunks that follow each other: their number goes with the cores, but
+    # none holds much more than TILE_BYTES, so that a chunk is sent a bounded number of times.
+    groups = max(math.ceil(math.sqrt(8 * query.sparkSession.sparkContext.defaultParallelism)), math.ceil(n * 8 * (dim + 1) / TILE_BYTES))
+    span = max(block, math.ceil(n / groups))
+    starts, at = [], 0
+    for t in sorted(tree.sizes):
+        starts += [F.lit(t), F.lit(at)]
+        at += tree.sizes[t]
+    first = F.create_map(*starts)
+
+    def group(cell: str, chunk: str) -> Column:
+        place = first[F.shiftright(cell, 32).cast("int")] + (F.col(cell).bitwiseAND(F.lit((1 << 32) - 1)) + F.col(chunk)) * block
+        return F.floor(place / span).cast("int")
+
     ids = found.select("cell", "chunk", "d_cell", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("d_chunk"))
-    sides = asked.drop("n", "reach", "far").join(bounds.drop("most"), ["cell", "chunk"])
-    return _dealt(ids, 16 * block * (dim + 1)).join(sides, ["cell", "chunk"]).join(data, ["d_cell", "d_chunk"])
+    ids = ids.withColumns({"q_group": group("cell", "chunk"), "d_group": group("d_cell", "d_chunk")})
+    return _tiles(ids, asked.drop("n", "reach", "far").join(bounds.drop("most"), ["cell", "chunk"]), data, dim, k, exclude_self)
 
 
 def knn_classify(df: DataFrame, key: str, vec: str, label: str, k: int = 5) -> DataFrame:

@@ -123,3 +123,15 @@ def test_impute_compares_no_more_rows_on_larger_tables(spark):
         assert NB.knn_impute(df, "id", ["a", "b", "c", "d"], k=3, block=32).count() == n
         compared.append(NB.LAST_STATS["compared_per_receiver"])
     assert compared[1] < 1.5 * compared[0]
+
+
+def test_knn_sends_a_chunk_once_to_a_tile(spark, monkeypatch):
+    sent = []
+    plain = NB._tiles
+    monkeypatch.setattr(NB, "_tiles", lambda pairs, *a: sent.append((pairs.count(), pairs.select("cell", "chunk", "d_group").distinct().count())) or plain(pairs, *a))
+    monkeypatch.setattr(NB, "TILE_BYTES", 1 << 14)
+    rng = np.random.default_rng(8)
+    pts = {i: rng.normal(size=16).round(2) for i in range(600)}
+    check(spark, pts, pts, 4, 16, same=True)
+    pairs, copies = sent[0]
+    assert pairs > 1000 and copies < pairs / 3
