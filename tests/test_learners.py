@@ -289,3 +289,44 @@ def test_linear_models_from_moments(spark):
     assert model.coef[0] == pytest.approx(2, abs=0.3) and model.coef[3] == 0
     assert model.predict(df).agg(F.avg("prediction")).first()[0] == pytest.approx(y.mean())
     assert LI.cross_validate_linear(df.limit(0), cols, "y", "fold", [(1.0, 0.0)]) == []
+
+
+def test_small_trees_find_the_leaves_of_the_plain_walk(monkeypatch):
+    rng = np.random.default_rng(4)
+    tree, todo = T.Tree(), [0]
+    for _ in range(15):
+        node = todo.pop(int(rng.integers(len(todo))))
+        at = int(rng.integers(1, 60))
+        todo += tree.split(node, int(rng.integers(3)), at, at / 7)
+    bins, raw = rng.integers(0, 64, (3, 500)).astype(np.uint8), rng.uniform(0, 9, (3, 500))
+    raw[:, :20] = np.nan
+    fast = [T.leaves_of(tree.arrays(), bins), T.leaves_of(tree.arrays(), raw, raw=True)]
+    monkeypatch.setattr(T, "SMALL_TREE", -1)
+    slow = [T.leaves_of(tree.arrays(), bins), T.leaves_of(tree.arrays(), raw, raw=True)]
+    assert all((a == b).all() for a, b in zip(fast, slow)) and fast[0].dtype == np.uint8
+
+
+def test_one_vector_of_a_pass_comes_to_the_driver(spark, monkeypatch):
+    rows = []
+    df = spark.range(4000).repartition(4).selectExpr("id", "cast(id % 2 as int) y", "cast(id as double) x")
+    packed = T.pack(df, ["x"], "y", None, "id", chunk=100, tasks=4)
+    assert packed.parts > 1
+    cls = type(packed.df)
+    plain = cls.toArrow
+
+    def counted(self):
+        out = plain(self)
+        rows.append(out.num_rows)
+        return out
+
+    monkeypatch.setattr(cls, "toArrow", counted)
+
+    def sums(batches):
+        total = np.zeros(150_000)
+        for c in T.chunks_of(batches, 1, binned=False):
+            total[::1000] += c.x.sum()
+        return total
+
+    got = packed.summed(sums)
+    assert got.shape == (150_000,) and (got[::1000] == 4000 * 3999 / 2).all() and got.sum() == 150 * 4000 * 3999 / 2
+    assert rows == [3]  # pieces of one vector, not one vector for each task
