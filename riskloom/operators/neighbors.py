@@ -24,7 +24,7 @@ Each space is cut into cells at medians of a sample; a cell's donors meet its
 visitors in one task, which has a tree of its own over them.  A receiver visits
 its own cell for an upper bound of its k-th distance, and then every cell of
 every space whose box is within the bound.  What a receiver is compared with
-does not grow with the table.
+grows little with the table.
 
 Ranking is on the squared distance rounded to 6 decimals (``knn_impute``: on the
 distance), then the data key.  Bounds carry a slack that covers the rounding and the error
