@@ -330,3 +330,27 @@ def test_one_vector_of_a_pass_comes_to_the_driver(spark, monkeypatch):
     got = packed.summed(sums)
     assert got.shape == (150_000,) and (got[::1000] == 4000 * 3999 / 2).all() and got.sum() == 150 * 4000 * 3999 / 2
     assert rows == [3]  # pieces of one vector, not one vector for each task
+
+
+def test_leaves_of_places_and_both_ways_agree():
+    """Small trees go by columns, large ones level by level; ``place`` picks rows."""
+    from riskloom.operators import trees as T
+
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 20, (4, 500)).astype(np.uint8)
+    t, nodes = T.Tree(), [0]
+    for _ in range(5):
+        nodes = [c for k in nodes for c in t.split(k, int(rng.integers(4)), int(rng.integers(2, 18)), 0.0)]
+    place, a = np.flatnonzero(rng.random(500) < 0.4), t.arrays()
+    small, T.SMALL_TREE = T.SMALL_TREE, 1 << 7
+    try:
+        by_columns = T.leaves_of(a, x)
+        assert (T.leaves_of(a, x, place=place) == by_columns[place]).all()
+        T.SMALL_TREE = 0
+        assert (T.leaves_of(a, x) == by_columns).all() and (T.leaves_of(a, x, place=place) == by_columns[place]).all()
+    finally:
+        T.SMALL_TREE = small
+    raw = np.where(rng.random((4, 500)) < 0.1, np.nan, rng.random((4, 500)))
+    t = T.Tree()
+    t.split(0, 2, 0, 0.5)
+    assert (T.leaves_of(t.arrays(), raw, raw=True, place=place) == np.where(raw[2] > 0.5, 2, 1)[place]).all()
