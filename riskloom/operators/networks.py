@@ -7,7 +7,9 @@ rows with numpy, and the sums come back through ``Packed.summed``.
 
 ``fit_network``: Adam on the summed gradients; an epoch goes through the
 chunks in ``batches`` passes, each over its share of them, and ends with the
-loss of rows that are held out by a hash.  Without a better loss for
+loss of rows that are held out by a hash.  The shares and the held-out rows are
+written apart, so a pass reads its own rows only; they and the products of a
+pass are in single precision, the sums over chunks and the steps in double.  Without a better loss for
 ``patience`` epochs the fit ends with the best weights.
 
 ``fit_svm`` / ``fit_svr``: squared hinge and squared epsilon-insensitive loss
@@ -69,12 +71,12 @@ def loss_and_gradient(flat: np.ndarray, shapes: list, x: np.ndarray, y: np.ndarr
     for w, b in layers[:-1]:
         acts.append(np.maximum(acts[-1] @ w + b, 0))
     w, b = layers[-1]
-    s = (acts[-1] @ w + b)[:, 0]
+    s = (acts[-1] @ w + b)[:, 0].astype(np.float64)
     loss = float((weight * (np.logaddexp(0, s) - y * s)).sum())
-    back = (weight * (_sigmoid(s) - y))[:, None]
+    back = (weight * (_sigmoid(s) - y))[:, None].astype(x.dtype)
     grads = []
     for i in range(len(layers) - 1, -1, -1):
-        grads.append(np.concatenate([(acts[i].T @ back).ravel(), back.sum(0)]))
+        grads.append(np.concatenate([(acts[i].T @ back).ravel(), back.sum(0, dtype=np.float64)]))
         if i:
             back = (back @ layers[i][0].T) * (acts[i] > 0)
     return loss, np.concatenate(grads[::-1])
@@ -92,6 +94,29 @@ class Network:
         return T.scored(df, self.features, lambda x: _sigmoid(network_score(*bc.value, x.T)), out)
 
 
+def _shares(packed: T.Packed, n_f: int, batches: int, held: float, seed: int) -> list[T.Packed]:
+    """The packed rows dealt to ``batches`` tables chunk by chunk, without those
+    held out, which are the last table; a missing value is 0."""
+    def deal(read: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for i, c in enumerate(T.chunks_of(read, n_f, binned=False)):
+            out = T.draw(c.u, seed) < held
+            for share, use in ((i % batches, ~out), (batches, out)):
+                if use.any():
+                    x = np.nan_to_num(c.x[:, use].T.astype(np.float32))
+                    yield pa.RecordBatch.from_arrays([pa.array([share], pa.int32()), *(pa.array([a.tobytes()], pa.binary()) for a in (x, c.y[use], c.w[use]))],
+                                                     names=["share", "x", "y", "w"])
+
+    dealt = cut_lineage(packed.df.mapInArrow(deal, "share int, x binary, y binary, w binary"), by="share")
+    return [T.Packed.of(dealt.where(F.col("share") == i).select("x", "y", "w")) for i in range(batches + 1)]
+
+
+def _rows_of(read: Iterator[pa.RecordBatch], n_f: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows x features, labels, weights) of the chunks of a share."""
+    for b in read:
+        for x, y, w in zip(*(b.column(c).to_pylist() for c in ("x", "y", "w"))):
+            yield np.frombuffer(x, np.float32).reshape(-1, n_f), np.frombuffer(y), np.frombuffer(w)
+
+
 def fit_network(train: DataFrame, features: Sequence[str], label: str, key: str | None = None, hidden: Sequence[int] = (100, 50, 25),
                 epochs: int = 200, batches: int = 4, rate: float = 0.005, l2: float = 1e-4, held: float = 0.1, patience: int = 10,
                 tolerance: float = 1e-4, weight: str | None = None, seed: int = 42) -> Network:
@@ -108,23 +133,21 @@ def fit_network(train: DataFrame, features: Sequence[str], label: str, key: str
     # Penalised are the weights, not the offsets.
     penalised = np.concatenate([np.concatenate([np.ones(a * b), np.zeros(b)]) for a, b in shapes])
 
-    def sums(flat: np.ndarray, share: int | None) -> Callable:
+    *shares, apart = _shares(packed, n_f, batches, held, seed)
+
+    def sums(flat: np.ndarray, learn: bool) -> Callable:
+        single = flat.astype(np.float32)
+
         def run(read: Iterator[pa.RecordBatch]) -> np.ndarray:
             total = np.zeros(len(flat) + 2)
-            for i, c in enumerate(T.chunks_of(read, n_f, binned=False)):
-                if share is not None and i % batches != share:
-                    continue
-                out = T.draw(c.u, seed) < held
-                use = out if share is None else ~out
-                x = np.nan_to_num(c.x[:, use].T)
-                w = c.w[use]
-                if share is None:
-                    s = network_score(flat, shapes, x)
-                    total[0] += (w * (np.logaddexp(0, s) - c.y[use] * s)).sum()
-                else:
-                    loss, g = loss_and_gradient(flat, shapes, x, c.y[use], w)
+            for x, y, w in _rows_of(read, n_f):
+                if learn:
+                    loss, g = loss_and_gradient(single, shapes, x, y, w)
                     total[0] += loss
                     total[2:] += g
+                else:
+                    s = network_score(single, shapes, x).astype(np.float64)
+                    total[0] += (w * (np.logaddexp(0, s) - y * s)).sum()
                 total[1] += w.sum()
             return total
 
@@ -133,15 +156,15 @@ def fit_network(train: DataFrame, features: Sequence[str], label: str, key: str
     m, v, step = np.zeros_like(flat), np.zeros_like(flat), 0
     best, best_flat, waited, history = math.inf, flat, 0, []
     for _ in range(epochs):
-        for share in range(batches):
-            got = packed.summed(sums(flat, share))
+        for share in shares:
+            got = share.summed(sums(flat, True))
             if got[1] <= 0:
                 continue
             step += 1
             g = got[2:] / got[1] + l2 * penalised * flat
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             flat = flat - rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
-        got = packed.summed(sums(flat, None))
+        got = apart.summed(sums(flat, False))
         loss = got[0] / got[1] if got[1] > 0 else math.inf
         history.append(float(loss))
         if loss < best - tolerance:

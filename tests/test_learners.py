@@ -391,3 +391,30 @@ def test_best_leaf_first_takes_few_passes(spark, monkeypatch):
     del asked[:]
     B.boost(df, cols, "y", rounds=1, depth=3, min_child=0.0)
     assert asked == [1, 1, 2]
+
+
+# -- shares of a network's rows ----------------------------------------------------------
+
+def test_each_pass_of_a_network_reads_its_share_alone(spark):
+    x, y = data(11, n=500, f=3, missing=0.1)
+    df, cols = table(spark, x, y, parts=2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "32")
+    try:
+        packed = T.pack(df, cols, "y", None, "id", chunk=32)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    shares = N._shares(packed, 3, 4, 0.1, 42)
+    assert len(shares) == 5
+    for i, s in enumerate(shares):
+        assert {f"share={i}" in r[0] for r in s.df.select(F.input_file_name()).collect()} == {True}
+        assert "PartitionFilters: [isnotnull(share" in s.df._jdf.queryExecution().executedPlan().toString()
+
+    got = [s.summed(lambda read: np.sum([np.zeros(3), *([len(v), v.sum(), a.sum(dtype=np.float64)] for a, v, _ in N._rows_of(read, 3))], axis=0))
+           for s in shares]
+    assert np.allclose(np.sum(got, axis=0), [len(y), y.sum(), np.nansum(x)])
+
+    def held(read):
+        return np.sum([np.zeros(2), *([(T.draw(c.u, 42) < 0.1).sum(), c.y[T.draw(c.u, 42) < 0.1].sum()] for c in T.chunks_of(read, 3, binned=False))], axis=0)
+
+    assert np.allclose(got[4][:2], packed.summed(held))
+    assert min(g[0] for g in got) > 0
