@@ -393,6 +393,48 @@ def test_best_leaf_first_takes_few_passes(spark, monkeypatch):
     assert asked == [1, 1, 2]
 
 
+# -- bin bounds and the first level of a forest --------------------------------------
+
+@pytest.mark.parametrize("parts", [3, 70])
+def test_bin_bounds_are_the_values_at_even_ranks(spark, parts):
+    """15,000 distinct values are exact, whatever the number of tasks; missing values do not count."""
+    rng = np.random.default_rng(7)
+    x = np.stack([rng.normal(size=15_000), rng.integers(0, 6, 15_000)], axis=1)
+    x[rng.random(x.shape) < 0.1] = np.nan
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in r) for r in x], "a double, b double").repartition(parts)
+    got = T.edges_of(df, ["a", "b"], 255)
+    for v, e in zip(x.T, got):
+        v = np.sort(v[~np.isnan(v)])
+        at = np.array([(i + 1) / 255 for i in range(254)])
+        assert e.tolist() == np.unique(v[np.ceil(at * len(v)).astype(int) - 1]).tolist()
+    assert [len(e) for e in T.edges_of(df.where("a > 1e9"), ["a", "b"], 9)] == [0, 0]
+
+
+def test_summaries_of_many_values_keep_ranks():
+    rng = np.random.default_rng(8)
+    v = rng.permutation(400_000).astype(float)
+    ranks = T._Ranks(2000)
+    for lo in range(0, len(v), 10_000):
+        ranks.add(v[lo:lo + 10_000])
+    values, counts = ranks.summary()
+    assert len(values) <= 2000 and counts.sum() == len(v)
+    off = np.abs(np.cumsum(counts) - (values + 1)) / len(v)
+    assert off.max() <= 5 / 2000
+
+
+def test_root_of_extra_trees_from_sorted_features():
+    """A root's range and sums at its cuts, from one sort of a feature for all trees."""
+    x, y = data(9, n=300, f=3, values=40, missing=0.1)
+    w = np.random.default_rng(9).random(300)
+    whole = FO._whole(T.Chunk(x.T.copy(), y, w, None, None))
+    for f in range(3):
+        v, after = whole(f)
+        assert (v == np.sort(x[:, f][~np.isnan(x[:, f])])).all()
+        for cut in (-1.0, 0.0, 7.0, 20.5, 39.0):
+            right = x[:, f] > cut
+            assert np.allclose(after[np.searchsorted(v, cut, side="right")], [w[right].sum(), (w * y)[right].sum()])
+
+
 # -- shares of a network's rows ----------------------------------------------------------
 
 def test_each_pass_of_a_network_reads_its_share_alone(spark):
