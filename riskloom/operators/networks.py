@@ -96,9 +96,13 @@ class Network:
 
 def _shares(packed: T.Packed, n_f: int, batches: int, held: float, seed: int) -> list[T.Packed]:
     """The packed rows dealt to ``batches`` tables chunk by chunk, without those
-    held out, which are the last table; a missing value is 0."""
+    held out, which are the last table; a missing value is 0.  Each task begins
+    with another table, so that few chunks a task are spread over all of them; with
+    fewer chunks than tables some have no rows."""
     def deal(read: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for i, c in enumerate(T.chunks_of(read, n_f, binned=False)):
+        from pyspark import TaskContext
+
+        for i, c in enumerate(T.chunks_of(read, n_f, binned=False), TaskContext.get().partitionId()):
             out = T.draw(c.u, seed) < held
             for share, use in ((i % batches, ~out), (batches, out)):
                 if use.any():
