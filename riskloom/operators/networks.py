@@ -110,14 +110,14 @@ def _shares(packed: T.Packed, n_f: int, batches: int, held: float, seed: int) ->
                     yield pa.RecordBatch.from_arrays([pa.array([share], pa.int32()), *(pa.array([a.tobytes()], pa.binary()) for a in (x, c.y[use], c.w[use]))],
                                                      names=["share", "x", "y", "w"])
 
-    dealt = cut_lineage(packed.df.mapInArrow(deal, "share int, x binary, y binary, w binary"), by="share")
+    dealt = cut_lineage(packed.df.mapInArrow(deal, "share int, x binary, y binary, w binary"), by="share", group_bytes=T.GROUP_BYTES)
     return [T.Packed.of(dealt.where(F.col("share") == i).select("x", "y", "w")) for i in range(batches + 1)]
 
 
 def _rows_of(read: Iterator[pa.RecordBatch], n_f: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(rows x features, labels, weights) of the chunks of a share."""
     for b in read:
-        for x, y, w in zip(*(b.column(c).to_pylist() for c in ("x", "y", "w"))):
+        for x, y, w in zip(*((v.as_buffer() for v in b.column(c)) for c in ("x", "y", "w"))):
             yield np.frombuffer(x, np.float32).reshape(-1, n_f), np.frombuffer(y), np.frombuffer(w)
 
 
