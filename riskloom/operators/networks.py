@@ -330,7 +330,7 @@ def _platt(packed: T.Packed, n_f: int, f: FourierMap, w: np.ndarray, folds: int,
             yield pa.RecordBatch.from_arrays([pa.array([len(s)], pa.int32()), *(pa.array([a.tobytes()], pa.binary()) for a in (s, k.y, k.w, k.u, k.s))],
                                              names=["n", "x", "y", "w", "u", "s"])
 
-    scores = T.Packed.of(cut_lineage(packed.df.mapInArrow(score, packed.df.schema)))
+    scores = T.Packed.of(cut_lineage(packed.df.mapInArrow(score, packed.df.schema), group_bytes=T.GROUP_BYTES))
 
     def count(read):
         total = np.zeros(2)
